@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tapewright.llm.mixing import mix_sizes
 from tapewright.llm.oracles import OP4
 from tapewright.llm.quality import host_quality
+from tapewright.llm.substring import substring_dedup
+from tapewright.llm.suffixes import suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,5 +27,15 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
 
 
-QUERIES = {"op4_host_quality": op4_host_quality, "op7_mix_sources": op7_mix_sources}
+def op3_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op4_host_quality": op4_host_quality, "op7_mix_sources": op7_mix_sources, "op3_superkmer_dedup": op3_superkmer_dedup, "op8_suffix_dedup": op8_suffix_dedup}
 ORACLES = {"op4_host_quality": OP4}
