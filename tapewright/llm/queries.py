@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewright.llm.mixing import mix_sizes
 from tapewright.llm.oracles import OP4
+from tapewright.llm.probminhash import near_classes
 from tapewright.llm.quality import host_quality
 from tapewright.llm.substring import substring_dedup
 from tapewright.llm.suffixes import suffix_dedup
@@ -37,5 +38,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op4_host_quality": op4_host_quality, "op7_mix_sources": op7_mix_sources, "op3_superkmer_dedup": op3_superkmer_dedup, "op8_suffix_dedup": op8_suffix_dedup}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_classes(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "n_shingles", "kept")
+
+
+QUERIES = {"op4_host_quality": op4_host_quality, "op7_mix_sources": op7_mix_sources, "op3_superkmer_dedup": op3_superkmer_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op10_near_dedup": op10_near_dedup}
 ORACLES = {"op4_host_quality": OP4}
