@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tapewright.llm.common import cut
 from tapewright.llm.mixing import mix_documents
+from tapewright.llm.packing import pack_documents
+from tapewright.llm.probminhash import near_dedup
 from tapewright.llm.quality import host_quality
+from tapewright.llm.substring import substring_dedup
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,11 +19,43 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return host_quality(rows, text="__text", host="__source").where("kept").select("row.*")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return near_dedup(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of passages that an earlier one holds.
+
+    A document that loses words keeps the others, joined by one space, and gets
+    their length; one that loses all goes; the others stay as they are.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    out = substring_dedup(rows, id_col="__id", text="__text").where("n_removed = 0 or n_removed < n_words")
+    cut_ = F.col("n_removed") > 0
+    cols = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    cols["text"] = F.when(cut_, F.col("kept_text")).otherwise(cols["text"])
+    cols["n_chars"] = F.when(cut_, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(cols["n_chars"])
+    return out.select(*[v.alias(k) for k, v in cols.items()])
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document, a row for each pass over it."""
     return mix_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("mix_sources", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its sequence and place there."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mix_sources", mix),
+    ("packing", pack),
+]
 
 #: Mixing draws and packing can't be written in SQL; tests compare with brute force.
 ORACLE_SQL = None

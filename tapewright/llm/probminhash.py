@@ -24,7 +24,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 #: Rounds of one leader a bucket, after which all pairs still open are compared.
 LEADER_ROUNDS = 6
-GOLD = np.uint64(0x9E3779B97F4A7C15)
+GOLD = 0x9E3779B97F4A7C15
 
 
 def shingles(units: np.ndarray, lengths: np.ndarray, size: int = SHINGLE):
@@ -46,13 +46,13 @@ def signatures(text: np.ndarray, elements: np.ndarray, weights: np.ndarray, n_te
     """ProbMinHash signatures, one row a text (texts without elements: zeros)."""
     best, winner = np.full(n_texts * slots, np.inf), np.zeros(n_texts * slots, np.uint64)
     time, rest = np.zeros(len(elements)), np.arange(len(elements))
-    r = np.uint64(0)
+    r = 0
     while len(rest):
-        r += np.uint64(1)
+        r += 1
         e, t = elements[rest], text[rest]
-        x = mixed(e + r * GOLD)
+        x = mixed(e + np.uint64(r * GOLD % 2**64))
         arrival = time[rest] - np.log(((x >> np.uint64(11)).astype(np.float64) + 1.0) / 2.0**53) / weights[rest]
-        slot = t * slots + (mixed(x ^ GOLD) % np.uint64(slots)).astype(np.int64)
+        slot = t * slots + (mixed(x ^ np.uint64(GOLD)) % np.uint64(slots)).astype(np.int64)
         np.minimum.at(best, slot, arrival)
         won = best[slot] == arrival
         winner[slot[won]] = e[won]

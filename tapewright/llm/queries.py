@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewright.llm.mixing import mix_sizes
 from tapewright.llm.oracles import OP4
+from tapewright.llm.packing import pack_documents
 from tapewright.llm.probminhash import near_classes
 from tapewright.llm.quality import host_quality
 from tapewright.llm.substring import substring_dedup
@@ -43,5 +44,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "class_id", "n_shingles", "kept")
 
 
-QUERIES = {"op4_host_quality": op4_host_quality, "op7_mix_sources": op7_mix_sources, "op3_superkmer_dedup": op3_superkmer_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op10_near_dedup": op10_near_dedup}
+def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_host_quality": op4_host_quality, "op7_mix_sources": op7_mix_sources, "op3_superkmer_dedup": op3_superkmer_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op10_near_dedup": op10_near_dedup,
+    "op6_pattern_packing": op6_pattern_packing}
 ORACLES = {"op4_host_quality": OP4}
