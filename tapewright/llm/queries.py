@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.llm.langid import predict_language, train
 from tapewright.llm.mixing import mix_sizes
 from tapewright.llm.oracles import OP4
 from tapewright.llm.packing import pack_documents
@@ -48,6 +49,14 @@ def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = train(docs.where(~held_out).select("text", "lang"))
+    out = predict_language(docs.select("doc_id", held_out.alias("held_out"), "text"), model, carry=["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {"op4_host_quality": op4_host_quality, "op7_mix_sources": op7_mix_sources, "op3_superkmer_dedup": op3_superkmer_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op10_near_dedup": op10_near_dedup,
-    "op6_pattern_packing": op6_pattern_packing}
+    "op6_pattern_packing": op6_pattern_packing, "op1_language_id": op1_language_id}
 ORACLES = {"op4_host_quality": OP4}
