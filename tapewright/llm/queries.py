@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.llm.common import cut, scratch_dir
 from tapewright.llm.langid import predict_language, train
 from tapewright.llm.mixing import mix_sizes
+from tapewright.llm.nndescent import nearest
 from tapewright.llm.oracles import OP4
 from tapewright.llm.packing import pack_documents
 from tapewright.llm.probminhash import near_classes
 from tapewright.llm.quality import host_quality
+from tapewright.llm.rollups import Ledger, count_tokens, deletes, inserts, revisions
 from tapewright.llm.substring import substring_dedup
 from tapewright.llm.suffixes import suffix_dedup
 
@@ -57,6 +62,27 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted; those labelled toxic are deleted; the counts of
+    those labelled of low quality are revised from subword tokens to words. The
+    last batch runs twice, as after a lost driver."""
+    counts = cut(count_tokens(table(spark, sf_dir, "documents")), "token-counts")
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    marked = cut(counts.join(marks, "doc_id"), "token-marks")
+    ledger = Ledger(spark, f"{scratch_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    ledger.commit("load", inserts(counts, "byte_bpe_50k"))
+    ledger.commit("takedown", deletes(marked.where("toxic = 1"), "byte_bpe_50k"))
+    revised = revisions(marked.where("toxic = 0 and quality = 0"), ("byte_bpe_50k", "n_tokens"), ("words", "n_words"))
+    for _ in range(2):
+        ledger.commit("recount", revised)
+    return ledger.totals()
+
+
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {"op4_host_quality": op4_host_quality, "op7_mix_sources": op7_mix_sources, "op3_superkmer_dedup": op3_superkmer_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op10_near_dedup": op10_near_dedup,
-    "op6_pattern_packing": op6_pattern_packing, "op1_language_id": op1_language_id}
+    "op6_pattern_packing": op6_pattern_packing, "op1_language_id": op1_language_id,
+    "op2_token_rollups": op2_token_rollups, "op9_nn_descent": op9_nn_descent}
 ORACLES = {"op4_host_quality": OP4}
