@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm.common import cut, scratch_dir
+from tapewright.llm.htmltext import main_text
 from tapewright.llm.langid import predict_language, train
 from tapewright.llm.mixing import mix_sizes
 from tapewright.llm.nndescent import nearest
@@ -82,7 +83,13 @@ def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = main_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 QUERIES = {"op4_host_quality": op4_host_quality, "op7_mix_sources": op7_mix_sources, "op3_superkmer_dedup": op3_superkmer_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op10_near_dedup": op10_near_dedup,
     "op6_pattern_packing": op6_pattern_packing, "op1_language_id": op1_language_id,
-    "op2_token_rollups": op2_token_rollups, "op9_nn_descent": op9_nn_descent}
+    "op2_token_rollups": op2_token_rollups, "op9_nn_descent": op9_nn_descent,
+    "op5_page_differencing": op5_page_differencing}
 ORACLES = {"op4_host_quality": OP4}
