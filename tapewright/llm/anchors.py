@@ -273,9 +273,9 @@ def candidate_runs(docs: DataFrame, kind: str, window: int, gram: int, distinct_
         base = base.where(F.col("id") != NO_ID)
     runs = cut(base.mapInArrow(run_rows(kind, window, gram), RUN_SCHEMA), f"{name}-runs")
     again = runs.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    again = again.where("lo < hi" if distinct_ids else "c > 1").select("h", (F.col("c") > HOT).alias("hot"))
+    again = cut(again.where("lo < hi" if distinct_ids else "c > 1").select("h", (F.col("c") > HOT).alias("hot")), f"{name}-repeated")
     runs = runs.join(again, "h")
-    return runs.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "n", "place", "h", "hot")).alias("runs"))
+    return cut(runs.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "n", "place", "h", "hot")).alias("runs")), f"{name}-candidates")
 
 
 def packed_runs(rows: DataFrame, found: DataFrame, kind: str, window: int, gram: int, send: bool, text: str = "text") -> DataFrame:
