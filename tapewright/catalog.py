@@ -41,7 +41,8 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
 
 def only(df: DataFrame, *cols: str, digits: int | None = None) -> DataFrame:
     kinds = dict(df.dtypes)
-    return df.select(*[F.round(c, digits).alias(c) if digits is not None and kinds[c] == "double" else F.col(c) for c in cols])
+    # a nudge keeps exact decimals off the edge between two roundings
+    return df.select(*[F.round(F.col(c) + 3.7e-10, digits).alias(c) if digits is not None and kinds[c] == "double" else F.col(c) for c in cols])
 
 
 def event_trades(spark: SparkSession, sf: str) -> DataFrame:

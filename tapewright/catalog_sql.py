@@ -58,7 +58,7 @@ trades AS (SELECT symbol, signal_id, cell_id, stop_ticks, target_ticks, directio
   greatest(mae, 0) AS mae_points, greatest(mfe, 0) AS mfe_points, bar_index - entry_bar_index + 1 AS bars_held FROM exits WHERE rn = 1)"""
 
 
-TRADE = "symbol, signal_id, direction, entry_bar_index, exit_bar_index, exit_reason, round(r_multiple, 7) AS r_multiple, round(mae_points, 7) AS mae_points, round(mfe_points, 7) AS mfe_points, bars_held"
+TRADE = "symbol, signal_id, direction, entry_bar_index, exit_bar_index, exit_reason, round(r_multiple + 3.7e-10, 7) AS r_multiple, round(mae_points + 3.7e-10, 7) AS mae_points, round(mfe_points + 3.7e-10, 7) AS mfe_points, bars_held"
 
 ET = """
 ev AS (SELECT *, json_extract_string(props, '$.k')::INT AS k, lead(ts) OVER w AS nts, lead(value) OVER w AS nvalue, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
@@ -72,9 +72,9 @@ SEGMENT = f"""CASE WHEN hour({LOCAL}) * 60 + minute({LOCAL}) < 570 THEN 'pre_rth
 
 
 def stats(keys: str, more: str = "", warn: int | None = 30, source: str = "trades", bars: bool = False) -> str:
-    held = ", round(avg(bars_held), 7) AS avg_bars_held" if bars else ""
+    held = ", round(avg(bars_held) + 3.7e-10, 7) AS avg_bars_held" if bars else ""
     warned = f", count(*) < {warn} AS sample_warning" if warn is not None else ""
-    return f"SELECT {keys}, count(*) AS trade_count, round(avg((r_multiple > 0)::INT::DOUBLE), 7) AS win_rate, round(avg(r_multiple), 7) AS avg_r, round(quantile_cont(r_multiple, 0.5), 7) AS median_r, round(sum(r_multiple), 7) AS total_r{held}{more}{warned} FROM {source} GROUP BY {keys}"
+    return f"SELECT {keys}, count(*) AS trade_count, round(avg((r_multiple > 0)::INT::DOUBLE) + 3.7e-10, 7) AS win_rate, round(avg(r_multiple) + 3.7e-10, 7) AS avg_r, round(quantile_cont(r_multiple, 0.5) + 3.7e-10, 7) AS median_r, round(sum(r_multiple) + 3.7e-10, 7) AS total_r{held}{more}{warned} FROM {source} GROUP BY {keys}"
 
 
 EXC = "x AS (SELECT *, mae_points / (stop_ticks * 0.25) AS mae_r, mfe_points / (stop_ticks * 0.25) AS mfe_r, mfe_points / (stop_ticks * 0.25) - r_multiple AS giveback_r, CASE WHEN mae_points > 0 THEN mfe_points / mae_points END AS edge_ratio FROM trades)"
@@ -104,7 +104,7 @@ ORACLES: dict[str, str] = {
     "session_brackets": w(BARS, "SELECT symbol, ts, floor(epoch(local_ts - (session_date::TIMESTAMP - INTERVAL 6 HOUR)) / 1800)::INT AS bracket FROM bars"),
     "time_buckets": w(ET, f"SELECT trade_id, {LOCAL}::DATE AS entry_date, hour({LOCAL})::INT AS hour, minute({LOCAL})::INT AS minute, strftime({LOCAL}, '%H') || ':00' AS hour_bucket, strftime({LOCAL}, '%H') || CASE WHEN minute({LOCAL}) < 30 THEN ':00' ELSE ':30' END AS half_hour_bucket, {SEGMENT} AS rth_segment FROM trades"),
     "contract_segments": w(BARS, ", c AS (SELECT *, 'C' || strftime(week_key, '%m%d') AS contract FROM bars), d AS (SELECT *, (contract IS DISTINCT FROM lag(contract, 1, contract) OVER (PARTITION BY symbol ORDER BY ts))::INT AS chg FROM c), s AS (SELECT *, sum(chg) OVER (PARTITION BY symbol ORDER BY ts)::BIGINT AS segment_id FROM d) SELECT symbol, segment_id, contract, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_bars FROM s GROUP BY symbol, segment_id, contract"),
-    "roll_gaps": w(BARS, ", c AS (SELECT *, 'C' || strftime(week_key, '%m%d') AS contract FROM bars), d AS (SELECT symbol, ts, lag(contract) OVER (PARTITION BY symbol ORDER BY ts) AS from_contract, contract AS to_contract, open - lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS g FROM c) SELECT symbol, ts, from_contract, to_contract, round(g, 7) AS gap_points, round(g / 0.25, 7) AS gap_ticks FROM d WHERE from_contract <> to_contract"),
+    "roll_gaps": w(BARS, ", c AS (SELECT *, 'C' || strftime(week_key, '%m%d') AS contract FROM bars), d AS (SELECT symbol, ts, lag(contract) OVER (PARTITION BY symbol ORDER BY ts) AS from_contract, contract AS to_contract, open - lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS g FROM c) SELECT symbol, ts, from_contract, to_contract, round(g + 3.7e-10, 7) AS gap_points, round(g / 0.25 + 3.7e-10, 7) AS gap_ticks FROM d WHERE from_contract <> to_contract"),
     "derive_parents": w(BARS, "SELECT symbol, time_bucket(INTERVAL 2 HOUR, b.ts) AS ts, arg_min(open, b.ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, b.ts) AS close, sum(volume) AS volume, count(*) AS n_sub, count(*) = 4 AS complete FROM bars b GROUP BY symbol, time_bucket(INTERVAL 2 HOUR, b.ts)"),
     "parent_volume_match": w(BARS, ", q AS (SELECT symbol, time_bucket(INTERVAL 30 MINUTE, tts) AS ts, count(*) AS v, count(DISTINCT time_bucket(INTERVAL 15 MINUTE, tts)) AS n_lower FROM ticks GROUP BY ALL) SELECT b.symbol, b.ts, n_lower, CASE WHEN q.v IS NULL THEN 'lower_group_unavailable' WHEN q.v = b.volume THEN 'matched_one' ELSE 'no_primary_volume_match' END AS status FROM bars b LEFT JOIN q ON b.symbol = q.symbol AND b.ts = q.ts"),
     "current_opens": w(LEVELED, "SELECT symbol, ts, dOpen, wOpen, mOpen FROM leveled"),
@@ -116,12 +116,12 @@ ORACLES: dict[str, str] = {
     "asia_london_levels": w(BARS, """, f AS (SELECT symbol, session_date, max(high) FILTER (session = 'ETH' AND sod >= 72000) AS ah, min(low) FILTER (session = 'ETH' AND sod >= 72000) AS al, max(high) FILTER (session = 'ETH' AND sod >= 7200 AND sod < 18000) AS lh, min(low) FILTER (session = 'ETH' AND sod >= 7200 AND sod < 18000) AS ll FROM bars GROUP BY ALL)
       SELECT b.symbol, b.ts, CASE WHEN local_ts >= session_date THEN ah END AS AsiaHigh, CASE WHEN local_ts >= session_date THEN al END AS AsiaLow, CASE WHEN local_ts >= session_date::TIMESTAMP + INTERVAL 5 HOUR THEN lh END AS LondonHigh, CASE WHEN local_ts >= session_date::TIMESTAMP + INTERVAL 5 HOUR THEN ll END AS LondonLow FROM bars b JOIN f USING (symbol, session_date)"""),
     "opening_range": w(BARS, ", f AS (SELECT symbol, session_date, max(high) FILTER (sod >= 34200 AND sod < 36000) AS h, min(low) FILTER (sod >= 34200 AND sod < 36000) AS l FROM bars GROUP BY ALL) SELECT b.symbol, b.ts, CASE WHEN local_ts >= session_date::TIMESTAMP + INTERVAL 10 HOUR THEN h END AS OR_High, CASE WHEN local_ts >= session_date::TIMESTAMP + INTERVAL 10 HOUR THEN l END AS OR_Low FROM bars b JOIN f USING (symbol, session_date)"),
-    "sma": w(BARS, "SELECT symbol, ts, round(CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END, 7) AS SMA_20 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)"),
-    "ema": w(BARS.replace("ticks AS", "RECURSIVE ticks AS", 1), ", r AS (SELECT symbol, bar_index, ts, close AS e FROM bars WHERE bar_index = 0 UNION ALL SELECT b.symbol, b.bar_index, b.ts, r.e * (1 - 2.0::DOUBLE / 21) + b.close * (2.0::DOUBLE / 21) FROM r JOIN bars b ON b.symbol = r.symbol AND b.bar_index = r.bar_index + 1) SELECT symbol, ts, round(CASE WHEN bar_index >= 19 THEN e END, 7) AS EMA_20 FROM r"),
-    "htf_sma_asof": w(BARS, ", h AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, b.ts) AS hts, arg_max(close, b.ts) AS c FROM bars b GROUP BY ALL), s AS (SELECT symbol, hts + INTERVAL 1 HOUR AS known, CASE WHEN count(*) OVER w = 5 THEN avg(c) OVER w END AS v FROM h WINDOW w AS (PARTITION BY symbol ORDER BY hts ROWS 4 PRECEDING)) SELECT b.symbol, b.ts, round(s.v, 7) AS SMA_5_1h FROM bars b ASOF LEFT JOIN (SELECT * FROM s WHERE v IS NOT NULL) s ON b.symbol = s.symbol AND b.ts >= s.known"),
-    "rolling_vwap": w(BARS, f"SELECT symbol, ts, round(sum({TYP} * volume) OVER w / sum(volume) OVER w, 7) AS VWAP_rolling_4h FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL '14399.999999 seconds' PRECEDING AND CURRENT ROW)"),
-    "session_vwap": w(BARS, "SELECT symbol, ts, " + ", ".join(f"round(sum({TYP} * volume) OVER {n} / sum(volume) OVER {n}, 7) AS {c}" for n, c in (("d", "dVWAP"), ("w", "wVWAP"), ("m", "mVWAP"))) + f", round(CASE WHEN session = 'RTH' THEN sum({TYP} * volume) OVER r / sum(volume) OVER r END, 7) AS dVWAP_RTH FROM bars WINDOW d AS (PARTITION BY symbol, session_date ORDER BY ts ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY symbol, week_key ORDER BY ts ROWS UNBOUNDED PRECEDING), m AS (PARTITION BY symbol, month_key ORDER BY ts ROWS UNBOUNDED PRECEDING), r AS (PARTITION BY symbol, session_date, session ORDER BY ts ROWS UNBOUNDED PRECEDING)"),
-    "atr": w(BARS, ", t AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT symbol, ts, round(avg(tr) OVER (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING), 7) AS ATR_14 FROM t"),
+    "sma": w(BARS, "SELECT symbol, ts, round(CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END + 3.7e-10, 7) AS SMA_20 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)"),
+    "ema": w(BARS.replace("ticks AS", "RECURSIVE ticks AS", 1), ", r AS (SELECT symbol, bar_index, ts, close AS e FROM bars WHERE bar_index = 0 UNION ALL SELECT b.symbol, b.bar_index, b.ts, r.e * (1 - 2.0::DOUBLE / 21) + b.close * (2.0::DOUBLE / 21) FROM r JOIN bars b ON b.symbol = r.symbol AND b.bar_index = r.bar_index + 1) SELECT symbol, ts, round(CASE WHEN bar_index >= 19 THEN e END + 3.7e-10, 7) AS EMA_20 FROM r"),
+    "htf_sma_asof": w(BARS, ", h AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, b.ts) AS hts, arg_max(close, b.ts) AS c FROM bars b GROUP BY ALL), s AS (SELECT symbol, hts + INTERVAL 1 HOUR AS known, CASE WHEN count(*) OVER w = 5 THEN avg(c) OVER w END AS v FROM h WINDOW w AS (PARTITION BY symbol ORDER BY hts ROWS 4 PRECEDING)) SELECT b.symbol, b.ts, round(s.v + 3.7e-10, 7) AS SMA_5_1h FROM bars b ASOF LEFT JOIN (SELECT * FROM s WHERE v IS NOT NULL) s ON b.symbol = s.symbol AND b.ts >= s.known"),
+    "rolling_vwap": w(BARS, f"SELECT symbol, ts, round(sum({TYP} * volume) OVER w / sum(volume) OVER w + 3.7e-10, 7) AS VWAP_rolling_4h FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL '14399.999999 seconds' PRECEDING AND CURRENT ROW)"),
+    "session_vwap": w(BARS, "SELECT symbol, ts, " + ", ".join(f"round(sum({TYP} * volume) OVER {n} / sum(volume) OVER {n} + 3.7e-10, 7) AS {c}" for n, c in (("d", "dVWAP"), ("w", "wVWAP"), ("m", "mVWAP"))) + f", round(CASE WHEN session = 'RTH' THEN sum({TYP} * volume) OVER r / sum(volume) OVER r END + 3.7e-10, 7) AS dVWAP_RTH FROM bars WINDOW d AS (PARTITION BY symbol, session_date ORDER BY ts ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY symbol, week_key ORDER BY ts ROWS UNBOUNDED PRECEDING), m AS (PARTITION BY symbol, month_key ORDER BY ts ROWS UNBOUNDED PRECEDING), r AS (PARTITION BY symbol, session_date, session ORDER BY ts ROWS UNBOUNDED PRECEDING)"),
+    "atr": w(BARS, ", t AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT symbol, ts, round(avg(tr) OVER (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING) + 3.7e-10, 7) AS ATR_14 FROM t"),
     "value_area": w(BARS.replace("ticks AS", "RECURSIVE ticks AS", 1), f""", bins AS (SELECT symbol, session_date, round_even({TYP} / 25, 0)::BIGINT AS bin, sum(volume) AS v FROM bars GROUP BY ALL),
       k AS (SELECT symbol, session_date, list(bin ORDER BY bin) AS b, list(v ORDER BY bin) AS v, sum(v) AS total, arg_max(bin, (v, -bin)) AS poc FROM bins GROUP BY ALL),
       r AS (SELECT *, list_position(b, poc) AS lo, list_position(b, poc) AS hi, v[list_position(b, poc)] AS cum FROM k UNION ALL
@@ -152,36 +152,36 @@ ORACLES: dict[str, str] = {
     "entry_window_filter": w(ET, f"SELECT trade_id, symbol, (hour({LOCAL}) * 3600 + minute({LOCAL}) * 60 + second({LOCAL}))::INT AS sod FROM trades WHERE {SEGMENT} IN ('rth_open_30m', 'rth_morning')"),
     "direction_summary": w(ET, stats("direction", warn=None, bars=True)),
     "group_summary": w(ET + f", t AS (SELECT *, {SEGMENT} AS rth_segment FROM trades)", stats("symbol, rth_segment", source="t", bars=True)),
-    "pivot_heatmap": w(ET + f", t AS (SELECT *, {SEGMENT} AS rth_segment FROM trades)", "SELECT symbol, " + ", ".join(f"round(avg(r_multiple) FILTER (rth_segment = '{x}'), 7) AS {x}" for x in ("pre_rth", "rth_morning", "post_rth")) + " FROM t GROUP BY symbol"),
-    "equity_curve": w(ET, ", c AS (SELECT symbol, trade_id, exit_ts, sum(r_multiple) OVER (PARTITION BY symbol ORDER BY exit_ts, trade_id ROWS UNBOUNDED PRECEDING) AS c FROM trades) SELECT symbol, trade_id, round(c, 7) AS cum_r, round(greatest(max(c) OVER (PARTITION BY symbol ORDER BY exit_ts, trade_id ROWS UNBOUNDED PRECEDING), 0) - c, 7) AS drawdown_r FROM c"),
+    "pivot_heatmap": w(ET + f", t AS (SELECT *, {SEGMENT} AS rth_segment FROM trades)", "SELECT symbol, " + ", ".join(f"round(avg(r_multiple) FILTER (rth_segment = '{x}') + 3.7e-10, 7) AS {x}" for x in ("pre_rth", "rth_morning", "post_rth")) + " FROM t GROUP BY symbol"),
+    "equity_curve": w(ET, ", c AS (SELECT symbol, trade_id, exit_ts, sum(r_multiple) OVER (PARTITION BY symbol ORDER BY exit_ts, trade_id ROWS UNBOUNDED PRECEDING) AS c FROM trades) SELECT symbol, trade_id, round(c + 3.7e-10, 7) AS cum_r, round(greatest(max(c) OVER (PARTITION BY symbol ORDER BY exit_ts, trade_id ROWS UNBOUNDED PRECEDING), 0) - c + 3.7e-10, 7) AS drawdown_r FROM c"),
     "streaks": w(ET, ", i AS (SELECT symbol, sign(r_multiple) AS s, row_number() OVER (PARTITION BY symbol ORDER BY exit_ts, trade_id) - row_number() OVER (PARTITION BY symbol, sign(r_multiple) ORDER BY exit_ts, trade_id) AS g FROM trades), n AS (SELECT symbol, s, g, count(*) AS n FROM i GROUP BY ALL) SELECT symbol, coalesce(max(n) FILTER (s = 1), 0) AS max_consecutive_wins, coalesce(max(n) FILTER (s = -1), 0) AS max_consecutive_losses FROM n GROUP BY symbol"),
     "trade_count_diagnostics": w(ET, "SELECT symbol, level_names, count(*) AS trade_count, CASE WHEN count(*) < 30 THEN 'insufficient' WHEN count(*) < 100 THEN 'limited' ELSE 'reasonable' END AS status FROM trades GROUP BY symbol, level_names"),
-    "worst_losers": w(ET, "SELECT trade_id, round(r_multiple, 7) AS r_multiple FROM (SELECT trade_id, r_multiple FROM trades WHERE r_multiple < 0 ORDER BY r_multiple, trade_id LIMIT 20)"),
+    "worst_losers": w(ET, "SELECT trade_id, round(r_multiple + 3.7e-10, 7) AS r_multiple FROM (SELECT trade_id, r_multiple FROM trades WHERE r_multiple < 0 ORDER BY r_multiple, trade_id LIMIT 20)"),
     "combo_attribution": w(ET + ", t AS (SELECT *, array_to_string(list_sort(string_split(level_names, '|')), '|') AS combo FROM trades WHERE level_names <> '')", stats("combo, direction", ", arg_min(level_names, (exit_ts, trade_id)) AS example", source="t")),
     "level_membership": w(ET + ", t AS (SELECT *, unnest(string_split(level_names, '|')) AS level FROM trades WHERE level_names <> '')", stats("level", source="t")),
     "level_count_buckets": w(ET + ", t AS (SELECT *, CASE WHEN level_names = '' THEN '(unknown)' ELSE len(string_split(level_names, '|'))::VARCHAR END AS bucket FROM trades)", stats("bucket", source="t")),
     "level_pairs": w(ET + ", u AS (SELECT *, unnest(string_split(level_names, '|')) AS a FROM trades WHERE level_names <> ''), t AS (SELECT x.*, x.a || '|' || y.a AS pair FROM u x JOIN u y ON x.trade_id = y.trade_id AND x.a < y.a)", stats("pair", source="t")),
     "anchor_pairs": w(ET + ", u AS (SELECT *, unnest(string_split(level_names, '|')) AS a FROM trades WHERE list_contains(string_split(level_names, '|'), 'dOpen')), t AS (SELECT *, 'dOpen|' || a AS pair FROM u WHERE a <> 'dOpen')", stats("pair", source="t")),
-    "excursion_distribution": w(ET + "," + EXC, "SELECT symbol, direction, count(*) AS trade_count, " + ", ".join(f"round(avg({c}), 7) AS mean_{c}, " + ", ".join(f"round(quantile_cont({c}, {q}), 7) AS {n}_{c}" for n, q in (("median", 0.5), ("p25", 0.25), ("p75", 0.75), ("p95", 0.95))) for c in ("mae_r", "mfe_r", "giveback_r")) + " FROM x GROUP BY symbol, direction"),
-    "excursion_quadrants": w(ET + "," + EXC, "SELECT CASE WHEN mfe_r >= 1 THEN 'high_mfe_' ELSE 'low_mfe_' END || CASE WHEN mae_r >= 0.5 THEN 'high_mae' ELSE 'low_mae' END AS quadrant, count(*) AS trade_count, round(avg(r_multiple), 7) AS avg_r FROM x GROUP BY 1"),
-    "sl_tp_probability_grid": w(ET + "," + EXC, "SELECT s::DOUBLE AS stop_r, t::DOUBLE AS target_r, count(*) AS evaluated, count(*) FILTER (mae_r >= s AND mfe_r < t) AS stop_only, count(*) FILTER (mae_r < s AND mfe_r >= t) AS target_only, count(*) FILTER (mae_r >= s AND mfe_r >= t) AS ambiguous, count(*) FILTER (mae_r < s AND mfe_r < t) AS unresolved, round(count(*) FILTER (mae_r < s AND mfe_r >= t) / count(*), 7) AS target_probability FROM x, (VALUES (0.5), (1.0), (1.5)) a(s), (VALUES (1.0), (2.0), (3.0)) b(t) GROUP BY s, t"),
-    "edge_ratio": w(ET + "," + EXC, "SELECT CASE WHEN bars_held <= 1 THEN '(0,1]' WHEN bars_held <= 3 THEN '(1,3]' WHEN bars_held <= 5 THEN '(3,5]' WHEN bars_held <= 10 THEN '(5,10]' WHEN bars_held <= 20 THEN '(10,20]' ELSE '>20' END AS bucket, count(*) AS trade_count, round(avg(edge_ratio), 7) AS avg_edge_ratio, round(avg(r_multiple), 7) AS avg_r FROM x GROUP BY 1"),
-    "grid_search": w(simulated(CELLS) + ", s AS (" + SUMMARY.format(k="cell_id, stop_ticks, target_ticks", t="trades") + ")", "SELECT cell_id, stop_ticks::DOUBLE AS stop_ticks, target_ticks::DOUBLE AS target_ticks, trade_count, round(win_rate, 7) AS win_rate, round(expectancy_r, 7) AS expectancy_r, round(total_r, 7) AS total_r, round(profit_factor, 7) AS profit_factor FROM s"),
-    "best_grid_cell": w(simulated(CELLS) + ", s AS (" + SUMMARY.format(k="cell_id, stop_ticks, target_ticks", t="trades") + ")", "SELECT cell_id, stop_ticks::DOUBLE AS stop_ticks, target_ticks::DOUBLE AS target_ticks, trade_count, round(expectancy_r, 7) AS expectancy_r FROM s ORDER BY s.expectancy_r DESC, s.stop_ticks, s.target_ticks LIMIT 1"),
-    "sensitivity_oat": w(simulated("(0, 400.0, 600.0), (1, 300.0, 600.0), (2, 350.0, 600.0), (3, 450.0, 600.0), (4, 500.0, 600.0), (5, 400.0, 450.0), (6, 400.0, 525.0), (7, 400.0, 675.0), (8, 400.0, 750.0)"), "SELECT cell_id, stop_ticks::DOUBLE AS stop_ticks, target_ticks::DOUBLE AS target_ticks, count(*) AS trade_count, round(avg(r_multiple), 7) AS expectancy_r FROM trades GROUP BY ALL"),
+    "excursion_distribution": w(ET + "," + EXC, "SELECT symbol, direction, count(*) AS trade_count, " + ", ".join(f"round(avg({c}) + 3.7e-10, 7) AS mean_{c}, " + ", ".join(f"round(quantile_cont({c}, {q}) + 3.7e-10, 7) AS {n}_{c}" for n, q in (("median", 0.5), ("p25", 0.25), ("p75", 0.75), ("p95", 0.95))) for c in ("mae_r", "mfe_r", "giveback_r")) + " FROM x GROUP BY symbol, direction"),
+    "excursion_quadrants": w(ET + "," + EXC, "SELECT CASE WHEN mfe_r >= 1 THEN 'high_mfe_' ELSE 'low_mfe_' END || CASE WHEN mae_r >= 0.5 THEN 'high_mae' ELSE 'low_mae' END AS quadrant, count(*) AS trade_count, round(avg(r_multiple) + 3.7e-10, 7) AS avg_r FROM x GROUP BY 1"),
+    "sl_tp_probability_grid": w(ET + "," + EXC, "SELECT s::DOUBLE AS stop_r, t::DOUBLE AS target_r, count(*) AS evaluated, count(*) FILTER (mae_r >= s AND mfe_r < t) AS stop_only, count(*) FILTER (mae_r < s AND mfe_r >= t) AS target_only, count(*) FILTER (mae_r >= s AND mfe_r >= t) AS ambiguous, count(*) FILTER (mae_r < s AND mfe_r < t) AS unresolved, round(count(*) FILTER (mae_r < s AND mfe_r >= t) / count(*) + 3.7e-10, 7) AS target_probability FROM x, (VALUES (0.5), (1.0), (1.5)) a(s), (VALUES (1.0), (2.0), (3.0)) b(t) GROUP BY s, t"),
+    "edge_ratio": w(ET + "," + EXC, "SELECT CASE WHEN bars_held <= 1 THEN '(0,1]' WHEN bars_held <= 3 THEN '(1,3]' WHEN bars_held <= 5 THEN '(3,5]' WHEN bars_held <= 10 THEN '(5,10]' WHEN bars_held <= 20 THEN '(10,20]' ELSE '>20' END AS bucket, count(*) AS trade_count, round(avg(edge_ratio) + 3.7e-10, 7) AS avg_edge_ratio, round(avg(r_multiple) + 3.7e-10, 7) AS avg_r FROM x GROUP BY 1"),
+    "grid_search": w(simulated(CELLS) + ", s AS (" + SUMMARY.format(k="cell_id, stop_ticks, target_ticks", t="trades") + ")", "SELECT cell_id, stop_ticks::DOUBLE AS stop_ticks, target_ticks::DOUBLE AS target_ticks, trade_count, round(win_rate + 3.7e-10, 7) AS win_rate, round(expectancy_r + 3.7e-10, 7) AS expectancy_r, round(total_r + 3.7e-10, 7) AS total_r, round(profit_factor + 3.7e-10, 7) AS profit_factor FROM s"),
+    "best_grid_cell": w(simulated(CELLS) + ", s AS (" + SUMMARY.format(k="cell_id, stop_ticks, target_ticks", t="trades") + ")", "SELECT cell_id, stop_ticks::DOUBLE AS stop_ticks, target_ticks::DOUBLE AS target_ticks, trade_count, round(expectancy_r + 3.7e-10, 7) AS expectancy_r FROM s ORDER BY s.expectancy_r DESC, s.stop_ticks, s.target_ticks LIMIT 1"),
+    "sensitivity_oat": w(simulated("(0, 400.0, 600.0), (1, 300.0, 600.0), (2, 350.0, 600.0), (3, 450.0, 600.0), (4, 500.0, 600.0), (5, 400.0, 450.0), (6, 400.0, 525.0), (7, 400.0, 675.0), (8, 400.0, 750.0)"), "SELECT cell_id, stop_ticks::DOUBLE AS stop_ticks, target_ticks::DOUBLE AS target_ticks, count(*) AS trade_count, round(avg(r_multiple) + 3.7e-10, 7) AS expectancy_r FROM trades GROUP BY ALL"),
     "walk_forward": w(simulated(CELLS) + """, folds AS (SELECT i AS fold_id, 200 * i AS a, 200 * i + 400 AS b, 200 * i + 600 AS d FROM range(3) t(i)),
       tr AS (SELECT fold_id, cell_id, stop_ticks, target_ticks, count(*) AS n, avg(r_multiple) AS m FROM trades, folds WHERE entry_bar_index >= a AND exit_bar_index < b GROUP BY ALL),
       best AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY fold_id ORDER BY m DESC, stop_ticks, target_ticks) = 1),
-      te AS (SELECT fold_id, cell_id, count(*) AS n, avg(r_multiple) AS m FROM trades, folds WHERE entry_bar_index >= b AND exit_bar_index < d GROUP BY ALL)""", "SELECT b.fold_id::INT AS fold_id, b.cell_id, b.n AS train_trades, round(b.m, 7) AS train_metric, te.n AS test_trades, round(te.m, 7) AS test_metric FROM best b LEFT JOIN te ON b.fold_id = te.fold_id AND b.cell_id = te.cell_id"),
+      te AS (SELECT fold_id, cell_id, count(*) AS n, avg(r_multiple) AS m FROM trades, folds WHERE entry_bar_index >= b AND exit_bar_index < d GROUP BY ALL)""", "SELECT b.fold_id::INT AS fold_id, b.cell_id, b.n AS train_trades, round(b.m + 3.7e-10, 7) AS train_metric, te.n AS test_trades, round(te.m + 3.7e-10, 7) AS test_metric FROM best b LEFT JOIN te ON b.fold_id = te.fold_id AND b.cell_id = te.cell_id"),
     "wfa_matrix": w(simulated(CELLS) + """, folds AS (SELECT 0 AS matrix_id, i AS fold_id, 150 * i AS a, 150 * i + 300 AS b, 150 * i + 450 AS d FROM range(4) t(i) UNION ALL SELECT 1, i, 300 * i, 300 * i + 300, 300 * i + 600 FROM range(2) t(i) UNION ALL SELECT 2, i, 150 * i, 150 * i + 600, 150 * i + 750 FROM range(2) t(i)),
       tr AS (SELECT matrix_id, fold_id, cell_id, stop_ticks, target_ticks, avg(r_multiple) AS m FROM trades, folds WHERE entry_bar_index >= a AND exit_bar_index < b GROUP BY ALL),
       best AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY matrix_id, fold_id ORDER BY m DESC, stop_ticks, target_ticks) = 1),
-      te AS (SELECT matrix_id, fold_id, cell_id, sum(r_multiple) AS s, avg(r_multiple) AS m FROM trades, folds WHERE entry_bar_index >= b AND exit_bar_index < d GROUP BY ALL)""", "SELECT b.matrix_id, count(*) AS folds, round(avg(te.m), 7) AS mean_test, round(sum(te.s), 7) AS oos_total_r FROM best b LEFT JOIN te ON b.matrix_id = te.matrix_id AND b.fold_id = te.fold_id AND b.cell_id = te.cell_id GROUP BY b.matrix_id"),
-    "permutation_test": w(NUM, f", p AS (SELECT symbol, day, sim, avg(CASE WHEN (({DRAW('sim', 'pos', 2)}) % 1009) % 2 = 0 THEN r_multiple ELSE -r_multiple END) AS m, avg(r_multiple) AS o FROM num, range(50) s(sim) GROUP BY ALL) SELECT symbol, day, round(max(o), 7) AS observed_mean, round(avg((round(m, 7) >= round(o, 7))::INT::DOUBLE), 7) AS p_value FROM p GROUP BY symbol, day"),
-    "mc_block": w(NUM, f", q AS (SELECT symbol, day, sim, pos, ((({DRAW('sim', 'floor(pos / 4)', 3)}) % n) + pos % 4) % n AS pick FROM num, range(20) s(sim)), p AS (SELECT q.symbol, q.day, q.sim, q.pos, num.r_multiple AS r FROM q JOIN num ON q.symbol = num.symbol AND q.day = num.day AND q.pick = num.pos), c AS (SELECT *, sum(r) OVER (PARTITION BY symbol, day, sim ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum FROM p), e AS (SELECT *, greatest(max(cum) OVER (PARTITION BY symbol, day, sim ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) - cum AS dd FROM c) SELECT symbol, day, sim::INT AS sim, round(sum(r), 7) AS final_r, round(max(dd), 7) AS max_drawdown_r FROM e GROUP BY symbol, day, sim"),
+      te AS (SELECT matrix_id, fold_id, cell_id, sum(r_multiple) AS s, avg(r_multiple) AS m FROM trades, folds WHERE entry_bar_index >= b AND exit_bar_index < d GROUP BY ALL)""", "SELECT b.matrix_id, count(*) AS folds, round(avg(te.m) + 3.7e-10, 7) AS mean_test, round(sum(te.s) + 3.7e-10, 7) AS oos_total_r FROM best b LEFT JOIN te ON b.matrix_id = te.matrix_id AND b.fold_id = te.fold_id AND b.cell_id = te.cell_id GROUP BY b.matrix_id"),
+    "permutation_test": w(NUM, f", p AS (SELECT symbol, day, sim, avg(CASE WHEN (({DRAW('sim', 'pos', 2)}) % 1009) % 2 = 0 THEN r_multiple ELSE -r_multiple END) AS m, avg(r_multiple) AS o FROM num, range(50) s(sim) GROUP BY ALL) SELECT symbol, day, round(max(o) + 3.7e-10, 7) AS observed_mean, round(avg((round(m + 3.7e-10, 7) >= round(o + 3.7e-10, 7))::INT::DOUBLE) + 3.7e-10, 7) AS p_value FROM p GROUP BY symbol, day"),
+    "mc_block": w(NUM, f", q AS (SELECT symbol, day, sim, pos, ((({DRAW('sim', 'floor(pos / 4)', 3)}) % n) + pos % 4) % n AS pick FROM num, range(20) s(sim)), p AS (SELECT q.symbol, q.day, q.sim, q.pos, num.r_multiple AS r FROM q JOIN num ON q.symbol = num.symbol AND q.day = num.day AND q.pick = num.pos), c AS (SELECT *, sum(r) OVER (PARTITION BY symbol, day, sim ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum FROM p), e AS (SELECT *, greatest(max(cum) OVER (PARTITION BY symbol, day, sim ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) - cum AS dd FROM c) SELECT symbol, day, sim::INT AS sim, round(sum(r) + 3.7e-10, 7) AS final_r, round(max(dd) + 3.7e-10, 7) AS max_drawdown_r FROM e GROUP BY symbol, day, sim"),
     "trade_summary": w(ET, """, c AS (SELECT *, sum(r_multiple) OVER (PARTITION BY symbol ORDER BY exit_ts, trade_id ROWS UNBOUNDED PRECEDING) AS cum FROM trades), d AS (SELECT *, greatest(max(cum) OVER (PARTITION BY symbol ORDER BY exit_ts, trade_id ROWS UNBOUNDED PRECEDING), 0) - cum AS dd FROM c),
       s AS (SELECT symbol, count(*) AS trade_count, avg(r_multiple) AS avg_r, median(r_multiple) AS median_r, sum(r_multiple) AS total_r, stddev_samp(r_multiple) AS std_r, skewness(r_multiple) AS skew_r, kurtosis(r_multiple) AS kurtosis_r, max(dd) AS max_drawdown_r, sqrt(avg(dd * dd)) AS ulcer_index_r FROM d GROUP BY symbol)
-      SELECT symbol, trade_count, round(avg_r, 7) AS avg_r, round(median_r, 7) AS median_r, round(total_r, 7) AS total_r, round(std_r, 7) AS std_r, round(skew_r, 7) AS skew_r, round(kurtosis_r, 7) AS kurtosis_r, round(max_drawdown_r, 7) AS max_drawdown_r, round(ulcer_index_r, 7) AS ulcer_index_r, round(avg_r / std_r, 7) AS sharpe_r FROM s"""),
+      SELECT symbol, trade_count, round(avg_r + 3.7e-10, 7) AS avg_r, round(median_r + 3.7e-10, 7) AS median_r, round(total_r + 3.7e-10, 7) AS total_r, round(std_r + 3.7e-10, 7) AS std_r, round(skew_r + 3.7e-10, 7) AS skew_r, round(kurtosis_r + 3.7e-10, 7) AS kurtosis_r, round(max_drawdown_r + 3.7e-10, 7) AS max_drawdown_r, round(ulcer_index_r + 3.7e-10, 7) AS ulcer_index_r, round(avg_r / std_r + 3.7e-10, 7) AS sharpe_r FROM s"""),
     "otf_state": w(BARS, """, a AS (SELECT symbol, session_date, time_bucket(INTERVAL 1 HOUR, b.ts) AS ts, max(high) AS high, min(low) AS low, count(*) AS n FROM bars b GROUP BY symbol, session_date, time_bucket(INTERVAL 1 HOUR, b.ts)),
       f AS (SELECT *, coalesce(low > lag(low) OVER w, false) AS up, coalesce(high < lag(high) OVER w, false) AS down, row_number() OVER w AS i FROM a WHERE n = 2 WINDOW w AS (PARTITION BY symbol, session_date ORDER BY ts)),
       s AS (SELECT symbol, ts, i, i - coalesce(max(CASE WHEN NOT up THEN i END) OVER w, 0) AS up_run, i - coalesce(max(CASE WHEN NOT down THEN i END) OVER w, 0) AS down_run FROM f WINDOW w AS (PARTITION BY symbol, session_date ORDER BY ts ROWS UNBOUNDED PRECEDING))
@@ -191,15 +191,15 @@ ORACLES: dict[str, str] = {
       q AS (SELECT z.*, max(formed) OVER (PARTITION BY symbol, session_date) AS lastf FROM z), seeds AS (SELECT q.symbol, nd AS session_date, -row_number() OVER (PARTITION BY q.symbol, q.session_date ORDER BY formed DESC) AS formed, v FROM q JOIN s USING (symbol, session_date) WHERE lastf + 1 <= formed + 3 AND nd IS NOT NULL),
       pool AS (SELECT symbol, session_date, formed, v FROM z UNION ALL SELECT * FROM seeds), m AS (SELECT DISTINCT r.symbol, r.session_date, r.br, formed, v FROM r JOIN pool p ON r.symbol = p.symbol AND r.session_date = p.session_date AND p.formed < r.br AND r.br <= p.formed + 3),
       h AS (SELECT symbol, session_date, br, list(v ORDER BY formed DESC) AS l FROM m GROUP BY ALL)
-      SELECT r.symbol, r.ts, round(l[1], 7) AS "prev30mVWAP", round(l[2], 7) AS "prev30mVWAP_2", round(l[3], 7) AS "prev30mVWAP_3" FROM r LEFT JOIN h USING (symbol, session_date, br)"""),
-    "bootstrap_ci": w(NUM, f", d AS (SELECT symbol, day, sim, (({DRAW('sim', 'pos', 1)}) % n) AS pick FROM num, range(50) s(sim)), m AS (SELECT d.symbol, d.day, d.sim, avg(r_multiple) AS m FROM d JOIN num ON d.symbol = num.symbol AND d.day = num.day AND d.pick = num.pos GROUP BY ALL) SELECT symbol, day, round(quantile_cont(m, 0.025), 7) AS ci_low, round(quantile_cont(m, 0.975), 7) AS ci_high, round(avg(m), 7) AS mean_of_means, round(avg((m > 0)::INT::DOUBLE), 7) AS prob_positive FROM m GROUP BY symbol, day"),
-    "mc_skip": w(NUM, f", p AS (SELECT symbol, day, sim, pos, CASE WHEN {DRAW('sim', 'pos', 3)} >= 214748364 THEN r_multiple ELSE 0 END AS r FROM num, range(20) s(sim)), c AS (SELECT *, sum(r) OVER (PARTITION BY symbol, day, sim ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum FROM p), e AS (SELECT *, greatest(max(cum) OVER (PARTITION BY symbol, day, sim ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) - cum AS dd FROM c) SELECT symbol, day, sim::INT AS sim, round(sum(r), 7) AS final_r, round(max(dd), 7) AS max_drawdown_r FROM e GROUP BY symbol, day, sim"),
-    "mc_reshuffle": w(NUM, f", p AS (SELECT symbol, day, sim, pos, {DRAW('sim', 'pos', 3)} AS o, r_multiple AS r FROM num, range(20) s(sim)), c AS (SELECT *, sum(r) OVER (PARTITION BY symbol, day, sim ORDER BY o, pos ROWS UNBOUNDED PRECEDING) AS cum FROM p), e AS (SELECT *, greatest(max(cum) OVER (PARTITION BY symbol, day, sim ORDER BY o, pos ROWS UNBOUNDED PRECEDING), 0) - cum AS dd FROM c) SELECT symbol, day, sim::INT AS sim, round(sum(r), 7) AS final_r, round(max(dd), 7) AS max_drawdown_r FROM e GROUP BY symbol, day, sim"),
-    "noise_bars": w(BARS, ", n AS (SELECT symbol, bar_index, rep, " + ", ".join(f"{c} + (({DRAW('rep', 'bar_index', 5 + i)}) / 2147483647::DOUBLE * 2 - 1) * ((high - low) * 0.1::DOUBLE) AS n{c}" for i, c in enumerate(("open", "high", "low", "close"))) + " FROM bars, range(3) r(rep)) SELECT symbol, bar_index, rep::INT AS replica_id, round(nopen, 7) AS open, round(greatest(nopen, nhigh, nlow, nclose), 7) AS high, round(least(nopen, nhigh, nlow, nclose), 7) AS low, round(nclose, 7) AS close FROM n"),
-    "sharpe_psr": w(ET, ", m AS (SELECT symbol, count(*) AS n, avg(r_multiple) AS mu, stddev_samp(r_multiple) AS sd FROM trades GROUP BY symbol), g AS (SELECT t.symbol, any_value(n) AS n, any_value(mu / sd) AS sharpe, avg(pow((r_multiple - mu) / sd, 3)) AS g1, avg(pow((r_multiple - mu) / sd, 4)) AS g2 FROM trades t JOIN m USING (symbol) GROUP BY t.symbol) SELECT symbol, n, round(sharpe, 7) AS sharpe, round(sharpe * sqrt(n - 1) / sqrt(1 - g1 * sharpe + (g2 - 1) / 4 * sharpe * sharpe), 7) AS z FROM g"),
-    "portfolio_correlation": w(ET, ", h AS (SELECT date_trunc('hour', exit_ts) AS x, " + ", ".join(f"coalesce(sum(r_multiple) FILTER (symbol = '{s}'), 0) AS {s}" for s in ("click", "error", "purchase", "signup", "view")) + " FROM trades GROUP BY 1) " + " UNION ALL ".join(f"SELECT '{a}' AS setup_a, '{b}' AS setup_b, round(corr({a}, {b}), 7) AS correlation FROM h" for i, a in enumerate(("click", "error", "purchase", "signup", "view")) for b in ("click", "error", "purchase", "signup", "view")[i + 1 :])),
-    "study_group_summary": w(ET, ", r AS (SELECT symbol AS core_level, direction, CASE WHEN bars_held > 12 THEN 'otf_5m' ELSE 'no_otf' END AS otf, count(*) AS n, avg(r_multiple) AS a FROM trades GROUP BY ALL) SELECT core_level, count(*) AS cell_count, round(avg(a), 7) AS mean_metric, round(quantile_cont(a, 0.5), 7) AS median_metric, round(avg(n), 7) AS mean_trade_count FROM r WHERE n >= 10 GROUP BY core_level"),
-    "otf_delta": w(ET, ", r AS (SELECT symbol AS core_level, direction, CASE WHEN bars_held > 12 THEN 'otf_5m' ELSE 'no_otf' END AS otf, count(*) AS n, avg(r_multiple) AS a FROM trades GROUP BY ALL) SELECT x.core_level, x.direction, x.otf AS variant, round(x.a - y.a, 7) AS delta, least(x.n, y.n) >= 10 AS meets_min_trades FROM r x JOIN r y ON x.core_level = y.core_level AND x.direction = y.direction AND x.otf <> 'no_otf' AND y.otf = 'no_otf'"),
+      SELECT r.symbol, r.ts, round(l[1] + 3.7e-10, 7) AS "prev30mVWAP", round(l[2] + 3.7e-10, 7) AS "prev30mVWAP_2", round(l[3] + 3.7e-10, 7) AS "prev30mVWAP_3" FROM r LEFT JOIN h USING (symbol, session_date, br)"""),
+    "bootstrap_ci": w(NUM, f", d AS (SELECT symbol, day, sim, (({DRAW('sim', 'pos', 1)}) % n) AS pick FROM num, range(50) s(sim)), m AS (SELECT d.symbol, d.day, d.sim, avg(r_multiple) AS m FROM d JOIN num ON d.symbol = num.symbol AND d.day = num.day AND d.pick = num.pos GROUP BY ALL) SELECT symbol, day, round(quantile_cont(m, 0.025) + 3.7e-10, 7) AS ci_low, round(quantile_cont(m, 0.975) + 3.7e-10, 7) AS ci_high, round(avg(m) + 3.7e-10, 7) AS mean_of_means, round(avg((m > 0)::INT::DOUBLE) + 3.7e-10, 7) AS prob_positive FROM m GROUP BY symbol, day"),
+    "mc_skip": w(NUM, f", p AS (SELECT symbol, day, sim, pos, CASE WHEN {DRAW('sim', 'pos', 3)} >= 214748364 THEN r_multiple ELSE 0 END AS r FROM num, range(20) s(sim)), c AS (SELECT *, sum(r) OVER (PARTITION BY symbol, day, sim ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum FROM p), e AS (SELECT *, greatest(max(cum) OVER (PARTITION BY symbol, day, sim ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) - cum AS dd FROM c) SELECT symbol, day, sim::INT AS sim, round(sum(r) + 3.7e-10, 7) AS final_r, round(max(dd) + 3.7e-10, 7) AS max_drawdown_r FROM e GROUP BY symbol, day, sim"),
+    "mc_reshuffle": w(NUM, f", p AS (SELECT symbol, day, sim, pos, {DRAW('sim', 'pos', 3)} AS o, r_multiple AS r FROM num, range(20) s(sim)), c AS (SELECT *, sum(r) OVER (PARTITION BY symbol, day, sim ORDER BY o, pos ROWS UNBOUNDED PRECEDING) AS cum FROM p), e AS (SELECT *, greatest(max(cum) OVER (PARTITION BY symbol, day, sim ORDER BY o, pos ROWS UNBOUNDED PRECEDING), 0) - cum AS dd FROM c) SELECT symbol, day, sim::INT AS sim, round(sum(r) + 3.7e-10, 7) AS final_r, round(max(dd) + 3.7e-10, 7) AS max_drawdown_r FROM e GROUP BY symbol, day, sim"),
+    "noise_bars": w(BARS, ", n AS (SELECT symbol, bar_index, rep, " + ", ".join(f"{c} + (({DRAW('rep', 'bar_index', 5 + i)}) / 2147483647::DOUBLE * 2 - 1) * ((high - low) * 0.1::DOUBLE) AS n{c}" for i, c in enumerate(("open", "high", "low", "close"))) + " FROM bars, range(3) r(rep)) SELECT symbol, bar_index, rep::INT AS replica_id, round(nopen + 3.7e-10, 7) AS open, round(greatest(nopen, nhigh, nlow, nclose) + 3.7e-10, 7) AS high, round(least(nopen, nhigh, nlow, nclose) + 3.7e-10, 7) AS low, round(nclose + 3.7e-10, 7) AS close FROM n"),
+    "sharpe_psr": w(ET, ", m AS (SELECT symbol, count(*) AS n, avg(r_multiple) AS mu, stddev_samp(r_multiple) AS sd FROM trades GROUP BY symbol), g AS (SELECT t.symbol, any_value(n) AS n, any_value(mu / sd) AS sharpe, avg(pow((r_multiple - mu) / sd, 3)) AS g1, avg(pow((r_multiple - mu) / sd, 4)) AS g2 FROM trades t JOIN m USING (symbol) GROUP BY t.symbol) SELECT symbol, n, round(sharpe + 3.7e-10, 7) AS sharpe, round(sharpe * sqrt(n - 1) / sqrt(1 - g1 * sharpe + (g2 - 1) / 4 * sharpe * sharpe) + 3.7e-10, 7) AS z FROM g"),
+    "portfolio_correlation": w(ET, ", h AS (SELECT date_trunc('hour', exit_ts) AS x, " + ", ".join(f"coalesce(sum(r_multiple) FILTER (symbol = '{s}'), 0) AS {s}" for s in ("click", "error", "purchase", "signup", "view")) + " FROM trades GROUP BY 1) " + " UNION ALL ".join(f"SELECT '{a}' AS setup_a, '{b}' AS setup_b, round(corr({a}, {b}) + 3.7e-10, 7) AS correlation FROM h" for i, a in enumerate(("click", "error", "purchase", "signup", "view")) for b in ("click", "error", "purchase", "signup", "view")[i + 1 :])),
+    "study_group_summary": w(ET, ", r AS (SELECT symbol AS core_level, direction, CASE WHEN bars_held > 12 THEN 'otf_5m' ELSE 'no_otf' END AS otf, count(*) AS n, avg(r_multiple) AS a FROM trades GROUP BY ALL) SELECT core_level, count(*) AS cell_count, round(avg(a) + 3.7e-10, 7) AS mean_metric, round(quantile_cont(a, 0.5) + 3.7e-10, 7) AS median_metric, round(avg(n) + 3.7e-10, 7) AS mean_trade_count FROM r WHERE n >= 10 GROUP BY core_level"),
+    "otf_delta": w(ET, ", r AS (SELECT symbol AS core_level, direction, CASE WHEN bars_held > 12 THEN 'otf_5m' ELSE 'no_otf' END AS otf, count(*) AS n, avg(r_multiple) AS a FROM trades GROUP BY ALL) SELECT x.core_level, x.direction, x.otf AS variant, round(x.a - y.a + 3.7e-10, 7) AS delta, least(x.n, y.n) >= 10 AS meets_min_trades FROM r x JOIN r y ON x.core_level = y.core_level AND x.direction = y.direction AND x.otf <> 'no_otf' AND y.otf = 'no_otf'"),
     "study_ranking": w(ET, ", r AS (SELECT symbol || '_' || direction || '_' || CASE WHEN bars_held > 12 THEN 'otf_5m' ELSE 'no_otf' END AS run_name, count(*) AS trade_count, avg(r_multiple) AS a FROM trades GROUP BY 1), s AS (SELECT *, CASE WHEN trade_count < 50 THEN 'low_n' ELSE 'ranked' END AS status FROM r) SELECT run_name, status, CASE WHEN status = 'ranked' THEN row_number() OVER (PARTITION BY status ORDER BY a DESC, run_name) END::INT AS rank, trade_count FROM s"),
 }
 
