@@ -60,8 +60,9 @@ def event_trades(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def break_signals(b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bars with pdHigh, and signals at breaks of it in both directions."""
-    levels = L.prior_period(b, "d")
+    """Bars with pdHigh, persisted as every step of a simulation reads them, and
+    signals at breaks of it in both directions."""
+    levels = L.prior_period(b, "d").persist()
     return levels, Z.signals(levels, Z.anchor_zones(levels, "pdHigh", [], least=0), "break", "both")
 
 
