@@ -17,6 +17,7 @@ from tapewright.operators import levels as L
 from tapewright.operators import simulate as S
 from tapewright.operators import zones as Z
 from tapewright.plans import attribution as A
+from tapewright.plans import diagnostics as D
 from tapewright.plans import metrics as M
 from tapewright.plans import portfolio as P
 from tapewright.plans import research as R
@@ -490,7 +491,7 @@ CELLS = R.grid_cells([200, 400], [300, 600, 900])
 
 
 def _cell_trades(spark, sf):
-    return _simulated(spark, sf, cells=CELLS).withColumns({"trade_id": F.xxhash64("symbol", "signal_id")})
+    return _simulated(spark, sf, cells=CELLS).withColumn("trade_id", F.xxhash64("symbol", "signal_id")).persist()
 
 
 @query
@@ -626,3 +627,55 @@ def study_group_summary(spark, sf):
 def otf_delta(spark, sf):
     s = ST.paired_delta(_runs(spark, sf), "otf", "no_otf", ["core_level", "direction"], "avg_r", 10)
     return only(s, *s.columns, digits=7)
+
+
+# --- diagnostics
+
+
+@query
+def grid_overfit(spark, sf):
+    s = D.grid_overfit(M.trade_summary(_cell_trades(spark, sf), ["cell_id", "stop_ticks", "target_ticks"]))
+    return only(s, *s.columns, digits=7)
+
+
+@query
+def recent_bars(spark, sf):
+    return only(D.recent(bars(spark, sf), 25), "symbol", "ts", "bar_index")
+
+
+@query
+def sub_bar_faults(spark, sf):
+    sub = B.bars_from_ticks(ticks(spark, sf), 900)
+    return only(D.sub_bar_faults(bars(spark, sf), sub, HALF_HOUR, 900), "symbol", "ts", "fault")
+
+
+@query
+def trades_at_level(spark, sf):
+    return only(D.trades_at_level(event_trades(spark, sf), "VWAP"), "trade_id", "level_names")
+
+
+@query
+def random_entries(spark, sf):
+    b = bars(spark, sf)
+    _, s = break_signals(b)
+    return only(D.random_entries(b, s, 5), "symbol", "replica_id", "bar_index", "direction")
+
+
+@query
+def otf_validation_matrix(spark, sf):
+    t = event_trades(spark, sf).withColumn("config", F.explode(F.array(F.lit("no_otf"), F.when(F.col("bars_held") > 12, "otf_5m")))).where("config is not null")
+    s = D.otf_matrix(t, 500)
+    return only(s, *s.columns, digits=7)
+
+
+@query
+def trade_windows(spark, sf):
+    t = _simulated(spark, sf).withColumn("trade_id", F.col("signal_id"))
+    return only(D.around_trades(bars(spark, sf), t, 3, 3), "symbol", "trade_id", "bar_index")
+
+
+@query
+def trigger_confirm_3bar(spark, sf):
+    b = _leveled(spark, sf)
+    levels = b.where("pdEQ is not null").select("symbol", "bar_index", F.col("pdEQ").alias("level_price"))
+    return D.confirm_three_bars(b, levels)

@@ -208,3 +208,16 @@ for _name, _long, _short in (
     ("break", "prev_close <= hi AND close > hi", "prev_close >= lo AND close < lo"), ("reclaim", "low < lo AND close > hi", "high > hi AND close < lo"),
 ):
     ORACLES[f"trigger_{_name}"] = w(LEVELED, f", z AS (SELECT *, least(pdEQ, pdOpen) AS lo, greatest(pdEQ, pdOpen) AS hi FROM leveled WHERE abs(pdOpen - pdEQ) / 0.25 <= 400 + 1e-9), s AS (SELECT symbol, bar_index, 'long' AS direction, lo, hi FROM z WHERE {_long} UNION ALL SELECT symbol, bar_index, 'short', lo, hi FROM z WHERE {_short}) SELECT symbol, bar_index, direction, row_number() OVER (PARTITION BY symbol ORDER BY bar_index, direction)::INT AS signal_id, lo AS zone_low, hi AS zone_high FROM s")
+
+ORACLES |= {
+    "recent_bars": w(BARS, "SELECT symbol, ts, bar_index FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 25"),
+    "sub_bar_faults": w(BARS, ", q AS (SELECT symbol, time_bucket(INTERVAL 30 MINUTE, tts) AS ts, count(DISTINCT time_bucket(INTERVAL 15 MINUTE, tts)) AS n FROM ticks GROUP BY ALL) SELECT b.symbol, b.ts, CASE WHEN q.n <> 2 THEN 'incomplete_coverage' END AS fault FROM bars b JOIN q ON b.symbol = q.symbol AND b.ts = q.ts"),
+    "trades_at_level": w(ET, "SELECT trade_id, level_names FROM trades WHERE list_contains(string_split(level_names, '|'), 'VWAP')"),
+    "grid_overfit": w(simulated(CELLS) + ", s AS (SELECT cell_id, avg(r_multiple) AS m FROM trades GROUP BY cell_id), t AS (SELECT count(*) AS n, max(m) AS b, median(m) AS d, avg(m) AS a, (SELECT avg(m) FROM (SELECT m FROM s ORDER BY m DESC LIMIT 5)) AS k FROM s)", "SELECT n AS valid_cell_count, round(b + 3.7e-10, 7) AS best_metric, round(d + 3.7e-10, 7) AS median_metric, round(a + 3.7e-10, 7) AS mean_metric, round(k + 3.7e-10, 7) AS top_n_mean_metric, round(b - d + 3.7e-10, 7) AS best_vs_median_delta, CASE WHEN n <= 1 THEN 'none' ELSE 'low' END AS risk_level FROM t"),
+    "otf_validation_matrix": w(ET, ", t AS (SELECT *, unnest(CASE WHEN bars_held > 12 THEN ['no_otf', 'otf_5m'] ELSE ['no_otf'] END) AS config, CASE WHEN entry_bar_index < 500 THEN 'train' ELSE 'oos' END AS period FROM trades), g AS (SELECT config, period, count(*) AS n, avg(r_multiple) AS e FROM t GROUP BY ALL) SELECT x.config, x.period, x.n AS trade_count, round(x.e + 3.7e-10, 7) AS expectancy_r, x.n - y.n AS delta_trades, round(x.e - y.e + 3.7e-10, 7) AS delta_expectancy, CASE WHEN x.period = 'train' THEN rank() OVER (PARTITION BY x.period ORDER BY x.e DESC) END::INT AS train_rank FROM g x JOIN g y ON x.period = y.period AND y.config = 'no_otf'"),
+    "trade_windows": w(simulated(), ", s AS (SELECT symbol, signal_id, unnest(generate_series(greatest(0, entry_bar_index - 3), exit_bar_index + 3)) AS bar_index FROM trades) SELECT b.symbol, s.signal_id AS trade_id, b.bar_index FROM s JOIN bars b ON b.symbol = s.symbol AND b.bar_index = s.bar_index"),
+    "random_entries": w(BREAKS, f", need AS (SELECT symbol, count(*) AS need, avg((direction = 'long')::INT::DOUBLE) AS share FROM sig GROUP BY symbol), r AS (SELECT b.symbol, rep, bar_index, {DRAW('rep', 'bar_index', 9)} AS d, ({DRAW('rep', 'bar_index', 10)}) / 2147483647.0::DOUBLE AS u, need, share FROM bars b JOIN need n ON b.symbol = n.symbol, range(5) s(rep)) SELECT symbol, rep::INT AS replica_id, bar_index, CASE WHEN u < share THEN 'long' ELSE 'short' END AS direction FROM r QUALIFY row_number() OVER (PARTITION BY symbol, rep ORDER BY d, bar_index) <= need"),
+    "trigger_confirm_3bar": w(LEVELED, """, r AS (SELECT *, lead(close, 1) OVER w AS c1, lead(low, 2) OVER w AS l2, lead(high, 2) OVER w AS h2 FROM leveled WINDOW w AS (PARTITION BY symbol ORDER BY bar_index)), s AS (
+      SELECT symbol, bar_index, 'long' AS direction, pdEQ AS level_price, c1 AS entry_price, CASE WHEN coalesce(l2 <= c1, false) THEN 'filled' ELSE 'void' END AS status FROM r WHERE low <= pdEQ AND close > pdEQ AND (open > pdEQ OR coalesce(prev_close > pdEQ, false)) AND c1 > high
+      UNION ALL SELECT symbol, bar_index, 'short', pdEQ, c1, CASE WHEN coalesce(h2 >= c1, false) THEN 'filled' ELSE 'void' END FROM r WHERE high >= pdEQ AND close < pdEQ AND (open < pdEQ OR coalesce(prev_close < pdEQ, false)) AND c1 < low) SELECT * FROM s"""),
+}

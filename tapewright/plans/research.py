@@ -34,8 +34,8 @@ def grid_cells(stops: list[float], targets: list[float], breakeven: list[float |
 
 
 def grid(bars: DataFrame, signals: DataFrame, cells: list[dict], **options) -> DataFrame:
-    """One row a cell with its metrics, from one simulation plan."""
-    trades = simulate(bars, signals, cells, **options).withColumn("trade_id", F.col("signal_id"))
+    """One row a cell with its metrics, from one simulation, persisted as the metrics read it twice."""
+    trades = simulate(bars, signals, cells, **options).withColumn("trade_id", F.col("signal_id")).persist()
     return trade_summary(trades, ["cell_id", "stop_ticks", "target_ticks"])
 
 

@@ -22,7 +22,7 @@ def rows_of(df):
     return sorted(map(repr, df[cols].astype(object).where(df[cols].notna(), None).values.tolist()))
 
 
-SLOW = {"wfa_matrix", "walk_forward", "best_grid_cell"}
+SLOW = {"wfa_matrix", "walk_forward", "best_grid_cell", "grid_overfit"}  # the grid is in grid_search
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog_sql.ORACLES) - SLOW))
