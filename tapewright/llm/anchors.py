@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapewright.llm.common import cut, partitions
 
@@ -195,7 +196,7 @@ def packed_rows(kind: str, window: int, gram: int, send: bool):
     def go(batches):
         sent: set[tuple[int, int]] = set()
         for b in batches:
-            texts, runs = binaries(b.column("text")), b.column("runs")
+            texts, runs = texts_of(b), b.column("runs")
             offsets = runs.offsets.to_numpy()
             flat = runs.values
             start, n, place, h, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n", "place", "h", "hot"))
@@ -256,6 +257,36 @@ def id_of(id_col: str):
     return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id")
 
 
+def squeeze(batches):
+    """(row, id, mark, text) batches with the text as zstd-compressed bytes."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        z = [None if t is None else press(t) for t in binaries(b.column("text"))]
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), b.column("mark"), pa.array(z, pa.binary())], ["row", "id", "mark", "z"])
+
+
+def squeezed(docs: DataFrame, id_col: str, text: str, carry: list[str]) -> DataFrame:
+    """Like dealt(), for tasks in Python: the carried columns, and the text compressed
+    for the shuffle."""
+    row = F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("row")
+    body = F.col(f"`{text}`").cast("string")
+    rows = docs.select(row, id_of(id_col), F.xxhash64(body).alias("mark"), body.alias("text"))
+    kind = T.StructType([rows.schema["row"], T.StructField("id", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("z", T.BinaryType())])
+    return rows.mapInArrow(squeeze, kind).repartition(partitions(docs.sparkSession), "id", "mark")
+
+
+def texts_of(batch: pa.RecordBatch) -> list[bytes | None]:
+    """The texts of a batch, plain or squeezed."""
+    if "z" not in batch.schema.names:
+        return binaries(batch.column("text"))
+    import zstandard
+
+    open_ = zstandard.ZstdDecompressor().decompress
+    return [None if z is None else open_(z) for z in batch.column("z").to_pylist()]
+
+
 def dealt(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """The rows as structs with id and mark (a hash of the text), dealt out by
     these two once for all joins on them."""
@@ -264,14 +295,16 @@ def dealt(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.repartition(partitions(docs.sparkSession), "id", "mark")
 
 
-def candidate_runs(docs: DataFrame, kind: str, window: int, gram: int, distinct_ids: bool, name: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def candidate_runs(docs: DataFrame, kind: str, window: int, gram: int, distinct_ids: bool, name: str, text: str = "text", id_col: str = "doc_id", keep: bool = True) -> DataFrame:
     """(id, mark, runs): by document, the runs whose minimiser also occurs elsewhere
-    (distinct_ids: in a document with another id)."""
+    (distinct_ids: in a document with another id). keep: write all runs once, else
+    make them twice, which takes less disk and more time."""
     base = docs.select(id_of(id_col), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("mark"), F.col(f"`{text}`").cast("string").alias("text"))
     base = base.where(F.col("text").isNotNull() & (F.octet_length("text") >= window))
     if distinct_ids:
         base = base.where(F.col("id") != NO_ID)
-    runs = cut(base.mapInArrow(run_rows(kind, window, gram), RUN_SCHEMA), f"{name}-runs")
+    runs = base.mapInArrow(run_rows(kind, window, gram), RUN_SCHEMA)
+    runs = cut(runs, f"{name}-runs") if keep else runs
     again = runs.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     again = cut(again.where("lo < hi" if distinct_ids else "c > 1").select("h", (F.col("c") > HOT).alias("hot")), f"{name}-repeated")
     runs = runs.join(again, "h")
@@ -279,8 +312,9 @@ def candidate_runs(docs: DataFrame, kind: str, window: int, gram: int, distinct_
 
 
 def packed_runs(rows: DataFrame, found: DataFrame, kind: str, window: int, gram: int, send: bool, text: str = "text") -> DataFrame:
-    """rows: made by dealt(). A row for each candidate run, in the order of id within a task."""
-    both = rows.join(found, ["id", "mark"]).select("id", "mark", F.col(f"row.`{text}`").cast("string").alias("text"), "runs")
+    """rows: made by dealt() or squeezed(). A row for each candidate run, in the order of id within a task."""
+    body = F.col("z") if "z" in rows.columns else F.col(f"row.`{text}`").cast("string").alias("text")
+    both = rows.join(found, ["id", "mark"]).select("id", "mark", body, "runs")
     return both.sortWithinPartitions("id").mapInArrow(packed_rows(kind, window, gram, send), PACKED_SCHEMA)
 
 

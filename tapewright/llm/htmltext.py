@@ -16,8 +16,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewright.llm.common import cut
-
 #: Elements whose content is never main text.
 SKIP = {"script", "style", "noscript", "template", "svg", "math", "head", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "option", "iframe", "object", "canvas", "dialog", "menu", "video", "audio"}
 #: Elements that hold the article where a page marks it.
@@ -32,7 +30,6 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([a-zA-
 NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
 SPACE = re.compile(r"\s+")
-LINES = "array<struct<text:string,inside:boolean,skip:boolean>>"
 
 
 def page_lines(page: str) -> list[tuple[str, bool, bool]]:
@@ -119,37 +116,108 @@ def shared_lines(a: list[str], b: list[str]) -> list[bool]:
     return [True] * lo + middle + [True] * hi
 
 
-def line_rows(batches):
-    """(row, host, path, html) -> with the page's lines instead of the html."""
-    kind = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.bool_()), ("skip", pa.bool_())]))
+def squeeze(batches):
+    """The html as zstd-compressed bytes, for the shuffle."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3).compress
     for b in batches:
-        lines = [[dict(zip(("text", "inside", "skip"), x, strict=True)) for x in page_lines(h or "")] for h in b.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("host"), b.column("path"), b.column("key"), pa.array(lines, kind)], ["row", "host", "path", "key", "lines"])
+        z = [None if h is None else press(h.encode("utf-8", "surrogatepass")) for h in b.column("html").to_pylist()]
+        names = ["row", "host", "path", "key"]
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(z, pa.binary())], [*names, "z"])
 
 
-def text_rows(batches):
-    """Pages with their own and their neighbours' lines -> main text.
+def main_lines(own: list[tuple[str, bool, bool]], others: list[list[str] | None]) -> str:
+    """A page's main text, given its neighbours' lines.
 
     Where a page marks its article, the article's lines stay and the others go.
     Else all lines outside skipped elements stay but those that a neighbour shares;
     a neighbour that shares most of them is a copy and says nothing of a template.
     """
+    texts = [t for t, _, _ in own]
+    gone = [False] * len(own)
+    for other in others:
+        if not other:
+            continue
+        shared = shared_lines(texts, other)
+        body = [s for s, x in zip(shared, own, strict=True) if not x[2]]
+        if body and 2 * sum(body) <= len(body):
+            gone = [g or s for g, s in zip(gone, shared, strict=True)]
+    marked = any(inside and not skip for _, inside, skip in own)
+    return "\n".join(t for (t, inside, skip), g in zip(own, gone, strict=True) if not skip and (inside if marked else not g))
+
+
+EDGE = "struct<host:string,path:string,key:bigint,first:boolean,last:boolean,lines:array<struct<text:string,inside:boolean,skip:boolean>>,before:array<string>,after:array<string>>"
+
+
+def stream_rows(edges: bool):
+    """Pages of a partition in the order of host, path and key -> their main text.
+
+    The first and last page may have neighbours in other partitions: with edges,
+    only these come out, with their lines and the neighbours known here; without,
+    all others.
+    """
+
+    def lines_of(z):
+        import zstandard
+
+        return page_lines("" if z is None else zstandard.ZstdDecompressor().decompress(z).decode("utf-8", "surrogatepass"))
+
+    def pages(batches):
+        for b in batches:
+            cols = [b.column(c) for c in ("row", "host", "path", "key", "z")]
+            for i in range(b.num_rows):
+                yield cols[0].slice(i, 1), *[c[i].as_py() for c in cols[1:4]], lines_of(cols[4][i].as_py())
+
+    def go(batches):
+        held, texts, found = [], [], []
+
+        def flush():
+            rows = pa.concat_arrays(held)
+            out = pa.RecordBatch.from_arrays([rows, pa.array(texts, pa.string()), pa.array(found, EDGE_TYPE)], ["row", "main_text", "edge"])
+            held.clear(), texts.clear(), found.clear()
+            return out
+
+        before, first = None, True
+        for now, after in _ahead(pages(batches)):
+            row, host, path, key, lines = now
+            at_edge = host != "" and (first or after is None)
+            prev = before[1] if before and before[0] == host and host else None
+            follow = [t for t, _, _ in after[4]] if after and after[1] == host and host else None
+            if at_edge == edges:
+                held.append(row)
+                texts.append(None if edges else main_lines(lines, [prev, follow]))
+                found.append({"host": host, "path": path, "key": key, "first": first, "last": after is None, "lines": [dict(zip(("text", "inside", "skip"), x, strict=True)) for x in lines], "before": prev, "after": follow} if edges else None)
+            before, first = (host, [t for t, _, _ in lines]), False
+            if len(held) >= 256:
+                yield flush()
+        if held:
+            yield flush()
+
+    return go
+
+
+LINE_TYPE = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.bool_()), ("skip", pa.bool_())]))
+EDGE_TYPE = pa.struct([("host", pa.string()), ("path", pa.string()), ("key", pa.int64()), ("first", pa.bool_()), ("last", pa.bool_()), ("lines", LINE_TYPE), ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string()))])
+
+
+def _ahead(items):
+    """Each item with the one after it."""
+    now = None
+    for x in items:
+        if now is not None:
+            yield now, x
+        now = x
+    if now is not None:
+        yield now, None
+
+
+def text_rows(batches):
+    """Pages with their own and their neighbours' lines -> main text."""
     for b in batches:
         out = []
         for own, *others in zip(*[b.column(c).to_pylist() for c in ("lines", "before", "after")], strict=True):
-            own = own or []
-            texts = [x["text"] for x in own]
-            gone = [False] * len(own)
-            for other in others:
-                if not other:
-                    continue
-                shared = shared_lines(texts, other)
-                body = [s for s, x in zip(shared, own, strict=True) if not x["skip"]]
-                if body and 2 * sum(body) <= len(body):
-                    gone = [g or s for g, s in zip(gone, shared, strict=True)]
-            marked = any(x["inside"] and not x["skip"] for x in own)
-            keep = [x["text"] for x, g in zip(own, gone, strict=True) if not x["skip"] and (x["inside"] if marked else not g)]
-            out.append("\n".join(keep))
+            out.append(main_lines([(x["text"], x["inside"], x["skip"]) for x in own or []], others))
         yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string())], ["row", "main_text"])
 
 
@@ -171,36 +239,19 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", carry: lis
     row = F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("row")
     body = F.col(f"`{html}`").cast("string")
     rows = pages.select(row, host.alias("host"), path.alias("path"), F.xxhash64(address, body).alias("key"), body.alias("html"))
-    kind = T.StructType([rows.schema["row"], T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("key", T.LongType()), T.StructField("lines", T._parse_datatype_string(LINES))])
-    lined = cut(rows.mapInArrow(line_rows, kind), "lines")
-    return _differenced(lined, kind["row"].dataType, carry)
+    kind = T.StructType([rows.schema["row"], T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("key", T.LongType()), T.StructField("z", T.BinaryType())])
+    n = max(1, -(-pages.count() // SLICE))
+    # a large host goes to many tasks, as pages are dealt out by (host, path) ranges
+    dealt = rows.mapInArrow(squeeze, kind).repartitionByRange(n, "host", "path", "key").sortWithinPartitions("host", "path", "key")
+    made = T.StructType([rows.schema["row"], T.StructField("main_text", T.StringType()), T.StructField("edge", T._parse_datatype_string(EDGE))])
+    inner = dealt.mapInArrow(stream_rows(False), made).select("row", "main_text")
+    # the few pages at the partitions' edges find their neighbours among each other
+    ends = dealt.mapInArrow(stream_rows(True), made).select("row", "edge.*").withColumn("texts", F.transform("lines", lambda x: x["text"]))
+    along = Window.partitionBy("host").orderBy("path", "key", F.desc("first"))
+    ends = ends.withColumns({"before": F.when(F.col("first"), F.lag("texts").over(along)).otherwise(F.col("before")), "after": F.when(F.col("last"), F.lead("texts").over(along)).otherwise(F.col("after"))})
+    ends = ends.select("row", "lines", "before", "after").mapInArrow(text_rows, T.StructType(made.fields[:2]))
+    return inner.union(ends).select(*[F.col(f"row.`{c}`").alias(c) for c in carry], "main_text")
 
 
-#: Pages of one step of a host's sorted pages that a task holds in order.
+#: Pages that a task holds in order.
 SLICE = 512
-
-
-def _differenced(lined: DataFrame, row_type: T.StructType, carry: list[str]) -> DataFrame:
-    """Each page with its neighbours' lines.
-
-    A host's pages are cut into slices by path: quantiles of the (host, path) order
-    of all pages, by range partitioning, deal them out, so that a large host goes to
-    many tasks. A slice's first and last page find their neighbours by a join on the
-    slices' edges.
-    """
-    n = max(1, -(-lined.count() // SLICE))
-    dealt = lined.where("host <> ''").repartitionByRange(n, "host", "path", "key").sortWithinPartitions("host", "path", "key")
-    dealt = cut(dealt.withColumn("slice", F.spark_partition_id()), "slices")
-    order = Window.partitionBy("slice", "host").orderBy("path", "key")
-    texts = F.transform("lines", lambda x: x["text"])
-    inner = dealt.withColumns({"texts": texts}).withColumns({"before": F.lag("texts").over(order), "after": F.lead("texts").over(order), "place": F.row_number().over(order), "back": F.row_number().over(Window.partitionBy("slice", "host").orderBy(F.desc("path"), F.desc("key")))})
-    # the first and last pages of a host in each slice, a few rows a slice
-    ends = cut(inner.where("place = 1 or back = 1").select("host", "slice", "place", "back", "texts"), "ends")
-    firsts = ends.where("place = 1").select("host", "slice", F.col("texts").alias("first_lines"))
-    lasts = ends.where("back = 1").select("host", "slice", F.col("texts").alias("last_lines"))
-    along = Window.partitionBy("host").orderBy("slice")
-    edge = firsts.join(lasts, ["host", "slice"]).withColumns({"prev_lines": F.lag("last_lines").over(along), "next_lines": F.lead("first_lines").over(along)}).select("host", "slice", "prev_lines", "next_lines")
-    joined = inner.join(edge, ["host", "slice"]).select("row", "lines", F.when(F.col("place") == 1, F.col("prev_lines")).otherwise(F.col("before")).alias("before"), F.when(F.col("back") == 1, F.col("next_lines")).otherwise(F.col("after")).alias("after"))
-    alone = lined.where("host = ''").select("row", "lines", *[F.lit(None).cast("array<string>").alias(c) for c in ("before", "after")])
-    out = joined.union(alone).mapInArrow(text_rows, T.StructType([T.StructField("row", row_type), T.StructField("main_text", T.StringType())]))
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in carry], "main_text")

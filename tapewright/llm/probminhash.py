@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.llm.anchors import CHUNK, NO_ID, binaries, id_of, mixed, signed, span_hashes, word_units
-from tapewright.llm.common import cut
+from tapewright.llm.common import cut, tasks_for
 from tapewright.llm.components import components
 
 SHINGLE = 5
@@ -23,7 +23,7 @@ SIMILARITY = 0.8
 #: 32 bands of 6 slots miss a pair at 0.8 with probability (1 - 0.8^6)^32 = 6e-5.
 BANDS, ROWS = 32, 6
 #: Rounds of one leader a bucket, after which all pairs still open are compared.
-LEADER_ROUNDS = 6
+LEADER_ROUNDS = 4
 GOLD = 0x9E3779B97F4A7C15
 
 
@@ -63,7 +63,13 @@ def signatures(text: np.ndarray, elements: np.ndarray, weights: np.ndarray, n_te
     return winner.reshape(n_texts, slots)
 
 
-SIGN_SCHEMA = "id long, mark long, d1 long, d2 long, n long, bands array<long>"
+SIGN_SCHEMA = "id long, mark long, d1 long, d2 long, n long, bands array<long>, sign binary"
+#: Pairs whose signatures agree in a smaller share of slots aren't compared in
+#: full: at a similarity of 0.8, 192 slots agree in less than 0.55 with a
+#: probability below 1e-14.
+AGREE = 0.55
+#: So many document numbers are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 200_000
 
 
 def sign_rows(bands: int, rows: int, size: int):
@@ -90,6 +96,7 @@ def sign_rows(bands: int, rows: int, size: int):
                 t, h, count = shingles(units, lengths, size)
                 n = np.bincount(t, minlength=len(held))
                 sign = signatures(t, h, count.astype(np.float64), len(held), bands * rows)
+                low = (mixed(sign) & np.uint64(255)).astype(np.uint8)
                 at = np.arange(len(held) * bands) * rows
                 hashes = signed(span_hashes(sign.reshape(-1), at, at + rows)).reshape(len(held), bands)
                 digests = [xxhash.xxh3_128_intdigest(b" ".join(texts[i].split())) if len(u) else None for i, u in held]
@@ -102,8 +109,9 @@ def sign_rows(bands: int, rows: int, size: int):
                         pa.array([None if d is None else (d & hi) - (1 << 63) for d in digests], pa.int64()),
                         pa.array(n, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[n > 0].reshape(-1), pa.int64())),
+                        pa.array([x.tobytes() for x in low], pa.binary()),
                     ],
-                    ["id", "mark", "d1", "d2", "n", "bands"],
+                    ["id", "mark", "d1", "d2", "n", "bands", "sign"],
                 )
 
     return go
@@ -144,50 +152,69 @@ def similar_rows(least: float):
     return go
 
 
+def agreeing_rows(least: float):
+    """Pairs with both signatures -> those that agree in this share of slots."""
+
+    def go(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sign_a", "sign_b"))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array((x == y).mean(1) >= least, pa.bool_()))
+
+    return go
+
+
 def _fits(a: str, b: str, least: float):
     """Sets of such sizes can be similar enough."""
     return F.least(a, b) >= least * F.greatest(a, b)
 
 
-def near_links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _sided(table: DataFrame, side: str, value: str) -> DataFrame:
+    return table.select(F.col("node").alias(side), F.col(value).alias(f"{value}_{side}"))
+
+
+def near_links(buckets: DataFrame, signs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(bucket, node, n) -> (node, label) by component of linked nodes.
 
     No bucket's pairs are all emitted. In each round a bucket elects a leader by a
-    hash, and the members outside the leader's component are compared with it; a
-    large group of copies falls to its first leaders. What is still open after the
+    hash, and each node is compared with one leader outside its component; a large
+    group of copies falls to its first leaders. What is still open after the
     rounds, pairs of one bucket in different components, is compared in full; the
     rounds also end as soon as these are no more than the rows of the buckets.
+    Buckets whose nodes are in one component are done.
     """
     spark = buckets.sparkSession
-    sets_a, sets_b = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     labels, tested = None, None
-    n_rows = buckets.count()
+    n_rows = n_open = buckets.count()
     for r in range(LEADER_ROUNDS + 1):
-        state = buckets.withColumn("label", F.col("node")) if labels is None else buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        few = tasks_for(n_open)
+        state = buckets.withColumn("label", F.col("node")) if labels is None else cut(buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "state", few)
         groups = state.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"))
-        open_ = groups.where("all * all > same").select("bucket", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs"))
-        open_ = cut(open_, "open")
-        left = open_.agg(F.sum("pairs")).first()[0]
+        open_ = cut(groups.where("all * all > same").select("bucket", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs"), "all"), "open", few)
+        left, n_open = open_.agg(F.sum("pairs"), F.sum("all")).first()
         if not left:
             break
-        state = state.join(open_.select("bucket"), "bucket")
+        few = tasks_for(n_open)
+        state = cut(state.join(open_.select("bucket"), "bucket"), "state", few)
+        buckets = state.drop("label")
         last = r == LEADER_ROUNDS or (r > 0 and left <= n_rows)
         if last:
             x, y = state.alias("x"), state.alias("y")
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _fits("x.n", "y.n", least)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & _fits("x.n", "y.n", least)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+            pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = cut(pairs, "pairs")
         else:
-            lead = state.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("o"), "node", "label", "n")).alias("lead"))
-            pairs = state.join(lead, "bucket").where((F.col("label") != F.col("lead.label")) & _fits("n", "lead.n", least)).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = cut(pairs.join(sets_a, "a").join(sets_b, "b").select("a", "b", "set_a", "set_b").mapInArrow(similar_rows(least), "a long, b long"), "near")
+            lead = cut(state.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("o"), "node", "label", "n")).alias("lead")), "leaders", few)
+            pairs = state.join(lead, "bucket").where((F.col("label") != F.col("lead.label")) & _fits("n", "lead.n", least)).select("node", "lead.o", F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+            pairs = cut(pairs.groupBy("node").agg(F.min(F.struct("o", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "pairs", few)
+            tested = pairs if tested is None else tested.union(pairs)
+        few = tasks_for(pairs.count(), 10_000)
+        likely = pairs.join(_sided(signs, "a", "sign"), "a").join(_sided(signs, "b", "sign"), "b").select("a", "b", "sign_a", "sign_b")
+        likely = cut(likely.mapInArrow(agreeing_rows(AGREE), "a long, b long"), "likely", few)
+        links = likely.join(_sided(sets, "a", "set"), "a").join(_sided(sets, "b", "set"), "b").select("a", "b", "set_a", "set_b")
+        links = links.mapInArrow(similar_rows(least), "a long, b long")
         if labels is not None:
-            known = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a != b")
-            links = links.union(known)
-        labels = components(links)
+            links = links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a != b"))
+        labels = components(links, few + tasks_for(n_rows))
         if last:
             break
     return labels if labels is not None else spark.createDataFrame([], "node long, label long")
@@ -209,13 +236,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", le
     base = docs.select(id_of(id_col), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("mark"), F.col(f"`{text}`").cast("string").alias("text"))
     signed_rows = cut(base.mapInArrow(sign_rows(bands, rows, size), SIGN_SCHEMA), "signatures")
     able = signed_rows.where((F.col("id") != NO_ID) & F.col("d1").isNotNull())
-    nodes = cut(able.groupBy("d1", "d2", "n", "bands").agg(F.min("id").alias("node")), "nodes")
+    nodes = cut(able.groupBy("d1", "d2", "n", "bands", "sign").agg(F.min("id").alias("node")), "nodes")
     spread = nodes.select("node", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node", "n")
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
+    shared = cut(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket"), "shared")
     buckets = cut(spread.join(shared, "bucket"), "buckets")
-    needed = buckets.select(F.col("node").alias("id")).distinct()
+    needed = cut(buckets.select(F.col("node").alias("id")).distinct(), "linked")
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
     sets = cut(base.select("id", "text").join(needed, "id").mapInArrow(set_rows(size), "node long, set binary"), "sets")
-    labels = near_links(buckets, sets, least)
+    signs = cut(nodes.select("node", "sign").join(buckets.select("node").distinct(), "node"), "signs")
+    labels = near_links(buckets, signs, sets, least)
     named = nodes.select("d1", "d2", "node").join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("class"))
     out = signed_rows.select("id", "mark", "d1", "d2", "n").join(named, ["d1", "d2"], "left")
     out = out.withColumn("class_id", F.when(F.col("id") == NO_ID, None).otherwise(F.coalesce("class", "id")))

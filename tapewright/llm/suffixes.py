@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewright.llm.anchors import binaries, candidate_runs, covered, dealt, grouped_by, packed_runs
+from tapewright.llm.anchors import candidate_runs, covered, grouped_by, packed_runs, squeezed, texts_of
 from tapewright.llm.common import partitions
 
 WINDOW = 200
@@ -160,7 +160,7 @@ def remove_spans(batches):
     for b in batches:
         n_bytes, n_removed, n_spans, kept = [], [], [], []
         spans = b.column("spans").to_pylist()
-        for text, cuts in zip(binaries(b.column("text")), spans, strict=True):
+        for text, cuts in zip(texts_of(b), spans, strict=True):
             text = text or b""
             n_bytes.append(len(text))
             if not cuts:
@@ -185,8 +185,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     replaced by it. kept_bytes need not be UTF-8.
     """
     spark = docs.sparkSession
-    rows = dealt(docs, id_col, text)
-    found = candidate_runs(docs, "bytes", window, gram, False, "suffix", text, id_col)
+    keep = [c for c in (docs.columns if carry is None else carry) if c not in MADE]
+    rows = squeezed(docs, id_col, text, keep)
+    found = candidate_runs(docs, "bytes", window, gram, False, "suffix", text, id_col, keep=False)
     strings = packed_runs(rows, found, "bytes", window, gram, True, text).select("h", "px", "place", "packed")
     shared = strings.repartition(partitions(spark), "h").sortWithinPartitions("h", "px", "place").mapInArrow(bucket_repeats(window), REPEAT_SCHEMA)
     light = packed_runs(rows, found, "bytes", window, gram, False, text).select("h", "px", "id", "mark", "start", "n")
@@ -196,8 +197,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     lost = light.drop("n").join(lost, ["h", "px"])
     span = lambda r: F.struct((F.col("start") + r["at"]).alias("lo"), (F.col("start") + r["at"] + r["n"] + window - 1).alias("hi"))
     lost = lost.select("id", "mark", F.transform("runs", span).alias("spans")).groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-    keep = [c for c in (docs.columns if carry is None else carry) if c not in MADE]
-    kept_row = F.struct(*[F.col(f"row.`{c}`").alias(c) for c in keep]).alias("row")
-    out = rows.join(lost, ["id", "mark"], "left").select(kept_row, F.col(f"row.`{text}`").cast("string").alias("text"), "spans")
+    out = rows.join(lost, ["id", "mark"], "left").select("row", "z", "spans")
     made = T.StructType([T.StructField("row", out.schema["row"].dataType), *[T.StructField(c, T.LongType()) for c in MADE[:3]], T.StructField(MADE[3], T.BinaryType())])
     return out.mapInArrow(remove_spans, made).select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *MADE)
