@@ -274,7 +274,9 @@ def squeezed(docs: DataFrame, id_col: str, text: str, carry: list[str]) -> DataF
     body = F.col(f"`{text}`").cast("string")
     rows = docs.select(row, id_of(id_col), F.xxhash64(body).alias("mark"), body.alias("text"))
     kind = T.StructType([rows.schema["row"], T.StructField("id", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("z", T.BinaryType())])
-    return rows.mapInArrow(squeeze, kind).repartition(partitions(docs.sparkSession), "id", "mark")
+    # neither is ever null; saying so here keeps joins from filtering one of several equal shuffles
+    small = rows.mapInArrow(squeeze, kind).where("id is not null and mark is not null")
+    return small.repartition(partitions(docs.sparkSession), "id", "mark")
 
 
 def texts_of(batch: pa.RecordBatch) -> list[bytes | None]:
@@ -313,8 +315,9 @@ def candidate_runs(docs: DataFrame, kind: str, window: int, gram: int, distinct_
 
 def packed_runs(rows: DataFrame, found: DataFrame, kind: str, window: int, gram: int, send: bool, text: str = "text") -> DataFrame:
     """rows: made by dealt() or squeezed(). A row for each candidate run, in the order of id within a task."""
-    body = F.col("z") if "z" in rows.columns else F.col(f"row.`{text}`").cast("string").alias("text")
-    both = rows.join(found, ["id", "mark"]).select("id", "mark", body, "runs")
+    # squeezed rows go along whole, so that all plans on them need one and the same shuffle
+    body = [F.col("row"), F.col("z")] if "z" in rows.columns else [F.col(f"row.`{text}`").cast("string").alias("text")]
+    both = rows.join(found, ["id", "mark"]).select("id", "mark", *body, "runs")
     return both.sortWithinPartitions("id").mapInArrow(packed_rows(kind, window, gram, send), PACKED_SCHEMA)
 
 
