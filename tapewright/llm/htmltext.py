@@ -2,17 +2,18 @@
 
 Pages of a host that are next to each other by URL path share its template. Each
 page becomes lines of text (blocks) in page order; a page's lines are aligned with
-those of its neighbours by longest common subsequence, and shared lines outside
-the article go. Elements that never hold main text go by their names.
+those of its neighbours by longest common subsequence, and shared lines go unless
+the neighbour is a copy. Elements that never hold main text go by their names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import deque
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,39 +124,79 @@ def squeeze(batches):
     press = zstandard.ZstdCompressor(level=3).compress
     for b in batches:
         z = [None if h is None else press(h.encode("utf-8", "surrogatepass")) for h in b.column("html").to_pylist()]
-        names = ["row", "host", "path", "key"]
+        names = ["row", "host", "path", "key", "tie"]
         yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(z, pa.binary())], [*names, "z"])
 
 
-def main_lines(own: list[tuple[str, bool, bool]], others: list[list[str] | None]) -> str:
-    """A page's main text, given its neighbours' lines.
+def main_lines(own: list[tuple[str, bool, bool]], before: list[list[str]], after: list[list[str]]) -> str:
+    """A page's main text, given the lines of the pages before and after it, nearest first.
 
-    Where a page marks its article, the article's lines stay and the others go.
-    Else all lines outside skipped elements stay but those that a neighbour shares;
-    a neighbour that shares most of them is a copy and says nothing of a template.
+    On each side the nearest page that isn't a copy decides: lines it shares go,
+    those of the article too. A copy shares more than half of the article's lines
+    or, where none is marked, of all lines outside skipped elements. If all pages
+    near look like copies, the lines go that every one of them shares, if there
+    are three or more that don't hold the whole page: a template longer than the text.
+
+    Lines outside a marked article also go if a copy of it shares them. Where
+    nothing was near, only the article stays, if it holds most of the text.
     """
     texts = [t for t, _, _ in own]
-    gone = [False] * len(own)
-    for other in others:
-        if not other:
-            continue
-        shared = shared_lines(texts, other)
-        body = [s for s, x in zip(shared, own, strict=True) if not x[2]]
-        if body and 2 * sum(body) <= len(body):
-            gone = [g or s for g, s in zip(gone, shared, strict=True)]
-    marked = any(inside and not skip for _, inside, skip in own)
-    return "\n".join(t for (t, inside, skip), g in zip(own, gone, strict=True) if not skip and (inside if marked else not g))
-
-
-EDGE = "struct<host:string,path:string,key:bigint,first:boolean,last:boolean,lines:array<struct<text:string,inside:boolean,skip:boolean>>,before:array<string>,after:array<string>>"
+    within = [inside and not skip for _, inside, skip in own]
+    marked = any(within)
+    body = within if marked else [not skip for _, _, skip in own]
+    gone, copies = [False] * len(own), {}
+    compared = different = False
+    for side in (before, after):
+        for other in side:
+            if not other:
+                continue
+            compared = True
+            shared = shared_lines(texts, other)
+            if 2 * sum(s and x for s, x in zip(shared, body, strict=True)) <= sum(body):
+                gone = [g or s for g, s in zip(gone, shared, strict=True)]
+                different = True
+                break
+            copies[tuple(other)] = shared
+    if marked:
+        for shared in copies.values():
+            gone = [g or (s and not x) for g, s, x in zip(gone, shared, within, strict=True)]
+    if not different:
+        partial = [shared for shared in copies.values() if not all(s for s, x in zip(shared, body, strict=True) if x)]
+        if len(partial) > 2:
+            gone = [g or all(s) for g, s in zip(gone, zip(*partial, strict=True), strict=True)]
+    if marked and not compared:
+        size = sum(len(t) for t, _, skip in own if not skip)
+        if 2 * sum(len(t) for t, x in zip(texts, within, strict=True) if x) > size:
+            gone = [not x for x in within]
+    return "\n".join(t for (t, _, skip), g in zip(own, gone, strict=True) if not skip and not g)
+
+
+#: Pages on each side among which one that isn't a copy is looked for.
+NEAR = 4
+
+
+def edge_rows(batches):
+    """Pages of a partition in order -> those whose neighbours may be in other
+    partitions (own), and the pages these need from here."""
+    names = ["row", "host", "path", "key", "tie", "z"]
+    head, tail, seen = [], deque(maxlen=2 * NEAR), 0
+    for b in batches:
+        for i in range(b.num_rows):
+            if seen < 2 * NEAR:
+                head.append(b.slice(i, 1))
+            tail.append((seen, b.slice(i, 1)))
+            seen += 1
+    rows = [*enumerate(head), *[x for x in tail if x[0] >= len(head)]]
+    for i, x in rows:
+        own = i < NEAR or i >= seen - NEAR
+        yield pa.RecordBatch.from_arrays([*[x.column(c) for c in names], pa.array([own])], [*names, "own"])
 
 
 def stream_rows(edges: bool):
-    """Pages of a partition in the order of host, path and key -> their main text.
+    """Pages in the order of host, path, key and tie -> their main text.
 
-    The first and last page may have neighbours in other partitions: with edges,
-    only these come out, with their lines and the neighbours known here; without,
-    all others.
+    Of a partition of all pages, those at its edges are left out; of the pages
+    at the edges (edges), those that only serve others.
     """
 
     def lines_of(z):
@@ -165,30 +206,25 @@ def stream_rows(edges: bool):
 
     def pages(batches):
         for b in batches:
-            cols = [b.column(c) for c in ("row", "host", "path", "key", "z")]
+            cols = [b.column(c) for c in ("host", "z")]
+            flags = b.column("own").to_pylist() if edges else [True] * b.num_rows
             for i in range(b.num_rows):
-                yield cols[0].slice(i, 1), *[c[i].as_py() for c in cols[1:4]], lines_of(cols[4][i].as_py())
+                lines = lines_of(cols[1][i].as_py())
+                yield b.column("row").slice(i, 1), cols[0][i].as_py(), lines, [t for t, _, _ in lines], flags[i]
 
     def go(batches):
-        held, texts, found = [], [], []
+        held, texts = [], []
 
         def flush():
-            rows = pa.concat_arrays(held)
-            out = pa.RecordBatch.from_arrays([rows, pa.array(texts, pa.string()), pa.array(found, EDGE_TYPE)], ["row", "main_text", "edge"])
-            held.clear(), texts.clear(), found.clear()
+            out = pa.RecordBatch.from_arrays([pa.concat_arrays(held), pa.array(texts, pa.string())], ["row", "main_text"])
+            held.clear(), texts.clear()
             return out
 
-        before, first = None, True
-        for now, after in _ahead(pages(batches)):
-            row, host, path, key, lines = now
-            at_edge = host != "" and (first or after is None)
-            prev = before[1] if before and before[0] == host and host else None
-            follow = [t for t, _, _ in after[4]] if after and after[1] == host and host else None
-            if at_edge == edges:
+        for i, n_after, before, now, after in _around(pages(batches), NEAR):
+            row, host, lines, _, mine = now
+            if mine if edges else i >= NEAR and n_after >= NEAR:
                 held.append(row)
-                texts.append(None if edges else main_lines(lines, [prev, follow]))
-                found.append({"host": host, "path": path, "key": key, "first": first, "last": after is None, "lines": [dict(zip(("text", "inside", "skip"), x, strict=True)) for x in lines], "before": prev, "after": follow} if edges else None)
-            before, first = (host, [t for t, _, _ in lines]), False
+                texts.append(main_lines(lines, *[[x[3] for x in side if x[1] == host and host] for side in (before, after)]))
             if len(held) >= 256:
                 yield flush()
         if held:
@@ -197,34 +233,25 @@ def stream_rows(edges: bool):
     return go
 
 
-LINE_TYPE = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.bool_()), ("skip", pa.bool_())]))
-EDGE_TYPE = pa.struct([("host", pa.string()), ("path", pa.string()), ("key", pa.int64()), ("first", pa.bool_()), ("last", pa.bool_()), ("lines", LINE_TYPE), ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string()))])
-
-
-def _ahead(items):
-    """Each item with the one after it."""
-    now = None
-    for x in items:
-        if now is not None:
-            yield now, x
-        now = x
-    if now is not None:
-        yield now, None
-
-
-def text_rows(batches):
-    """Pages with their own and their neighbours' lines -> main text."""
-    for b in batches:
-        out = []
-        for own, *others in zip(*[b.column(c).to_pylist() for c in ("lines", "before", "after")], strict=True):
-            out.append(main_lines([(x["text"], x["inside"], x["skip"]) for x in own or []], others))
-        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string())], ["row", "main_text"])
+def _around(items, n: int):
+    """(position, number after, up to n before, item, up to n after), nearest first."""
+    before, ahead, i = deque(maxlen=n), deque(), 0
+    items = iter(items)
+    while True:
+        while len(ahead) <= n and (x := next(items, None)) is not None:
+            ahead.append(x)
+        if not ahead:
+            return
+        now = ahead.popleft()
+        yield i, len(ahead), list(before), now, list(ahead)
+        before.appendleft(now)
+        i += 1
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", carry: list[str] | None = None) -> DataFrame:
     """The carried columns of ``pages`` (all but the html by default) with main_text.
 
-    Neighbours of a page are those before and after it among its host's, by path
+    Neighbours of a page are up to NEAR before and after it among its host's, by path
     and then by a hash; hosts are compared without case and without www.
 
     Cases: a null html is empty and gives an empty text; pages whose url is null
@@ -238,18 +265,19 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", carry: lis
     path = F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     row = F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("row")
     body = F.col(f"`{html}`").cast("string")
-    rows = pages.select(row, host.alias("host"), path.alias("path"), F.xxhash64(address, body).alias("key"), body.alias("html"))
-    kind = T.StructType([rows.schema["row"], T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("key", T.LongType()), T.StructField("z", T.BinaryType())])
+    # rows with equal address and html are told apart, as both passes must sort them alike
+    tie = F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c in carry if not any(x in pages.schema[c].dataType.simpleString() for x in ("map<", "variant"))])
+    rows = pages.select(row, host.alias("host"), path.alias("path"), F.xxhash64(address, body).alias("key"), tie.alias("tie"), body.alias("html"))
+    order = ["host", "path", "key", "tie"]
+    kind = T.StructType([rows.schema["row"], T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("key", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("z", T.BinaryType())])
     n = max(1, -(-pages.count() // SLICE))
     # a large host goes to many tasks, as pages are dealt out by (host, path) ranges
-    dealt = rows.mapInArrow(squeeze, kind).repartitionByRange(n, "host", "path", "key").sortWithinPartitions("host", "path", "key")
-    made = T.StructType([rows.schema["row"], T.StructField("main_text", T.StringType()), T.StructField("edge", T._parse_datatype_string(EDGE))])
-    inner = dealt.mapInArrow(stream_rows(False), made).select("row", "main_text")
+    dealt = rows.mapInArrow(squeeze, kind).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    made = T.StructType([rows.schema["row"], T.StructField("main_text", T.StringType())])
+    inner = dealt.mapInArrow(stream_rows(False), made)
     # the few pages at the partitions' edges find their neighbours among each other
-    ends = dealt.mapInArrow(stream_rows(True), made).select("row", "edge.*").withColumn("texts", F.transform("lines", lambda x: x["text"]))
-    along = Window.partitionBy("host").orderBy("path", "key", F.desc("first"))
-    ends = ends.withColumns({"before": F.when(F.col("first"), F.lag("texts").over(along)).otherwise(F.col("before")), "after": F.when(F.col("last"), F.lead("texts").over(along)).otherwise(F.col("after"))})
-    ends = ends.select("row", "lines", "before", "after").mapInArrow(text_rows, T.StructType(made.fields[:2]))
+    ends = dealt.mapInArrow(edge_rows, T.StructType([*kind.fields, T.StructField("own", T.BooleanType())]))
+    ends = ends.repartition("host").sortWithinPartitions(*order).mapInArrow(stream_rows(True), made)
     return inner.union(ends).select(*[F.col(f"row.`{c}`").alias(c) for c in carry], "main_text")
 
 

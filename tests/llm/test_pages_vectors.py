@@ -46,6 +46,20 @@ def test_template_lines_go_and_copies_stay(spark, monkeypatch):
     assert htmltext.main_text(df.limit(0)).count() == 0
 
 
+def test_shared_lines_of_marked_articles_go_and_copies_stay(spark, monkeypatch):
+    monkeypatch.setattr(htmltext, "SLICE", 5)
+    body = lambda i: "".join(f"<p>page {i} line {k}</p>" for k in range(4))
+    rows = [(i, f"http://h.example/a/{i:03d}", f"<article><div>Menu line</div>{body(i)}</article><div>beside {i}</div><div>Bottom</div>") for i in range(12)]
+    # copies of one article under the same template, and pages between them
+    rows += [(30 + i, f"http://c.example/{i}", f"<div>Top</div><article><div>Menu line</div>{body(99 if i in (1, 2) else i)}</article>") for i in range(5)]
+    got = {r.page_id: r.main_text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = lambda i: [f"page {i} line {k}" for k in range(4)]
+    assert got == {**{i: "\n".join([*want(i), f"beside {i}"]) for i in range(12)}, **{30 + i: "\n".join(want(99 if i in (1, 2) else i)) for i in range(5)}}
+    # without pages near by, the article alone stays
+    alone = htmltext.page_lines("<article><p>long enough text</p></article><p>other</p>")
+    assert htmltext.main_lines(alone, [], []) == "long enough text"
+
+
 def test_neighbours_recall_and_cases(spark, monkeypatch):
     monkeypatch.setattr(nndescent, "SHARD_ROWS", 400)
     r = np.random.default_rng(3)
