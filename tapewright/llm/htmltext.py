@@ -27,24 +27,54 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 #: Parts of class, id or role that name menus, notices, adverts, comments and the like.
 ASIDE = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|signup|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|sidebar\w*|aside|widget\w*|related|recommend\w*|share|sharing|social|comment\w*|disqus|respond|reply|replies|login|search|pagination|pager|complementary|contentinfo|navigation)(?:$|[\s_-])", re.I)
+#: Words by which a name says that there is no such part, or one beside the text.
+NOT_ASIDE = {"no", "not", "non", "without", "has", "have", "with"}
+#: Parts that are skipped even where they hold most of a page's text.
+ANSWERS = re.compile(r"(?:^|[\s_-])(?:related|recommend\w*|comment\w*|disqus|respond|reply|replies)(?:$|[\s_-])", re.I)
+#: Elements that a start tag of the second set ends, unless one of the third is between.
+IMPLIED = [
+    ({"p"}, {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "dd", "dt", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul"}, {"table", "td", "th", "caption", "button", "object"}),
+    ({"li"}, {"li"}, {"ul", "ol", "menu"}),
+    ({"dd", "dt"}, {"dd", "dt"}, {"dl"}),
+]
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
 SPACE = re.compile(r"\s+")
 
 
+def aside_names(attributes: str) -> list[str]:
+    """Those names of an element's class, id and role that say its content isn't main text."""
+    words = [w for x in NAMES.findall(attributes) for w in (x[1] or x[2] or x[3]).split()]
+    return [w for w in words if ASIDE.search(w) and not NOT_ASIDE & set(re.split(r"[_-]+", w.lower()))]
+
+
 def page_lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, within the marked article, within an element to skip) of a page's lines, in order."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, inside, skip
+    """(text, within the marked article, within an element to skip) of a page's lines, in order.
+
+    An element that would be skipped stays if it holds a main element, or all text
+    of the page's articles, or (by its name only, on pages without an article
+    elsewhere) most of the page's text; answers and related pages must hold a main.
+    """
+    out: list[tuple[str, bool, tuple[int, ...]]] = []
+    stack: list[tuple[str, bool, tuple[int, ...]]] = []  # name, inside, skips
+    found: list[tuple[bool, bool]] = []  # of elements to skip: by tag, answers
+    mains: set[int] = set()
     parts: list[str] = []
-    inside = skip = False
+    inside, skips = False, ()
 
     def end() -> None:
         text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            out.append((text, inside, skip))
+            out.append((text, inside, skips))
+
+    def close(where: int) -> None:
+        nonlocal inside, skips
+        if any(x[1:] != (inside, skips) for x in stack[where:]):
+            end()
+        inside, skips = stack[where][1:]
+        del stack[where:]
 
     at = 0
     while at < len(page):
@@ -61,26 +91,44 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
         if page[m.start() + 1] == "/":
             where = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if where is not None:
-                changed = stack[where][1:] != (inside, skip) or any(x[1:] != stack[where][1:] for x in stack[where:])
-                if changed:
-                    end()
-                inside, skip = stack[where][1:]
-                del stack[where:]
+                close(where)
             continue
+        for open_, by, scope in IMPLIED:
+            if name in by:
+                where = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in open_ | scope), None)
+                if where is not None and stack[where][0] in open_:
+                    close(where)
         if name in VOID:
             continue
         if name in RAW:
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            last = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = last.end() if last else len(page)
             continue
-        aside = name in SKIP or any(ASIDE.search(x[1] or x[2] or x[3]) for x in NAMES.findall(m[2] or "")) if name not in ("html", "body") else False
-        if (aside and not skip) or (name in ARTICLE and not inside):
+        names = aside_names(m[2] or "") if name not in ("html", "body") and name not in ARTICLE else []
+        aside = name in SKIP or bool(names)
+        if aside or (name in ARTICLE and not inside):
             end()
         if not (m[2] or "").endswith("/"):
-            stack.append((name, inside, skip))
-            skip, inside = skip or (aside and name not in ARTICLE), inside or name in ARTICLE
+            stack.append((name, inside, skips))
+            if aside:
+                skips = (*skips, len(found))
+                found.append((name in SKIP and name != "form", any(ANSWERS.search(x) for x in names)))
+            inside = inside or name in ARTICLE
+            if name == "main":
+                mains.update(skips)
     end()
-    return out
+    total = article = 0
+    held, marked = [0] * len(found), [0] * len(found)
+    for text, within, around in out:
+        if not any(found[k][1] for k in around):
+            article += len(text) * within
+        if not any(found[k][0] for k in around):
+            total += len(text)
+        for k in around:
+            held[k] += len(text)
+            marked[k] += len(text) * within
+    stays = {k for k, (tag, answers) in enumerate(found) if k in mains or (not answers and (marked[k] >= article if article else not tag and 2 * held[k] > total))}
+    return [(text, within, not stays.issuperset(around)) for text, within, around in out]
 
 
 def shared_lines(a: list[str], b: list[str]) -> list[bool]:

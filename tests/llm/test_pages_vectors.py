@@ -60,6 +60,32 @@ def test_shared_lines_of_marked_articles_go_and_copies_stay(spark, monkeypatch):
     assert htmltext.main_lines(alone, [], []) == "long enough text"
 
 
+def kept_lines(page):
+    return [t for t, _, skip in htmltext.page_lines(page) if not skip]
+
+
+def test_wrappers_around_the_text_stay():
+    for name in ("content no-sidebar", "has-sidebar", "with-menu", "page-header-wrap"):
+        page = f'<div class="top menu"><p>Menu</p></div><div id="{name}"><article><p>text</p></article></div><div class="comments"><article>a longer answer of a reader</article></div>'
+        assert kept_lines(page) == ["text"], name
+    assert kept_lines('<form id="f"><main><p>text</p></main><div class="ads">x</div></form>') == ["text"]
+    assert kept_lines('<div class="page-header-wrap"><p>most of the text</p></div><p>rest</p>') == ["most of the text", "rest"]
+    assert kept_lines('<p>text</p><div class="comments"><p>many long answers</p></div><nav>a very long list of pages</nav>') == ["text"]
+    assert kept_lines('<div><p class="notice">new<p>one<p>two</div>') == ["one", "two"]
+    assert kept_lines('<ul><li class="ad">new<li>one<ul><li>two</ul></ul>') == ["one", "two"]
+
+
+def test_template_longer_than_the_text_and_pages_between_copies(spark):
+    menu = "".join(f"<div>menu {k}</div>" for k in range(9))
+    rows = [(i, f"http://s.example/{i}", f"{menu}<p>short {i}</p>") for i in range(6)]
+    text = "".join(f"<p>line {k}</p>" for k in range(6))
+    rows += [(10 + i, f"http://k.example/{i}", f"<div>menu</div>{text if i < 3 else f'<p>other {i}</p><p>more {i}</p>'}") for i in range(5)]
+    got = {r.page_id: r.main_text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"short {i}" for i in range(6))
+    assert all(got[10 + i] == "\n".join(f"line {k}" for k in range(6)) for i in range(3))
+    assert all(got[10 + i] == f"other {i}\nmore {i}" for i in (3, 4))
+
+
 def test_neighbours_recall_and_cases(spark, monkeypatch):
     monkeypatch.setattr(nndescent, "SHARD_ROWS", 400)
     r = np.random.default_rng(3)
