@@ -1,9 +1,10 @@
-"""Near-dedup by ProbMinHash over weighted word shingles, with banding and verification.
+"""Near-dedup by ProbMinHash over word shingles, with banding and verification.
 
-Every shingle, weighted by its count, throws points of a Poisson process at the
+Every distinct shingle, with its weight, throws points of a Poisson process at the
 slots of a signature; the earliest point of a slot wins, and a shingle stops once
 its next point is later than all winners. The share of equal slots estimates the
-probability Jaccard similarity. Documents that agree on a band are candidates;
+probability Jaccard similarity. All shingles weigh the same here, for which that is
+the Jaccard similarity of the sets, as the links use it. Documents that agree on a band are candidates;
 links are those whose shingle sets have a Jaccard similarity of 0.8 or more.
 """
 
@@ -93,9 +94,9 @@ def sign_rows(bands: int, rows: int, size: int):
             texts = binaries(b.column("text"))
             for held in held_rows(texts):
                 units, lengths = np.concatenate([u for _, u in held]), np.array([len(u) for _, u in held])
-                t, h, count = shingles(units, lengths, size)
+                t, h, _ = shingles(units, lengths, size)
                 n = np.bincount(t, minlength=len(held))
-                sign = signatures(t, h, count.astype(np.float64), len(held), bands * rows)
+                sign = signatures(t, h, np.ones(len(h)), len(held), bands * rows)
                 low = (mixed(sign) & np.uint64(255)).astype(np.uint8)
                 at = np.arange(len(held) * bands) * rows
                 hashes = signed(span_hashes(sign.reshape(-1), at, at + rows)).reshape(len(held), bands)

@@ -163,6 +163,15 @@ def test_near_classes_match_brute_force(spark, docs):
     assert len([i for i in ids if i is not None]) == len({brute_classes([(i, t) for i, t, *_ in corpus() if i is not None])[i] for i, *_ in corpus() if i is not None})
 
 
+def test_near_copies_with_repeated_lines_are_linked(spark):
+    rows = []
+    for k in range(12):  # 96 shingles; the copy repeats six words thirty times
+        text = words(100, 900 + k)
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text + text[40:46] * 30))]
+    got = {r.id: r.class_id for r in probminhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(24)} == brute_classes(rows)
+
+
 def test_signatures_estimate_probability_jaccard():
     r = np.random.default_rng(1)
     a = {int(k): float(w) for k, w in zip(r.integers(0, 2**60, 300), r.integers(1, 4, 300))}
