@@ -520,6 +520,21 @@ def wfa_matrix(spark, sf):
     return only(s, *s.columns, digits=7)
 
 
+@query
+def walk_forward_all(spark, sf):
+    """walk_forward over every bar of the table."""
+    w = R.walk_forward_all(_cell_trades(spark, sf), bars(spark, sf), [(400, 200, 200)])
+    return only(w, "fold_id", "cell_id", "train_trades", "train_metric", "test_trades", "test_metric", digits=7)
+
+
+@query
+def wfa_matrix_all(spark, sf):
+    """wfa_matrix over every bar of the table."""
+    w = R.walk_forward_all(_cell_trades(spark, sf), bars(spark, sf), [(300, 150, 150), (300, 300, 300), (600, 150, 150)])
+    s = w.groupBy(F.col("label").alias("matrix_id")).agg(F.count(F.lit(1)).alias("folds"), F.avg("test_metric").alias("mean_test"), F.sum("test_total_r").alias("oos_total_r"))
+    return only(s, *s.columns, digits=7)
+
+
 @query
 def bootstrap_ci(spark, sf):
     t = event_trades(spark, sf).withColumn("day", F.to_date("exit_ts"))

@@ -177,6 +177,14 @@ ORACLES: dict[str, str] = {
       tr AS (SELECT matrix_id, fold_id, cell_id, stop_ticks, target_ticks, avg(r_multiple) AS m FROM trades, folds WHERE entry_bar_index >= a AND exit_bar_index < b GROUP BY ALL),
       best AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY matrix_id, fold_id ORDER BY m DESC, stop_ticks, target_ticks) = 1),
       te AS (SELECT matrix_id, fold_id, cell_id, sum(r_multiple) AS s, avg(r_multiple) AS m FROM trades, folds WHERE entry_bar_index >= b AND exit_bar_index < d GROUP BY ALL)""", "SELECT b.matrix_id, count(*) AS folds, round(avg(te.m) + 3.7e-10, 7) AS mean_test, round(sum(te.s) + 3.7e-10, 7) AS oos_total_r FROM best b LEFT JOIN te ON b.matrix_id = te.matrix_id AND b.fold_id = te.fold_id AND b.cell_id = te.cell_id GROUP BY b.matrix_id"),
+    "walk_forward_all": w(simulated(CELLS) + """, folds AS (SELECT i AS fold_id, 200 * i AS a, 200 * i + 400 AS b, 200 * i + 600 AS d FROM (SELECT unnest(generate_series(0, (SELECT CASE WHEN max(bar_index) + 1 < 600 THEN -1 ELSE (max(bar_index) + 1 - 600) // 200 END FROM bars))) AS i) t),
+      tr AS (SELECT fold_id, cell_id, stop_ticks, target_ticks, count(*) AS n, avg(r_multiple) AS m FROM trades, folds WHERE entry_bar_index >= a AND exit_bar_index < b GROUP BY ALL),
+      best AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY fold_id ORDER BY m DESC, stop_ticks, target_ticks) = 1),
+      te AS (SELECT fold_id, cell_id, count(*) AS n, avg(r_multiple) AS m FROM trades, folds WHERE entry_bar_index >= b AND exit_bar_index < d GROUP BY ALL)""", "SELECT b.fold_id::INT AS fold_id, b.cell_id, b.n AS train_trades, round(b.m + 3.7e-10, 7) AS train_metric, te.n AS test_trades, round(te.m + 3.7e-10, 7) AS test_metric FROM best b LEFT JOIN te ON b.fold_id = te.fold_id AND b.cell_id = te.cell_id"),
+    "wfa_matrix_all": w(simulated(CELLS) + """, folds AS (SELECT 0 AS matrix_id, i AS fold_id, 150 * i AS a, 150 * i + 300 AS b, 150 * i + 450 AS d FROM (SELECT unnest(generate_series(0, (SELECT CASE WHEN max(bar_index) + 1 < 450 THEN -1 ELSE (max(bar_index) + 1 - 450) // 150 END FROM bars))) AS i) t UNION ALL SELECT 1, i, 300 * i, 300 * i + 300, 300 * i + 600 FROM (SELECT unnest(generate_series(0, (SELECT CASE WHEN max(bar_index) + 1 < 600 THEN -1 ELSE (max(bar_index) + 1 - 600) // 300 END FROM bars))) AS i) t UNION ALL SELECT 2, i, 150 * i, 150 * i + 600, 150 * i + 750 FROM (SELECT unnest(generate_series(0, (SELECT CASE WHEN max(bar_index) + 1 < 750 THEN -1 ELSE (max(bar_index) + 1 - 750) // 150 END FROM bars))) AS i) t),
+      tr AS (SELECT matrix_id, fold_id, cell_id, stop_ticks, target_ticks, avg(r_multiple) AS m FROM trades, folds WHERE entry_bar_index >= a AND exit_bar_index < b GROUP BY ALL),
+      best AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY matrix_id, fold_id ORDER BY m DESC, stop_ticks, target_ticks) = 1),
+      te AS (SELECT matrix_id, fold_id, cell_id, sum(r_multiple) AS s, avg(r_multiple) AS m FROM trades, folds WHERE entry_bar_index >= b AND exit_bar_index < d GROUP BY ALL)""", "SELECT b.matrix_id, count(*) AS folds, round(avg(te.m) + 3.7e-10, 7) AS mean_test, round(sum(te.s) + 3.7e-10, 7) AS oos_total_r FROM best b LEFT JOIN te ON b.matrix_id = te.matrix_id AND b.fold_id = te.fold_id AND b.cell_id = te.cell_id GROUP BY b.matrix_id"),
     "permutation_test": w(NUM, f", p AS (SELECT symbol, day, sim, avg(CASE WHEN (({DRAW('sim', 'pos', 2)}) % 1009) % 2 = 0 THEN r_multiple ELSE -r_multiple END) AS m, avg(r_multiple) AS o FROM num, range(50) s(sim) GROUP BY ALL) SELECT symbol, day, round(max(o) + 3.7e-10, 7) AS observed_mean, round(avg((round(m + 3.7e-10, 7) >= round(o + 3.7e-10, 7))::INT::DOUBLE) + 3.7e-10, 7) AS p_value FROM p GROUP BY symbol, day"),
     "mc_block": w(NUM, f", q AS (SELECT symbol, day, sim, pos, ((({DRAW('sim', 'floor(pos / 4)', 3)}) % n) + pos % 4) % n AS pick FROM num, range(20) s(sim)), p AS (SELECT q.symbol, q.day, q.sim, q.pos, num.r_multiple AS r FROM q JOIN num ON q.symbol = num.symbol AND q.day = num.day AND q.pick = num.pos), c AS (SELECT *, sum(r) OVER (PARTITION BY symbol, day, sim ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum FROM p), e AS (SELECT *, greatest(max(cum) OVER (PARTITION BY symbol, day, sim ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) - cum AS dd FROM c) SELECT symbol, day, sim::INT AS sim, round(sum(r) + 3.7e-10, 7) AS final_r, round(max(dd) + 3.7e-10, 7) AS max_drawdown_r FROM e GROUP BY symbol, day, sim"),
     "trade_summary": w(ET, """, c AS (SELECT *, sum(r_multiple) OVER (PARTITION BY symbol ORDER BY exit_ts, trade_id ROWS UNBOUNDED PRECEDING) AS cum FROM trades), d AS (SELECT *, greatest(max(cum) OVER (PARTITION BY symbol ORDER BY exit_ts, trade_id ROWS UNBOUNDED PRECEDING), 0) - cum AS dd FROM c),

@@ -55,12 +55,37 @@ def walk_forward(trades: DataFrame, fold_list: list[tuple[int, int, int, int]],
     trades: of all cells, simulated once; the few folds are a literal array.
     """
     spans = F.explode(F.array(*[F.struct(F.lit(i).alias("fold_id"), F.lit((labels or [0] * len(fold_list))[i]).alias("label"), *[F.lit(v).alias(n) for n, v in zip(("a", "b", "c", "d"), f, strict=True)]) for i, f in enumerate(fold_list)]))
-    rows = trades.withColumn("f", spans).select("*", "f.*").drop("f")
+    return _walked(trades.withColumn("f", spans).select("*", "f.*").drop("f"), metric, min_trades)
+
+
+def walk_forward_all(trades: DataFrame, bars: DataFrame, spans: list[tuple[int, int, int]], anchored: bool = False, metric: str = "expectancy_r", min_trades: int = 1) -> DataFrame:
+    """As walk_forward, over all bars there are: spans are (train, test, step) bars, each a label with its own folds.
+
+    The number of folds follows from the longest symbol's bars, as a table of one row; a trade
+    meets only the folds whose bars hold it.
+    """
+    if any(min(x) < 1 for x in spans):
+        raise ValueError("train, test and step must be 1 bar or more")
+    n_bars = bars.agg(F.max("bar_index").alias("__last"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("label"), *[F.lit(v).alias(n) for n, v in zip(("__train", "__test", "__step"), x, strict=True)]) for i, x in enumerate(spans)]))
+    rows = trades.crossJoin(F.broadcast(n_bars)).withColumn("f", kinds).select("*", "f.*").drop("f")
+    first = F.greatest(F.lit(0), F.ceil((F.col("exit_bar_index") + 1 - F.col("__train") - F.col("__test")) / F.col("__step"))).cast("int")
+    end = F.floor((F.col("__last") + 1 - F.col("__train") - F.col("__test")) / F.col("__step"))
+    last = (end if anchored else F.least(end, F.floor(F.col("entry_bar_index") / F.col("__step")))).cast("int")
+    rows = rows.withColumns({"__first": first, "__end": last}).where("__first <= __end").withColumn("fold_id", F.explode(F.sequence("__first", "__end")))
+    at = F.col("fold_id") * F.col("__step")
+    rows = rows.withColumns({"a": F.lit(0) if anchored else at, "b": at + F.col("__train"), "c": at + F.col("__train"), "d": at + F.col("__train") + F.col("__test")})
+    return _walked(rows.drop("__last", "__train", "__test", "__step", "__first", "__end"), metric, min_trades)
+
+
+def _walked(rows: DataFrame, metric: str, min_trades: int) -> DataFrame:
+    """Trades with a label, fold_id and the fold's bars (a, b, c, d) -> the best cell of each fold."""
     inside = lambda lo, hi: (F.col("entry_bar_index") >= F.col(lo)) & (F.col("exit_bar_index") < F.col(hi))
     keys = ["fold_id", "label", "cell_id", "stop_ticks", "target_ticks"]
-    train = best_cell(trade_summary(rows.where(inside("a", "b")), keys), metric, ["fold_id"], min_trades)
-    test = trade_summary(rows.where(inside("c", "d")), ["fold_id", "cell_id"])
-    out = train.select(*keys, F.col("trade_count").alias("train_trades"), F.col(metric).alias("train_metric")).join(test.select("fold_id", "cell_id", F.col("trade_count").alias("test_trades"), F.col(metric).alias("test_metric"), F.col("total_r").alias("test_total_r")), ["fold_id", "cell_id"], "left")
+    train = best_cell(trade_summary(rows.where(inside("a", "b")), keys), metric, ["label", "fold_id"], min_trades)
+    test = trade_summary(rows.where(inside("c", "d")), ["label", "fold_id", "cell_id"])
+    test = test.select("label", "fold_id", "cell_id", F.col("trade_count").alias("test_trades"), F.col(metric).alias("test_metric"), F.col("total_r").alias("test_total_r"))
+    out = train.select(*keys, F.col("trade_count").alias("train_trades"), F.col(metric).alias("train_metric")).join(test, ["label", "fold_id", "cell_id"], "left")
     return out.withColumn("retention", F.when(F.abs("train_metric") > 1e-8, F.col("test_metric") / F.col("train_metric")))
 
 

@@ -214,3 +214,25 @@ def test_configuration():
         ST.expand({"colour": [1]})
     with pytest.raises(ValueError):
         R.grid_cells([1.0] * 200, [1.0] * 200)
+
+
+def test_walk_forward_reaches_the_last_bar(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(400):
+        entry = rng.randrange(0, 1390)
+        for cell in range(2):
+            rows.append(("s", 2 * k + cell, f"2024-01-01 {entry // 60:02d}:{entry % 60:02d}:00", entry, entry + rng.randrange(0, 9), cell, 100.0 * (cell + 1), 300.0, "long", float(rng.randrange(-8, 9)) / 8))
+    trades = spark.createDataFrame(rows, "symbol string, trade_id long, exit_ts string, entry_bar_index int, exit_bar_index int, cell_id int, stop_ticks double, target_ticks double, direction string, r_multiple double").withColumn("exit_ts", F.to_timestamp("exit_ts"))
+    bars = spark.range(1400).select(F.lit("s").alias("symbol"), F.col("id").cast("int").alias("bar_index"))
+    for anchored in (False, True):
+        got = {(r.label, r.fold_id): r for r in R.walk_forward_all(trades, bars, [(400, 200, 200), (300, 150, 100)], anchored).collect()}
+        want = {}
+        for label, (train, test, step) in enumerate([(400, 200, 200), (300, 150, 100)]):
+            for i, (a, b, c, d) in enumerate(R.folds(1400, train, test, step, anchored)):
+                by = {cell: [x[9] for x in rows if x[5] == cell and x[3] >= a and x[4] < b] for cell in range(2)}
+                best = max((0, 1), key=lambda cell: (sum(by[cell]) / len(by[cell]), -cell))
+                want[label, i] = best, len(by[best]), sum(1 for x in rows if x[5] == best and x[3] >= c and x[4] < d)
+        assert {k: (r.cell_id, r.train_trades, r.test_trades) for k, r in got.items()} == want
+        assert (0, 4) in got and (1, 9) in got  # the folds that end at bar 1,400 and 1,350
+    assert R.walk_forward_all(trades, bars.where("bar_index < 500"), [(400, 200, 200)]).count() == 0
