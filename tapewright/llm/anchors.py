@@ -183,56 +183,95 @@ def run_rows(kind: str, window: int, gram: int):
     return go
 
 
-PACKED_SCHEMA = "id long, mark long, start int, n int, place int, h long, px long, packed binary"
+SENT_SCHEMA = "id long, h long, px long, place int, packed binary"
+PLACED_SCHEMA = "id long, mark long, h long, px long, n int, starts array<int>"
+
+
+def run_strings(kind: str, window: int, gram: int):
+    """Batches of rows with candidate runs -> by row, (start, n, place, h, string) of
+    each run; runs of hot buckets are split by a second minimiser."""
+
+    def go(b):
+        texts, runs = texts_of(b), b.column("runs")
+        offsets = runs.offsets.to_numpy()
+        flat = runs.values
+        start, n, place, h, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n", "place", "h", "hot"))
+        for row, text in enumerate(texts):
+            found = []
+            if kind == "words":
+                s, e = word_spans(np.frombuffer(text, np.uint8))
+            for j in range(offsets[row], offsets[row + 1]):
+                a, m, key = int(start[j]), int(n[j]), int(h[j])
+                lo, hi = (int(s[a]), int(e[a + m + window - 2])) if kind == "words" else (a, a + m + window - 1)
+                body = text[lo:hi]
+                if not hot[j]:
+                    found.append((a, m, int(place[j]), key, body))
+                    continue
+                u = units_of(body, kind)
+                _, f, c, _, h2 = runs_of(u, np.array([len(u)]), window, gram, without=key & (2**64 - 1))
+                bs, be = word_spans(np.frombuffer(body, np.uint8)) if kind == "words" else (None, None)
+                for x, y, z in zip(f, c, signed(mixed(h2 + np.uint64(key & (2**64 - 1)))), strict=True):
+                    found.append((a + int(x), int(y), int(place[j]) - int(x), int(z), body[int(bs[x]) : int(be[x + y + window - 2])] if kind == "words" else body[x : x + y + window - 1]))
+            yield row, found
+
+    return go
 
 
-def packed_rows(kind: str, window: int, gram: int, send: bool):
-    """Rows with their candidate runs -> a row for each run, with the hash of its
-    packed string and, if send, the string unless this task has sent it before.
+def sent_rows(kind: str, window: int, gram: int, repeats: bool):
+    """Rows with their candidate runs -> the packed string of each run, once a task,
+    and, if repeats, a row without the string for the second time it occurs there.
 
-    Rows come in the order of id, so a string is sent with this task's smallest.
+    Rows come in the order of id, so a string is sent with this task's smallest. If
+    a bucket has several rows of a string, it occurs several times, and only then.
     """
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def go(batches):
-        sent: set[tuple[int, int]] = set()
+        sent: dict[tuple[int, int], bool] = {}  # whether the second row is sent too
         for b in batches:
-            texts, runs = texts_of(b), b.column("runs")
-            offsets = runs.offsets.to_numpy()
-            flat = runs.values
-            start, n, place, h, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n", "place", "h", "hot"))
-            ids, marks = b.column("id").to_pylist(), b.column("mark").to_pylist()
-            out: list[tuple] = []
-            size = 0
-            for row, text in enumerate(texts):
-                if kind == "words":
-                    s, e = word_spans(np.frombuffer(text, np.uint8))
-                for j in range(offsets[row], offsets[row + 1]):
-                    a, m = int(start[j]), int(n[j])
-                    lo, hi = (int(s[a]), int(e[a + m + window - 2])) if kind == "words" else (a, a + m + window - 1)
-                    body = text[lo:hi]
-                    parts = [(a, m, int(place[j]), int(h[j]), body)]
-                    if hot[j]:
-                        u = units_of(body, kind)
-                        _, f, c, _, h2 = runs_of(u, np.array([len(u)]), window, gram, without=int(h[j]) & (2**64 - 1))
-                        bs, be = word_spans(np.frombuffer(body, np.uint8)) if kind == "words" else (None, None)
-                        keys = signed(mixed(h2 + np.uint64(int(h[j]) & (2**64 - 1))))
-                        parts = [(a + int(x), int(y), int(place[j]) - int(x), int(z), body[int(bs[x]) : int(be[x + y + window - 2])] if kind == "words" else body[x : x + y + window - 1]) for x, y, z in zip(f, c, keys, strict=True)]
-                    for x, y, z, key, piece in parts:
-                        digest = _digest(b" ".join(piece.split()) if kind == "words" else piece)
-                        first = send and (key, digest) not in sent
-                        if first:
-                            if len(sent) > 400_000:
-                                sent.clear()
-                            sent.add((key, digest))
-                            piece = b" ".join(piece.split()) if kind == "words" else piece
-                            size += len(piece)
-                        if first or not send:
-                            out.append((ids[row], marks[row], x, y, z, key, digest, piece if first else None))
+            ids, out, size = b.column("id").to_pylist(), [], 0
+            for row, found in run_strings(kind, window, gram)(b):
+                for _, _, place, key, piece in found:
+                    piece = b" ".join(piece.split()) if kind == "words" else piece
+                    px = _digest(piece)
+                    again = sent.get((key, px))
+                    if again:
+                        continue
+                    if len(sent) > 400_000:
+                        sent.clear()
+                    sent[key, px] = again is not None
+                    if again is None:
+                        size += len(piece)
+                        out.append((ids[row], key, px, place, piece))
+                    elif repeats:
+                        out.append((ids[row], key, px, place, None))
                 if len(out) > 20_000 or size > 8_000_000:
-                    yield _batch(out)
+                    yield _batch(out, SENT_SCHEMA, kinds)
                     out, size = [], 0
             if out:
-                yield _batch(out)
+                yield _batch(out, SENT_SCHEMA, kinds)
+
+    return go
+
+
+def placed_rows(kind: str, window: int, gram: int):
+    """Rows with their candidate runs -> a row for each of a text's packed strings,
+    by hash, with the places at which it starts there."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
+
+    def go(batches):
+        for b in batches:
+            ids, marks, out = b.column("id").to_pylist(), b.column("mark").to_pylist(), []
+            for row, found in run_strings(kind, window, gram)(b):
+                starts: dict[tuple[int, int, int], list[int]] = {}
+                for a, m, _, key, piece in found:
+                    starts.setdefault((key, _digest(b" ".join(piece.split()) if kind == "words" else piece), m), []).append(a)
+                out += [(ids[row], marks[row], key, px, m, x) for (key, px, m), x in starts.items()]
+                if len(out) > 20_000:
+                    yield _batch(out, PLACED_SCHEMA, kinds)
+                    out = []
+            if out:
+                yield _batch(out, PLACED_SCHEMA, kinds)
 
     return go
 
@@ -243,9 +282,8 @@ def _digest(piece: bytes) -> int:
     return xxhash.xxh64_intdigest(piece) - (1 << 63)
 
 
-def _batch(out: list[tuple]) -> pa.RecordBatch:
-    names = ["id", "mark", "start", "n", "place", "h", "px", "packed"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+def _batch(out: list[tuple], schema: str, kinds: list) -> pa.RecordBatch:
+    names = [x.split(" ")[0] for x in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
@@ -268,8 +306,8 @@ def squeeze(batches):
 
 
 def squeezed(docs: DataFrame, id_col: str, text: str, carry: list[str]) -> DataFrame:
-    """Like dealt(), for tasks in Python: the carried columns, and the text compressed
-    for the shuffle."""
+    """The carried columns as structs and the text compressed, dealt out by id and mark
+    (a hash of the text) once for all joins on them."""
     row = F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("row")
     body = F.col(f"`{text}`").cast("string")
     rows = docs.select(row, id_of(id_col), F.xxhash64(body).alias("mark"), body.alias("text"))
@@ -289,14 +327,6 @@ def texts_of(batch: pa.RecordBatch) -> list[bytes | None]:
     return [None if z is None else open_(z) for z in batch.column("z").to_pylist()]
 
 
-def dealt(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """The rows as structs with id and mark (a hash of the text), dealt out by
-    these two once for all joins on them."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, id_of(id_col), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("mark"))
-    return rows.repartition(partitions(docs.sparkSession), "id", "mark")
-
-
 def candidate_runs(docs: DataFrame, kind: str, window: int, gram: int, distinct_ids: bool, name: str, text: str = "text", id_col: str = "doc_id", keep: bool = True) -> DataFrame:
     """(id, mark, runs): by document, the runs whose minimiser also occurs elsewhere
     (distinct_ids: in a document with another id). keep: write all runs once, else
@@ -313,12 +343,29 @@ def candidate_runs(docs: DataFrame, kind: str, window: int, gram: int, distinct_
     return cut(runs.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "n", "place", "h", "hot")).alias("runs")), f"{name}-candidates")
 
 
-def packed_runs(rows: DataFrame, found: DataFrame, kind: str, window: int, gram: int, send: bool, text: str = "text") -> DataFrame:
-    """rows: made by dealt() or squeezed(). A row for each candidate run, in the order of id within a task."""
-    # squeezed rows go along whole, so that all plans on them need one and the same shuffle
-    body = [F.col("row"), F.col("z")] if "z" in rows.columns else [F.col(f"row.`{text}`").cast("string").alias("text")]
-    both = rows.join(found, ["id", "mark"]).select("id", "mark", *body, "runs")
-    return both.sortWithinPartitions("id").mapInArrow(packed_rows(kind, window, gram, send), PACKED_SCHEMA)
+def with_runs(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """squeezed() rows with their candidate runs, in the order of id within a task."""
+    # the rows go along whole, so that all plans on them need one and the same shuffle
+    return rows.join(found, ["id", "mark"]).select("id", "mark", "row", "z", "runs").sortWithinPartitions("id")
+
+
+def sent_strings(rows: DataFrame, found: DataFrame, kind: str, window: int, gram: int, repeats: bool) -> DataFrame:
+    return with_runs(rows, found).mapInArrow(sent_rows(kind, window, gram, repeats), SENT_SCHEMA)
+
+
+def placed_strings(rows: DataFrame, found: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
+    return with_runs(rows, found).mapInArrow(placed_rows(kind, window, gram), PLACED_SCHEMA)
+
+
+def lost_spans(placed: DataFrame, runs: DataFrame, window: int, wanted=None) -> DataFrame:
+    """(id, mark, spans) of texts: placed strings meet the runs of windows to remove,
+    (h, px, runs of at and n); wanted: which of these count for a row."""
+    met = placed.drop("n").join(runs, ["h", "px"])
+    if wanted is not None:
+        met = met.withColumn("runs", F.filter("runs", wanted)).where(F.size("runs") > 0)
+    span = lambda s: F.transform("runs", lambda r: F.struct((s + r["at"]).alias("lo"), (s + r["at"] + r["n"] + window - 1).alias("hi")))
+    spans = met.select("id", "mark", F.flatten(F.transform("starts", span)).alias("spans"))
+    return spans.groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def covered(n: int, intervals: list[tuple[int, int]]) -> np.ndarray:

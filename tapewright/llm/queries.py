@@ -37,7 +37,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

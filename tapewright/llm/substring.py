@@ -7,13 +7,16 @@ of a document that holds it; words of windows that an earlier document holds go.
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tapewright.llm.anchors import candidate_runs, dealt, grouped_by, packed_runs, span_hashes, word_units
-from tapewright.llm.common import let, partitions, split_words
+from tapewright.llm.anchors import candidate_runs, covered, grouped_by, lost_spans, placed_strings, sent_strings, span_hashes, squeezed, texts_of, word_units
+from tapewright.llm.common import partitions
 
 WINDOW = 50
 #: Words of a gram; windows of 50 words hold 43 of them.
@@ -58,48 +61,52 @@ def window_owners(window: int):
     return go
 
 
-def gaps(spans: Column, n: Column) -> Column:
-    """The parts of 0 .. n-1 outside the spans (lo, hi), in order."""
-    none = F.array().cast("array<struct<lo:int,hi:int>>")
-
-    def step(state: Column, s: Column) -> Column:
-        more = F.when(s["lo"] > state["at"], F.concat(state["gaps"], F.array(F.struct(state["at"].alias("lo"), s["lo"].alias("hi"))))).otherwise(state["gaps"])
-        return F.struct(F.greatest(state["at"], s["hi"]).alias("at"), more.alias("gaps"))
-
-    def finish(state: Column) -> Column:
-        return F.when(state["at"] < n, F.concat(state["gaps"], F.array(F.struct(state["at"].alias("lo"), n.alias("hi"))))).otherwise(state["gaps"])
-
-    return F.aggregate(F.sort_array(spans), F.struct(F.lit(0).alias("at"), none.alias("gaps")), step, finish)
-
-
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The columns of ``docs`` with n_words, n_removed and kept_text: the words
-    that no window covers whose word sequence also starts in a document with a
-    smaller id, joined by one space (a text that loses nothing keeps its form only
-    if the caller takes the text itself).
+def remove_words(batches):
+    """Rows with spans of words to remove -> the text, counts and the words that stay."""
+    names = ["row", "text", *MADE]
+
+    def made(rows, texts, n_words, n_removed, kept):
+        return pa.RecordBatch.from_arrays([rows, *[pa.array(x, t) for x, t in ((texts, pa.binary()), (n_words, pa.int64()), (n_removed, pa.int64()), (kept, pa.binary()))]], names)
+
+    for b in batches:
+        spans, first, size = b.column("spans").to_pylist(), 0, 0
+        held: tuple[list, ...] = ([], [], [], [])
+        for i, text in enumerate(texts_of(b)):
+            words = (text or b"").split()
+            left = words
+            if spans[i]:
+                left = list(compress(words, ~covered(len(words), [(s["lo"], s["hi"]) for s in spans[i]])))
+            for column, x in zip(held, (text, len(words), len(words) - len(left), b" ".join(left)), strict=True):
+                column.append(x)
+            size += len(text or b"")
+            if size > 8_000_000:
+                yield made(b.column("row").slice(first, i + 1 - first), *held)
+                held, first, size = ([], [], [], []), i + 1, 0
+        if held[0]:
+            yield made(b.column("row").slice(first), *held)
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
+    """The carried columns of ``docs`` (all by default) with n_words, n_removed and
+    kept_text: the words that no window covers whose word sequence also starts in a
+    document with a smaller id, joined by one space (a text that loses nothing keeps
+    its form only if the caller takes the text itself).
 
     Cases: a null or empty text has no words, kept_text ''; texts shorter than the
-    window lose nothing; rows with a null id neither lose words nor make others
-    lose any; rows with equal ids don't affect each other; an empty table gives an
-    empty result; columns named like a made one are replaced by it. Ids must be
-    integers.
+    window lose nothing; very long texts are whole; rows with a null id neither
+    lose words nor make others lose any; rows with equal ids don't affect each
+    other; an empty table gives an empty result; columns named like a made one are
+    replaced by it. Ids must be integers.
     """
-    spark = docs.sparkSession
-    rows = dealt(docs, id_col, text)
+    keep = [c for c in (docs.columns if carry is None else carry) if c not in MADE]
+    rows = squeezed(docs, id_col, text, [c for c in keep if c != text])
     found = candidate_runs(docs, "words", window, gram, True, "substring", text, id_col)
-    strings = packed_runs(rows, found, "words", window, gram, True, text).select("h", "px", "id", "packed")
-    owners = strings.repartition(partitions(spark), "h").sortWithinPartitions("h", "px", "id").mapInArrow(window_owners(window), OWNER_SCHEMA)
-    light = packed_runs(rows, found, "words", window, gram, False, text).select("h", "px", "id", "mark", "start")
-    lost = light.join(owners, ["h", "px"]).withColumn("runs", F.filter("runs", lambda r: r["owner"] < F.col("id"))).where(F.size("runs") > 0)
-    span = lambda r: F.struct((F.col("start") + r["at"]).alias("lo"), (F.col("start") + r["at"] + r["n"] + window - 1).alias("hi"))
-    lost = lost.select("id", "mark", F.transform("runs", span).alias("spans")).groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-    keep = [c for c in docs.columns if c not in MADE]
-    words = split_words(F.col(f"row.`{text}`").cast("string"))
-    out = rows.join(lost, ["id", "mark"], "left")
-
-    def result(w: Column) -> Column:
-        left = F.when(F.col("spans").isNull(), w).otherwise(F.flatten(F.transform(gaps(F.col("spans"), F.size(w)), lambda g: F.slice(w, g["lo"] + 1, g["hi"] - g["lo"]))))
-        return let(left, lambda k: F.struct(F.size(w).cast("long").alias("n_words"), (F.size(w) - F.size(k)).cast("long").alias("n_removed"), F.array_join(k, " ").alias("kept_text")))
-
-    out = out.withColumn("made", let(words, result))
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *[F.col(f"made.{c}").alias(c) for c in MADE])
+    strings = sent_strings(rows, found, "words", window, gram, False).select("h", "px", "id", "packed")
+    owners = strings.repartition(partitions(docs.sparkSession), "h").sortWithinPartitions("h", "px", "id").mapInArrow(window_owners(window), OWNER_SCHEMA)
+    placed = placed_strings(rows, found, "words", window, gram)
+    lost = lost_spans(placed, owners, window, lambda r: r["owner"] < F.col("id"))
+    out = rows.join(lost, ["id", "mark"], "left").select("row", "z", "spans")
+    kind = T.StructType([out.schema["row"], *[T.StructField(c, T.LongType() if c.startswith("n_") else T.BinaryType()) for c in ("text", *MADE)]])
+    out = out.mapInArrow(remove_words, kind)
+    carried = {c: F.col(f"row.`{c}`") if c != text else F.col("text").cast("string") for c in keep}
+    return out.select(*[v.alias(c) for c, v in carried.items()], *MADE[:2], F.col(MADE[2]).cast("string").alias(MADE[2]))

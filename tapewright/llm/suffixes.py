@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewright.llm.anchors import candidate_runs, covered, grouped_by, packed_runs, squeezed, texts_of
+from tapewright.llm.anchors import candidate_runs, covered, grouped_by, lost_spans, placed_strings, sent_strings, squeezed, texts_of
 from tapewright.llm.common import partitions
 
 WINDOW = 200
@@ -121,13 +122,23 @@ def repeats_in(text: np.ndarray, starts: np.ndarray, groups: np.ndarray, window:
 
 
 def bucket_repeats(window: int):
-    """Packed strings sorted by bucket -> windows that another string of the bucket holds."""
+    """Packed strings sorted by bucket -> their windows that occur elsewhere: all, if
+    the string occurs again, or those that another string of the bucket holds."""
 
     def go(batches):
         for t in grouped_by(batches, "h"):
             h, px, place = (t.column(c).to_numpy() for c in ("h", "px", "place"))
-            one = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (px[1:] != px[:-1]) | (place[1:] != place[:-1])])
-            h, px, place = h[one], px[one], place[one]
+            strings = t.column("packed")
+            new = np.r_[True, (h[1:] != h[:-1]) | (px[1:] != px[:-1])]
+            again = (np.bincount(np.cumsum(new) - 1) > 1)[np.cumsum(new) - 1]
+            # rows without the string come after those with it
+            one = np.flatnonzero((new | np.r_[True, place[1:] != place[:-1]]) & strings.is_valid().to_numpy())
+            twice = np.flatnonzero(new & again)
+            if len(twice):
+                n = pc.subtract(pc.binary_length(strings.take(pa.array(twice))), window - 1).combine_chunks().cast(pa.int32())
+                runs = pa.StructArray.from_arrays([pa.array(np.zeros(len(n), np.int32)), n], ["at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[twice]), pa.array(px[twice]), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1), pa.int32()), runs)], ["h", "px", "runs"])
+            h, px, place, again = h[one], px[one], place[one], again[one]
             bucket = np.cumsum(np.r_[True, h[1:] != h[:-1]])
             many = np.flatnonzero(np.bincount(bucket)[bucket] > 1)
             if not len(many):
@@ -142,7 +153,7 @@ def bucket_repeats(window: int):
             at = np.arange(len(context)) - np.repeat(np.cumsum(n) - n, n)
             # equal windows have their minimiser at the same place
             groups = bucket[context].astype(np.int64) * (window + 1) + (place[context] - at)
-            hit = np.flatnonzero(repeats_in(text, base[context] + at, groups, window))
+            hit = np.flatnonzero(repeats_in(text, base[context] + at, groups, window) & ~again[many][context])
             if not len(hit):
                 continue
             c, a = context[hit], at[hit]
@@ -184,19 +195,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     ids; an empty table gives an empty result; columns named like a made one are
     replaced by it. kept_bytes need not be UTF-8.
     """
-    spark = docs.sparkSession
     keep = [c for c in (docs.columns if carry is None else carry) if c not in MADE]
     rows = squeezed(docs, id_col, text, keep)
     found = candidate_runs(docs, "bytes", window, gram, False, "suffix", text, id_col, keep=False)
-    strings = packed_runs(rows, found, "bytes", window, gram, True, text).select("h", "px", "place", "packed")
-    shared = strings.repartition(partitions(spark), "h").sortWithinPartitions("h", "px", "place").mapInArrow(bucket_repeats(window), REPEAT_SCHEMA)
-    light = packed_runs(rows, found, "bytes", window, gram, False, text).select("h", "px", "id", "mark", "start", "n")
-    copies = light.groupBy("h", "px").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
-    whole = F.array(F.struct(F.lit(0).alias("at"), F.col("n")))
-    lost = copies.join(shared, ["h", "px"], "left").select("h", "px", F.when(F.col("copies") > 1, whole).otherwise(F.col("runs")).alias("runs")).where("runs is not null")
-    lost = light.drop("n").join(lost, ["h", "px"])
-    span = lambda r: F.struct((F.col("start") + r["at"]).alias("lo"), (F.col("start") + r["at"] + r["n"] + window - 1).alias("hi"))
-    lost = lost.select("id", "mark", F.transform("runs", span).alias("spans")).groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    strings = sent_strings(rows, found, "bytes", window, gram, True).select("h", "px", "place", "packed").repartition(partitions(docs.sparkSession), "h")
+    repeats = strings.sortWithinPartitions("h", "px", F.col("packed").isNull(), "place").mapInArrow(bucket_repeats(window), REPEAT_SCHEMA)
+    lost = lost_spans(placed_strings(rows, found, "bytes", window, gram), repeats, window)
     out = rows.join(lost, ["id", "mark"], "left").select("row", "z", "spans")
     made = T.StructType([T.StructField("row", out.schema["row"].dataType), *[T.StructField(c, T.LongType()) for c in MADE[:3]], T.StructField(MADE[3], T.BinaryType())])
     return out.mapInArrow(remove_spans, made).select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *MADE)
