@@ -30,12 +30,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A document that loses words keeps the others, joined by one space, and gets
     their length; one that loses all goes; the others stay as they are.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-    out = substring_dedup(rows, id_col="__id", text="__text").where("n_removed = 0 or n_removed < n_words")
-    cut_ = F.col("n_removed") > 0
-    cols = {c: F.col(f"row.`{c}`") for c in docs.columns}
-    cols["text"] = F.when(cut_, F.col("kept_text")).otherwise(cols["text"])
-    cols["n_chars"] = F.when(cut_, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(cols["n_chars"])
+    columns = docs.columns
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in columns])
+    out = substring_dedup(rows, id_col="in_doc_id", text="in_text").where("n_removed = 0 or n_removed < n_words")
+    cols = {c: F.col(f"`in_{c}`") for c in columns}
+    for c, new in (("text", F.col("kept_text")), ("n_chars", F.length("kept_text"))):
+        if c in cols:
+            cols[c] = F.when(F.col("n_removed") > 0, new.cast(docs.schema[c].dataType)).otherwise(cols[c])
     return out.select(*[v.alias(k) for k, v in cols.items()])
 
 
