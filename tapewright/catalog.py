@@ -366,6 +366,39 @@ def simulate_subtimeframe(spark, sf):
     return only(S.subtimeframe_exits(t.join(b, ["symbol", "exit_bar_index"]), sub, HALF_HOUR), "symbol", "signal_id", "resolved")
 
 
+def _retraces(spark, sf, **options):
+    """Breaks whose entry is the next bar's middle price, within that bar."""
+    b = bars(spark, sf)
+    rows, s = break_signals(b)
+    nxt = rows.select("symbol", (F.col("bar_index") - 1).alias("bar_index"), F.col("bar_index").alias("entry_bar_index"), ((F.col("high") + F.col("low")) / 2).alias("entry_price"))
+    return only(S.simulate(rows, s.join(nxt, ["symbol", "bar_index"]), max_bars=50, stop_ticks=40, target_ticks=60, **options), *TRADE, digits=7)
+
+
+@query
+def simulate_retrace_entry(spark, sf):
+    return _retraces(spark, sf)
+
+
+@query
+def simulate_retrace_path(spark, sf):
+    return _retraces(spark, sf, model="path_open_proximity")
+
+
+def _sub_bars(spark, sf):
+    return B.bars_from_ticks(ticks(spark, sf), 300)
+
+
+@query
+def simulate_subtimeframe_strict(spark, sf):
+    sub = B.filled_sub_bars(bars(spark, sf), _sub_bars(spark, sf), HALF_HOUR, 300)
+    return only(_simulated(spark, sf, model="subtimeframe", sub=sub, parent_s=HALF_HOUR, sub_s=300), *TRADE, digits=7)
+
+
+@query
+def simulate_subtimeframe_conservative(spark, sf):
+    return only(_simulated(spark, sf, model="subtimeframe_conservative", sub=_sub_bars(spark, sf), parent_s=HALF_HOUR, sub_s=300), *TRADE, digits=7)
+
+
 @query
 def exposure_single_position(spark, sf):
     return only(S.admit(_simulated(spark, sf), "single_position", 2), "symbol", "signal_id", "admitted")
@@ -508,16 +541,12 @@ def best_grid_cell(spark, sf):
 
 @query
 def walk_forward(spark, sf):
-    w = R.walk_forward(_cell_trades(spark, sf), R.folds(1000, 400, 200))
-    return only(w, "fold_id", "cell_id", "train_trades", "train_metric", "test_trades", "test_metric", digits=7)
+    return walk_forward_all(spark, sf)
 
 
 @query
 def wfa_matrix(spark, sf):
-    spans = [(k, f) for k, (train, test) in enumerate([(300, 150), (300, 300), (600, 150)]) for f in R.folds(1000, train, test)]
-    w = R.walk_forward(_cell_trades(spark, sf), [f for _, f in spans], labels=[k for k, _ in spans])
-    s = w.groupBy(F.col("label").alias("matrix_id")).agg(F.count(F.lit(1)).alias("folds"), F.avg("test_metric").alias("mean_test"), F.sum("test_total_r").alias("oos_total_r"))
-    return only(s, *s.columns, digits=7)
+    return wfa_matrix_all(spark, sf)
 
 
 @query
@@ -588,6 +617,13 @@ def pbo_cscv(spark, sf):
     return only(R.cscv_pbo(_cell_trades(spark, sf), 4), "split_id", "cell_id", "omega", "logit", digits=7)
 
 
+@query
+def pbo(spark, sf):
+    """The probability of backtest overfitting over eight blocks."""
+    s = R.pbo(R.cscv_pbo(_cell_trades(spark, sf)))
+    return only(s, *s.columns, digits=7)
+
+
 @query
 def sharpe_psr(spark, sf):
     s = R.probabilistic_sharpe(event_trades(spark, sf), ["symbol"])

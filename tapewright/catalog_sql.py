@@ -26,7 +26,33 @@ sig0 AS (SELECT symbol, bar_index, 'long' AS direction FROM leveled WHERE prev_c
 sig AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_index, direction) AS signal_id FROM sig0)"""
 
 
-def simulated(cells: str = "(0, 400.0, 600.0)", model: str = "sl_first", slip: float = 0.0, commission: float = 0.0, close: bool = False, be: bool = False) -> str:
+SUBS = ", s0 AS (SELECT symbol, time_bucket(INTERVAL 5 MINUTE, tts) AS sts, max(price) AS high, min(price) AS low, arg_max(price, tts) AS close FROM ticks GROUP BY ALL)"
+
+
+def reach(low: str, high: str) -> tuple[str, str]:
+    return f"(CASE WHEN sign > 0 THEN {low} <= stop ELSE {high} >= stop END)", f"(CASE WHEN sign > 0 THEN {high} >= target ELSE {low} <= target END)"
+
+
+def leg(a: str, b: str) -> str:
+    s, t = (f"({x} BETWEEN least({a}, {b}) AND greatest({a}, {b}))" for x in ("stop", "target"))
+    return f"CASE WHEN {s} AND {t} THEN CASE WHEN abs(stop - {a}) <= abs(target - {a}) THEN 'SL' ELSE 'TP' END WHEN {s} THEN 'SL' WHEN {t} THEN 'TP' END"
+
+
+def way(x: str, y: str) -> str:
+    at = "CASE WHEN {} THEN 'SL' WHEN {} THEN 'TP' END".format(*reach("entry_price", "entry_price"))
+    on = lambda a, b: f"entry_price BETWEEN least({a}, {b}) AND greatest({a}, {b})"
+    return f"CASE WHEN {on('open', x)} THEN coalesce({at}, {leg('entry_price', x)}, {leg(x, y)}, {leg(y, 'close')}) WHEN {on(x, y)} THEN coalesce({at}, {leg('entry_price', y)}, {leg(y, 'close')}) WHEN {on(y, 'close')} THEN coalesce({at}, {leg('entry_price', 'close')}) END"
+
+
+LO, HI = (f"least({', '.join(x)})" if k else f"greatest({', '.join(x)})" for k, x in ((1, ("entry_price", "close")), (0, ("entry_price", "close"))))
+# the two ways through the bar from the entry on: by the high first, and by the low first
+UP = reach(f"(CASE WHEN entry_price BETWEEN open AND high THEN low ELSE least(entry_price, low, close) END)", f"(CASE WHEN entry_price BETWEEN open AND high THEN high ELSE {HI} END)")
+DOWN = reach(f"(CASE WHEN entry_price BETWEEN low AND open THEN low ELSE {LO} END)", "(CASE WHEN entry_price BETWEEN low AND open THEN high ELSE greatest(entry_price, high, close) END)")
+OWN = f"CASE WHEN NOT entry_price BETWEEN low AND high THEN NULL WHEN {UP[0]} AND {DOWN[0]} THEN 'SL' WHEN {UP[1]} AND {DOWN[1]} THEN 'TP' END"
+OWN_PATH = f"CASE WHEN high - open < open - low THEN {way('high', 'low')} WHEN high - open > open - low THEN {way('low', 'high')} WHEN coalesce({way('high', 'low')}, '') = 'SL' OR coalesce({way('low', 'high')}, '') = 'SL' THEN 'SL' ELSE coalesce({way('high', 'low')}, {way('low', 'high')}) END"
+
+
+def simulated(cells: str = "(0, 400.0, 600.0)", model: str = "sl_first", slip: float = 0.0, commission: float = 0.0, close: bool = False, be: bool = False, retrace: bool = False, sub: str = "") -> str:
     stop = "stop0" if not be else "fill + sign * lvl"
     label = "'SL'" if not be else "CASE WHEN tr IS NOT NULL AND tr > greatest(-risk, coalesce(be, -risk)) THEN 'TRAIL' WHEN be IS NOT NULL AND lvl = 0 THEN 'BE' ELSE 'SL' END"
     moving = "walk1 AS (SELECT *, NULL AS be, NULL AS tr, 0 AS lvl FROM walk0)" if not be else """walkb AS (SELECT *, coalesce(max(greatest(CASE WHEN sign > 0 THEN high - fill ELSE fill - low END, 0)) OVER (PARTITION BY symbol, signal_id, cell_id ORDER BY bar_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS best FROM walk0),
@@ -34,22 +60,34 @@ walkc AS (SELECT *, CASE WHEN best >= 0.5 * risk THEN 0.0 END AS be, CASE WHEN b
 walk1 AS (SELECT *, greatest(-risk, be, tr) AS lvl FROM walkc)"""
     hit = "CASE WHEN sl THEN 'SL' WHEN tp THEN 'TP' END" if model == "sl_first" else """coalesce(CASE WHEN sign > 0 THEN CASE WHEN open <= stop THEN 'SL' WHEN open >= target THEN 'TP' END ELSE CASE WHEN open >= stop THEN 'SL' WHEN open <= target THEN 'TP' END END,
       CASE WHEN sl AND tp THEN CASE WHEN (sign > 0 AND high - open >= open - low) OR (sign < 0 AND high - open <= open - low) THEN 'SL' ELSE 'TP' END WHEN sl THEN 'SL' WHEN tp THEN 'TP' END)"""
+    if retrace:
+        hit = f"CASE WHEN bar_index = entry_bar_index THEN {OWN_PATH if model == 'path' else OWN} ELSE {hit} END"
+    subs, sub_join, sub_kind = "", "", ""
+    if sub:
+        subs = SUBS + (""", sb AS (SELECT b.symbol, b.bar_index, b.ts + k * INTERVAL 5 MINUTE AS sts, coalesce(s.low, last_value(s.close IGNORE NULLS) OVER w, b.open) AS slow, coalesce(s.high, last_value(s.close IGNORE NULLS) OVER w, b.open) AS shigh
+  FROM bars b CROSS JOIN range(6) t(k) LEFT JOIN s0 s ON s.symbol = b.symbol AND s.sts = b.ts + k * INTERVAL 5 MINUTE WINDOW w AS (PARTITION BY b.symbol, b.bar_index ORDER BY k))""" if sub == "filled" else """, sb AS (SELECT b.symbol, b.bar_index, s.sts, s.low AS slow, s.high AS shigh FROM bars b JOIN s0 s ON s.symbol = b.symbol AND time_bucket(INTERVAL 30 MINUTE, s.sts) = b.ts QUALIFY count(*) OVER (PARTITION BY b.symbol, b.bar_index) = 6)""")
+        sub_kind = f"""walk4 AS (SELECT symbol, signal_id, cell_id, bar_index, arg_min(CASE WHEN ssl THEN 'SL' ELSE 'TP' END, sts) FILTER (ssl OR stp) AS skind, true AS has FROM (
+  SELECT x.*, sb.sts, CASE WHEN sign > 0 THEN slow <= stop ELSE shigh >= stop END AS ssl, CASE WHEN sign > 0 THEN shigh >= target ELSE slow <= target END AS stp FROM walk3 x JOIN sb ON sb.symbol = x.symbol AND sb.bar_index = x.bar_index) GROUP BY ALL),
+walk5 AS (SELECT x.*, skind, has FROM walk3 x LEFT JOIN walk4 y USING (symbol, signal_id, cell_id, bar_index)),"""
+        hit = f"CASE WHEN has THEN skind ELSE {hit} END"
+    entry = "(b.high + b.low) / 2" if retrace else "b.open"
     ends = ", ends AS (SELECT symbol, session_date, max(bar_index) FILTER (session = 'RTH') AS close_bar FROM bars WHERE sod <= 57600 GROUP BY ALL)" if close else ""
     join = "LEFT JOIN ends e ON e.symbol = b.symbol AND e.session_date = b.session_date" if close else ""
     where = "WHERE (close_bar IS NULL OR close_bar >= b.bar_index) AND b.sod <= 54000" if close else ""
     close_bar = "close_bar" if close else "NULL::INT"
-    return BREAKS + ends + f""",
+    return BREAKS + ends + subs + f""",
 cells AS (SELECT * FROM (VALUES {cells}) v(cell_id, stop_ticks, target_ticks)),
 lasts AS (SELECT symbol, max(bar_index) AS last_bar FROM bars GROUP BY ALL),
-cand0 AS (SELECT s.*, c.*, b.bar_index AS entry_bar_index, CASE direction WHEN 'long' THEN 1.0::DOUBLE ELSE -1.0 END AS sign, b.open, last_bar, {close_bar} AS close_bar
+cand0 AS (SELECT s.*, c.*, b.bar_index AS entry_bar_index, CASE direction WHEN 'long' THEN 1.0::DOUBLE ELSE -1.0 END AS sign, {entry} AS open, last_bar, {close_bar} AS close_bar
   FROM sig s JOIN bars b ON b.symbol = s.symbol AND b.bar_index = s.bar_index + 1 JOIN lasts l ON l.symbol = s.symbol {join}, cells c {where}),
-cand1 AS (SELECT * EXCLUDE (open, bar_index), open + sign * {slip} * 0.25 AS fill, stop_ticks * 0.25::DOUBLE AS risk, least(last_bar, entry_bar_index + 49, close_bar) AS cap FROM cand0),
+cand1 AS (SELECT * EXCLUDE (open, bar_index), open + sign * {slip} * 0.25 AS fill, open AS entry_price, stop_ticks * 0.25::DOUBLE AS risk, least(last_bar, entry_bar_index + 49, close_bar) AS cap FROM cand0),
 cand AS (SELECT *, fill - sign * risk AS stop0, fill + sign * target_ticks * 0.25 AS target, CASE WHEN cap = entry_bar_index + 49 THEN 'TIME' WHEN cap = close_bar THEN 'SESSION_CLOSE' ELSE 'DATA_END' END AS cap_reason FROM cand1),
 walk0 AS (SELECT c.*, b.bar_index, b.ts, b.open, b.high, b.low, b.close FROM cand c JOIN bars b ON b.symbol = c.symbol AND b.bar_index BETWEEN c.entry_bar_index AND c.cap),
 {moving},
 walk2 AS (SELECT *, {stop} AS stop, {label} AS stop_label FROM walk1),
 walk3 AS (SELECT *, CASE WHEN sign > 0 THEN low <= stop ELSE high >= stop END AS sl, CASE WHEN sign > 0 THEN high >= target ELSE low <= target END AS tp FROM walk2),
-walk AS (SELECT *, {hit} AS kind, max(CASE WHEN sign > 0 THEN fill - low ELSE high - fill END) OVER w AS mae, max(CASE WHEN sign > 0 THEN high - fill ELSE fill - low END) OVER w AS mfe FROM walk3
+{sub_kind}
+walk AS (SELECT *, {hit} AS kind, max(CASE WHEN sign > 0 THEN fill - low ELSE high - fill END) OVER w AS mae, max(CASE WHEN sign > 0 THEN high - fill ELSE fill - low END) OVER w AS mfe FROM {'walk5' if sub else 'walk3'}
   WINDOW w AS (PARTITION BY symbol, signal_id, cell_id ORDER BY bar_index ROWS UNBOUNDED PRECEDING)),
 exits AS (SELECT *, row_number() OVER (PARTITION BY symbol, signal_id, cell_id ORDER BY kind IS NULL, CASE WHEN kind IS NULL THEN -bar_index ELSE bar_index END) AS rn FROM walk),
 trades AS (SELECT symbol, signal_id, cell_id, stop_ticks, target_ticks, direction, entry_bar_index, bar_index AS exit_bar_index, ts AS exit_ts, stop0 AS stop_price, target AS target_price,
@@ -146,6 +184,10 @@ ORACLES: dict[str, str] = {
     "simulate_costs_session_close": w(simulated(slip=1.0, commission=2.5, close=True), f"SELECT {TRADE} FROM trades"),
     "simulate_path_model": w(simulated(model="path"), f"SELECT {TRADE} FROM trades"),
     "simulate_trailing": w(simulated(be=True), f"SELECT {TRADE} FROM trades"),
+    "simulate_retrace_entry": w(simulated("(0, 40.0, 60.0)", retrace=True), f"SELECT {TRADE} FROM trades"),
+    "simulate_retrace_path": w(simulated("(0, 40.0, 60.0)", model="path", retrace=True), f"SELECT {TRADE} FROM trades"),
+    "simulate_subtimeframe_strict": w(simulated(sub="filled"), f"SELECT {TRADE} FROM trades"),
+    "simulate_subtimeframe_conservative": w(simulated(sub="whole"), f"SELECT {TRADE} FROM trades"),
     "simulate_subtimeframe": w(simulated(), """, sub AS (SELECT symbol, time_bucket(INTERVAL 5 MINUTE, tts) AS sts, max(price) AS high, min(price) AS low FROM ticks GROUP BY ALL),
       m AS (SELECT t.symbol, t.signal_id, s.sts, CASE WHEN CASE direction WHEN 'long' THEN low <= stop_price ELSE high >= stop_price END THEN 'SL' WHEN CASE direction WHEN 'long' THEN high >= target_price ELSE low <= target_price END THEN 'TP' END AS kind FROM trades t JOIN sub s ON s.symbol = t.symbol AND time_bucket(INTERVAL 30 MINUTE, s.sts) = t.exit_ts)
       SELECT symbol, signal_id, arg_min(kind, sts) FILTER (kind IS NOT NULL) AS resolved FROM m GROUP BY symbol, signal_id"""),
@@ -169,14 +211,6 @@ ORACLES: dict[str, str] = {
     "grid_search": w(simulated(CELLS) + ", s AS (" + SUMMARY.format(k="cell_id, stop_ticks, target_ticks", t="trades") + ")", "SELECT cell_id, stop_ticks::DOUBLE AS stop_ticks, target_ticks::DOUBLE AS target_ticks, trade_count, round(win_rate + 3.7e-10, 7) AS win_rate, round(expectancy_r + 3.7e-10, 7) AS expectancy_r, round(total_r + 3.7e-10, 7) AS total_r, round(profit_factor + 3.7e-10, 7) AS profit_factor FROM s"),
     "best_grid_cell": w(simulated(CELLS) + ", s AS (" + SUMMARY.format(k="cell_id, stop_ticks, target_ticks", t="trades") + ")", "SELECT cell_id, stop_ticks::DOUBLE AS stop_ticks, target_ticks::DOUBLE AS target_ticks, trade_count, round(expectancy_r + 3.7e-10, 7) AS expectancy_r FROM s ORDER BY s.expectancy_r DESC, s.stop_ticks, s.target_ticks LIMIT 1"),
     "sensitivity_oat": w(simulated("(0, 400.0, 600.0), (1, 300.0, 600.0), (2, 350.0, 600.0), (3, 450.0, 600.0), (4, 500.0, 600.0), (5, 400.0, 450.0), (6, 400.0, 525.0), (7, 400.0, 675.0), (8, 400.0, 750.0)"), "SELECT cell_id, stop_ticks::DOUBLE AS stop_ticks, target_ticks::DOUBLE AS target_ticks, count(*) AS trade_count, round(avg(r_multiple) + 3.7e-10, 7) AS expectancy_r FROM trades GROUP BY ALL"),
-    "walk_forward": w(simulated(CELLS) + """, folds AS (SELECT i AS fold_id, 200 * i AS a, 200 * i + 400 AS b, 200 * i + 600 AS d FROM range(3) t(i)),
-      tr AS (SELECT fold_id, cell_id, stop_ticks, target_ticks, count(*) AS n, avg(r_multiple) AS m FROM trades, folds WHERE entry_bar_index >= a AND exit_bar_index < b GROUP BY ALL),
-      best AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY fold_id ORDER BY m DESC, stop_ticks, target_ticks) = 1),
-      te AS (SELECT fold_id, cell_id, count(*) AS n, avg(r_multiple) AS m FROM trades, folds WHERE entry_bar_index >= b AND exit_bar_index < d GROUP BY ALL)""", "SELECT b.fold_id::INT AS fold_id, b.cell_id, b.n AS train_trades, round(b.m + 3.7e-10, 7) AS train_metric, te.n AS test_trades, round(te.m + 3.7e-10, 7) AS test_metric FROM best b LEFT JOIN te ON b.fold_id = te.fold_id AND b.cell_id = te.cell_id"),
-    "wfa_matrix": w(simulated(CELLS) + """, folds AS (SELECT 0 AS matrix_id, i AS fold_id, 150 * i AS a, 150 * i + 300 AS b, 150 * i + 450 AS d FROM range(4) t(i) UNION ALL SELECT 1, i, 300 * i, 300 * i + 300, 300 * i + 600 FROM range(2) t(i) UNION ALL SELECT 2, i, 150 * i, 150 * i + 600, 150 * i + 750 FROM range(2) t(i)),
-      tr AS (SELECT matrix_id, fold_id, cell_id, stop_ticks, target_ticks, avg(r_multiple) AS m FROM trades, folds WHERE entry_bar_index >= a AND exit_bar_index < b GROUP BY ALL),
-      best AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY matrix_id, fold_id ORDER BY m DESC, stop_ticks, target_ticks) = 1),
-      te AS (SELECT matrix_id, fold_id, cell_id, sum(r_multiple) AS s, avg(r_multiple) AS m FROM trades, folds WHERE entry_bar_index >= b AND exit_bar_index < d GROUP BY ALL)""", "SELECT b.matrix_id, count(*) AS folds, round(avg(te.m) + 3.7e-10, 7) AS mean_test, round(sum(te.s) + 3.7e-10, 7) AS oos_total_r FROM best b LEFT JOIN te ON b.matrix_id = te.matrix_id AND b.fold_id = te.fold_id AND b.cell_id = te.cell_id GROUP BY b.matrix_id"),
     "walk_forward_all": w(simulated(CELLS) + """, folds AS (SELECT i AS fold_id, 200 * i AS a, 200 * i + 400 AS b, 200 * i + 600 AS d FROM (SELECT unnest(generate_series(0, (SELECT CASE WHEN max(bar_index) + 1 < 600 THEN -1 ELSE (max(bar_index) + 1 - 600) // 200 END FROM bars))) AS i) t),
       tr AS (SELECT fold_id, cell_id, stop_ticks, target_ticks, count(*) AS n, avg(r_multiple) AS m FROM trades, folds WHERE entry_bar_index >= a AND exit_bar_index < b GROUP BY ALL),
       best AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY fold_id ORDER BY m DESC, stop_ticks, target_ticks) = 1),
@@ -229,3 +263,4 @@ ORACLES |= {
       SELECT symbol, bar_index, 'long' AS direction, pdEQ AS level_price, c1 AS entry_price, CASE WHEN coalesce(l2 <= c1, false) THEN 'filled' ELSE 'void' END AS status FROM r WHERE low <= pdEQ AND close > pdEQ AND (open > pdEQ OR coalesce(prev_close > pdEQ, false)) AND c1 > high
       UNION ALL SELECT symbol, bar_index, 'short', pdEQ, c1, CASE WHEN coalesce(h2 >= c1, false) THEN 'filled' ELSE 'void' END FROM r WHERE high >= pdEQ AND close < pdEQ AND (open < pdEQ OR coalesce(prev_close < pdEQ, false)) AND c1 < low) SELECT * FROM s"""),
 }
+ORACLES["walk_forward"], ORACLES["wfa_matrix"] = ORACLES["walk_forward_all"], ORACLES["wfa_matrix_all"]

@@ -170,3 +170,15 @@ def parent_volume_match(primary: DataFrame, lower: DataFrame, parent_s: int) ->
     near = F.abs(F.col("volume") - F.col("lower_volume")) <= F.greatest(F.lit(1e-9), F.abs("volume") * 1e-9)
     status = F.when(F.col("lower_volume").isNull(), "lower_group_unavailable").when(near, "matched_one").otherwise("no_primary_volume_match")
     return primary.join(sums, ["symbol", "ts"], "left").withColumn("status", status)
+
+
+def filled_sub_bars(bars: DataFrame, sub: DataFrame, parent_s: int, sub_s: int) -> DataFrame:
+    """Sub-bars with a flat one, at the close before it or the bar's open, wherever a
+    bar has none; a bar's sub-bars then are as many as fit and make up the bar."""
+    steps = F.explode(F.sequence(F.lit(0), F.lit(parent_s // sub_s - 1))).alias("__k")
+    grid = bars.select("symbol", F.col("ts").alias("__parent"), F.col("open").alias("__open"), steps)
+    grid = grid.withColumn("ts", (F.col("__parent") + F.make_dt_interval(secs=F.col("__k") * sub_s)).cast("timestamp_ntz")).drop("__k")
+    rows = grid.join(sub.select("symbol", "ts", *OHLCV), ["symbol", "ts"], "left")
+    run = Window.partitionBy("symbol", "__parent").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    flat = F.coalesce(F.last("close", True).over(run), F.col("__open"))
+    return rows.select("symbol", "ts", *[F.coalesce(c, flat).alias(c) for c in ("open", "high", "low", "close")], F.coalesce("volume", F.lit(0.0)).alias("volume"))

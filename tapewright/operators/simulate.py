@@ -11,11 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.config import DEFAULT, EXPOSURE_POLICIES, choose, seconds
-from tapewright.operators.bars import segment
-
-#: Bars of a step of the walk: trades still open after it go on to the next.
-CHUNK = 64
+from tapewright.config import DEFAULT, EXPOSURE_POLICIES, INTRABAR_MODELS, choose, seconds
+from tapewright.operators.bars import floored, segment
 
 
 def entries(bars: DataFrame, signals: DataFrame) -> DataFrame:
@@ -29,12 +26,16 @@ def entries(bars: DataFrame, signals: DataFrame) -> DataFrame:
     return out.withColumns({"entry_bar_index": F.col("__at"), "entry_price": F.coalesce("entry_price", "__open")}).drop("__at", "__open")
 
 
+def _beyond(low: Column, high: Column) -> tuple[Column, Column]:
+    """Whether a range reaches the stop, and whether the target."""
+    long = F.col("direction") == "long"
+    return F.when(long, low <= F.col("stop")).otherwise(high >= F.col("stop")), F.when(long, high >= F.col("target")).otherwise(low <= F.col("target"))
+
+
 def _hit(path: bool) -> Column:
-    """sl, tp or null for a bar: struct(kind, both). Retrace entries' own bars need the
-    hit on both price paths after the entry."""
+    """SL, TP or null for a bar that the trade lives through whole."""
     long = F.col("direction") == "long"
-    sl = F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))
-    tp = F.when(long, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
+    sl, tp = _beyond(F.col("low"), F.col("high"))
     if not path:
         return F.when(sl, "SL").when(tp, "TP")
     # open - near extreme - far extreme - close; equal distances test both, a stop wins
@@ -45,18 +46,102 @@ def _hit(path: bool) -> Column:
     return F.coalesce(opened, F.when(sl & tp, F.when(stop_first, "SL").otherwise("TP")).when(sl, "SL").when(tp, "TP"))
 
 
+def _retrace_hit(path: bool) -> Column:
+    """SL, TP or null for the bar within which a retrace entry is filled.
+
+    Only what follows the entry counts. sl_first wants a hit on both ways through
+    the bar, by the high or by the low first: above the open, the price was last at
+    the entry on the way up, so that the low may lie before it, and the reverse. The
+    path model follows its one way from the entry on.
+    """
+    e = F.col("entry_price")
+    inside = (F.col("low") <= e) & (e <= F.col("high"))
+    if not path:
+        low = F.when(e > F.col("open"), F.least(e, F.col("close"))).otherwise(F.col("low"))
+        high = F.when(e < F.col("open"), F.greatest(e, F.col("close"))).otherwise(F.col("high"))
+        sl, tp = _beyond(low, high)
+        return F.when(inside & sl, "SL").when(inside & tp, "TP")
+    between = lambda x, a, b: (F.least(a, b) <= x) & (x <= F.greatest(a, b))
+
+    def leg(a: Column, b: Column) -> Column:
+        stop, target = between(F.col("stop"), a, b), between(F.col("target"), a, b)
+        nearer = F.when(F.abs(F.col("stop") - a) <= F.abs(F.col("target") - a), "SL").otherwise("TP")
+        return F.when(stop & target, nearer).when(stop, "SL").when(target, "TP")
+
+    sl, tp = _beyond(e, e)
+    at_entry = F.when(sl, "SL").when(tp, "TP")
+
+    def way(first: str, second: str) -> Column:
+        o, x, y, c = (F.col(k) for k in ("open", first, second, "close"))
+        later = leg(y, c)
+        return F.when(between(e, o, x), F.coalesce(at_entry, leg(e, x), leg(x, y), later)).when(between(e, x, y), F.coalesce(at_entry, leg(e, y), later)).when(between(e, y, c), F.coalesce(at_entry, leg(e, c)))
+
+    up, down = way("high", "low"), way("low", "high")
+    rise, fall = F.col("high") - F.col("open"), F.col("open") - F.col("low")
+    both = F.when((up == "SL") | (down == "SL"), "SL").otherwise(F.coalesce(up, down))
+    return F.when(rise < fall, up).when(rise > fall, down).otherwise(both)
+
+
+def sub_bars_of(bars: DataFrame, sub: DataFrame, parent_s: int, sub_s: int, tick: float = DEFAULT.tick_size) -> DataFrame:
+    """By bar: its sub-bars in order and what is wrong with them: ``incomplete`` (not as
+    many as fit), ``misaligned`` (not at multiples of their length), ``mismatch``
+    (their open, high, low or close isn't the bar's), or null."""
+    if parent_s % sub_s or parent_s == sub_s:
+        raise ValueError(f"sub-bars of {sub_s} s don't divide bars of {parent_s} s")
+    rows = sub.select("symbol", floored(F.col("ts"), parent_s).alias("__parent"), (floored(F.col("ts"), sub_s) != F.col("ts")).alias("off"), F.struct(F.col("ts").alias("at"), "open", "high", "low", "close").alias("s"))
+    held = rows.groupBy("symbol", "__parent").agg(F.array_sort(F.collect_list("s")).alias("subs"), F.max("off").alias("off"), F.count_distinct("s.at").alias("n"), F.max("s.high").alias("h"), F.min("s.low").alias("l"))
+    met = bars.alias("b").join(held, (F.col("b.symbol") == held["symbol"]) & (F.col("b.ts") == F.col("__parent")), "left")
+    near = lambda x, y: F.abs(x - y) <= tick * 1e-6
+    same = near(F.get("subs", F.lit(0))["open"], F.col("b.open")) & near(F.col("h"), F.col("b.high")) & near(F.col("l"), F.col("b.low")) & near(F.element_at("subs", -1)["close"], F.col("b.close"))
+    fault = F.when(F.col("subs").isNull() | (F.size("subs") != parent_s // sub_s), "incomplete").when(F.col("off") | (F.col("n") != F.size("subs")), "misaligned").when(~same, "mismatch")
+    return met.select("b.symbol", "b.bar_index", "subs", fault.alias("fault"))
+
+
+def _sub_hit(conservative: bool) -> Column:
+    """SL, TP or null for a bar by its sub-bars in order. A sub-bar that holds both is
+    a stop; so is a stop in the sub-bar that holds a retrace entry, whose target doesn't
+    count. Bars without whole sub-bars (conservative) go by the bar, the stop first, and
+    a retrace entry's own bar then has no target."""
+    e = F.col("entry_price")
+    own = F.col("retrace") & (F.col("bar_index") == F.col("entry_bar_index"))
+    kind = lambda b: F.when(_beyond(b["low"], b["high"])[0], "SL").when(_beyond(b["low"], b["high"])[1], "TP")
+    first = lambda bars: F.get(F.filter(F.transform(bars, kind), lambda k: k.isNotNull()), F.lit(0))
+    start = F.get(F.filter("subs", lambda b: (b["low"] <= e) & (e <= b["high"])), F.lit(0))
+    after = F.filter("subs", lambda b: b["at"] > start["at"])
+    entered = F.when(start.isNotNull(), F.when(kind(start) == "SL", "SL").otherwise(first(after)))
+    out = F.when(own, entered).otherwise(first(F.col("subs")))
+    if conservative:
+        bar = _hit(False)
+        reached = (F.col("low") <= e) & (e <= F.col("high"))
+        out = F.when(F.col("subs").isNotNull(), out).when(~own, bar).when(reached & (bar == "SL"), "SL")
+    return out
+
+
 def simulate(bars: DataFrame, signals: DataFrame, cells: list[dict] | None = None, *, stop_ticks: float = 8, target_ticks: float = 16, tick: float = DEFAULT.tick_size, point_value: float = DEFAULT.point_value,
              max_bars: int | None = None, same_bar_exit: bool = True, commission: float = 0.0, slippage_ticks: float = 0.0, session_close: str | None = None, no_new_after: str | None = None,
-             model: str = "sl_first", breakeven_r: float | None = None, trail_r: float | None = None, trail_ticks: float | None = None) -> DataFrame:
+             model: str = "sl_first", breakeven_r: float | None = None, trail_r: float | None = None, trail_ticks: float | None = None, sub: DataFrame | None = None, parent_s: int | None = None, sub_s: int | None = None) -> DataFrame:
     """Trades with entry, exit, reason, R multiple and excursions.
 
     bars: with bar_index (and, for session caps, local_ts, sod and session_date).
     cells: parameter cells (stop_ticks, target_ticks, breakeven_r, trail_r,
     trail_ticks); each signal is simulated in each. max_bars bounds the walk.
 
-    Order at a bar: stop before target (model sl_first), or by the nearer extreme
-    first (path_open_proximity). A stop moved by a bar holds from the next bar on.
+    Order at a bar: stop before target (model sl_first), by the nearer extreme first
+    (path_open_proximity), or by its sub-bars (``sub`` of sub_s seconds in bars of
+    parent_s): subtimeframe wants whole sub-bars in every bar, and
+    subtimeframe_conservative takes sl_first where they are incomplete; both raise
+    ValueError if sub-bars don't make up their bar. A stop moved by a bar holds from
+    the next bar on.
     """
+    choose(model, INTRABAR_MODELS, "intrabar model")
+    by_sub = model in ("subtimeframe", "subtimeframe_conservative")
+    if by_sub:
+        if sub is None or not parent_s or not sub_s:
+            raise ValueError(f"{model} needs sub, parent_s and sub_s")
+        subs = sub_bars_of(bars, sub, parent_s, sub_s, tick)
+        fatal = subs.where(F.col("fault") == "mismatch" if model != "subtimeframe" else F.col("fault").isNotNull()).select("symbol", "bar_index", "fault").first()
+        if fatal:
+            raise ValueError(f"sub-bars of {fatal['symbol']} bar {fatal['bar_index']}: {fatal['fault']}")
     base = {"stop_ticks": stop_ticks, "target_ticks": target_ticks, "breakeven_r": breakeven_r, "trail_r": trail_r, "trail_ticks": trail_ticks}
     table = [{**base, **c, "cell_id": i} for i, c in enumerate(cells or [{}])]
     kinds = "cell_id int, stop_ticks double, target_ticks double, breakeven_r double, trail_r double, trail_ticks double"
@@ -87,6 +172,8 @@ def simulate(bars: DataFrame, signals: DataFrame, cells: list[dict] | None = Non
     cand = cand.withColumn("first_bar", (F.col("entry_bar_index") + (0 if same_bar_exit else 1)).cast("int"))
     moving = any(c.get("breakeven_r") or c.get("trail_r") for c in table)
     spine = bars.select("symbol", "bar_index", "ts", "open", "high", "low", "close")
+    if by_sub:
+        spine = spine.join(subs.where("fault is null").select("symbol", "bar_index", "subs"), ["symbol", "bar_index"], "left")
     walk = cand.drop("bar_index", "ts").where("first_bar <= cap").withColumn("bar_index", F.explode(F.sequence("first_bar", "cap")))
     walk = walk.join(spine, ["symbol", "bar_index"])
     by = Window.partitionBy("symbol", "signal_id", "cell_id").orderBy("bar_index")
@@ -101,10 +188,9 @@ def simulate(bars: DataFrame, signals: DataFrame, cells: list[dict] | None = Non
         walk = walk.withColumns({"stop": F.col("fill") + F.col("sign") * level, "stop_label": F.when(trail.isNotNull() & (trail > F.greatest(-F.col("risk"), F.coalesce(be, -F.col("risk")))), "TRAIL").when(be.isNotNull() & (level == 0), "BE").otherwise("SL")})
     else:
         walk = walk.withColumns({"stop": F.col("stop0"), "stop_label": F.lit("SL")})
-    walk = walk.withColumn("kind", _hit(model == "path_open_proximity"))
-    # a retrace entry's own bar: only what is beyond the entry on both paths counts
     own = F.col("retrace") & (F.col("bar_index") == F.col("entry_bar_index"))
-    walk = walk.withColumn("kind", F.when(own & (F.col("kind") == "TP"), F.lit(None)).otherwise(F.col("kind")))
+    path = model == "path_open_proximity"
+    walk = walk.withColumn("kind", _sub_hit(model == "subtimeframe_conservative") if by_sub else F.when(own, _retrace_hit(path)).otherwise(_hit(path)))
     adverse = F.when(F.col("sign") > 0, F.col("fill") - F.col("low")).otherwise(F.col("high") - F.col("fill"))
     favour = F.when(F.col("sign") > 0, F.col("high") - F.col("fill")).otherwise(F.col("fill") - F.col("low"))
     run = by.rowsBetween(Window.unboundedPreceding, 0)
@@ -151,8 +237,6 @@ def in_entry_window(sod: Column, segments: list[str] | None = None, clock: tuple
 def subtimeframe_exits(trades: DataFrame, sub: DataFrame, parent_s: int) -> DataFrame:
     """First stop or target by sub-bars of each trade's bars, met on the parent's start;
     a sub-bar that holds both is a stop."""
-    from tapewright.operators.bars import floored
-
     rows = sub.withColumn("parent_ts", floored(F.col("ts"), parent_s))
     long = F.col("direction") == "long"
     met = trades.join(rows.select("symbol", "parent_ts", F.col("ts").alias("sub_ts"), "low", "high"), ["symbol", "parent_ts"])

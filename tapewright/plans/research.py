@@ -193,6 +193,12 @@ def cscv_pbo(cell_trades: DataFrame, partitions: int = 8) -> DataFrame:
     return ranked.where("best = 1").select("split_id", "cell_id", omega.alias("omega"), F.ln(omega / (1 - omega)).alias("logit"))
 
 
+def pbo(splits: DataFrame) -> DataFrame:
+    """From cscv_pbo(): the share of splits whose best cell in sample is at or below the
+    median out of sample (logit at most 0), and the mean logit. One row; null without splits."""
+    return splits.agg(F.count(F.lit(1)).alias("n_splits"), F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.avg("logit").alias("mean_logit"))
+
+
 def normal_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2))
 
