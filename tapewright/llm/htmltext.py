@@ -12,6 +12,7 @@ import html as entities
 import re
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +38,11 @@ IMPLIED = [
     ({"li"}, {"li"}, {"ul", "ol", "menu"}),
     ({"dd", "dt"}, {"dd", "dt"}, {"dl"}),
 ]
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPENING = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?([a-zA-Z][a-zA-Z0-9:-]*))")
+#: A tag's attributes up to the > that no quotes hold.
+ATTRIBUTES = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", re.S)
 NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
+RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 SPACE = re.compile(r"\s+")
 
 
@@ -49,93 +52,184 @@ def aside_names(attributes: str) -> list[str]:
     return [w for w in words if ASIDE.search(w) and not NOT_ASIDE & set(re.split(r"[_-]+", w.lower()))]
 
 
+def tags(page: str):
+    """(start, end, name, attributes) of a page's tags in order; name is '' for comments,
+    declarations and sections of raw data, whose ends are found by their own marks.
+
+    Every character is read a fixed number of times: once a tag has quotes that
+    never end, it and all later ones end at the first >, and once there is no > left,
+    the rest is text.
+    """
+    at, strict, no_data_end = 0, True, False
+    while m := OPENING.search(page, at):
+        mark = page[m.start() + 1 : m.end()]
+        if m[1]:
+            x = ATTRIBUTES.match(page, m.end()) if strict else None
+            strict = strict and x is not None
+            end = x.end() if x else page.find(">", m.end()) + 1
+            if not end:
+                return
+            yield m.start(), end, m[1].lower(), page[m.end() : end - 1]
+        else:
+            close, missing = {"!--": ("-->", len(page)), "![CDATA[": ("]]>", m.end())}.get(mark, (">", m.end()))
+            found = -1 if close == "]]>" and no_data_end else page.find(close, m.end())
+            no_data_end = no_data_end or (close == "]]>" and found < 0)
+            end = found + len(close) if found >= 0 else missing
+            if found >= 0 or missing == len(page):
+                yield m.start(), end, "", ""
+            elif close == ">":
+                return
+        at = end
+
+
+class Stack:
+    """Open elements, with the places of each name."""
+
+    def __init__(self):
+        self.items: list[tuple] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str, *state) -> None:
+        self.places.setdefault(name, []).append(len(self.items))
+        self.items.append((name, *state))
+
+    def nearest(self, names) -> int:
+        """Place of the innermost open element with one of the names, or -1."""
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=-1)
+
+    def cut(self, where: int) -> list[tuple]:
+        gone = self.items[where:]
+        for name, *_ in reversed(gone):
+            self.places[name].pop()
+        del self.items[where:]
+        return gone
+
+
 def page_lines(page: str) -> list[tuple[str, bool, bool]]:
     """(text, within the marked article, within an element to skip) of a page's lines, in order.
 
     An element that would be skipped stays if it holds a main element, or all text
     of the page's articles, or (by its name only, on pages without an article
     elsewhere) most of the page's text; answers and related pages must hold a main.
+    The time grows with the page's length, also where elements don't end.
     """
-    out: list[tuple[str, bool, tuple[int, ...]]] = []
-    stack: list[tuple[str, bool, tuple[int, ...]]] = []  # name, inside, skips
-    found: list[tuple[bool, bool]] = []  # of elements to skip: by tag, answers
+    out: list[tuple[str, bool, int]] = []  # text, inside, innermost element to skip
+    stack = Stack()  # name, inside, skip
+    found: list[tuple[int, bool, bool]] = []  # elements to skip: the one around it, by tag, answers
     mains: set[int] = set()
     parts: list[str] = []
-    inside, skips = False, ()
+    inside, skip = False, -1
 
     def end() -> None:
         text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            out.append((text, inside, skips))
+            out.append((text, inside, skip))
 
     def close(where: int) -> None:
-        nonlocal inside, skips
-        if any(x[1:] != (inside, skips) for x in stack[where:]):
+        nonlocal inside, skip
+        gone = stack.cut(where)
+        if any(x[1:] != (inside, skip) for x in gone):
             end()
-        inside, skips = stack[where][1:]
-        del stack[where:]
-
-    at = 0
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        if not m:
-            parts.append(page[at:])
-            break
-        parts.append(page[at : m.start()])
-        at, name = m.end(), (m[1] or "").lower()
+        inside, skip = gone[0][1:]
+
+    at = raw = 0
+    for start, stop, name, attributes in tags(page):
+        if start < raw:
+            continue
+        parts.append(page[at:start])
+        at = stop
         if not name:
             continue
         if name not in INLINE:
             end()
-        if page[m.start() + 1] == "/":
-            where = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if where is not None:
+        if page[start + 1] == "/":
+            if (where := stack.nearest((name,))) >= 0:
                 close(where)
             continue
         for open_, by, scope in IMPLIED:
             if name in by:
-                where = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in open_ | scope), None)
-                if where is not None and stack[where][0] in open_:
+                where = stack.nearest(open_ | scope)
+                if where >= 0 and stack.items[where][0] in open_:
                     close(where)
         if name in VOID:
             continue
         if name in RAW:
-            last = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = last.end() if last else len(page)
+            last = RAW[name].search(page, stop)
+            at = raw = last.end() if last else len(page)
             continue
-        names = aside_names(m[2] or "") if name not in ("html", "body") and name not in ARTICLE else []
+        names = aside_names(attributes) if name not in ("html", "body") and name not in ARTICLE else []
         aside = name in SKIP or bool(names)
         if aside or (name in ARTICLE and not inside):
             end()
-        if not (m[2] or "").endswith("/"):
-            stack.append((name, inside, skips))
+        if not attributes.endswith("/"):
+            stack.push(name, inside, skip)
             if aside:
-                skips = (*skips, len(found))
-                found.append((name in SKIP and name != "form", any(ANSWERS.search(x) for x in names)))
+                found.append((skip, name in SKIP and name != "form", any(ANSWERS.search(x) for x in names)))
+                skip = len(found) - 1
             inside = inside or name in ARTICLE
             if name == "main":
-                mains.update(skips)
+                mains.add(skip)
+    parts.append(page[at:])
     end()
+    return verdicts(out, found, mains)
+
+
+def verdicts(lines: list[tuple[str, bool, int]], found: list[tuple[int, bool, bool]], mains: set[int]) -> list[tuple[str, bool, bool]]:
+    """Lines with their innermost element to skip -> with whether they are skipped.
+    Elements come after those around them, so each is looked at once a direction."""
+    by_tag, by_answer = [], []  # whether an element or one around it is skipped by its tag, is of answers
+    for around, tag, answers in found:
+        by_tag.append(tag or (around >= 0 and by_tag[around]))
+        by_answer.append(answers or (around >= 0 and by_answer[around]))
     total = article = 0
-    held, marked = [0] * len(found), [0] * len(found)
-    for text, within, around in out:
-        if not any(found[k][1] for k in around):
-            article += len(text) * within
-        if not any(found[k][0] for k in around):
-            total += len(text)
-        for k in around:
+    held, marked, main = [0] * len(found), [0] * len(found), [k in mains for k in range(len(found))]
+    for text, within, k in lines:
+        article += len(text) * (within and not (k >= 0 and by_answer[k]))
+        total += len(text) * (not (k >= 0 and by_tag[k]))
+        if k >= 0:
             held[k] += len(text)
             marked[k] += len(text) * within
-    stays = {k for k, (tag, answers) in enumerate(found) if k in mains or (not answers and (marked[k] >= article if article else not tag and 2 * held[k] > total))}
-    return [(text, within, not stays.issuperset(around)) for text, within, around in out]
+    for k in range(len(found) - 1, -1, -1):
+        if (around := found[k][0]) >= 0:
+            held[around] += held[k]
+            marked[around] += marked[k]
+            main[around] = main[around] or main[k]
+    gone: list[bool] = []
+    for k, (around, tag, answers) in enumerate(found):
+        stays = main[k] or (not answers and (marked[k] >= article if article else not tag and 2 * held[k] > total))
+        gone.append(not stays or (around >= 0 and gone[around]))
+    return [(text, within, k >= 0 and gone[k]) for text, within, k in lines]
+
+
+def common_lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and each beginning of b."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+    return row
+
+
+def common_places(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places in a of a longest common subsequence of a and b, by halving a; memory
+    grows with the lengths' sum and time with their product."""
+    out, todo = [], [(0, a, b)]
+    while todo:
+        at, a, b = todo.pop()
+        if not len(a) or not len(b):
+            continue
+        if len(a) == 1:
+            out += [at] if (b == a[0]).any() else []
+            continue
+        half = len(a) // 2
+        k = int(np.argmax(common_lengths(a[:half], b) + common_lengths(a[half:][::-1], b[::-1])[::-1]))
+        todo += [(at, a[:half], b[:k]), (at + half, a[half:], b[k:])]
+    return out
 
 
 def shared_lines(a: list[str], b: list[str]) -> list[bool]:
-    """Which lines of a are in the longest common subsequence of a and b.
-
-    Common ends are cut off first; what is left takes time with its lines' product.
-    """
+    """Which lines of a are in the longest common subsequence of a and b. Common ends
+    are cut off first."""
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
@@ -143,26 +237,12 @@ def shared_lines(a: list[str], b: list[str]) -> list[bool]:
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
     x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    common = set(x) & set(y)
-    keep = [i for i, s in enumerate(x) if s in common]  # others can't be shared
-    y = [s for s in y if s in common]
-    rows = [[0] * (len(y) + 1)]
-    for i in keep:
-        prev, row = rows[-1], [0]
-        for j, s in enumerate(y):
-            row.append(prev[j] + 1 if x[i] == s else max(prev[j + 1], row[j]))
-        rows.append(row)
-    middle = [False] * len(x)
-    i, j = len(keep), len(y)
-    while i and j:
-        if x[keep[i - 1]] == y[j - 1]:
-            middle[keep[i - 1]] = True
-            i, j = i - 1, j - 1
-        elif rows[i - 1][j] >= rows[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    return [True] * lo + middle + [True] * hi
+    number = {s: i for i, s in enumerate(set(x) & set(y))}
+    keep = np.array([i for i, s in enumerate(x) if s in number], int)  # others can't be shared
+    middle = np.zeros(len(x), bool)
+    if len(keep):
+        middle[keep[common_places(np.array([number[x[i]] for i in keep]), np.array([number[s] for s in y if s in number]))]] = True
+    return [True] * lo + middle.tolist() + [True] * hi
 
 
 def squeeze(batches):
