@@ -55,6 +55,8 @@ def piece_rows(path: str, capacity: int):
 
 def patterns(steps: int) -> np.ndarray:
     """Pairs and triples of grid lengths that add up to ``steps``, smallest first; pairs start with 0."""
+    if steps < 2:
+        return np.zeros((0, 3), np.int64)
     pairs = [(0, a, steps - a) for a in range(1, steps // 2 + 1)]
     triples = [(a, b, steps - a - b) for a in range(1, steps // 3 + 1) for b in range(a, (steps - a) // 2 + 1)]
     return np.array(pairs + triples)
@@ -122,12 +124,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS
         if n and fill < capacity:
             open_.setdefault(capacity - fill, []).append([first, n])
 
-    # patterns on the grid; a length stands for the next grid length above it
+    # patterns on the grid; a length stands for the next grid length above it, and
+    # where the grid doesn't reach the capacity, lengths beyond it are left to best-fit
     unit = -(-capacity // steps)
+    steps = capacity // unit
     cell = -(-np.arange(capacity + 1) // unit)
     counts = np.bincount(cell, weights=left, minlength=steps + 1)[: steps + 1]
     shapes = patterns(steps)
-    shapes = shapes[((counts[shapes] > 0) | (shapes == 0)).all(1)] if capacity == unit * steps else shapes[:0]
+    shapes = shapes[((counts[shapes] > 0) | (shapes == 0)).all(1)]
     if len(shapes):
         matrix = np.zeros((steps + 1, len(shapes)))
         for k in range(3):
