@@ -159,7 +159,7 @@ def search_shard(k: int, beam: int):
                 links[u].append(int(v))
                 links[int(v)].append(u)
         graph = [np.unique(np.array(x, np.int64)) for x in links]
-        entries = np.random.default_rng(11).permutation(len(ids))[:ENTRIES]
+        entries = np.random.default_rng(11).permutation(len(ids))[: beam if len(ids) <= beam else ENTRIES]
         out = []
         for q in queries.itertuples():
             at = np.searchsorted(ids, q.node)
@@ -180,11 +180,16 @@ def nearest(table: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
     Equal vectors are one node of the graph, of which the k+1 smallest ids can be
     results. Cases: rows whose vector is null, empty, zero or not finite, or whose
     id is null, take no part; repeated rows count once; a query with fewer other
-    rows gets all that it reaches; ties go to the smaller id; an empty table gives
-    an empty result; vectors must have one length.
+    rows gets them all, as no shard of up to BEAM nodes is left unseen; ties go to
+    the smaller id; an empty table gives an empty result; vectors of another length
+    than the most common one take no part; a query id with several vectors asks
+    with any one of them.
     """
     rows = table.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(F.col(f"`{vector}`"), lambda x: x.cast("double")).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = cut(rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).dropDuplicates(["vec_id", "vector"]), "vectors")
+    # an inner product needs one length: the most common takes part, the longer of equal ones
+    lengths = rows.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()
+    rows = rows.where(F.size("vector") == (lengths["length"] if lengths else 0))
     nodes = rows.groupBy("vector").agg(F.min("vec_id").alias("node"))
     total = rows.count()
     shards = max(1, -(-total // shard_rows))
@@ -201,6 +206,10 @@ def nearest(table: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
     found = found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1).drop("place")
     members = named.select("node", "vec_id").distinct()
     members = members.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("place") <= k + 1).drop("place")
+    # the held nodes' scores once more, pair by pair in one order of the sums
+    asking = named.where("asks").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("__q")).dropDuplicates(["query_id"])
+    exact = F.aggregate(F.zip_with("__q", "vector", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    found = found.drop("score").join(nodes.select("node", "vector"), "node").join(asking, "query_id").select("query_id", "node", exact.alias("score"))
     out = found.join(members, "node").where("vec_id <> query_id")
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return out.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
