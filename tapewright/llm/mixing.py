@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import count_words, cut, let, split_words
+from tapewright.llm.common import count_words, cut, let, partitions, split_words, tasks_for
 
 WEIGHTS = (5, 2, 1)
 #: A source is repeated this often at most.
@@ -55,7 +55,8 @@ def permuted(index: Column, size: Column, *salt: Column, rounds: int = ROUNDS) -
         key = F.pmod(F.xxhash64(F.lit("key"), *salt, r), size)
         return let(F.pmod(key - x, size), lambda y: F.when(F.pmod(F.xxhash64(F.lit("bit"), *salt, r, F.greatest(x, y)), F.lit(2)) == 0, x).otherwise(y))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index.cast("long"), step)
+    # never null, and said so, as a join would check it by doing the rounds once more
+    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index.cast("long"), step), F.lit(-1).cast("long"))
 
 
 def draw_counts(sources: DataFrame, n_slots: int, shard_slots: int, seed: int) -> DataFrame:
@@ -115,6 +116,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
     rows = cut(rows.join(sources.select("key", "source_size", "target"), "key"), "mix-rows")
 
     counts = draw_counts(sources, totals[1], shard_slots, seed)
+    # the ranges of slots are few rows; they are dealt out before they become one row a slot
+    counts = counts.repartition(max(partitions(spark), tasks_for(totals[1])), "shard", "key")
     slot = counts.withColumn("j", F.explode(F.sequence("from", F.col("upto") - 1)))
     slot = slot.withColumn("pass", F.floor(F.col("j") / F.col("blocks"))).withColumn("block", permuted(F.pmod(F.col("j"), F.col("blocks")), F.col("blocks"), F.lit(seed), F.col("key"), F.col("pass")))
     held = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))))
