@@ -264,3 +264,17 @@ ORACLES |= {
       UNION ALL SELECT symbol, bar_index, 'short', pdEQ, c1, CASE WHEN coalesce(h2 >= c1, false) THEN 'filled' ELSE 'void' END FROM r WHERE high >= pdEQ AND close < pdEQ AND (open < pdEQ OR coalesce(prev_close < pdEQ, false)) AND c1 < low) SELECT * FROM s"""),
 }
 ORACLES["walk_forward"], ORACLES["wfa_matrix"] = ORACLES["walk_forward_all"], ORACLES["wfa_matrix_all"]
+
+
+def splits(blocks: int) -> str:
+    """Cells by split: their rank out of sample and place in sample; splits in the order of their training blocks."""
+    return simulated(CELLS) + f""", st AS (SELECT exit_ts, floor((row_number() OVER (ORDER BY exit_ts) - 1) * {blocks} / count(*) OVER ())::INT AS block FROM (SELECT DISTINCT exit_ts FROM trades)),
+      bl AS (SELECT cell_id, block, sum(r_multiple) AS s, count(r_multiple) AS k FROM trades JOIN st USING (exit_ts) GROUP BY ALL),
+      sp AS (SELECT row_number() OVER (ORDER BY train) - 1 AS split_id, train FROM (SELECT list_filter(range({blocks}), lambda b: (m >> b) & 1 = 1) AS train FROM range(1 << {blocks}) t(m)) WHERE len(train) = {blocks // 2}),
+      si AS (SELECT split_id, cell_id, sum(s) FILTER (list_contains(train, block)) / sum(k) FILTER (list_contains(train, block)) AS ins, sum(s) FILTER (NOT list_contains(train, block)) / sum(k) FILTER (NOT list_contains(train, block)) AS oos FROM bl, sp GROUP BY ALL),
+      rk AS (SELECT *, (rank() OVER (PARTITION BY split_id ORDER BY oos) + (count(*) OVER (PARTITION BY split_id, oos) - 1) / 2) / (count(*) OVER (PARTITION BY split_id) + 1) AS omega, row_number() OVER (PARTITION BY split_id ORDER BY ins DESC, cell_id) AS best FROM si WHERE ins IS NOT NULL AND oos IS NOT NULL),
+      om AS (SELECT split_id, cell_id, omega, ln(omega / (1 - omega)) AS logit FROM rk WHERE best = 1)"""
+
+
+ORACLES["pbo_cscv"] = w(splits(4), "SELECT split_id::INT AS split_id, cell_id, round(omega + 3.7e-10, 7) AS omega, round(logit + 3.7e-10, 7) AS logit FROM om")
+ORACLES["pbo"] = w(splits(8), "SELECT count(*) AS n_splits, round(avg((logit <= 0)::INT::DOUBLE) + 3.7e-10, 7) AS pbo, round(avg(logit) + 3.7e-10, 7) AS mean_logit FROM om")

@@ -236,3 +236,65 @@ def test_walk_forward_reaches_the_last_bar(spark):
         assert {k: (r.cell_id, r.train_trades, r.test_trades) for k, r in got.items()} == want
         assert (0, 4) in got and (1, 9) in got  # the folds that end at bar 1,400 and 1,350
     assert R.walk_forward_all(trades, bars.where("bar_index < 500"), [(400, 200, 200)]).count() == 0
+
+
+def _spine(rows):
+    import datetime as dt
+
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    at = dt.datetime(2024, 1, 2, 15, 0)
+    return spark.createDataFrame([("A", i, at + dt.timedelta(minutes=30 * i), *map(float, r)) for i, r in enumerate(rows)], "symbol string, bar_index int, ts timestamp_ntz, open double, high double, low double, close double")
+
+
+def test_unknown_intrabar_models_are_refused(spark):
+    import pytest
+
+    from tapewright.operators.simulate import simulate
+
+    b = _spine([(100, 101, 99, 100)] * 3)
+    s = spark.createDataFrame([("A", 0, "long", 1)], "symbol string, bar_index int, direction string, signal_id int")
+    with pytest.raises(ValueError, match="intrabar model"):
+        simulate(b, s, model="sl_frist")
+    with pytest.raises(ValueError, match="needs sub"):
+        simulate(b, s, model="subtimeframe")
+
+
+def test_a_retrace_entrys_own_bar_counts_only_what_follows_the_entry(spark):
+    from tapewright.operators.simulate import simulate
+
+    # entry at 101 above the open: the low of 98 may lie before it, the high follows on either way
+    b = _spine([(100, 100, 100, 100), (100, 103, 98, 102), (102, 102, 102, 102)])
+    s = spark.createDataFrame([("A", 0, "long", 1, 1, 101.0)], "symbol string, bar_index int, direction string, signal_id int, entry_bar_index int, entry_price double")
+    kind = lambda **o: simulate(b, s, tick=1.0, **o).first()
+    assert kind(stop_ticks=2, target_ticks=5).exit_reason == "DATA_END"
+    assert kind(stop_ticks=2, target_ticks=2).exit_reason == "TP"
+    # here the way by the low first comes back through the entry only after it, and the close is beyond the stop
+    low = _spine([(100, 100, 100, 100), (100, 103, 98, 98.5), (102, 102, 102, 102)])
+    assert simulate(low, s, tick=1.0, stop_ticks=2, target_ticks=5).first().exit_reason == "SL"
+    # the path model goes by the nearer extreme, the low, first: the target comes before the close
+    assert simulate(low, s, tick=1.0, stop_ticks=2, target_ticks=2, model="path_open_proximity").first().exit_reason == "TP"
+
+
+def test_sub_bars_decide_the_order_within_a_bar(spark):
+    import pytest
+
+    from tapewright.operators.simulate import simulate
+
+    import datetime as dt
+
+    b = _spine([(100, 100, 100, 100), (100, 104, 96, 100), (100, 100, 100, 100)])
+    at = dt.datetime(2024, 1, 2, 15, 0)
+    rows = [(0, 100, 100, 100, 100), (15, 100, 100, 100, 100), (30, 100, 104, 100, 101), (45, 101, 101, 96, 100), (60, 100, 100, 100, 100), (75, 100, 100, 100, 100)]
+    sub = spark.createDataFrame([("A", at + dt.timedelta(minutes=m), *map(float, r)) for m, *r in rows], "symbol string, ts timestamp_ntz, open double, high double, low double, close double")
+    s = spark.createDataFrame([("A", 0, "long", 1)], "symbol string, bar_index int, direction string, signal_id int")
+    run = lambda x, model: simulate(b, s, tick=1.0, stop_ticks=3, target_ticks=3, model=model, sub=x, parent_s=1800, sub_s=900).first().exit_reason
+    assert simulate(b, s, tick=1.0, stop_ticks=3, target_ticks=3).first().exit_reason == "SL"
+    assert run(sub, "subtimeframe") == "TP" == run(sub, "subtimeframe_conservative")
+    missing = sub.where("minute(ts) <> 45")
+    with pytest.raises(ValueError, match="incomplete"):
+        run(missing, "subtimeframe")
+    assert run(missing, "subtimeframe_conservative") == "SL"
+    with pytest.raises(ValueError, match="mismatch"):
+        run(sub.where("high < 104").union(sub.where("high = 104").selectExpr("symbol", "ts", "open", "103.0D", "low", "close")), "subtimeframe_conservative")
