@@ -106,8 +106,9 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def content_hash(df: DataFrame) -> str:
-    """A hash of the rows that doesn't depend on their order or partitions."""
-    row = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in sorted(df.columns)])
+    """A hash of the rows that doesn't depend on their order or partitions. A null
+    counts in its place: the hash of values alone would skip it."""
+    row = F.xxhash64(*[x for c in sorted(df.columns) for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string"))])
     got = df.select(row.cast("decimal(38,0)").alias("h")).agg(F.sum("h").alias("s"), F.count(F.lit(1)).alias("n")).first()
     return f"{got['n']}-{(got['s'] or 0)}"
 

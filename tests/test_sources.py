@@ -75,3 +75,9 @@ def test_experiments(spark):
     for wrong in ({"trigger": "x"}, {"max_confluences": 9}, {"levels": ()}):
         with pytest.raises(ValueError):
             Setup(**({"name": "n", "levels": ("dOpen",)} | wrong))
+
+
+def test_content_hash_sees_nulls_in_their_place(spark):
+    a = spark.createDataFrame([(None, "a")], "x string, y string")
+    b = spark.createDataFrame([("a", None)], "x string, y string")
+    assert files.content_hash(a) != files.content_hash(b)
