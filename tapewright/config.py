@@ -34,6 +34,7 @@ DEFAULT = INSTRUMENTS["ES"]
 
 # Names of the parts of a trading day and the minutes at which they start.
 SEGMENTS = (("pre_rth", 0), ("rth_open_30m", 570), ("rth_morning", 600), ("rth_midday", 690), ("rth_afternoon", 810), ("rth_power_hour", 900), ("post_rth", 960))
+# Bar lengths in seconds, and the names of triggers, directions, exposure policies and intrabar models.
 TIMEFRAMES = {"1min": 60, "5min": 300, "15min": 900, "30min": 1800, "1h": 3600, "4h": 14400, "1D": 86400}
 TRIGGERS = ("touch", "reject", "break", "reclaim", "3c")
 DIRECTIONS = ("long", "short", "both")

@@ -72,9 +72,12 @@ def _retrace_hit(path: bool) -> Column:
     at_entry = F.when(sl, "SL").when(tp, "TP")
 
     def way(first: str, second: str) -> Column:
-        o, x, y, c = (F.col(k) for k in ("open", first, second, "close"))
-        later = leg(y, c)
-        return F.when(between(e, o, x), F.coalesce(at_entry, leg(e, x), leg(x, y), later)).when(between(e, x, y), F.coalesce(at_entry, leg(e, y), later)).when(between(e, y, c), F.coalesce(at_entry, leg(e, c)))
+        at = [F.col(k) for k in ("open", first, second, "close")]
+        # the leg that holds the entry, from 1; the way then goes on from the entry to that leg's end
+        held = F.when(between(e, at[0], at[1]), 1).when(between(e, at[1], at[2]), 2).when(between(e, at[2], at[3]), 3)
+        points = F.concat(F.array(e), F.slice(F.array(*at), held + 1, F.lit(4)))
+        legs = F.transform(F.sequence(F.lit(0), F.size(points) - 2), lambda i: leg(F.get(points, i), F.get(points, i + 1)))
+        return F.when(held.isNotNull(), F.coalesce(at_entry, F.get(F.filter(legs, lambda k: k.isNotNull()), F.lit(0))))
 
     up, down = way("high", "low"), way("low", "high")
     rise, fall = F.col("high") - F.col("open"), F.col("open") - F.col("low")
