@@ -230,6 +230,14 @@ def prior_profile_levels(spark, sf):
     return only(L.prior_profiles(bars(spark, sf), "d", 25.0), "symbol", "ts", "pdPOC")
 
 
+@query
+def prior_profile_areas(spark, sf):
+    b = bars(spark, sf)
+    for period in ("d", "w"):
+        b = L.prior_profiles(b, period, 25.0)
+    return only(b, "symbol", "ts", *[f"p{p}{c}" for p in ("d", "w") for c in ("POC", "VAH", "VAL")])
+
+
 @query
 def rolling_poc(spark, sf):
     return only(L.rolling_poc(bars(spark, sf), 6 * 3600, "POC_rolling_6h", 25.0), "symbol", "ts", "POC_rolling_6h")
@@ -240,11 +248,21 @@ def pivots(spark, sf):
     return only(L.pivots(bars(spark, sf).select("symbol", "ts", *B.OHLCV), HALF_HOUR), "symbol", "ts", "Pivot_High", "Pivot_Low")
 
 
+@query
+def pivots_4h(spark, sf):
+    return only(L.higher_pivots(bars(spark, sf), "4h"), "symbol", "ts", "Pivot_4h_High", "Pivot_4h_Low")
+
+
 @query
 def single_prints(spark, sf):
     return only(L.single_prints(bars(spark, sf), 1.0), "symbol", "ts", "dSinglePrint_30m_NearestAbove", "dSinglePrint_30m_NearestBelow")
 
 
+@query
+def prior_single_prints(spark, sf):
+    return only(L.prior_single_prints(bars(spark, sf), 1.0), "symbol", "ts", "pSinglePrint_30m_NearestAbove", "pSinglePrint_30m_NearestBelow")
+
+
 @query
 def apoc(spark, sf):
     return only(L.apoc(bars(spark, sf), 1.0), "symbol", "ts", "APOC", "pAPOC")
@@ -307,6 +325,27 @@ def trigger_timeframe_bars(spark, sf):
     return only(Z.trigger_bars(_leveled(spark, sf), 7200, ["pdHigh"]), "symbol", "ts", "open", "high", "low", "close", "volume", "base_start_bar_index", "base_end_bar_index", "pdHigh")
 
 
+@query
+def trigger_timeframe_zones(spark, sf):
+    b = _leveled(spark, sf)
+    z = Z.on_trigger_bars(Z.anchor_zones(b, "pdEQ", [("pdOpen", 400, True)]), Z.trigger_bars(b, 7200))
+    return only(z, "symbol", "bar_index", "base_bar_index", "zone_low", "zone_high")
+
+
+def _coarse_trigger(name):
+    def f(spark, sf):
+        b = _leveled(spark, sf)
+        s = Z.trigger_signals(b, Z.anchor_zones(b, "pdEQ", [("pdOpen", 400, True)]), name, 7200)
+        return only(s, "symbol", "bar_index", "direction", "signal_id", "trigger_ts", "zone_low", "zone_high")
+
+    f.__name__ = f"trigger_{name}_2h"
+    return query(f)
+
+
+for _name in ("touch", "reject", "break", "reclaim"):
+    _coarse_trigger(_name)
+
+
 @query
 def trigger_3c(spark, sf):
     b = _leveled(spark, sf)
@@ -556,6 +595,21 @@ def walk_forward_all(spark, sf):
     return only(w, "fold_id", "cell_id", "train_trades", "train_metric", "test_trades", "test_metric", digits=7)
 
 
+@query
+def walk_forward_sessions(spark, sf):
+    w = R.walk_forward_sessions(_cell_trades(spark, sf), bars(spark, sf), [(10, 5, 5)])
+    return only(w, "fold_id", "cell_id", "train_trades", "train_metric", "test_trades", "test_metric", digits=7)
+
+
+@query
+def walk_forward_stitched(spark, sf):
+    """Equity of the out-of-sample trades, of overlapping test bars those of the first fold."""
+    span = (400, 300, 200)
+    t = _cell_trades(spark, sf).withColumn("trade_id", F.concat_ws("#", "symbol", "signal_id"))
+    s = R.stitched_trades(t, R.walk_forward_all(t, bars(spark, sf), [span]), span, "first")
+    return only(M.equity_curve(s), "fold_id", "cell_id", "trade_id", "cum_r", "drawdown_r", digits=7)
+
+
 @query
 def wfa_matrix_all(spark, sf):
     """wfa_matrix over every bar of the table."""
@@ -604,6 +658,28 @@ def noise_bars(spark, sf):
     return only(R.perturb(bars(spark, sf), 0.1, 3), "symbol", "bar_index", "replica_id", "open", "high", "low", "close", digits=7)
 
 
+def _noise(spark, sf):
+    b = bars(spark, sf)
+
+    def runner(x):
+        rows, signals = break_signals(x)
+        return S.simulate(rows, signals, max_bars=50, stop_ticks=400, target_ticks=600)
+
+    return R.noise_replicas(b, runner(b), runner, 0.1, 3, ["entry_bar_index", "direction"])
+
+
+@query
+def noise_replicas(spark, sf):
+    n = _noise(spark, sf)
+    return only(n, *n.columns, digits=7)
+
+
+@query
+def noise_summary(spark, sf):
+    s = R.noise_summary(_noise(spark, sf))
+    return only(s, *s.columns, digits=7)
+
+
 @query
 def sensitivity_oat(spark, sf):
     cells = R.sensitivity_cells({"stop_ticks": 400.0, "target_ticks": 600.0})
@@ -668,6 +744,27 @@ def study_ranking(spark, sf):
     return only(ST.ranked(_runs(spark, sf), "avg_r", 50), "run_name", "status", "rank", "trade_count")
 
 
+@query
+def study_promotion(spark, sf):
+    return only(ST.promoted(_runs(spark, sf), "avg_r", 50, 3), "run_name", "rank")
+
+
+@query
+def study_rollup(spark, sf):
+    """Runs with the number and the worst of their losses above 5 R, where they have any."""
+    t = event_trades(spark, sf).withColumn("run_name", F.concat_ws("_", "symbol", "direction", F.when(F.col("bars_held") > 12, "otf_5m").otherwise("no_otf")))
+    losses = t.where("r_multiple < -5").groupBy("run_name").agg(F.count(F.lit(1)).alias("number"), F.min("r_multiple").alias("worst_r"))
+    s = ST.rollup(_runs(spark, sf), {"losses": losses})
+    return only(s, "run_name", "trade_count", "losses_status", "losses_number", "losses_worst_r", digits=7)
+
+
+@query
+def study_admit_bucket(spark, sf):
+    g = M.group_summary(B.time_buckets(event_trades(spark, sf), "entry_ts"), ["symbol", "rth_segment"])
+    s = ST.admit_bucket(g, "rth_segment", ["symbol"], 30)
+    return only(s, *s.columns, digits=7)
+
+
 @query
 def study_group_summary(spark, sf):
     s = ST.group_summaries(_runs(spark, sf), "core_level", "avg_r", 10)
@@ -714,7 +811,11 @@ def random_entries(spark, sf):
 
 @query
 def otf_validation_matrix(spark, sf):
-    t = event_trades(spark, sf).withColumn("config", F.explode(F.array(F.lit("no_otf"), F.when(F.col("bars_held") > 12, "otf_5m")))).where("config is not null")
+    """Trades of each fixed setting; a time frame's states come from its own bars."""
+    b = bars(spark, sf)
+    rows, signals = break_signals(b)
+    states = {n: Z.otf_state(B.sessionised(B.bars_from_ticks(ticks(spark, sf), n)), n, n) for n in (300, 900, 1800)}
+    t = D.otf_settings(S.simulate(rows, signals, max_bars=50, stop_ticks=400, target_ticks=600), signals, states)
     s = D.otf_matrix(t, 500)
     return only(s, *s.columns, digits=7)
 

@@ -245,18 +245,19 @@ ORACLES: dict[str, str] = {
     "study_ranking": w(ET, ", r AS (SELECT symbol || '_' || direction || '_' || CASE WHEN bars_held > 12 THEN 'otf_5m' ELSE 'no_otf' END AS run_name, count(*) AS trade_count, avg(r_multiple) AS a FROM trades GROUP BY 1), s AS (SELECT *, CASE WHEN trade_count < 50 THEN 'low_n' ELSE 'ranked' END AS status FROM r) SELECT run_name, status, CASE WHEN status = 'ranked' THEN row_number() OVER (PARTITION BY status ORDER BY a DESC, run_name) END::INT AS rank, trade_count FROM s"),
 }
 
+ZONED = LEVELED + ", z AS (SELECT symbol, bar_index, least(pdEQ, pdOpen) AS lo, greatest(pdEQ, pdOpen) AS hi FROM leveled WHERE abs(pdOpen - pdEQ) / 0.25 <= 400 + 1e-9), tb AS (SELECT symbol, time_bucket(INTERVAL 2 HOUR, l.ts) AS ts, max(high) AS high, min(low) AS low, arg_max(close, bar_index) AS close, min(bar_index) AS b0, max(bar_index) AS b1 FROM leveled l GROUP BY symbol, time_bucket(INTERVAL 2 HOUR, l.ts))"
 for _name, _long, _short in (
     ("touch", "low <= hi AND high >= lo", "low <= hi AND high >= lo"), ("reject", "low <= hi AND high >= lo AND close > hi", "low <= hi AND high >= lo AND close < lo"),
     ("break", "prev_close <= hi AND close > hi", "prev_close >= lo AND close < lo"), ("reclaim", "low < lo AND close > hi", "high > hi AND close < lo"),
 ):
     ORACLES[f"trigger_{_name}"] = w(LEVELED, f", z AS (SELECT *, least(pdEQ, pdOpen) AS lo, greatest(pdEQ, pdOpen) AS hi FROM leveled WHERE abs(pdOpen - pdEQ) / 0.25 <= 400 + 1e-9), s AS (SELECT symbol, bar_index, 'long' AS direction, lo, hi FROM z WHERE {_long} UNION ALL SELECT symbol, bar_index, 'short', lo, hi FROM z WHERE {_short}) SELECT symbol, bar_index, direction, row_number() OVER (PARTITION BY symbol ORDER BY bar_index, direction)::INT AS signal_id, lo AS zone_low, hi AS zone_high FROM s")
+    ORACLES[f"trigger_{_name}_2h"] = w(ZONED, f", tp AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS prev_close FROM tb), zt AS (SELECT tp.*, lo, hi FROM tp JOIN z ON z.symbol = tp.symbol AND z.bar_index = b1), s AS (SELECT *, 'long' AS direction FROM zt WHERE {_long} UNION ALL SELECT *, 'short' FROM zt WHERE {_short}) SELECT symbol, b1 AS bar_index, direction, row_number() OVER (PARTITION BY symbol ORDER BY b1, direction)::INT AS signal_id, ts + INTERVAL 2 HOUR AS trigger_ts, lo AS zone_low, hi AS zone_high FROM s")
 
 ORACLES |= {
     "recent_bars": w(BARS, "SELECT symbol, ts, bar_index FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 25"),
     "sub_bar_faults": w(BARS, ", q AS (SELECT symbol, time_bucket(INTERVAL 30 MINUTE, tts) AS ts, count(DISTINCT time_bucket(INTERVAL 15 MINUTE, tts)) AS n FROM ticks GROUP BY ALL) SELECT b.symbol, b.ts, CASE WHEN q.n <> 2 THEN 'incomplete_coverage' END AS fault FROM bars b JOIN q ON b.symbol = q.symbol AND b.ts = q.ts"),
     "trades_at_level": w(ET, "SELECT trade_id, level_names FROM trades WHERE list_contains(string_split(level_names, '|'), 'VWAP')"),
     "grid_overfit": w(simulated(CELLS) + ", s AS (SELECT cell_id, avg(r_multiple) AS m FROM trades GROUP BY cell_id), t AS (SELECT count(*) AS n, max(m) AS b, median(m) AS d, avg(m) AS a, (SELECT avg(m) FROM (SELECT m FROM s ORDER BY m DESC LIMIT 5)) AS k FROM s)", "SELECT n AS valid_cell_count, round(b + 3.7e-10, 7) AS best_metric, round(d + 3.7e-10, 7) AS median_metric, round(a + 3.7e-10, 7) AS mean_metric, round(k + 3.7e-10, 7) AS top_n_mean_metric, round(b - d + 3.7e-10, 7) AS best_vs_median_delta, CASE WHEN n <= 1 THEN 'none' ELSE 'low' END AS risk_level FROM t"),
-    "otf_validation_matrix": w(ET, ", t AS (SELECT *, unnest(CASE WHEN bars_held > 12 THEN ['no_otf', 'otf_5m'] ELSE ['no_otf'] END) AS config, CASE WHEN entry_bar_index < 500 THEN 'train' ELSE 'oos' END AS period FROM trades), g AS (SELECT config, period, count(*) AS n, avg(r_multiple) AS e FROM t GROUP BY ALL) SELECT x.config, x.period, x.n AS trade_count, round(x.e + 3.7e-10, 7) AS expectancy_r, x.n - y.n AS delta_trades, round(x.e - y.e + 3.7e-10, 7) AS delta_expectancy, CASE WHEN x.period = 'train' THEN rank() OVER (PARTITION BY x.period ORDER BY x.e DESC) END::INT AS train_rank FROM g x JOIN g y ON x.period = y.period AND y.config = 'no_otf'"),
     "trade_windows": w(simulated(), ", s AS (SELECT symbol, signal_id, unnest(generate_series(greatest(0, entry_bar_index - 3), exit_bar_index + 3)) AS bar_index FROM trades) SELECT b.symbol, s.signal_id AS trade_id, b.bar_index FROM s JOIN bars b ON b.symbol = s.symbol AND b.bar_index = s.bar_index"),
     "random_entries": w(BREAKS, f", need AS (SELECT symbol, count(*) AS need, avg((direction = 'long')::INT::DOUBLE) AS share FROM sig GROUP BY symbol), r AS (SELECT b.symbol, rep, bar_index, {DRAW('rep', 'bar_index', 9)} AS d, ({DRAW('rep', 'bar_index', 10)}) / 2147483647.0::DOUBLE AS u, need, share FROM bars b JOIN need n ON b.symbol = n.symbol, range(5) s(rep)) SELECT symbol, rep::INT AS replica_id, bar_index, CASE WHEN u < share THEN 'long' ELSE 'short' END AS direction FROM r QUALIFY row_number() OVER (PARTITION BY symbol, rep ORDER BY d, bar_index) <= need"),
     "trigger_confirm_3bar": w(LEVELED, """, r AS (SELECT *, lead(close, 1) OVER w AS c1, lead(low, 2) OVER w AS l2, lead(high, 2) OVER w AS h2 FROM leveled WINDOW w AS (PARTITION BY symbol ORDER BY bar_index)), s AS (
@@ -278,3 +279,73 @@ def splits(blocks: int) -> str:
 
 ORACLES["pbo_cscv"] = w(splits(4), "SELECT split_id::INT AS split_id, cell_id, round(omega + 3.7e-10, 7) AS omega, round(logit + 3.7e-10, 7) AS logit FROM om")
 ORACLES["pbo"] = w(splits(8), "SELECT count(*) AS n_splits, round(avg((logit <= 0)::INT::DOUBLE) + 3.7e-10, 7) AS pbo, round(avg(logit) + 3.7e-10, 7) AS mean_logit FROM om")
+
+
+def wound(source: str = "trades") -> str:
+    """Best cell by fold on the training span (a to b) and its result on the test span (b to d)."""
+    return f"""tr AS (SELECT fold_id, cell_id, stop_ticks, target_ticks, count(*) AS n, avg(r_multiple) AS m FROM {source}, folds WHERE entry_bar_index >= a AND exit_bar_index < b GROUP BY ALL),
+      best AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY fold_id ORDER BY m DESC, stop_ticks, target_ticks) = 1),
+      te AS (SELECT fold_id, cell_id, count(*) AS n, avg(r_multiple) AS m FROM {source}, folds WHERE entry_bar_index >= b AND exit_bar_index < d GROUP BY ALL)"""
+
+
+def folds(train: int, test: int, step: int, table: str = "bars") -> str:
+    return f"folds AS (SELECT i AS fold_id, {step} * i AS a, {step} * i + {train} AS b, {step} * i + {train + test} AS d FROM (SELECT unnest(generate_series(0, (SELECT CASE WHEN max(bar_index) + 1 < {train + test} THEN -1 ELSE (max(bar_index) + 1 - {train + test}) // {step} END FROM {table}))) AS i) t)"
+
+
+def states(p: str, minutes: int, least: int = 3) -> str:
+    """One-time-framing states of a time frame's own bars, with the time from which they are known."""
+    t = f"time_bucket(INTERVAL {minutes} MINUTE, tts)"
+    local = f"({t} - INTERVAL 5 HOUR)"
+    return f""", {p}a AS (SELECT symbol, {t} AS ts, {local}::DATE + (hour({local}) >= 18)::INT AS sd, max(price) AS high, min(price) AS low FROM ticks GROUP BY ALL),
+  {p}f AS (SELECT *, coalesce(low > lag(low) OVER w, false) AS up, coalesce(high < lag(high) OVER w, false) AS down, row_number() OVER w AS i FROM {p}a WINDOW w AS (PARTITION BY symbol, sd ORDER BY ts)),
+  {p}r AS (SELECT symbol, ts, i, i - coalesce(max(CASE WHEN NOT up THEN i END) OVER w, 0) AS u, i - coalesce(max(CASE WHEN NOT down THEN i END) OVER w, 0) AS d FROM {p}f WINDOW w AS (PARTITION BY symbol, sd ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+  {p} AS (SELECT symbol, ts + INTERVAL {minutes} MINUTE AS known, CASE WHEN i = 1 THEN 'unknown' WHEN u >= {least} AND d < {least} THEN 'up' WHEN d >= {least} AND u < {least} THEN 'down' ELSE 'neutral' END AS state FROM {p}r)"""
+
+
+def prior_areas(key: str, p: str) -> str:
+    head, tail = ORACLES["value_area"].split(BARS.replace("ticks AS", "RECURSIVE ticks AS", 1).strip(), 1)
+    inner = head + BARS.replace("ticks AS", "RECURSIVE ticks AS", 1).strip() + tail.replace("session_date", key)
+    return f"SELECT symbol, {key}, lag(POC) OVER w AS p{p}POC, lag(VAH) OVER w AS p{p}VAH, lag(VAL) OVER w AS p{p}VAL FROM ({inner}) x WINDOW w AS (PARTITION BY symbol ORDER BY {key})"
+
+
+NOISED = BREAKS.replace(BARS, BARS.replace("\nbars AS (SELECT *, date_trunc", "\nclean AS (SELECT *, date_trunc").rstrip() + ", moved AS (SELECT clean.*, rep, " + ", ".join(f"{c} + (({DRAW('rep', 'bar_index', 5 + i)}) / 2147483647::DOUBLE * 2 - 1) * ((high - low) * 0.1::DOUBLE) AS n{c}" for i, c in enumerate(("open", "high", "low", "close"))) + " FROM clean, range(3) r(rep)), bars AS (SELECT * EXCLUDE (rep, nopen, nhigh, nlow, nclose) REPLACE (symbol || '#' || rep AS symbol, nopen AS open, greatest(nopen, nhigh, nlow, nclose) AS high, least(nopen, nhigh, nlow, nclose) AS low, nclose AS close) FROM moved)\n", 1)
+NOISY_TRADES = "WITH " + simulated().replace(BREAKS, NOISED, 1).strip().lstrip(",") + " SELECT split_part(symbol, '#', 1) AS symbol, split_part(symbol, '#', 2)::INT AS replica_id, entry_bar_index, direction, r_multiple FROM trades"
+REPLICAS = w(simulated(), f""", nt AS ({NOISY_TRADES}), base AS (SELECT DISTINCT symbol, entry_bar_index, direction FROM trades),
+  g AS (SELECT replica_id, count(*) AS n, avg(r_multiple) AS e, coalesce(sum(r_multiple) FILTER (r_multiple > 0), 0) AS won, coalesce(-sum(r_multiple) FILTER (r_multiple < 0), 0) AS lost FROM nt GROUP BY ALL),
+  k AS (SELECT replica_id, count(DISTINCT (symbol, entry_bar_index, direction)) AS kept FROM nt SEMI JOIN base USING (symbol, entry_bar_index, direction) GROUP BY ALL)
+  SELECT rep::INT AS replica_id, coalesce(n, 0) AS trade_count, e AS expectancy_r, CASE WHEN lost > 0 THEN won / lost WHEN won > 0 THEN 'Infinity'::DOUBLE WHEN n > 0 THEN 0 END AS profit_factor, CASE WHEN (SELECT count(*) FROM base) > 0 THEN coalesce(kept, 0) / (SELECT count(*) FROM base) END AS persistence_rate
+  FROM range(3) r(rep) LEFT JOIN g ON g.replica_id = rep LEFT JOIN k ON k.replica_id = rep""")
+OTF_KNOWN = BREAKS + ", sg AS (SELECT s.*, b.ts FROM sig s JOIN bars b ON b.symbol = s.symbol AND b.bar_index = s.bar_index)"
+BEST = "b.fold_id::INT AS fold_id, b.cell_id, b.n AS train_trades, round(b.m + 3.7e-10, 7) AS train_metric, te.n AS test_trades, round(te.m + 3.7e-10, 7) AS test_metric FROM best b LEFT JOIN te ON b.fold_id = te.fold_id AND b.cell_id = te.cell_id"
+RUN_NAME = "symbol || '_' || direction || '_' || CASE WHEN bars_held > 12 THEN 'otf_5m' ELSE 'no_otf' END"
+
+ORACLES |= {
+    "prior_profile_areas": w(BARS, f", d AS ({prior_areas('session_date', 'd')}), wk AS ({prior_areas('week_key', 'w')}) SELECT b.symbol, b.ts, pdPOC, pdVAH, pdVAL, pwPOC, pwVAH, pwVAL FROM bars b LEFT JOIN d USING (symbol, session_date) LEFT JOIN wk ON wk.symbol = b.symbol AND wk.week_key = b.week_key"),
+    "pivots_4h": w(BARS, """, c AS (SELECT symbol, time_bucket(INTERVAL 4 HOUR, b.ts - INTERVAL 5 HOUR) + INTERVAL 5 HOUR AS cts, max(high) AS high, min(low) AS low FROM bars b GROUP BY ALL),
+      f AS (SELECT symbol, cts, high, low, high > lag(high, 1) OVER w AND high > lag(high, 2) OVER w AND high > lead(high, 1) OVER w AND high > lead(high, 2) OVER w AS ph, low < lag(low, 1) OVER w AND low < lag(low, 2) OVER w AND low < lead(low, 1) OVER w AND low < lead(low, 2) OVER w AS pl FROM c WINDOW w AS (PARTITION BY symbol ORDER BY cts)),
+      h AS (SELECT symbol, cts + INTERVAL 12 HOUR AS known, high FROM f WHERE ph), l AS (SELECT symbol, cts + INTERVAL 12 HOUR AS known, low FROM f WHERE pl)
+      SELECT b.symbol, b.ts, h.high AS Pivot_4h_High, l.low AS Pivot_4h_Low FROM bars b ASOF LEFT JOIN h ON b.symbol = h.symbol AND b.ts >= h.known ASOF LEFT JOIN l ON b.symbol = l.symbol AND b.ts >= l.known"""),
+    "prior_single_prints": w(BARS, """, r AS (SELECT *, floor((sod - 34200) / 1800)::INT AS br FROM bars WHERE session = 'RTH'), t AS (SELECT DISTINCT symbol, session_date, br, unnest(generate_series(round_even(low, 0)::BIGINT, round_even(high, 0)::BIGINT)) AS k FROM r),
+      l AS (SELECT symbol, session_date, k FROM t GROUP BY ALL HAVING count(*) = 1), s AS (SELECT symbol, session_date, lag(session_date) OVER (PARTITION BY symbol ORDER BY session_date) AS before FROM (SELECT DISTINCT symbol, session_date FROM r)),
+      m AS (SELECT r.symbol, r.ts, min(k) FILTER (k > close)::DOUBLE AS a, max(k) FILTER (k < close)::DOUBLE AS d FROM r JOIN s ON s.symbol = r.symbol AND s.session_date = r.session_date JOIN l ON l.symbol = s.symbol AND l.session_date = s.before GROUP BY ALL)
+      SELECT b.symbol, b.ts, a AS pSinglePrint_30m_NearestAbove, d AS pSinglePrint_30m_NearestBelow FROM bars b LEFT JOIN m ON b.symbol = m.symbol AND b.ts = m.ts"""),
+    "trigger_timeframe_zones": w(ZONED, "SELECT z.symbol, b1 AS bar_index, bar_index AS base_bar_index, lo AS zone_low, hi AS zone_high FROM z JOIN tb ON tb.symbol = z.symbol AND bar_index BETWEEN b0 AND b1"),
+    "otf_filter": w(OTF_KNOWN, """, a AS (SELECT symbol, session_date, time_bucket(INTERVAL 1 HOUR, b.ts) AS ts, max(high) AS high, min(low) AS low, count(*) AS n FROM bars b GROUP BY symbol, session_date, time_bucket(INTERVAL 1 HOUR, b.ts)),
+      f AS (SELECT *, coalesce(low > lag(low) OVER w, false) AS up, coalesce(high < lag(high) OVER w, false) AS down, row_number() OVER w AS i FROM a WHERE n = 2 WINDOW w AS (PARTITION BY symbol, session_date ORDER BY ts)),
+      s AS (SELECT symbol, ts + INTERVAL 1 HOUR AS known, CASE WHEN i = 1 THEN 'unknown' WHEN up AND NOT down THEN 'up' WHEN down AND NOT up THEN 'down' ELSE 'neutral' END AS state FROM f)
+      SELECT x.symbol, signal_id, direction, state AS otf_0, coalesce(state = CASE direction WHEN 'long' THEN 'up' ELSE 'down' END, false) AS accepted FROM sg x ASOF LEFT JOIN s ON x.symbol = s.symbol AND x.ts >= s.known"""),
+    "otf_validation_matrix": w(simulated(), states("o5", 5) + states("o15", 15) + states("o30", 30) + """, sg AS (SELECT s.*, b.ts FROM sig s JOIN bars b ON b.symbol = s.symbol AND b.bar_index = s.bar_index),
+      k AS (SELECT x.symbol, signal_id, coalesce(o5.state = w, false) AS a, coalesce(o15.state = w, false) AS b, coalesce(o30.state = w, false) AS c FROM (SELECT *, CASE direction WHEN 'long' THEN 'up' ELSE 'down' END AS w FROM sg) x ASOF LEFT JOIN o5 ON x.symbol = o5.symbol AND x.ts >= o5.known ASOF LEFT JOIN o15 ON x.symbol = o15.symbol AND x.ts >= o15.known ASOF LEFT JOIN o30 ON x.symbol = o30.symbol AND x.ts >= o30.known),
+      t AS (SELECT r_multiple, CASE WHEN entry_bar_index < 500 THEN 'train' ELSE 'oos' END AS period, unnest(list_filter(['no_otf', CASE WHEN b THEN 'otf_15m' END, CASE WHEN c THEN 'otf_30m' END, CASE WHEN b AND c THEN 'otf_15m_30m' END, CASE WHEN a AND b AND c THEN 'otf_5m_15m_30m' END], lambda v: v IS NOT NULL)) AS config FROM trades JOIN k USING (symbol, signal_id)),
+      g AS (SELECT config, period, count(*) AS n, avg(r_multiple) AS e FROM t GROUP BY ALL) SELECT x.config, x.period, x.n AS trade_count, round(x.e + 3.7e-10, 7) AS expectancy_r, x.n - y.n AS delta_trades, round(x.e - y.e + 3.7e-10, 7) AS delta_expectancy, CASE WHEN x.period = 'train' THEN rank() OVER (PARTITION BY x.period ORDER BY x.e DESC) END::INT AS train_rank FROM g x JOIN g y ON x.period = y.period AND y.config = 'no_otf'"""),
+    "walk_forward_sessions": w(simulated(CELLS), ", ses AS (SELECT session_date, row_number() OVER (ORDER BY session_date) - 1 AS bar_index FROM (SELECT DISTINCT session_date FROM bars)), bs AS (SELECT symbol, b.bar_index, ses.bar_index AS no FROM bars b JOIN ses USING (session_date)), tn AS (SELECT t.* REPLACE (e.no AS entry_bar_index, x.no AS exit_bar_index) FROM trades t JOIN bs e ON e.symbol = t.symbol AND e.bar_index = t.entry_bar_index JOIN bs x ON x.symbol = t.symbol AND x.bar_index = t.exit_bar_index), " + folds(10, 5, 5, "ses") + ", " + wound("tn") + " SELECT " + BEST),
+    "walk_forward_stitched": w(simulated(CELLS), ", " + folds(400, 300, 200) + ", " + wound() + """, o AS (SELECT f.fold_id, t.* FROM trades t, folds f JOIN best USING (fold_id) WHERE best.cell_id = t.cell_id AND entry_bar_index >= b AND exit_bar_index < d QUALIFY row_number() OVER (PARTITION BY symbol, entry_bar_index, signal_id ORDER BY f.fold_id) = 1),
+      c AS (SELECT *, symbol || '#' || signal_id AS trade_id FROM o), e AS (SELECT *, sum(r_multiple) OVER (ORDER BY exit_ts, trade_id ROWS UNBOUNDED PRECEDING) AS cum FROM c)
+      SELECT fold_id::INT AS fold_id, cell_id, trade_id, round(cum + 3.7e-10, 7) AS cum_r, round(greatest(max(cum) OVER (ORDER BY exit_ts, trade_id ROWS UNBOUNDED PRECEDING), 0) - cum + 3.7e-10, 7) AS drawdown_r FROM e"""),
+    "noise_replicas": f"SELECT replica_id, trade_count, round(expectancy_r + 3.7e-10, 7) AS expectancy_r, round(profit_factor + 3.7e-10, 7) AS profit_factor, round(persistence_rate + 3.7e-10, 7) AS persistence_rate FROM ({REPLICAS}) x",
+    "noise_summary": "SELECT count(*) AS n_replicas, " + ", ".join(f"round(quantile_cont({c}, {p / 100}) + 3.7e-10, 7) AS {c}_p{p}" for c in ("expectancy_r", "profit_factor", "persistence_rate") for p in (5, 50, 95)) + f" FROM ({REPLICAS}) x",
+    "study_promotion": f"SELECT run_name, rank FROM ({ORACLES['study_ranking']}) x WHERE status = 'ranked' AND rank <= 3",
+    "study_rollup": w(ET, f", r AS (SELECT {RUN_NAME} AS run_name, count(*) AS trade_count, count(*) FILTER (r_multiple < -5) AS n, min(r_multiple) FILTER (r_multiple < -5) AS m FROM trades GROUP BY 1) SELECT run_name, trade_count, CASE WHEN n > 0 THEN 'present' ELSE 'not_run' END AS losses_status, nullif(n, 0) AS losses_number, round(m + 3.7e-10, 7) AS losses_worst_r FROM r"),
+    "study_admit_bucket": w(ET, f", g AS (SELECT symbol, {SEGMENT} AS rth_segment, count(*) AS trade_count, avg(r_multiple) AS avg_r FROM trades GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS i, lead(trade_count < 30) OVER w AS nt, lead(avg_r) OVER w AS nr FROM g WINDOW w AS (PARTITION BY symbol ORDER BY trade_count < 30, avg_r DESC, rth_segment)) SELECT symbol, rth_segment, trade_count, round(avg_r + 3.7e-10, 7) AS avg_r, CASE WHEN coalesce(nt = (trade_count < 30) AND nr = avg_r, false) THEN 'tie' WHEN trade_count < 30 THEN 'thin' ELSE 'ok' END AS status FROM r WHERE i = 1"),
+    "mc_summary": "SELECT symbol, " + ", ".join(f"round(quantile_cont({c}, {p / 100}) + 3.7e-10, 7) AS {c}_p{p}" for c in ("final_r", "max_drawdown_r") for p in (5, 50, 95)) + ", " + ", ".join(f"round(avg((max_drawdown_r > {t})::INT::DOUBLE) + 3.7e-10, 7) AS prob_dd_over_{t}" for t in (3, 5, 10)) + " FROM (" + ORACLES["mc_reshuffle"].replace("round(sum(r) + 3.7e-10, 7)", "sum(r)").replace("round(max(dd) + 3.7e-10, 7)", "max(dd)") + ") x GROUP BY symbol",
+}

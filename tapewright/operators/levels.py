@@ -195,8 +195,12 @@ def rolling_poc(bars: DataFrame, secs: int, name: str, tick: float = DEFAULT.tic
     return bars.join(poc, ["symbol", "ts"], "left")
 
 
-def pivots(bars: DataFrame, secs: int, left: int = 2, right: int = 2, name: str = "Pivot") -> DataFrame:
-    """The latest confirmed strict fractal high and low; one is known right+1 bars after its start."""
+def pivots(bars: DataFrame, secs: int, left: int = 2, right: int = 2, name: str = "Pivot", source: DataFrame | None = None) -> DataFrame:
+    """The latest confirmed strict fractal high and low; one is known right+1 bars after its start.
+
+    source: the bars of ``secs`` that are searched, if they aren't the bars themselves.
+    """
+    found = bars if source is None else source
     w = Window.partitionBy("symbol").orderBy("ts")
     out = bars
     for side, col, sign in (("High", "high", 1), ("Low", "low", -1)):
@@ -206,17 +210,51 @@ def pivots(bars: DataFrame, secs: int, left: int = 2, right: int = 2, name: str
         for k in [*range(1, right + 1)]:
             ok = ok & F.coalesce(sign * F.col(col) > sign * F.lead(col, k).over(w), F.lit(False))
         label = f"{name}_{side}"
-        events = bars.withColumn("ok", ok).where("ok").select("symbol", (F.col("ts") + F.make_dt_interval(secs=F.lit((right + 1) * secs))).alias("known_at"), F.col(col).alias(label))
+        events = found.withColumn("ok", ok).where("ok").select("symbol", (F.col("ts") + F.make_dt_interval(secs=F.lit((right + 1) * secs))).alias("known_at"), F.col(col).alias(label))
         out = asof_backward(out, events, ["symbol"], "ts", "known_at", [label])
     return out
 
 
+def higher_pivots(bars: DataFrame, timeframe: str, left: int = 2, right: int = 2, inst: Instrument = DEFAULT) -> DataFrame:
+    """Pivots of coarser candles, Pivot_{timeframe}_High and _Low, known right+1 candles after their start."""
+    from tapewright.config import TIMEFRAMES
+
+    coarse = resample(bars.select("symbol", "ts", "open", "high", "low", "close", "volume"), timeframe, inst)
+    return pivots(bars, TIMEFRAMES[timeframe], left, right, f"Pivot_{timeframe}", coarse)
+
+
+def _bracket_ticks(rth: DataFrame, tick: float) -> DataFrame:
+    """The ticks that each half-hour bracket ``br`` of a regular session covers."""
+    return rth.select("symbol", "session_date", "br", F.explode(F.sequence(binned(F.col("low"), tick), binned(F.col("high"), tick))).alias("k")).distinct()
+
+
+def _regular(bars: DataFrame, inst: Instrument) -> DataFrame:
+    return bars.where("session = 'RTH'").withColumn("br", F.floor((F.col("sod") - seconds(inst.rth_start)) / 1800))
+
+
+def prior_single_prints(bars: DataFrame, tick: float = DEFAULT.tick_size, inst: Instrument = DEFAULT) -> DataFrame:
+    """Nearest price above and below the close, on regular bars, that exactly one
+    half-hour bracket of the previous regular session traded. Prices and closes of a
+    session are sorted together, once upwards and once downwards, without a join of
+    bars with prices."""
+    rth = _regular(bars, inst)
+    lone = _bracket_ticks(rth, tick).groupBy("symbol", "session_date", "k").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    dates = rth.select("symbol", "session_date").distinct().withColumn("next_date", F.lead("session_date").over(Window.partitionBy("symbol").orderBy("session_date")))
+    prints = lone.join(dates, ["symbol", "session_date"]).where("next_date is not null").select("symbol", F.col("next_date").alias("session_date"), F.lit(None).cast(rth.schema["ts"].dataType).alias("ts"), (F.col("k") * tick).alias("price"))
+    both = prints.unionByName(rth.select("symbol", "session_date", "ts", F.col("close").alias("price")))
+    # at equal prices closes come first, so that only lower (or higher) prices precede them
+    ways = {"pSinglePrint_30m_NearestAbove": F.desc("price"), "pSinglePrint_30m_NearestBelow": F.asc("price")}
+    last = lambda way: F.last(F.when(F.col("ts").isNull(), F.col("price")), ignorenulls=True).over(Window.partitionBy("symbol", "session_date").orderBy(way, F.col("ts").isNull()).rowsBetween(*RUN))
+    near = both.withColumns({c: last(way) for c, way in ways.items()}).where("ts is not null").select("symbol", "ts", *ways)
+    return bars.join(near, ["symbol", "ts"], "left")
+
+
 def single_prints(bars: DataFrame, tick: float = DEFAULT.tick_size, inst: Instrument = DEFAULT) -> DataFrame:
     """Nearest price above and below the close that exactly one completed 30-minute
     regular bracket of the session has traded. Bracket coverages are exploded to
     ticks once; a tick stays single from its first bracket's end to its second's."""
-    rth = bars.where("session = 'RTH'").withColumn("br", F.floor((F.col("sod") - seconds(inst.rth_start)) / 1800))
-    ticks = rth.select("symbol", "session_date", "br", F.explode(F.sequence(binned(F.col("low"), tick), binned(F.col("high"), tick))).alias("k")).distinct()
+    rth = _regular(bars, inst)
+    ticks = _bracket_ticks(rth, tick)
     first = Window.partitionBy("symbol", "session_date", "k").orderBy("br")
     life = ticks.withColumns({"n": F.row_number().over(first), "until": F.lead("br").over(first)}).where("n = 1").select("symbol", "session_date", "k", F.col("br").alias("since"), "until")
     asked = rth.select("symbol", "session_date", "ts", "br", "close")

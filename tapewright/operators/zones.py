@@ -104,6 +104,26 @@ def signals(bars: DataFrame, zones: DataFrame, trigger: str, direction: str = "b
     return out.withColumn("signal_id", F.row_number().over(w)).drop("low", "high", "close", "prev_close")
 
 
+def on_trigger_bars(zones: DataFrame, triggers: DataFrame) -> DataFrame:
+    """Zones of base bars under the trigger bar that holds them: base_bar_index is the
+    zone's bar, bar_index the trigger bar's last base bar; zones outside are left out.
+
+    triggers: from trigger_bars. Their spans are dealt out to base bars, so this is an equi-join.
+    """
+    spans = triggers.select("symbol", F.col("base_end_bar_index").alias("__end"), F.explode(F.sequence("base_start_bar_index", "base_end_bar_index")).alias("bar_index"))
+    held = [c for c in zones.columns if c not in ("symbol", "bar_index")]
+    return zones.join(spans, ["symbol", "bar_index"]).select("symbol", F.col("__end").alias("bar_index"), F.col("bar_index").alias("base_bar_index"), *held)
+
+
+def trigger_signals(bars: DataFrame, zones: DataFrame, trigger: str, secs: int, direction: str = "both") -> DataFrame:
+    """Signals on coarser trigger bars, at the zones of each one's last base bar, which
+    is the signal's bar_index; trigger_ts is when the trigger bar is over."""
+    coarse = trigger_bars(bars, secs)
+    rows = coarse.select("symbol", "ts", F.col("base_end_bar_index").alias("bar_index"), "open", "high", "low", "close")
+    over = coarse.select("symbol", F.col("base_end_bar_index").alias("bar_index"), (F.col("ts") + F.make_dt_interval(secs=F.lit(secs))).alias("trigger_ts"))
+    return signals(rows, zones, trigger, direction).join(over, ["symbol", "bar_index"])
+
+
 def three_candle(bars: DataFrame, levels: DataFrame, tick: float = DEFAULT.tick_size, arrival_ticks: float = 0, retrace_ticks: float = 1, max_wait: int = 5, look: int = 64) -> DataFrame:
     """Three-candle setups: arrival at a level, inside bars, reversal, retrace entry.
 
@@ -183,4 +203,4 @@ def otf_filter(rows: DataFrame, states: list[DataFrame], at: str = "ts") -> Data
     return out.withColumn("accepted", ok)
 
 
-__all__ = ["anchor_zones", "cluster_zones", "micros", "otf_filter", "otf_state", "signals", "three_candle"]
+__all__ = ["anchor_zones", "cluster_zones", "micros", "on_trigger_bars", "otf_filter", "otf_state", "signals", "three_candle", "trigger_signals"]

@@ -4,11 +4,13 @@ one-time-framing matrices, and windows of rows for displays."""
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.operators.bars import micros
+from tapewright.operators.zones import otf_filter
 from tapewright.plans.attribution import tokens
 from tapewright.plans.research import draw
 
@@ -16,7 +18,7 @@ from tapewright.plans.research import draw
 FEW, SOME, MANY = 10, 25, 100
 EULER_GAMMA = 0.5772156649015329
 # The one-time-framing settings that are compared.
-OTF_CONFIGS = {"no_otf": (), "otf_5m": (300,), "otf_15m": (900,), "otf_30m": (1800,), "otf_15m_30m": (900, 1800)}
+OTF_CONFIGS = {"no_otf": (), "otf_15m": (900,), "otf_30m": (1800,), "otf_15m_30m": (900, 1800), "otf_5m_15m_30m": (300, 900, 1800)}
 
 
 def grid_overfit(grid: DataFrame, metric: str = "expectancy_r", top: int = 5) -> DataFrame:
@@ -86,6 +88,21 @@ def deflated_benchmark(trial_sharpes: DataFrame, trials: int | None = None) -> f
     return r["sd"] * ((1 - EULER_GAMMA) * normal_quantile(1 - 1 / n) + EULER_GAMMA * normal_quantile(1 - 1 / (n * math.e)))
 
 
+def otf_settings(trades: DataFrame, signals: DataFrame, states: dict[int, DataFrame], configs: dict[str, tuple[int, ...]] = OTF_CONFIGS) -> DataFrame:
+    """Trades by setting ``config``: those of signals that every time frame of the setting
+    accepts. All signals are simulated and filtered once, each on its own.
+
+    states: from otf_state, by seconds of the time frame.
+    """
+    frames = sorted(states)
+    known = otf_filter(signals.select("symbol", "signal_id", "direction", "ts"), [states[s] for s in frames])
+    want = F.when(F.col("direction") == "long", "up").otherwise("down")
+    met = {s: F.coalesce(F.col(f"otf_{i}") == want, F.lit(False)) for i, s in enumerate(frames)}
+    names = [F.when(reduce(lambda a, b: a & b, [met[s] for s in need], F.lit(True)), F.lit(c)) for c, need in configs.items()]
+    kept = known.select("symbol", "signal_id", F.explode(F.array_compact(F.array(*names))).alias("config"))
+    return trades.join(kept, ["symbol", "signal_id"])
+
+
 def otf_matrix(filtered: DataFrame, split_at: int) -> DataFrame:
     """By setting and period: trades, expectancy and their change against no_otf.
 

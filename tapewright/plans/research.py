@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,6 +79,46 @@ def walk_forward_all(trades: DataFrame, bars: DataFrame, spans: list[tuple[int,
     return _walked(rows.drop("__last", "__train", "__test", "__step", "__first", "__end"), metric, min_trades)
 
 
+def walk_forward_sessions(trades: DataFrame, bars: DataFrame, spans: list[tuple[int, int, int]], anchored: bool = False, metric: str = "expectancy_r", min_trades: int = 1) -> DataFrame:
+    """As walk_forward_all with spans counted in sessions, numbered over all symbols."""
+    dated, numbered = _by_session(trades, bars)
+    return walk_forward_all(dated, numbered, spans, anchored, metric, min_trades)
+
+
+def _by_session(trades: DataFrame, bars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trades and bars whose bar numbers are those of their sessions. There are as many
+    sessions as days, so one task numbers them."""
+    dates = bars.select("session_date").distinct().withColumn("__no", F.row_number().over(Window.orderBy("session_date")) - 1)
+    of = bars.select("symbol", "bar_index", "session_date").join(dates, "session_date").select("symbol", "bar_index", "__no")
+    out = trades
+    for c in ("entry_bar_index", "exit_bar_index"):
+        out = out.join(of.withColumnsRenamed({"bar_index": c, "__no": f"__{c}"}), ["symbol", c])
+    out = out.drop("entry_bar_index", "exit_bar_index").withColumnsRenamed({f"__{c}": c for c in ("entry_bar_index", "exit_bar_index")})
+    return out, dates.select(F.col("__no").alias("bar_index"))
+
+
+def stitched_trades(trades: DataFrame, folds_: DataFrame, span: tuple[int, int, int], policy: str = "reject") -> DataFrame:
+    """The out-of-sample trades of each fold's best cell, once each.
+
+    folds_: from walk_forward_all with this (train, test, step) alone. Where test bars overlap
+    (step < test), the ``first`` or ``last`` fold keeps a trade of a signal and entry bar;
+    ``reject`` raises then.
+    """
+    train, test, step = span
+    if policy not in ("reject", "first", "last"):
+        raise ValueError(f"no such overlap policy: {policy}")
+    if step < test and policy == "reject":
+        raise ValueError("test bars of neighbouring folds overlap")
+    low = F.greatest(F.lit(0), F.floor((F.col("entry_bar_index") - train - test) / step) + 1)
+    high = F.floor((F.col("entry_bar_index") - train) / step)
+    held = trades.withColumns({"__a": low.cast("int"), "__b": high.cast("int")}).where("__a <= __b").withColumn("fold_id", F.explode(F.sequence("__a", "__b"))).drop("__a", "__b")
+    held = held.where(F.col("exit_bar_index") < F.col("fold_id") * step + train + test).join(folds_.select("fold_id", "cell_id"), ["fold_id", "cell_id"])
+    if step >= test:
+        return held
+    once = Window.partitionBy("symbol", "entry_bar_index", "signal_id").orderBy(F.asc("fold_id") if policy == "first" else F.desc("fold_id"))
+    return held.withColumn("__r", F.row_number().over(once)).where("__r = 1").drop("__r")
+
+
 def _walked(rows: DataFrame, metric: str, min_trades: int) -> DataFrame:
     """Trades with a label, fold_id and the fold's bars (a, b, c, d) -> the best cell of each fold."""
     inside = lambda lo, hi: (F.col("entry_bar_index") >= F.col(lo)) & (F.col("exit_bar_index") < F.col(hi))
@@ -162,6 +203,34 @@ def persistence(base: DataFrame, replica: DataFrame, keys: list[str], by: list[s
     return b.join(a, keys, "left_semi").groupBy(*by).agg((F.count(F.lit(1)) / max(total, 1)).alias("persistence_rate"))
 
 
+def noise_replicas(bars: DataFrame, baseline: DataFrame, runner: Callable[[DataFrame], DataFrame], fraction: float, replicas: int, keys: list[str], seed: int = 5) -> DataFrame:
+    """A row by noisy replica: trades, expectancy, profit factor, and the share of the
+    baseline's ``keys`` (beside the symbol) that it trades too.
+
+    runner: from bars to trades, as the baseline had it. It runs once: a replica's bars are
+    symbols of their own, so no operator needs to know of replicas. A replica without trades has a row too.
+    """
+    name = F.concat_ws("#", "symbol", "replica_id")
+    noisy = perturb(bars, fraction, replicas, seed).withColumn("symbol", name).drop("replica_id")
+    cut = F.length("symbol") - F.length(F.substring_index("symbol", "#", -1))
+    trades = runner(noisy).withColumns({"replica_id": F.substring_index("symbol", "#", -1).cast("int"), "symbol": F.substring(F.col("symbol"), F.lit(1), cut - 1)})
+    held = baseline.select("symbol", *keys).distinct().withColumn("__held", F.lit(True))
+    trades = trades.select("replica_id", "symbol", *keys, "r_multiple").join(held, ["symbol", *keys], "left")
+    r = F.col("r_multiple")
+    won, lost = F.coalesce(F.sum(F.when(r > 0, r)), F.lit(0.0)), F.coalesce(-F.sum(F.when(r < 0, r)), F.lit(0.0))
+    by = trades.groupBy("replica_id").agg(F.count(F.lit(1)).alias("trade_count"), F.avg(r).alias("expectancy_r"), F.when(lost > 0, won / lost).when(won > 0, float("inf")).otherwise(0.0).alias("profit_factor"), F.count_distinct(F.when(F.col("__held"), F.struct("symbol", *keys))).alias("__kept"))
+    total = held.agg(F.count(F.lit(1)).alias("__total"))
+    out = bars.sparkSession.range(replicas).select(F.col("id").cast("int").alias("replica_id")).join(by, "replica_id", "left").crossJoin(F.broadcast(total))
+    kept = F.when(F.col("__total") > 0, F.coalesce("__kept", F.lit(0)) / F.col("__total"))
+    return out.select("replica_id", F.coalesce("trade_count", F.lit(0)).alias("trade_count"), "expectancy_r", "profit_factor", kept.alias("persistence_rate"))
+
+
+def noise_summary(replicas: DataFrame, percentiles: tuple[int, ...] = (5, 50, 95)) -> DataFrame:
+    """Percentiles over replicas of expectancy, profit factor and persistence."""
+    names = ("expectancy_r", "profit_factor", "persistence_rate")
+    return replicas.agg(F.count(F.lit(1)).alias("n_replicas"), *[F.percentile(c, p / 100).alias(f"{c}_p{p}") for c in names for p in percentiles])
+
+
 def sensitivity_cells(base: dict, fraction: float = 0.25, steps: int = 2) -> list[dict]:
     """One-at-a-time cells: each parameter moved in steps to both sides, ticks at least 1."""
     out = [{**base, "parameter": "base", "step": 0}]
