@@ -353,6 +353,14 @@ def trigger_3c(spark, sf):
     return only(Z.three_candle(b, levels), "symbol", "arrival_bar_index", "reversal_bar_index", "entry_bar_index", "direction", "level_price", "entry_price", "variant", "inside_count", "status")
 
 
+@query
+def trigger_3c_2h(spark, sf):
+    b = _leveled(spark, sf)
+    levels = Z.candidates(Z.anchor_zones(b, "pdHigh", [], least=0).withColumn("level_prices", F.array("anchor_price")), "anchor")
+    s = Z.three_candle_on(b, Z.trigger_bars(b, 7200), levels, 7200)
+    return only(s, "symbol", "arrival_bar_index", "reversal_bar_index", "entry_bar_index", "direction", "level_price", "entry_price", "variant", "inside_count", "status", "trigger_ts")
+
+
 @query
 def otf_state(spark, sf):
     s = Z.otf_state(bars(spark, sf), 3600, HALF_HOUR, 2)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tapewright.config import DEFAULT, DIRECTIONS, choose
 from tapewright.operators.bars import floored, micros
-from tapewright.operators.joins import asof_backward
+from tapewright.operators.joins import asof_backward, range_join
 
 CAP = 5
+SETUP = ("direction", "source_mode", "level_price", "entry_price", "variant", "inside_count", "status")
 
 
 def _levels(columns: list[str]) -> Column:
@@ -133,6 +134,45 @@ def three_candle(bars: DataFrame, levels: DataFrame, tick: float = DEFAULT.tick_
     later bars. A setup occupies its level until it resolves; arrivals meanwhile at
     the same price, direction and mode are passed over, in order, per level.
     """
+    met = _reversals(bars, levels, tick, arrival_ticks, retrace_ticks, max_wait, look)
+    long = F.col("direction") == "long"
+    fills = F.filter("later", lambda b: (b["bar_index"] > F.col("rev.bar_index")) & (b["bar_index"] <= F.col("rev.bar_index") + max_wait) & F.when(long, b["low"] <= F.col("entry_price")).otherwise(b["high"] >= F.col("entry_price")))
+    met = met.withColumn("fill", F.when(F.col("reversed"), F.get(fills, F.lit(0))["bar_index"]))
+    until = F.when(~F.col("reversed"), F.col("rev.bar_index")).otherwise(F.coalesce("fill", F.least(F.col("last_bar"), F.col("rev.bar_index") + max_wait)))
+    out = _merged(_unoccupied(met.withColumn("until", until)))
+    return out.select("symbol", F.col("bar_index").alias("arrival_bar_index"), F.col("rev.bar_index").alias("reversal_bar_index"), F.col("fill").alias("entry_bar_index"), *SETUP)
+
+
+def three_candle_on(bars: DataFrame, triggers: DataFrame, levels: DataFrame, secs: int, tick: float = DEFAULT.tick_size, arrival_ticks: float = 0, retrace_ticks: float = 1, max_wait: int = 5, look: int = 64) -> DataFrame:
+    """Three-candle setups on trigger bars of ``secs``, from trigger_bars: arrival, inside
+    bars and reversal are theirs; the entry is filled on the base bars that start after the
+    reversal bar is over, until ``max_wait`` times its length has passed, which is also how
+    long a setup occupies its level. The three bar_index columns are those of base bars.
+
+    levels: symbol, bar_index, source_mode, level_price at any base bar of a trigger bar.
+    """
+    number = F.row_number().over(Window.partitionBy("symbol").orderBy("base_end_bar_index")) - 1
+    coarse = triggers.withColumn("__no", number)
+    spans = coarse.select("symbol", "__no", F.explode(F.sequence("base_start_bar_index", "base_end_bar_index")).alias("bar_index"))
+    at = levels.join(spans, ["symbol", "bar_index"]).select("symbol", F.col("__no").alias("bar_index"), "source_mode", "level_price")
+    met = _reversals(coarse.select("symbol", F.col("__no").alias("bar_index"), "high", "low", "close", "ts"), at, tick, arrival_ticks, retrace_ticks, max_wait, look)
+    out = _unoccupied(met.withColumn("until", F.when(F.col("reversed"), F.col("rev.bar_index") + max_wait).otherwise(F.col("rev.bar_index"))))
+    size = secs * 1_000_000
+    out = out.withColumns({"__id": F.struct("bar_index", "source_mode", "level_price", "direction"), "__from": micros(F.col("rev.ts")) + size + 1}).withColumn("__to", F.col("__from") + max_wait * size)
+    wanted = out.select("symbol", "__id", "__from", "__to", "direction", "entry_price")
+    points = bars.select("symbol", F.col("bar_index").alias("__bar"), "high", "low", micros(F.col("ts")).alias("__at"))
+    hits = range_join(points, wanted, ["symbol"], "__at", "__from", "__to", max_wait * size).where(F.when(F.col("direction") == "long", F.col("low") <= F.col("entry_price")).otherwise(F.col("high") >= F.col("entry_price"))) if max_wait else None
+    filled = hits.groupBy("symbol", "__id").agg(F.min("__bar").alias("fill")) if max_wait else wanted.select("symbol", "__id", F.lit(None).cast("int").alias("fill")).distinct()
+    out = _merged(out.join(filled, ["symbol", "__id"], "left"))
+    ends = coarse.select("symbol", "__no", "base_end_bar_index")
+    for c, no in (("arrival_bar_index", F.col("bar_index")), ("reversal_bar_index", F.col("rev.bar_index"))):
+        out = out.withColumn("__no", no).join(ends.withColumnRenamed("base_end_bar_index", c), ["symbol", "__no"]).drop("__no")
+    over = F.col("rev.ts") + F.make_dt_interval(secs=F.lit(secs))
+    return out.select("symbol", "arrival_bar_index", "reversal_bar_index", F.col("fill").alias("entry_bar_index"), *SETUP, over.alias("trigger_ts"))
+
+
+def _reversals(bars: DataFrame, levels: DataFrame, tick: float, arrival_ticks: float, retrace_ticks: float, max_wait: int, look: int) -> DataFrame:
+    """Arrivals at levels with the bar that decides them and whether it reverses."""
     w = Window.partitionBy("symbol").orderBy("bar_index")
     nxt = F.collect_list(F.struct("bar_index", "high", "low", "close", "ts")).over(w.rowsBetween(1, look + max_wait))
     rows = bars.select("symbol", "bar_index", "high", "low", "close", nxt.alias("later"), F.max("bar_index").over(Window.partitionBy("symbol")).alias("last_bar"))
@@ -154,11 +194,11 @@ def three_candle(bars: DataFrame, levels: DataFrame, tick: float = DEFAULT.tick_
     sfp = ok & F.when(long, F.col("rev.low") < F.col("low")).otherwise(F.col("rev.high") > F.col("high"))
     met = met.where("rev is not null").withColumns({"reversed": ok, "is_sfp": sfp, "inside": F.col("rev.bar_index") - F.col("bar_index") - 1})
     entry = F.when(long, F.col("rev.close") - retrace_ticks * tick).otherwise(F.col("rev.close") + retrace_ticks * tick)
-    met = met.withColumn("entry_price", entry)
-    fills = F.filter("later", lambda b: (b["bar_index"] > F.col("rev.bar_index")) & (b["bar_index"] <= F.col("rev.bar_index") + max_wait) & F.when(long, b["low"] <= F.col("entry_price")).otherwise(b["high"] >= F.col("entry_price")))
-    met = met.withColumn("fill", F.when(F.col("reversed"), F.get(fills, F.lit(0))))
-    until = F.when(~F.col("reversed"), F.col("rev.bar_index")).otherwise(F.coalesce(F.col("fill.bar_index"), F.least(F.col("last_bar"), F.col("rev.bar_index") + max_wait)))
-    met = met.withColumns({"until": until, "price": F.rint(F.col("level_price") / tick) * tick})
+    return met.withColumns({"entry_price": entry, "price": F.rint(F.col("level_price") / tick) * tick})
+
+
+def _unoccupied(met: DataFrame) -> DataFrame:
+    """Reversed arrivals at levels that no earlier arrival occupies."""
     # greedy admission by level: an arrival is free if it comes after the last admitted one resolves
     keyed = met.groupBy("symbol", "price", "direction", "source_mode").agg(F.array_sort(F.collect_set(F.struct(F.col("bar_index").alias("at"), "level_price", "until"))).alias("a"))
     zero = F.struct(F.lit(-1).alias("until"), F.lit(-1).alias("arrival"), F.array().cast("array<struct<at:int,level_price:double>>").alias("out"))
@@ -169,11 +209,15 @@ def three_candle(bars: DataFrame, levels: DataFrame, tick: float = DEFAULT.tick_
         return F.when(free, F.struct(F.greatest(s["until"], x["until"]).alias("until"), F.when(later, x["at"]).otherwise(s["arrival"]).alias("arrival"), F.concat(s["out"], F.array(F.struct(x["at"].alias("at"), x["level_price"].alias("level_price")))).alias("out"))).otherwise(s)
 
     admitted = keyed.select("symbol", "direction", "source_mode", F.explode(F.aggregate("a", zero, step, lambda s: s["out"])).alias("x")).select("symbol", "direction", "source_mode", F.col("x.at").alias("bar_index"), F.col("x.level_price").alias("level_price"))
-    out = met.where("reversed").join(admitted, ["symbol", "direction", "source_mode", "bar_index", "level_price"])
+    return met.where("reversed").join(admitted, ["symbol", "direction", "source_mode", "bar_index", "level_price"])
+
+
+def _merged(out: DataFrame) -> DataFrame:
+    """One setup of an arrival, rounded price, direction and mode, filled ones first, with its variant and status."""
     first = Window.partitionBy("symbol", "price", "direction", "bar_index", "source_mode").orderBy(F.col("fill").isNull(), "level_price")
     out = out.withColumn("r", F.row_number().over(first)).where("r = 1")
     variant = F.concat(F.lit("3c"), F.when(F.col("is_sfp"), "_sfp").otherwise(""), F.concat(F.lit("_"), F.col("direction")), F.when(F.col("inside") > 0, "_muted").otherwise(""))
-    return out.select("symbol", F.col("bar_index").alias("arrival_bar_index"), F.col("rev.bar_index").alias("reversal_bar_index"), F.col("fill.bar_index").alias("entry_bar_index"), "direction", "source_mode", "level_price", "entry_price", variant.alias("variant"), F.col("inside").alias("inside_count"), F.when(F.col("fill").isNotNull(), "filled").otherwise("void").alias("status"))
+    return out.withColumns({"variant": variant, "inside_count": F.col("inside"), "status": F.when(F.col("fill").isNotNull(), "filled").otherwise("void")})
 
 
 def otf_state(bars: DataFrame, secs: int, base_s: int, least: int = 3) -> DataFrame:
@@ -203,4 +247,4 @@ def otf_filter(rows: DataFrame, states: list[DataFrame], at: str = "ts") -> Data
     return out.withColumn("accepted", ok)
 
 
-__all__ = ["anchor_zones", "cluster_zones", "micros", "on_trigger_bars", "otf_filter", "otf_state", "signals", "three_candle", "trigger_signals"]
+__all__ = ["anchor_zones", "cluster_zones", "micros", "on_trigger_bars", "otf_filter", "otf_state", "signals", "three_candle", "three_candle_on", "trigger_signals"]

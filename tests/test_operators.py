@@ -142,6 +142,44 @@ def test_three_candle_matches_the_sequential_search(spark):
     assert got == want
 
 
+def test_three_candle_on_trigger_bars_matches_the_sequential_search(spark):
+    rows, size, wait = walk(400, 5), 4, 2
+    start = dt.datetime(2024, 1, 1)
+    data = [("NQ", start + dt.timedelta(minutes=i), i, *map(float, r)) for i, r in enumerate(rows)]
+    bars = spark.createDataFrame(data, "symbol string, ts timestamp_ntz, bar_index int, open double, high double, low double, close double, volume double")
+    coarse = [(rows[i][0], max(r[1] for r in rows[i : i + size]), min(r[2] for r in rows[i : i + size]), rows[min(i + size, len(rows)) - 1][3]) for i in range(0, len(rows), size)]
+    levels = [("NQ", g * size + 1, "m", float(round(c[2] * 4) / 4)) for g, c in enumerate(coarse)]
+    got = Z.three_candle_on(bars, Z.trigger_bars(bars, size * 60), spark.createDataFrame(levels, "symbol string, bar_index int, source_mode string, level_price double"), size * 60, max_wait=wait, look=3)
+    got = {(r.arrival_bar_index, r.direction, r.level_price): (r.reversal_bar_index, r.entry_bar_index, r.variant) for r in got.collect()}
+    want, until, arrival = {}, {}, {}
+    last = lambda g: min(g * size + size, len(rows)) - 1
+    for g, (_, _, _, price) in enumerate(levels):
+        _, h1, l1, c1 = coarse[g]
+        for way in ("long", "short"):
+            key = (price, way)
+            if key in until and g <= until[key] and g != arrival[key]:
+                continue
+            if not ((l1 <= price and c1 > price) if way == "long" else (h1 >= price and c1 < price)):
+                continue
+            j = g + 1
+            while j < len(coarse) and coarse[j][1] <= h1 and coarse[j][2] >= l1:
+                j += 1
+            if j == len(coarse):
+                continue
+            _, h, lo, c = coarse[j]
+            end = j
+            if c > h1 if way == "long" else c < l1:
+                trig = c - 0.25 if way == "long" else c + 0.25
+                over = (j + 1) * size  # the bar that starts as the reversal ends doesn't count
+                hits = [k for k in range(over + 1, min(over + wait * size, len(rows) - 1) + 1) if (rows[k][2] <= trig if way == "long" else rows[k][1] >= trig)]
+                sfp = lo < l1 if way == "long" else h > h1
+                want[last(g), way, price] = (last(j), hits[0] if hits else None, "3c" + ("_sfp" if sfp else "") + f"_{way}" + ("_muted" if j > g + 1 else ""))
+                end = j + wait
+            if key not in until or end >= until[key]:
+                until[key], arrival[key] = end, g
+    assert want and got == want
+
+
 @pytest.mark.parametrize("policy,cooldown", [("single_position", 0), ("single_direction", 2)])
 def test_admission_matches_the_loop(spark, policy, cooldown):
     r = random.Random(4)
