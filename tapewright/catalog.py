@@ -382,7 +382,7 @@ TRADE = ("symbol", "signal_id", "direction", "entry_bar_index", "exit_bar_index"
 def _simulated(spark, sf, **options):
     b = bars(spark, sf)
     rows, s = break_signals(b)
-    return S.simulate(rows, s, max_bars=50, **({"stop_ticks": 400, "target_ticks": 600} | options))
+    return S.simulate(rows, s, **({"max_bars": 50, "stop_ticks": 400, "target_ticks": 600} | options))
 
 
 @query
@@ -390,6 +390,17 @@ def simulate_fixed_bracket(spark, sf):
     return only(_simulated(spark, sf), *TRADE, digits=7)
 
 
+@query
+def simulate_unlimited(spark, sf):
+    return only(_simulated(spark, sf, max_bars=None), *TRADE, digits=7)
+
+
+@query
+def simulate_trailing_unlimited(spark, sf):
+    """A wide bracket, which trades hold for hundreds of bars."""
+    return only(_simulated(spark, sf, max_bars=None, stop_ticks=1600, target_ticks=2400, breakeven_r=0.5, trail_r=1.0, trail_ticks=300), *TRADE, digits=7)
+
+
 @query
 def simulate_costs_session_close(spark, sf):
     return only(_simulated(spark, sf, commission=2.5, slippage_ticks=1.0, session_close="16:00", no_new_after="15:00"), *TRADE, digits=7)

@@ -52,7 +52,8 @@ OWN = f"CASE WHEN NOT entry_price BETWEEN low AND high THEN NULL WHEN {UP[0]} AN
 OWN_PATH = f"CASE WHEN high - open < open - low THEN {way('high', 'low')} WHEN high - open > open - low THEN {way('low', 'high')} WHEN coalesce({way('high', 'low')}, '') = 'SL' OR coalesce({way('low', 'high')}, '') = 'SL' THEN 'SL' ELSE coalesce({way('high', 'low')}, {way('low', 'high')}) END"
 
 
-def simulated(cells: str = "(0, 400.0, 600.0)", model: str = "sl_first", slip: float = 0.0, commission: float = 0.0, close: bool = False, be: bool = False, retrace: bool = False, sub: str = "") -> str:
+def simulated(cells: str = "(0, 400.0, 600.0)", model: str = "sl_first", slip: float = 0.0, commission: float = 0.0, close: bool = False, be: bool = False, retrace: bool = False, sub: str = "", hold: int | None = 50) -> str:
+    at_most = f"entry_bar_index + {hold - 1}" if hold else "NULL::INT"
     stop = "stop0" if not be else "fill + sign * lvl"
     label = "'SL'" if not be else "CASE WHEN tr IS NOT NULL AND tr > greatest(-risk, coalesce(be, -risk)) THEN 'TRAIL' WHEN be IS NOT NULL AND lvl = 0 THEN 'BE' ELSE 'SL' END"
     moving = "walk1 AS (SELECT *, NULL AS be, NULL AS tr, 0 AS lvl FROM walk0)" if not be else """walkb AS (SELECT *, coalesce(max(greatest(CASE WHEN sign > 0 THEN high - fill ELSE fill - low END, 0)) OVER (PARTITION BY symbol, signal_id, cell_id ORDER BY bar_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS best FROM walk0),
@@ -80,8 +81,8 @@ cells AS (SELECT * FROM (VALUES {cells}) v(cell_id, stop_ticks, target_ticks)),
 lasts AS (SELECT symbol, max(bar_index) AS last_bar FROM bars GROUP BY ALL),
 cand0 AS (SELECT s.*, c.*, b.bar_index AS entry_bar_index, CASE direction WHEN 'long' THEN 1.0::DOUBLE ELSE -1.0 END AS sign, {entry} AS open, last_bar, {close_bar} AS close_bar
   FROM sig s JOIN bars b ON b.symbol = s.symbol AND b.bar_index = s.bar_index + 1 JOIN lasts l ON l.symbol = s.symbol {join}, cells c {where}),
-cand1 AS (SELECT * EXCLUDE (open, bar_index), open + sign * {slip} * 0.25 AS fill, open AS entry_price, stop_ticks * 0.25::DOUBLE AS risk, least(last_bar, entry_bar_index + 49, close_bar) AS cap FROM cand0),
-cand AS (SELECT *, fill - sign * risk AS stop0, fill + sign * target_ticks * 0.25 AS target, CASE WHEN cap = entry_bar_index + 49 THEN 'TIME' WHEN cap = close_bar THEN 'SESSION_CLOSE' ELSE 'DATA_END' END AS cap_reason FROM cand1),
+cand1 AS (SELECT * EXCLUDE (open, bar_index), open + sign * {slip} * 0.25 AS fill, open AS entry_price, stop_ticks * 0.25::DOUBLE AS risk, least(last_bar, {at_most}, close_bar) AS cap FROM cand0),
+cand AS (SELECT *, fill - sign * risk AS stop0, fill + sign * target_ticks * 0.25 AS target, CASE WHEN cap = {at_most} THEN 'TIME' WHEN cap = close_bar THEN 'SESSION_CLOSE' ELSE 'DATA_END' END AS cap_reason FROM cand1),
 walk0 AS (SELECT c.*, b.bar_index, b.ts, b.open, b.high, b.low, b.close FROM cand c JOIN bars b ON b.symbol = c.symbol AND b.bar_index BETWEEN c.entry_bar_index AND c.cap),
 {moving},
 walk2 AS (SELECT *, {stop} AS stop, {label} AS stop_label FROM walk1),
@@ -181,6 +182,8 @@ ORACLES: dict[str, str] = {
       concat_ws('|', 'pdEQ', CASE WHEN a THEN 'dOpen' END, CASE WHEN b THEN 'wOpen' END, CASE WHEN c THEN 'pdOpen' END) AS level_names FROM v WHERE a OR b OR c"""),
     "trigger_timeframe_bars": w(LEVELED, "SELECT symbol, time_bucket(INTERVAL 2 HOUR, l.ts) AS ts, arg_min(open, bar_index) AS open, max(high) AS high, min(low) AS low, arg_max(close, bar_index) AS close, sum(volume) AS volume, min(bar_index) AS base_start_bar_index, max(bar_index) AS base_end_bar_index, arg_max(pdHigh, bar_index) FILTER (pdHigh IS NOT NULL) AS pdHigh FROM leveled l GROUP BY symbol, time_bucket(INTERVAL 2 HOUR, l.ts)"),
     "simulate_fixed_bracket": w(simulated(), f"SELECT {TRADE} FROM trades"),
+    "simulate_unlimited": w(simulated(hold=None), f"SELECT {TRADE} FROM trades"),
+    "simulate_trailing_unlimited": w(simulated("(0, 1600.0, 2400.0)", be=True, hold=None), f"SELECT {TRADE} FROM trades"),
     "simulate_costs_session_close": w(simulated(slip=1.0, commission=2.5, close=True), f"SELECT {TRADE} FROM trades"),
     "simulate_path_model": w(simulated(model="path"), f"SELECT {TRADE} FROM trades"),
     "simulate_trailing": w(simulated(be=True), f"SELECT {TRADE} FROM trades"),

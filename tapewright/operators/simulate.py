@@ -8,11 +8,17 @@ the same plan with more rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.config import DEFAULT, EXPOSURE_POLICIES, INTRABAR_MODELS, choose, seconds
 from tapewright.operators.bars import floored, segment
+from tapewright.session import stored
+
+#: Bars of a walk's first step.
+STEP = 64
 
 
 def entries(bars: DataFrame, signals: DataFrame) -> DataFrame:
@@ -120,6 +126,34 @@ def _sub_hit(conservative: bool) -> Column:
     return out
 
 
+def _walked(cand: DataFrame, spine: DataFrame, kind: Column, tick: float, moving: bool, width: int | None = None) -> DataFrame:
+    """Candidates (s) led through their bars from ``from_bar`` on, ``width`` bars at most:
+    where each stands at its first hit or at its last bar (x), whether it ended there,
+    and its best gain so far (best1)."""
+    to = F.least(F.col("cap"), F.col("from_bar") + width - 1) if width else F.col("cap")
+    walk = cand.withColumn("bar_index", F.explode(F.sequence("from_bar", to))).join(spine, ["symbol", "bar_index"])
+    by = Window.partitionBy("symbol", "signal_id", "cell_id").orderBy("bar_index")
+    gain = F.greatest(F.when(F.col("sign") > 0, F.col("high") - F.col("fill")).otherwise(F.col("fill") - F.col("low")), F.lit(0.0))
+    counts = F.when(F.col("retrace") & (F.col("bar_index") == F.col("entry_bar_index")), F.lit(0.0)).otherwise(gain)
+    if moving:
+        walk = walk.withColumn("best", F.greatest("best0", F.max(counts).over(by.rowsBetween(Window.unboundedPreceding, -1))))
+        be = F.when(F.col("best") >= F.col("breakeven_r") * F.col("risk"), F.lit(0.0))
+        trail = F.when(F.col("best") >= F.col("trail_r") * F.col("risk"), F.col("best") - F.col("trail_ticks") * tick)
+        level = F.greatest(-F.col("risk"), be, trail)  # in points of gain; null levels are skipped
+        walk = walk.withColumns({"stop": F.col("fill") + F.col("sign") * level, "stop_label": F.when(trail.isNotNull() & (trail > F.greatest(-F.col("risk"), F.coalesce(be, -F.col("risk")))), "TRAIL").when(be.isNotNull() & (level == 0), "BE").otherwise("SL")})
+    else:
+        walk = walk.withColumns({"stop": F.col("stop0"), "stop_label": F.lit("SL")})
+    walk = walk.withColumn("kind", kind)
+    adverse = F.when(F.col("sign") > 0, F.col("fill") - F.col("low")).otherwise(F.col("high") - F.col("fill"))
+    favour = F.when(F.col("sign") > 0, F.col("high") - F.col("fill")).otherwise(F.col("fill") - F.col("low"))
+    run = by.rowsBetween(Window.unboundedPreceding, 0)
+    walk = walk.withColumns({"mae": F.greatest("mae0", F.max(adverse).over(run)), "mfe": F.greatest("mfe0", F.max(favour).over(run))})
+    done = F.struct("bar_index", "ts", F.when(F.col("kind") == "TP", F.col("target")).when(F.col("kind") == "SL", F.col("stop")).otherwise(F.col("close")).alias("price"), F.when(F.col("kind") == "SL", F.col("stop_label")).when(F.col("kind") == "TP", "TP").otherwise(F.col("cap_reason")).alias("reason"), "mae", "mfe", "stop", "close")
+    best1 = [F.greatest(F.first("best0"), F.max(counts)).alias("best1")] if width else []
+    out = walk.groupBy("symbol", "signal_id", "cell_id").agg(F.min_by(done, F.when(F.col("kind").isNotNull(), F.col("bar_index"))).alias("hit"), F.max_by(done, "bar_index").alias("end"), F.first(F.struct(*cand.columns)).alias("s"), *best1)
+    return out.withColumns({"x": F.coalesce("hit", "end"), "ended": F.col("hit").isNotNull() | (F.col("end.bar_index") >= F.col("s.cap"))})
+
+
 def simulate(bars: DataFrame, signals: DataFrame, cells: list[dict] | None = None, *, stop_ticks: float = 8, target_ticks: float = 16, tick: float = DEFAULT.tick_size, point_value: float = DEFAULT.point_value,
              max_bars: int | None = None, same_bar_exit: bool = True, commission: float = 0.0, slippage_ticks: float = 0.0, session_close: str | None = None, no_new_after: str | None = None,
              model: str = "sl_first", breakeven_r: float | None = None, trail_r: float | None = None, trail_ticks: float | None = None, sub: DataFrame | None = None, parent_s: int | None = None, sub_s: int | None = None) -> DataFrame:
@@ -127,7 +161,10 @@ def simulate(bars: DataFrame, signals: DataFrame, cells: list[dict] | None = Non
 
     bars: with bar_index (and, for session caps, local_ts, sod and session_date).
     cells: parameter cells (stop_ticks, target_ticks, breakeven_r, trail_r,
-    trail_ticks); each signal is simulated in each. max_bars bounds the walk.
+    trail_ticks); each signal is simulated in each. max_bars bounds the walk; beyond
+    STEP bars, or without a bound, the walk goes in steps, each four times as long as
+    the one before, and only trades still open go on, so a trade meets no more than
+    about four times the bars that it lives.
 
     Order at a bar: stop before target (model sl_first), by the nearer extreme first
     (path_open_proximity), or by its sub-bars (``sub`` of sub_s seconds in bars of
@@ -177,32 +214,24 @@ def simulate(bars: DataFrame, signals: DataFrame, cells: list[dict] | None = Non
     spine = bars.select("symbol", "bar_index", "ts", "open", "high", "low", "close")
     if by_sub:
         spine = spine.join(subs.where("fault is null").select("symbol", "bar_index", "subs"), ["symbol", "bar_index"], "left")
-    walk = cand.drop("bar_index", "ts").where("first_bar <= cap").withColumn("bar_index", F.explode(F.sequence("first_bar", "cap")))
-    walk = walk.join(spine, ["symbol", "bar_index"])
-    by = Window.partitionBy("symbol", "signal_id", "cell_id").orderBy("bar_index")
-    if moving:
-        gain = F.greatest(F.when(F.col("sign") > 0, F.col("high") - F.col("fill")).otherwise(F.col("fill") - F.col("low")), F.lit(0.0))
-        counts = F.when(F.col("retrace") & (F.col("bar_index") == F.col("entry_bar_index")), F.lit(0.0)).otherwise(gain)
-        best = F.coalesce(F.max(counts).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-        walk = walk.withColumn("best", best)
-        be = F.when(F.col("best") >= F.col("breakeven_r") * F.col("risk"), F.lit(0.0))
-        trail = F.when(F.col("best") >= F.col("trail_r") * F.col("risk"), F.col("best") - F.col("trail_ticks") * tick)
-        level = F.greatest(-F.col("risk"), be, trail)  # in points of gain; null levels are skipped
-        walk = walk.withColumns({"stop": F.col("fill") + F.col("sign") * level, "stop_label": F.when(trail.isNotNull() & (trail > F.greatest(-F.col("risk"), F.coalesce(be, -F.col("risk")))), "TRAIL").when(be.isNotNull() & (level == 0), "BE").otherwise("SL")})
-    else:
-        walk = walk.withColumns({"stop": F.col("stop0"), "stop_label": F.lit("SL")})
     own = F.col("retrace") & (F.col("bar_index") == F.col("entry_bar_index"))
     path = model == "path_open_proximity"
-    walk = walk.withColumn("kind", _sub_hit(model == "subtimeframe_conservative") if by_sub else F.when(own, _retrace_hit(path)).otherwise(_hit(path)))
-    adverse = F.when(F.col("sign") > 0, F.col("fill") - F.col("low")).otherwise(F.col("high") - F.col("fill"))
-    favour = F.when(F.col("sign") > 0, F.col("high") - F.col("fill")).otherwise(F.col("fill") - F.col("low"))
-    run = by.rowsBetween(Window.unboundedPreceding, 0)
-    walk = walk.withColumns({"mae": F.max(adverse).over(run), "mfe": F.max(favour).over(run)})
-    done = F.struct("bar_index", "ts", F.when(F.col("kind") == "TP", F.col("target")).when(F.col("kind") == "SL", F.col("stop")).otherwise(F.col("close")).alias("price"), F.when(F.col("kind") == "SL", F.col("stop_label")).when(F.col("kind") == "TP", "TP").otherwise(F.col("cap_reason")).alias("reason"), "mae", "mfe", "stop", "close")
+    kind = _sub_hit(model == "subtimeframe_conservative") if by_sub else F.when(own, _retrace_hit(path)).otherwise(_hit(path))
     keep = [c for c in cand.columns if c not in ("bar_index", "ts", "last_bar", "first_bar", "close_bar", "entry_sod", "session_date", "cap", "cap_reason", "__at")]
-    held = F.struct(*keep)
-    out = walk.groupBy("symbol", "signal_id", "cell_id").agg(F.min_by(done, F.when(F.col("kind").isNotNull(), F.col("bar_index"))).alias("hit"), F.max_by(done, "bar_index").alias("end"), F.first(held).alias("s"))
-    out = out.withColumn("x", F.coalesce("hit", "end")).select("s.*", "x")
+    # what a trade carries from step to step: the next bar, the best gain and the excursions so far
+    still = cand.drop("bar_index", "ts").where("first_bar <= cap").withColumns({"from_bar": F.col("first_bar"), "best0": F.lit(0.0), "mae0": F.lit(None).cast("double"), "mfe0": F.lit(None).cast("double")})
+    if max_bars and max_bars <= STEP:
+        out = _walked(still, spine, kind, tick, moving).select("s.*", "x")
+    else:
+        ended, width = [], STEP
+        while not ended or not still.isEmpty():
+            step = stored(_walked(still, spine, kind, tick, moving, width))
+            ended.append(step.where("ended").select("s.*", "x"))
+            still = step.where("not ended").select("s.*", F.struct(F.col("x.bar_index") + 1, "best1", "x.mae", "x.mfe").alias("n"))
+            still = still.withColumns({"from_bar": F.col("n.col1").cast("int"), "best0": F.col("n.best1"), "mae0": F.col("n.mae"), "mfe0": F.col("n.mfe")}).drop("n")
+            width *= 4
+        out = reduce(DataFrame.unionAll, ended)
+    out = out.select(*keep, "x")
     exit_price = F.col("x.price") - F.col("sign") * slippage_ticks * tick
     out = out.withColumns({"exit_bar_index": F.col("x.bar_index"), "exit_ts": F.col("x.ts"), "exit_price": exit_price, "exit_reason": F.col("x.reason"), "mae_points": F.greatest(F.col("x.mae"), F.lit(0.0)), "mfe_points": F.greatest(F.col("x.mfe"), F.lit(0.0))})
     out = out.withColumn("pnl_currency", (F.col("exit_price") - F.col("fill")) * F.col("sign") * point_value - 2 * commission)

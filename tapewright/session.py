@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "tapewright", **conf: str) -> SparkSession:
@@ -18,3 +18,17 @@ def get_session(app: str = "tapewright", **conf: str) -> SparkSession:
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read again, which cuts its lineage.
+
+    The folder is that of ``spark.checkpoint.dir``; where it is unset (tests,
+    notebooks), a folder in the warehouse is set for this session.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        root = context.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir', 'spark-warehouse').rstrip('/')}/_checkpoints"
+        context.setCheckpointDir(root)
+    return df.checkpoint()

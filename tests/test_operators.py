@@ -336,3 +336,17 @@ def test_sub_bars_decide_the_order_within_a_bar(spark):
     assert run(missing, "subtimeframe_conservative") == "SL"
     with pytest.raises(ValueError, match="mismatch"):
         run(sub.where("high < 104").union(sub.where("high = 104").selectExpr("symbol", "ts", "open", "103.0D", "low", "close")), "subtimeframe_conservative")
+
+
+@pytest.mark.parametrize("options", [{}, {"breakeven_r": 0.5, "trail_r": 1.0, "trail_ticks": 40}])
+def test_steps_of_a_walk_make_the_trades_of_one_walk(spark, monkeypatch, options):
+    from tapewright.operators import simulate as S
+
+    bars = frame(spark, walk(120, 5))
+    sig = spark.createDataFrame([("NQ", i, i * 4, "long" if i % 2 else "short") for i in range(25)], "symbol string, signal_id long, bar_index int, direction string")
+    trades = lambda **o: sorted(map(str, S.simulate(bars, sig, stop_ticks=60, target_ticks=90, **options, **o).drop("exit_reason").collect()))
+    whole = trades(max_bars=1000)  # in steps: the bound is above STEP
+    monkeypatch.setattr(S, "STEP", 3)
+    assert trades() == whole
+    monkeypatch.setattr(S, "STEP", 1000)
+    assert trades(max_bars=1000) == whole
