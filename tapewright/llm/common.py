@@ -31,17 +31,18 @@ def tasks_for(rows: int, each: int = 50_000) -> int:
     return max(1, -(-rows // each))
 
 
-def cut(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str, tasks: int | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
     It cuts the lineage: what follows survives a lost executor without doing
     the work again, and several readers share one computation. tasks: a bound on
-    the writing tasks, for tables whose number of rows is known.
+    the writing tasks, for tables whose number of rows is known. codec: the
+    compression, if not the session's.
     """
     spark = df.sparkSession
     df = df if tasks is None else df.coalesce(tasks)
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.llm.alignment import align_documents
 from tapewright.llm.common import cut, scratch_dir
 from tapewright.llm.htmltext import main_text
 from tapewright.llm.langid import predict_language, train
@@ -88,8 +89,13 @@ def op5_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op12_shared_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = align_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.drop("a", "b")
+
+
 QUERIES = {"op4_host_quality": op4_host_quality, "op7_mix_sources": op7_mix_sources, "op3_superkmer_dedup": op3_superkmer_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op10_near_dedup": op10_near_dedup,
     "op6_pattern_packing": op6_pattern_packing, "op1_language_id": op1_language_id,
     "op2_token_rollups": op2_token_rollups, "op9_nn_descent": op9_nn_descent,
-    "op5_page_differencing": op5_page_differencing}
+    "op5_page_differencing": op5_page_differencing, "op12_shared_cuts": op12_shared_cuts}
 ORACLES = {"op4_host_quality": OP4}

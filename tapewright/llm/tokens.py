@@ -13,15 +13,33 @@ import re
 
 import numpy as np
 
-ODD = re.compile("[\x1c-\x1f\x85᠎​⁠﻿]|<\\|")
+ODD_SPACE = re.compile("[\x1c-\x1f\x85᠎​⁠﻿]")
+ODD = re.compile(ODD_SPACE.pattern + "|<\\|")
 
 _LOADED: dict[str, Encoder] = {}
 
 
-def default_path() -> str:
+def default_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
+
+
+def byte_table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of tokens and their bytes, each in a row filled up with zeros."""
+    lengths = np.array([len(x) for x in tokens], np.int64)
+    padded = np.zeros((len(tokens), int(lengths.max())), np.uint8)
+    padded[np.arange(padded.shape[1]) < lengths[:, None]] = np.frombuffer(b"".join(tokens), np.uint8)
+    return lengths, padded
+
+
+def join_bytes(ids: np.ndarray, lengths: np.ndarray, padded: np.ndarray) -> bytes:
+    """The bytes of a sequence of tokens."""
+    size = lengths[ids]
+    if not len(ids):
+        return b""
+    width = int(size.max())
+    return padded[ids, :width][np.arange(width) < size[:, None]].tobytes()
 
 
 class Encoder:
@@ -35,6 +53,8 @@ class Encoder:
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.plain_tokenizer = None
+        self.lengths, self.padded = byte_table(sorted(ranks, key=ranks.get))
 
     def encode(self, text: str) -> np.ndarray:
         if not ODD.search(text):
@@ -45,6 +65,43 @@ class Encoder:
             self.tokenizer = Tokenizer.from_file(self.path)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def plain(self, text: str) -> np.ndarray:
+        """Ids of a text in which the strings of special tokens are plain text."""
+        if not ODD_SPACE.search(text):
+            return np.array(self.fast.encode_ordinary(text), np.uint32)
+        if self.plain_tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.plain_tokenizer = Tokenizer.from_file(self.path)
+            self.plain_tokenizer.encode_special_tokens = True
+        return np.array(self.plain_tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        return join_bytes(ids, self.lengths, self.padded)
+
+
+class Pieces:
+    """Encodes texts by a piece vocabulary with byte fallback."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.lengths, self.padded = byte_table([bytes([int(x[3:5], 16)]) if self.model.is_byte(i) else x.replace("\u2581", " ").encode() for i, x in enumerate(names)])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x, np.uint32) for x in self.model.encode(texts, num_threads=1)]
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        return join_bytes(ids, self.lengths, self.padded)
+
+
+def pieces(path: str) -> Pieces:
+    if path not in _LOADED:
+        _LOADED[path] = Pieces(path)
+    return _LOADED[path]
+
 
 def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
