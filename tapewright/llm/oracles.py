@@ -31,3 +31,39 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   base_failed, NOT base_failed AND NOT host_rejected AS kept, host_rejected
 FROM e JOIN v ON e.source IS NOT DISTINCT FROM v.source
 """
+
+OP11 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM d
+), l AS (
+  SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > first_id, false)::INT AS fails
+  FROM w LEFT JOIN l USING (doc_id)
+), c AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL
+), o AS (
+  SELECT '' AS filter_order, 0 AS step, '' AS filter, 0 AS filter_bit, 0 AS before, 0 AS used
+  UNION ALL
+  SELECT filter_order || x.filter, step + 1, x.filter, x.bit, used, used | x.bit
+  FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS filter, unnest([1, 2, 4, 8, 16]) AS bit) AS x WHERE used & x.bit = 0
+), orders AS (
+  SELECT filter_order FROM o WHERE step = 5
+), s AS (
+  SELECT orders.filter_order, o.step, o.filter, o.filter_bit, o.before FROM orders JOIN o ON o.step > 0 AND o.filter_order = left(orders.filter_order, o.step)
+), r AS (
+  SELECT part, filter_order, step, filter,
+    sum(CASE WHEN fails & (before | filter_bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN fails & before = 0 AND fails & filter_bit != 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN fails & before != 0 AND fails & filter_bit != 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN fails = filter_bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN fails & before = 0 AND fails & filter_bit != 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN fails & before = 0 AND fails & filter_bit != 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM s, c GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r
+"""

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tapewright.llm.alignment import align_documents
 from tapewright.llm.common import cut, scratch_dir
 from tapewright.llm.htmltext import main_text
+from tapewright.llm.interaction import audit_filters
 from tapewright.llm.langid import predict_language, train
 from tapewright.llm.mixing import mix_sizes
 from tapewright.llm.nndescent import nearest
-from tapewright.llm.oracles import OP4
+from tapewright.llm.oracles import OP4, OP11
 from tapewright.llm.packing import pack_documents
 from tapewright.llm.probminhash import near_classes
 from tapewright.llm.quality import host_quality
@@ -94,8 +95,12 @@ def op12_shared_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("a", "b")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {"op4_host_quality": op4_host_quality, "op7_mix_sources": op7_mix_sources, "op3_superkmer_dedup": op3_superkmer_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op10_near_dedup": op10_near_dedup,
     "op6_pattern_packing": op6_pattern_packing, "op1_language_id": op1_language_id,
     "op2_token_rollups": op2_token_rollups, "op9_nn_descent": op9_nn_descent,
-    "op5_page_differencing": op5_page_differencing, "op12_shared_cuts": op12_shared_cuts}
-ORACLES = {"op4_host_quality": OP4}
+    "op5_page_differencing": op5_page_differencing, "op12_shared_cuts": op12_shared_cuts, "op11_filter_audit": op11_filter_audit}
+ORACLES = {"op4_host_quality": OP4, "op11_filter_audit": OP11}
