@@ -19,6 +19,7 @@ from tapewright.llm.packing import pack_documents
 from tapewright.llm.probminhash import near_classes
 from tapewright.llm.quality import host_quality
 from tapewright.llm.rollups import Ledger, count_tokens, deletes, inserts, revisions
+from tapewright.llm.sequences import read_sequences, write_sequences
 from tapewright.llm.substring import substring_dedup
 from tapewright.llm.suffixes import suffix_dedup
 
@@ -99,8 +100,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_sequences(spark, write_sequences(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {"op4_host_quality": op4_host_quality, "op7_mix_sources": op7_mix_sources, "op3_superkmer_dedup": op3_superkmer_dedup, "op8_suffix_dedup": op8_suffix_dedup, "op10_near_dedup": op10_near_dedup,
     "op6_pattern_packing": op6_pattern_packing, "op1_language_id": op1_language_id,
     "op2_token_rollups": op2_token_rollups, "op9_nn_descent": op9_nn_descent,
-    "op5_page_differencing": op5_page_differencing, "op12_shared_cuts": op12_shared_cuts, "op11_filter_audit": op11_filter_audit}
+    "op5_page_differencing": op5_page_differencing, "op12_shared_cuts": op12_shared_cuts, "op11_filter_audit": op11_filter_audit, "op13_sequence_files": op13_sequence_files}
 ORACLES = {"op4_host_quality": OP4, "op11_filter_audit": OP11}

@@ -8,6 +8,7 @@ tokenizer itself.
 
 from __future__ import annotations
 
+import array
 import base64
 import re
 
@@ -103,6 +104,54 @@ def pieces(path: str) -> Pieces:
     return _LOADED[path]
 
 
+#: What the word vocabulary splits texts of these characters into, once they are lower case.
+PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+NOT_PLAIN = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ¿¡«»“”„‘’‚–—…•]|<\\|")
+
+
+class WordEncoder:
+    """Encodes texts by a BPE vocabulary with word ends that folds case and drops white space.
+
+    The library's model encodes each different word of plain texts once (at most
+    ``memo`` words are kept); texts with other characters, whose composition or case
+    needs the library's own rules, or with what might be a special token, go to the
+    tokenizer as a whole.
+    """
+
+    def __init__(self, path: str, memo: int = 500_000):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.chars = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+    def word(self, word: str) -> bytes:
+        name = word if word.isascii() else word.encode().decode("latin-1").translate(self.chars)
+        return array.array("I", [t.id for t in self.tokenizer.model.tokenize(name)]).tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        if NOT_PLAIN.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        words = PLAIN_WORDS.findall(text.lower())
+        try:
+            found = b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            known = self.known
+            new = {x for x in words if x not in known}
+            if len(self.known) + len(new) > self.memo:
+                self.known, new = {}, set(words)
+            self.known.update(zip(new, map(self.word, new), strict=True))
+            found = b"".join(map(self.known.__getitem__, words))
+        return np.frombuffer(found, np.uint32)
+
+
+def word_encoder(path: str) -> WordEncoder:
+    if path not in _LOADED:
+        _LOADED[path] = WordEncoder(path)
+    return _LOADED[path]
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
     if path not in _LOADED:
