@@ -146,7 +146,7 @@ def write_sequences(docs: DataFrame, folder: str | None = None, id_col: str = "d
     tasks = max(partitions(spark), tasks_for(docs.count()))
     rows = rows.repartitionByRange(tasks, "id", "mark").sortWithinPartitions("id", "mark")
     made = StructType([rows.schema["id"]]).add("mark", "long").add("file", "string").add("n_sequences", "long").add("n_ids", "long").add("n_docs", "long")
-    files = cut(rows.mapInArrow(write_files(folder, tokenizer or default_path("word_bpe_49k.json"), length, end), made), "sequence-files", tasks=1)
+    files = cut(rows.mapInArrow(write_files(folder, tokenizer or default_path("word_bpe_49k.json"), length, end), made), "sequence-files")
     listed = files.orderBy("id", "mark").drop("id", "mark").collect()  # one row a task
     columns = {c: [r[c] for r in listed] for c in ("file", "n_sequences", "n_ids", "n_docs")}
     for total, first in (("n_sequences", "first_sequence"), ("n_ids", "first_id")):
