@@ -83,6 +83,54 @@ def opening_range(bars: DataFrame, minutes: int = 30, inst: Instrument = DEFAULT
     return clock_window(bars, "OR_", inst.rth_start, clock(start + 60 * minutes), "RTH")
 
 
+#: Clock windows of the level frame: name, start, end, session.
+CLOCK_WINDOWS = (("Asia", "20:00", "00:00", "ETH"), ("London", "02:00", "05:00", "ETH"))
+
+
+def level_frame(bars: DataFrame, inst: Instrument = DEFAULT, windows=CLOCK_WINDOWS, opening_minutes: int = 30) -> DataFrame:
+    """Bars with the opens, prior days, weeks and months, session, clock-window and
+    opening-range levels: those of current_opens, prior_period, session_levels,
+    clock_window and opening_range, from one grouping by session date.
+
+    A week's and a month's facts are those of its days, so they are windows over the
+    rows of days; another family is a few more columns of the grouping, and the bars
+    come back by one join.
+    """
+    clock = lambda s: f"{s // 3600:02d}:{s % 3600 // 60:02d}"
+    rth, start = F.col("session") == "RTH", seconds(inst.rth_start)
+    over = (F.col("session") == "ETH") & ((F.col("sod") >= seconds(inst.eth_start)) | (F.col("sod") < start))
+    spans = [*windows, ("OR_", inst.rth_start, clock(start + 60 * opening_minutes), "RTH")]
+    at = lambda on: F.when(on, F.col("ts"))
+    facts = {"open": F.min_by("open", at(F.col("open").isNotNull())), "o": F.min_by("open", "ts"), "h": F.max("high"), "l": F.min("low"), "rth": F.min(at(rth)), "ro": F.min_by("open", at(rth)), "rc": F.max_by("close", at(rth))}
+    for name, on in {"r": rth, "n": over}.items():
+        facts |= {f"{name}h": F.max(F.when(on, F.col("high"))), f"{name}l": F.min(F.when(on, F.col("low")))}
+    for name, lo, hi, session in spans:
+        inside = (F.col("session") == session) & (F.col("sod") >= seconds(lo)) & (F.col("sod") < (seconds(hi) or 86400))
+        facts |= {f"{name}h": F.max(F.when(inside, F.col("high"))), f"{name}l": F.min(F.when(inside, F.col("low")))}
+    days = bars.groupBy("symbol", *PERIODS.values()).agg(*[c.alias(f"f_{k}") for k, c in facts.items()])
+    by_date = Window.partitionBy("symbol").orderBy("session_date")
+    made = {}
+    for p, key in PERIODS.items():
+        whole = Window.partitionBy("symbol", key).orderBy("session_date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        days = days.withColumns({f"{p}_o": F.first("f_o").over(whole), f"{p}_h": F.max("f_h").over(whole), f"{p}_l": F.min("f_l").over(whole), f"made_{p}Open": F.first("f_open", ignorenulls=True).over(whole)})
+        prior = {n: F.first(F.col(f"__{c}")).over(whole) for n, c in ((f"made_p{p}Open", "o"), (f"made_p{p}High", "h"), (f"made_p{p}Low", "l"))}
+        # the day before a period's first day has the values of the period before
+        days = days.withColumns({f"__{c}": F.lag(f"{p}_{c}").over(by_date) for c in "ohl"}).withColumns(prior)
+        days = days.withColumn(f"made_p{p}EQ", (F.col(f"made_p{p}High") + F.col(f"made_p{p}Low")) / 2)
+        made |= {c: F.col(f"made_{c}") for c in (f"{p}Open", f"p{p}Open", f"p{p}High", f"p{p}Low", f"p{p}EQ")}
+    for name, c in {"pONH": "nh", "pONL": "nl", "pRTH_Open": "ro", "pRTH_High": "rh", "pRTH_Low": "rl", "prevSettlement": "rc"}.items():
+        days = days.withColumn(f"made_{name}", F.lag(f"f_{c}").over(by_date))
+        made[name] = F.col(f"made_{name}")
+    seen = F.col("ts") >= F.col("f_rth")
+    made |= {"RTH_Open": F.when(seen, F.col("f_ro")), "ONH": F.when(seen, F.col("f_nh")), "ONL": F.when(seen, F.col("f_nl"))}
+    for name, _, hi, _ in spans:
+        gate = F.col("local_ts") >= (F.col("session_date").cast("timestamp_ntz") + F.make_dt_interval(secs=F.lit(seconds(hi))))
+        made |= {f"{name}High": F.when(gate, F.col(f"f_{name}h")), f"{name}Low": F.when(gate, F.col(f"f_{name}l"))}
+    keep = [c for c in days.columns if c.startswith(("f_", "made_"))]
+    out = bars.join(days.select("symbol", "session_date", *keep), ["symbol", "session_date"])
+    return out.select(*[c for c in bars.columns if c not in made], *[v.alias(k) for k, v in made.items()])
+
+
 def sma(bars: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(-(n - 1), 0)
     return bars.withColumn(f"SMA_{n}", F.when(F.count("close").over(w) == n, F.avg("close").over(w)))

@@ -13,6 +13,7 @@ from tapewright.operators import simulate as S
 from tapewright.operators import zones as Z
 from tapewright.operators.bars import OHLCV, indexed, sessionised
 from tapewright.plans.metrics import trade_summary
+from tapewright.session import stored
 
 
 @dataclass(frozen=True)
@@ -45,11 +46,7 @@ class Setup:
 def all_levels(bars: DataFrame) -> DataFrame:
     """Indexed, sessionised bars with the levels that need no parameters."""
     b = indexed(sessionised(bars.select("symbol", "ts", *OHLCV)))
-    b = L.session_levels(L.current_opens(b))
-    for p in L.PERIODS:
-        b = L.prior_period(b, p)
-    b = L.opening_range(L.clock_window(L.clock_window(b, "Asia", "20:00", "00:00"), "London", "02:00", "05:00"))
-    return L.session_vwaps(b)
+    return L.session_vwaps(L.level_frame(b))
 
 
 def find_signals(levels: DataFrame, setup: Setup) -> DataFrame:
@@ -70,14 +67,14 @@ def find_signals(levels: DataFrame, setup: Setup) -> DataFrame:
 
 def run(levels: DataFrame, setup: Setup) -> DataFrame:
     """The setup's trades on a level frame, with run_name. The frame is read several
-    times over: persist it, as run_batch does."""
+    times over: store it, as run_batch does."""
     trades = S.simulate(levels, find_signals(levels, setup), model=setup.model, **setup.options)
     return trades.withColumns({"run_name": F.lit(setup.name), "trade_id": F.xxhash64("symbol", "signal_id")})
 
 
 def run_batch(bars: DataFrame, setups: list[Setup]) -> DataFrame:
-    """One row of metrics a run, from one plan over all runs, which share the persisted levels."""
-    levels = all_levels(bars).persist()
+    """One row of metrics a run, from one plan over all runs, which share the stored levels."""
+    levels = stored(all_levels(bars))
     out = None
     for s in setups:
         one = run(levels, s).select("run_name", "symbol", "trade_id", "exit_ts", "r_multiple", "direction", "bars_held")

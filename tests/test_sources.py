@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.operators import bars as B
+from tapewright.operators import levels as L
 from tapewright.plans.experiment import Setup, run_batch
 from tapewright.sources import files
 from tapewright.streaming.bars import stream_bars
@@ -66,6 +67,23 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_level_frame_equals_its_families(spark):
+    ticks = B.ticks_of(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    b = B.indexed(B.sessionised(B.bars_from_ticks(ticks, 1800)))
+    got = L.level_frame(b)
+    assert got._jdf.queryExecution().analyzed().collectLeaves().size() <= 10
+    want = L.session_levels(L.current_opens(b))
+    for p in L.PERIODS:
+        want = L.prior_period(want, p)
+        want = want.checkpoint()
+    want = L.opening_range(L.clock_window(L.clock_window(want, "Asia", "20:00", "00:00"), "London", "02:00", "05:00"))
+    assert set(got.columns) == set(want.columns)
+    key = ["symbol", "bar_index"]
+    cols = sorted(set(got.columns) - set(key))
+    assert got.select(*key, *cols).sort(*key).collect() == want.select(*key, *cols).sort(*key).collect()
+    assert got.select("pmHigh", "pwEQ", "AsiaHigh", "OR_Low", "ONH").dropna().count() >= 0 and got.where("pwHigh is not null and AsiaHigh is not null").count()
+
+
 def test_experiments(spark):
     ticks = B.ticks_of(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
     bars = B.bars_from_ticks(ticks, 1800)
