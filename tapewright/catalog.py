@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapewright.operators import admission as AD
 from tapewright.operators import bars as B
 from tapewright.operators import levels as L
 from tapewright.operators import simulate as S
@@ -467,6 +468,42 @@ def exposure_single_direction(spark, sf):
     return only(S.admit(_simulated(spark, sf), "single_direction"), "symbol", "signal_id", "admitted")
 
 
+VERDICT = ("symbol", "signal_id", "admitted", "skip_reason", "blocking_signal_id", "blocking_exit_bar_index")
+
+
+@query
+def exposure_reasons(spark, sf):
+    """Every candidate trade with the trade that blocks it, and why."""
+    return only(AD.admissions(_simulated(spark, sf), "single_position", 2), *VERDICT)
+
+
+@query
+def exposure_direction_reasons(spark, sf):
+    return only(AD.admissions(_simulated(spark, sf), "single_direction", 1), *VERDICT)
+
+
+def _admitted_by_clock(spark, sf):
+    window = lambda sod: S.in_entry_window(sod, clock=("08:00", "16:00"))
+    return AD.with_admissions(bars(spark, sf), _simulated(spark, sf), "single_position", 2, window=window, no_new_after="15:00")
+
+
+@query
+def skipped_signals(spark, sf):
+    """Signals that the clock or an open position skips."""
+    return only(_admitted_by_clock(spark, sf).where("not admitted"), *(c for c in VERDICT if c != "admitted"))
+
+
+@query
+def skip_counts(spark, sf):
+    return AD.skip_counts(_admitted_by_clock(spark, sf), ["symbol"])
+
+
+@query
+def exit_diagnostics(spark, sf):
+    d = AD.exit_diagnostics(bars(spark, sf), _simulated(spark, sf), ["symbol"])
+    return only(d, *d.columns, digits=7)
+
+
 @query
 def entry_window_filter(spark, sf):
     t = B.sessionised(event_trades(spark, sf).withColumnRenamed("entry_ts", "ts"))
@@ -614,6 +651,35 @@ def walk_forward_all(spark, sf):
     return only(w, "fold_id", "cell_id", "train_trades", "train_metric", "test_trades", "test_metric", digits=7)
 
 
+def _fold_otf(spark, sf, policy):
+    """Walk-forward on the signals that hourly one-time-framing accepts in each part of a fold."""
+    b = bars(spark, sf)
+    _, s = break_signals(b)
+    w = R.walk_forward_otf(_cell_trades(spark, sf), s, b, (400, 200, 150), HALF_HOUR, [3600], least=1, policy=policy)
+    return only(w, "fold_id", "cell_id", "train_trades", "train_metric", "test_trades", "test_metric", "train_signals", "train_rejected", "test_signals", "test_rejected", digits=7)
+
+
+@query
+def walk_forward_fold_local(spark, sf):
+    return _fold_otf(spark, sf, "fold_local")
+
+
+@query
+def walk_forward_causal_prefix(spark, sf):
+    return _fold_otf(spark, sf, "causal_prefix")
+
+
+@query
+def grid_search_otf(spark, sf):
+    """The grid on the signals that hourly one-time-framing accepts."""
+    b = bars(spark, sf)
+    rows, s = break_signals(b)
+    kept = Z.otf_filter(s, [Z.otf_state(b, 3600, HALF_HOUR, 1)]).where("accepted").drop("otf_0", "accepted")
+    t = S.simulate(rows, kept, CELLS, max_bars=50).withColumn("trade_id", F.xxhash64("symbol", "signal_id"))
+    g = M.trade_summary(t, ["cell_id", "stop_ticks", "target_ticks"])
+    return only(g, "cell_id", "stop_ticks", "target_ticks", "trade_count", "win_rate", "expectancy_r", "total_r", digits=7)
+
+
 @query
 def walk_forward_sessions(spark, sf):
     w = R.walk_forward_sessions(_cell_trades(spark, sf), bars(spark, sf), [(10, 5, 5)])
@@ -741,6 +807,14 @@ def portfolio_exposure(spark, sf):
     return only(P.portfolio_exposure(t, "single_position", by=["day"]), "trade_id", "admitted")
 
 
+@query
+def portfolio_exposure_whole(spark, sf):
+    """One position at a time over all setups and days, on a clock of half hours that they share."""
+    bar = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / HALF_HOUR).cast("int")
+    t = _setups(spark, sf).withColumns({"signal_id": F.col("trade_id"), "entry_bar_index": bar("entry_ts"), "exit_bar_index": bar("exit_ts")})
+    return only(AD.admissions(t, "single_position", 1, by=[]), "trade_id", "admitted", "skip_reason", "blocking_signal_id", "blocking_exit_bar_index")
+
+
 @query
 def portfolio_correlation(spark, sf):
     t = _setups(spark, sf).withColumn("exit_ts", F.date_trunc("hour", "exit_ts"))

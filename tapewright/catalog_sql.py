@@ -352,3 +352,62 @@ ORACLES |= {
     "study_admit_bucket": w(ET, f", g AS (SELECT symbol, {SEGMENT} AS rth_segment, count(*) AS trade_count, avg(r_multiple) AS avg_r FROM trades GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS i, lead(trade_count < 30) OVER w AS nt, lead(avg_r) OVER w AS nr FROM g WINDOW w AS (PARTITION BY symbol ORDER BY trade_count < 30, avg_r DESC, rth_segment)) SELECT symbol, rth_segment, trade_count, round(avg_r + 3.7e-10, 7) AS avg_r, CASE WHEN coalesce(nt = (trade_count < 30) AND nr = avg_r, false) THEN 'tie' WHEN trade_count < 30 THEN 'thin' ELSE 'ok' END AS status FROM r WHERE i = 1"),
     "mc_summary": "SELECT symbol, " + ", ".join(f"round(quantile_cont({c}, {p / 100}) + 3.7e-10, 7) AS {c}_p{p}" for c in ("final_r", "max_drawdown_r") for p in (5, 50, 95)) + ", " + ", ".join(f"round(avg((max_drawdown_r > {t})::INT::DOUBLE) + 3.7e-10, 7) AS prob_dd_over_{t}" for t in (3, 5, 10)) + " FROM (" + ORACLES["mc_reshuffle"].replace("round(sum(r) + 3.7e-10, 7)", "sum(r)").replace("round(max(dd) + 3.7e-10, 7)", "max(dd)") + ") x GROUP BY symbol",
 }
+
+
+def exposed(source: str, keys: str, cooldown: int, overlap: str) -> str:
+    """Verdicts (ad): the chain of admitted trades of each group, one after the other."""
+    return f""", o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY entry_bar_index, signal_id) AS pos FROM {source}),
+      nx AS (SELECT {keys}, o.pos, (SELECT min(b.pos) FROM o b WHERE {" AND ".join(f"b.{k} = o.{k}" for k in keys.split(", "))} AND b.entry_bar_index > o.exit_bar_index + {cooldown}) AS nxt FROM o),
+      ch AS (SELECT {keys}, pos FROM o WHERE pos = 1 UNION ALL SELECT {keys}, nxt AS pos FROM ch JOIN nx USING ({keys}, pos) WHERE nxt IS NOT NULL),
+      am AS (SELECT o.*, ch.pos IS NOT NULL AS admitted FROM o LEFT JOIN ch USING ({keys}, pos)),
+      bl AS (SELECT *, last_value(CASE WHEN admitted THEN signal_id END IGNORE NULLS) OVER x AS bid, last_value(CASE WHEN admitted THEN exit_bar_index END IGNORE NULLS) OVER x AS bx FROM am WINDOW x AS (PARTITION BY {keys} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      ad AS (SELECT *, CASE WHEN admitted THEN NULL WHEN entry_bar_index > bx THEN 'cooldown_active' ELSE '{overlap}' END AS skip_reason, CASE WHEN NOT admitted THEN bid END AS blocking_signal_id, CASE WHEN NOT admitted THEN bx END AS blocking_exit_bar_index FROM bl)"""
+
+
+VERDICT = "symbol, signal_id, admitted, skip_reason, blocking_signal_id, blocking_exit_bar_index"
+CLOCKED = simulated() + """, ct AS (SELECT t.*, CASE WHEN b.sod // 60 < 480 OR b.sod // 60 >= 960 THEN 'outside_entry_window' WHEN b.sod > 54000 THEN 'after_entry_cutoff' END AS reason FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.bar_index = t.entry_bar_index),
+  free AS (SELECT * FROM ct WHERE reason IS NULL)""" + exposed("free", "symbol", 2, "overlapping_position") + """, skips AS (SELECT symbol, signal_id, skip_reason, blocking_signal_id, blocking_exit_bar_index FROM ad WHERE NOT admitted UNION ALL SELECT symbol, signal_id, reason, NULL, NULL FROM ct WHERE reason IS NOT NULL)"""
+
+
+def recursive(ctes: str, body: str) -> str:
+    return w(ctes, body).replace("WITH", "WITH RECURSIVE", 1)
+
+
+def fold_otf(history: str) -> str:
+    """Walk-forward on signals that fit hourly states, which are made anew for each part of each fold."""
+    return w(simulated(CELLS), ", " + folds(400, 200, 150) + f""", pt AS (SELECT fold_id, 'train' AS part, a AS lo, b AS hi FROM folds UNION ALL SELECT fold_id, 'test', b, d FROM folds),
+      pb AS (SELECT pt.fold_id, pt.part, bars.* FROM pt JOIN bars ON bar_index < hi {history}),
+      oa AS (SELECT fold_id, part, symbol, session_date, time_bucket(INTERVAL 1 HOUR, pb.ts) AS ts, max(high) AS high, min(low) AS low, count(*) AS n FROM pb GROUP BY fold_id, part, symbol, session_date, time_bucket(INTERVAL 1 HOUR, pb.ts)),
+      ob AS (SELECT *, coalesce(low > lag(low) OVER x, false) AS up, coalesce(high < lag(high) OVER x, false) AS down, row_number() OVER x AS i FROM oa WHERE n = 2 WINDOW x AS (PARTITION BY fold_id, part, symbol, session_date ORDER BY ts)),
+      os AS (SELECT fold_id, part, symbol, ts + INTERVAL 1 HOUR AS known, CASE WHEN i = 1 THEN 'unknown' WHEN up AND NOT down THEN 'up' WHEN down AND NOT up THEN 'down' ELSE 'neutral' END AS state FROM ob),
+      sp AS (SELECT s.*, b.ts, pt.fold_id, pt.part FROM sig s JOIN bars b ON b.symbol = s.symbol AND b.bar_index = s.bar_index JOIN pt ON s.bar_index >= lo AND s.bar_index < hi),
+      sv AS (SELECT x.symbol, x.signal_id, x.fold_id, x.part, coalesce(state = CASE direction WHEN 'long' THEN 'up' ELSE 'down' END, false) AS ok FROM sp x ASOF LEFT JOIN os ON x.symbol = os.symbol AND x.fold_id = os.fold_id AND x.part = os.part AND x.ts >= os.known),
+      cn AS (SELECT fold_id, count(*) FILTER (part = 'train') AS train_signals, count(*) FILTER (part = 'train' AND NOT ok) AS train_rejected, count(*) FILTER (part = 'test') AS test_signals, count(*) FILTER (part = 'test' AND NOT ok) AS test_rejected FROM sv GROUP BY ALL),
+      tk AS (SELECT t.*, v.fold_id, v.part FROM trades t JOIN sv v ON v.symbol = t.symbol AND v.signal_id = t.signal_id AND ok),
+      tr AS (SELECT fold_id, cell_id, stop_ticks, target_ticks, count(*) AS n, avg(r_multiple) AS m FROM tk JOIN folds USING (fold_id) WHERE part = 'train' AND entry_bar_index >= a AND exit_bar_index < b GROUP BY ALL),
+      best AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY fold_id ORDER BY m DESC, stop_ticks, target_ticks) = 1),
+      te AS (SELECT fold_id, cell_id, count(*) AS n, avg(r_multiple) AS m FROM tk JOIN folds USING (fold_id) WHERE part = 'test' AND entry_bar_index >= b AND exit_bar_index < d GROUP BY ALL)
+      SELECT """ + BEST.replace(" FROM best b ", ", coalesce(train_signals, 0) AS train_signals, coalesce(train_rejected, 0) AS train_rejected, coalesce(test_signals, 0) AS test_signals, coalesce(test_rejected, 0) AS test_rejected FROM best b LEFT JOIN cn ON cn.fold_id = b.fold_id "))
+
+
+ORACLES |= {
+    "exposure_single_position": recursive(simulated() + exposed("trades", "symbol", 2, "overlapping_position"), "SELECT symbol, signal_id, admitted FROM ad"),
+    "exposure_single_direction": recursive(simulated() + exposed("trades", "symbol, direction", 0, "overlapping_direction"), "SELECT symbol, signal_id, admitted FROM ad"),
+    "exposure_reasons": recursive(simulated() + exposed("trades", "symbol", 2, "overlapping_position"), f"SELECT {VERDICT} FROM ad"),
+    "exposure_direction_reasons": recursive(simulated() + exposed("trades", "symbol, direction", 1, "overlapping_direction"), f"SELECT {VERDICT} FROM ad"),
+    "skipped_signals": recursive(CLOCKED, "SELECT * FROM skips"),
+    "skip_counts": recursive(CLOCKED, "SELECT symbol, count(*) AS total, count(*) FILTER (skip_reason = 'outside_entry_window') AS outside_entry_window, count(*) FILTER (skip_reason = 'after_entry_cutoff') AS after_entry_cutoff, count(*) FILTER (skip_reason NOT IN ('outside_entry_window', 'after_entry_cutoff')) AS other FROM skips GROUP BY ALL"),
+    "exit_diagnostics": w(simulated(), """, r AS (SELECT t.*, exit_reason IN ('SL', 'TP', 'BE', 'TRAIL') AS bracket, CASE direction WHEN 'long' THEN b.low <= stop_price AND b.high >= target_price ELSE b.high >= stop_price AND b.low <= target_price END AS reached FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.bar_index = t.exit_bar_index),
+      c AS (SELECT symbol, count(*) AS trade_count, count(*) FILTER (bracket) AS bracket_exit_trade_count, count(*) FILTER (bracket AND reached) AS same_bar_both_hit_count, count(DISTINCT exit_bar_index) FILTER (bracket AND reached) AS bars_affected_count, count(*) FILTER (exit_reason = 'BE') AS be_exit_count, count(*) FILTER (exit_reason = 'TRAIL') AS trail_exit_count FROM r GROUP BY ALL)
+      SELECT *, round(coalesce(same_bar_both_hit_count / nullif(bracket_exit_trade_count, 0), 0) + 3.7e-10, 7) AS same_bar_both_hit_pct FROM c"""),
+    "portfolio_exposure": recursive(ET + ", pt AS (SELECT *, trade_id AS signal_id, entry_ts::DATE AS day FROM trades)" + exposed("pt", "day", 0, "overlapping_position"), "SELECT trade_id, admitted FROM ad"),
+    "portfolio_exposure_whole": recursive(ET + ", pt AS (SELECT * REPLACE (floor(epoch(entry_ts) / 1800)::INT AS entry_bar_index, floor(epoch(exit_ts) / 1800)::INT AS exit_bar_index), trade_id AS signal_id, 1 AS one FROM trades)" + exposed("pt", "one", 1, "overlapping_position"), "SELECT trade_id, admitted, skip_reason, blocking_signal_id, blocking_exit_bar_index FROM ad"),
+    "walk_forward_fold_local": fold_otf("AND bar_index >= lo"),
+    "walk_forward_causal_prefix": fold_otf(""),
+    "grid_search_otf": w(simulated(CELLS), """, oa AS (SELECT symbol, session_date, time_bucket(INTERVAL 1 HOUR, b.ts) AS ts, max(high) AS high, min(low) AS low, count(*) AS n FROM bars b GROUP BY symbol, session_date, time_bucket(INTERVAL 1 HOUR, b.ts)),
+      ob AS (SELECT *, coalesce(low > lag(low) OVER x, false) AS up, coalesce(high < lag(high) OVER x, false) AS down, row_number() OVER x AS i FROM oa WHERE n = 2 WINDOW x AS (PARTITION BY symbol, session_date ORDER BY ts)),
+      os AS (SELECT symbol, ts + INTERVAL 1 HOUR AS known, CASE WHEN i = 1 THEN 'unknown' WHEN up AND NOT down THEN 'up' WHEN down AND NOT up THEN 'down' ELSE 'neutral' END AS state FROM ob),
+      sg AS (SELECT s.*, b.ts FROM sig s JOIN bars b ON b.symbol = s.symbol AND b.bar_index = s.bar_index),
+      ok AS (SELECT x.symbol, x.signal_id FROM sg x ASOF LEFT JOIN os ON x.symbol = os.symbol AND x.ts >= os.known WHERE state = CASE direction WHEN 'long' THEN 'up' ELSE 'down' END)
+      SELECT cell_id, stop_ticks, target_ticks, count(*) AS trade_count, round(avg((r_multiple > 0)::INT::DOUBLE) + 3.7e-10, 7) AS win_rate, round(avg(r_multiple) + 3.7e-10, 7) AS expectancy_r, round(sum(r_multiple) + 3.7e-10, 7) AS total_r FROM trades JOIN ok USING (symbol, signal_id) GROUP BY ALL"""),
+}

@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.config import DEFAULT, EXPOSURE_POLICIES, INTRABAR_MODELS, choose, seconds
+from tapewright.config import DEFAULT, INTRABAR_MODELS, choose, seconds
+from tapewright.operators.admission import admit
 from tapewright.operators.bars import floored, segment
 from tapewright.session import stored
 
@@ -239,24 +240,6 @@ def simulate(bars: DataFrame, signals: DataFrame, cells: list[dict] | None = Non
     return out.drop("x", "sign", "stop0", "target", "risk").withColumnRenamed("fill", "entry_fill")
 
 
-def admit(trades: DataFrame, policy: str = "single_position", cooldown: int = 0, group: str | None = None, by: list[str] = ("symbol", "cell_id")) -> DataFrame:
-    """Trades with ``admitted``: taken in order of entry bar and signal, a trade is
-    blocked while an admitted one of its group lasts, plus the cooldown. An ordered
-    fold in one array a group, as outcomes don't depend on admission."""
-    choose(policy, EXPOSURE_POLICIES, "exposure policy")
-    if policy == "allow_all":
-        return trades.withColumn("admitted", F.lit(True))
-    keys = [*by, *(["direction"] if policy == "single_direction" else [group] if policy == "single_setup" else [])]
-    rows = F.array_sort(F.collect_list(F.struct(F.col("entry_bar_index").alias("e"), F.col("signal_id").alias("i"), F.col("exit_bar_index").alias("x"))))
-    zero = F.struct(F.lit(-1_000_000).alias("mx"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(s: Column, t: Column) -> Column:
-        return F.when(t["e"] > s["mx"] + cooldown, F.struct(F.greatest(s["mx"], t["x"]).alias("mx"), F.concat(s["ids"], F.array(t["i"].cast("long"))).alias("ids"))).otherwise(s)
-
-    taken = trades.groupBy(*keys).agg(F.aggregate(rows, zero, step, lambda s: s["ids"]).alias("ids")).select(*keys, F.explode("ids").alias("signal_id"), F.lit(True).alias("admitted"))
-    return trades.join(taken, [*keys, "signal_id"], "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
-
-
 def in_entry_window(sod: Column, segments: list[str] | None = None, clock: tuple[str, str] | None = None) -> Column:
     """Membership of a local second of the day, to the minute, in segments or a half-open clock range."""
     minute = F.floor(sod / 60) * 60
@@ -276,3 +259,6 @@ def subtimeframe_exits(trades: DataFrame, sub: DataFrame, parent_s: int) -> Data
     tp = F.when(long, F.col("high") >= F.col("target_price")).otherwise(F.col("low") <= F.col("target_price"))
     kind = F.when(sl, "SL").when(tp, "TP")
     return met.withColumn("kind", kind).groupBy("symbol", "signal_id", "parent_ts").agg(F.min_by("kind", F.when(F.col("kind").isNotNull(), F.col("sub_ts"))).alias("resolved"))
+
+
+__all__ = ["admit", "entries", "in_entry_window", "simulate", "sub_bars_of", "subtimeframe_exits"]

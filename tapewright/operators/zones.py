@@ -220,20 +220,21 @@ def _merged(out: DataFrame) -> DataFrame:
     return out.withColumns({"variant": variant, "inside_count": F.col("inside"), "status": F.when(F.col("fill").isNotNull(), "filled").otherwise("void")})
 
 
-def otf_state(bars: DataFrame, secs: int, base_s: int, least: int = 3) -> DataFrame:
+def otf_state(bars: DataFrame, secs: int, base_s: int, least: int = 3, by: list[str] = ()) -> DataFrame:
     """One-time-framing by coarser bar: up after ``least`` higher lows in a row, down
     after as many lower highs, neutral for both or neither, unknown at a session's
-    first bar. Only buckets that the base bars cover whole count."""
-    agg = bars.groupBy("symbol", "session_date", floored(F.col("ts"), secs).alias("bucket")).agg(F.max("high").alias("high"), F.min("low").alias("low"), F.count(F.lit(1)).alias("n"))
+    first bar. Only buckets that the base bars cover whole count. by: further keys, such
+    as a version of the bars, that states don't cross."""
+    agg = bars.groupBy("symbol", *by, "session_date", floored(F.col("ts"), secs).alias("bucket")).agg(F.max("high").alias("high"), F.min("low").alias("low"), F.count(F.lit(1)).alias("n"))
     rows = agg.where(F.col("n") == secs // base_s)
-    w = Window.partitionBy("symbol", "session_date").orderBy("bucket")
+    w = Window.partitionBy("symbol", *by, "session_date").orderBy("bucket")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"up": F.coalesce(F.col("low") > F.lag("low").over(w), F.lit(False)), "down": F.coalesce(F.col("high") < F.lag("high").over(w), F.lit(False)), "i": F.row_number().over(w)})
     streak = lambda c: F.col("i") - F.coalesce(F.max(F.when(~F.col(c), F.col("i"))).over(run), F.lit(0))
     rows = rows.withColumns({"up_run": streak("up"), "down_run": streak("down")})
     up, down = F.col("up_run") >= least, F.col("down_run") >= least
     state = F.when(F.col("i") == 1, "unknown").when(up & ~down, "up").when(down & ~up, "down").otherwise("neutral")
-    return rows.select("symbol", "session_date", F.col("bucket").alias("ts"), "high", "low", "up_run", "down_run", state.alias("state"), (F.col("bucket") + F.make_dt_interval(secs=F.lit(secs))).alias("available_at"))
+    return rows.select("symbol", *by, "session_date", F.col("bucket").alias("ts"), "high", "low", "up_run", "down_run", state.alias("state"), (F.col("bucket") + F.make_dt_interval(secs=F.lit(secs))).alias("available_at"))
 
 
 def otf_filter(rows: DataFrame, states: list[DataFrame], at: str = "ts") -> DataFrame:

@@ -10,12 +10,16 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.operators import zones as Z
+from tapewright.operators.joins import asof_backward
 from tapewright.operators.simulate import simulate
 from tapewright.plans.metrics import best_cell, trade_summary
+from tapewright.session import stored
 
 # Multipliers and modulus of the draws.
 A, B, C, M = 1103515245, 12345, 134775813, 2147483647
@@ -60,6 +64,10 @@ def walk_forward(trades: DataFrame, fold_list: list[tuple[int, int, int, int]],
 
 
 def walk_forward_all(trades: DataFrame, bars: DataFrame, spans: list[tuple[int, int, int]], anchored: bool = False, metric: str = "expectancy_r", min_trades: int = 1) -> DataFrame:
+    return _walked(_in_folds(trades, bars, spans, anchored), metric, min_trades)
+
+
+def _in_folds(trades: DataFrame, bars: DataFrame, spans: list[tuple[int, int, int]], anchored: bool) -> DataFrame:
     """As walk_forward, over all bars there are: spans are (train, test, step) bars, each a label with its own folds.
 
     The number of folds follows from the longest symbol's bars, as a table of one row; a trade
@@ -76,7 +84,71 @@ def walk_forward_all(trades: DataFrame, bars: DataFrame, spans: list[tuple[int,
     rows = rows.withColumns({"__first": first, "__end": last}).where("__first <= __end").withColumn("fold_id", F.explode(F.sequence("__first", "__end")))
     at = F.col("fold_id") * F.col("__step")
     rows = rows.withColumns({"a": F.lit(0) if anchored else at, "b": at + F.col("__train"), "c": at + F.col("__train"), "d": at + F.col("__train") + F.col("__test")})
-    return _walked(rows.drop("__last", "__train", "__test", "__step", "__first", "__end"), metric, min_trades)
+    return rows.drop("__last", "__train", "__test", "__step", "__first", "__end")
+
+
+def fold_verdicts(signals: DataFrame, bars: DataFrame, span: tuple[int, int, int], base_s: int, timeframes_s: list[int], least: int = 3, mode: str = "all", policy: str = "fold_local", anchored: bool = False) -> DataFrame:
+    """(symbol, signal_id, part, start, accepted) for each signal and each training or
+    test part of a fold that holds its bar, named by the part's first bar.
+
+    A long needs the time frames (all, or any) up as known at the signal, a short down.
+    ``causal_prefix`` reads states off all bars before; ``fold_local`` off the bars of the
+    part alone. States start anew with each session, so those of a part differ from those
+    of all bars in the session that the part starts in and nowhere else: this session's
+    bars from the start on are the part's version, two as-of joins find the version's
+    state and that of all bars, and the latter counts once it is of a later session.
+    """
+    if policy not in ("fold_local", "causal_prefix"):
+        raise ValueError(f"no such policy of one-time-framing by fold: {policy}")
+    if mode not in ("all", "any"):
+        raise ValueError(f"no such alignment: {mode}")
+    train, test, step = span
+    at = bars.select("symbol", "bar_index", "ts")
+    rows = signals.select("symbol", "signal_id", "bar_index", "direction").join(at, ["symbol", "bar_index"])
+    i = F.col("bar_index")
+    starts = lambda name, offset, n: F.transform(F.filter(F.sequence(F.floor((i - offset - n) / step), F.floor((i - offset) / step)), lambda k: (k >= 0) & (k * step + offset + n > i)), lambda k: F.struct(F.lit(name).alias("part"), (k * step + offset).cast("int").alias("start")))
+    first = F.array(F.struct(F.lit("train").alias("part"), F.lit(0).alias("start"))) if anchored else starts("train", 0, train)
+    want = F.when(F.col("direction") == "long", "up").otherwise("down")
+    versions = None
+    if policy == "fold_local":
+        begins = bars.where((F.pmod("bar_index", F.lit(step)) == 0) | (F.pmod(F.col("bar_index") - train, F.lit(step)) == 0) | (F.col("bar_index") == 0))
+        begins = begins.select("symbol", "session_date", F.col("bar_index").alias("start"))
+        versions = bars.join(begins, ["symbol", "session_date"]).where(F.col("bar_index") >= F.col("start"))
+    fits = []
+    for k, secs in enumerate(timeframes_s):
+        whole = Z.otf_state(bars, secs, base_s, least).select("symbol", F.col("available_at").alias("__known"), F.struct("state", "session_date").alias(f"__g{k}"))
+        rows = asof_backward(rows, whole, ["symbol"], "ts", "__known", [f"__g{k}"])
+    rows = rows.withColumn("x", F.explode(F.concat(first, starts("test", train, test)))).select("*", "x.*").drop("x")
+    if policy == "fold_local":
+        rows = rows.join(begins.withColumnRenamed("session_date", "__began"), ["symbol", "start"], "left")
+    for k, secs in enumerate(timeframes_s):
+        state = F.col(f"__g{k}.state")
+        if policy == "fold_local":
+            own = Z.otf_state(versions, secs, base_s, least, ["start"]).select("symbol", "start", F.col("available_at").alias("__known"), F.col("state").alias(f"__v{k}"))
+            rows = asof_backward(rows, own, ["symbol", "start"], "ts", "__known", [f"__v{k}"])
+            state = F.when(F.col(f"__g{k}.session_date") > F.col("__began"), state).otherwise(F.col(f"__v{k}"))
+        fits.append(F.coalesce(state == want, F.lit(False)))
+    return rows.select("symbol", "signal_id", "part", "start", reduce(lambda x, y: x & y if mode == "all" else x | y, fits).alias("accepted"))
+
+
+def walk_forward_otf(trades: DataFrame, signals: DataFrame, bars: DataFrame, span: tuple[int, int, int], base_s: int, timeframes_s: list[int], least: int = 3, mode: str = "all", policy: str = "fold_local", anchored: bool = False, metric: str = "expectancy_r", min_trades: int = 1) -> DataFrame:
+    """As walk_forward_all for one span, on the signals that one-time-framing accepts in
+    each part of each fold; with the numbers of signals of the parts, and rejected ones.
+
+    trades: of all cells and signals, simulated once, as outcomes don't depend on the filter.
+    """
+    train, _, step = span
+    verdicts = stored(fold_verdicts(signals, bars, span, base_s, timeframes_s, least, mode, policy, anchored))
+    ok = verdicts.where("accepted").select("symbol", "signal_id", "part", "start")
+    rows = _in_folds(trades, bars, [span], anchored)
+    rows = rows.withColumn("x", F.explode(F.array(F.struct(F.lit("train").alias("part"), F.col("a").alias("start")), F.struct(F.lit("test").alias("part"), F.col("c").alias("start"))))).select("*", "x.*").drop("x")
+    rows = rows.withColumn("start", F.col("start").cast("int")).join(ok, ["symbol", "signal_id", "part", "start"])
+    out = _walked(rows, metric, min_trades, by_part=True)
+    held = verdicts.groupBy("part", "start").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("accepted"), 1)).alias("rejected"))
+    for part, start in (("train", F.lit(0) if anchored else F.col("fold_id") * step), ("test", F.col("fold_id") * step + train)):
+        side = held.where(F.col("part") == part).select(F.col("start").alias("__start"), F.col("n").alias(f"{part}_signals"), F.col("rejected").alias(f"{part}_rejected"))
+        out = out.join(side, start == F.col("__start"), "left").drop("__start")
+    return out.fillna(0, [f"{p}_{c}" for p in ("train", "test") for c in ("signals", "rejected")])
 
 
 def walk_forward_sessions(trades: DataFrame, bars: DataFrame, spans: list[tuple[int, int, int]], anchored: bool = False, metric: str = "expectancy_r", min_trades: int = 1) -> DataFrame:
@@ -119,12 +191,14 @@ def stitched_trades(trades: DataFrame, folds_: DataFrame, span: tuple[int, int,
     return held.withColumn("__r", F.row_number().over(once)).where("__r = 1").drop("__r")
 
 
-def _walked(rows: DataFrame, metric: str, min_trades: int) -> DataFrame:
-    """Trades with a label, fold_id and the fold's bars (a, b, c, d) -> the best cell of each fold."""
+def _walked(rows: DataFrame, metric: str, min_trades: int, by_part: bool = False) -> DataFrame:
+    """Trades with a label, fold_id and the fold's bars (a, b, c, d) -> the best cell of
+    each fold. by_part: a row counts for its ``part`` alone."""
     inside = lambda lo, hi: (F.col("entry_bar_index") >= F.col(lo)) & (F.col("exit_bar_index") < F.col(hi))
     keys = ["fold_id", "label", "cell_id", "stop_ticks", "target_ticks"]
-    train = best_cell(trade_summary(rows.where(inside("a", "b")), keys), metric, ["label", "fold_id"], min_trades)
-    test = trade_summary(rows.where(inside("c", "d")), ["label", "fold_id", "cell_id"])
+    of = lambda part: F.col("part") == part if by_part else F.lit(True)
+    train = best_cell(trade_summary(rows.where(inside("a", "b") & of("train")), keys), metric, ["label", "fold_id"], min_trades)
+    test = trade_summary(rows.where(inside("c", "d") & of("test")), ["label", "fold_id", "cell_id"])
     test = test.select("label", "fold_id", "cell_id", F.col("trade_count").alias("test_trades"), F.col(metric).alias("test_metric"), F.col("total_r").alias("test_total_r"))
     out = train.select(*keys, F.col("trade_count").alias("train_trades"), F.col(metric).alias("train_metric")).join(test, ["label", "fold_id", "cell_id"], "left")
     return out.withColumn("retention", F.when(F.abs("train_metric") > 1e-8, F.col("test_metric") / F.col("train_metric")))

@@ -11,6 +11,7 @@ from tapewright.operators import bars as B
 from tapewright.operators import levels as L
 from tapewright.operators import simulate as S
 from tapewright.operators import zones as Z
+from tapewright.operators.admission import admissions
 from tapewright.operators.joins import asof_backward, range_join
 from tapewright.plans import metrics as M
 from tapewright.plans import research as R
@@ -350,3 +351,80 @@ def test_steps_of_a_walk_make_the_trades_of_one_walk(spark, monkeypatch, options
     assert trades() == whole
     monkeypatch.setattr(S, "STEP", 1000)
     assert trades(max_bars=1000) == whole
+
+
+@pytest.mark.parametrize("policy,cooldown,keys", [("single_position", 0, ()), ("single_position", 3, ()), ("single_direction", 1, ("direction",)), ("single_setup", 0, ("setup",))])
+def test_admission_reasons(spark, policy, cooldown, keys):
+    rng = random.Random(11)
+    rows = []
+    for i in range(400):
+        e = rng.randrange(300)
+        rows.append((f"s{i % 3}", i % 2, e, e - rng.randrange(3), i, e + rng.randrange(12), rng.choice(["long", "short"]), rng.choice("ab"), 900 - i))
+    df = spark.createDataFrame(rows, "symbol string, cell_id int, entry_bar_index int, bar_index int, n int, exit_bar_index int, direction string, setup string, signal_id long").repartition(5)
+    got = {(r.signal_id): (r.admitted, r.skip_reason, r.blocking_signal_id, r.blocking_exit_bar_index) for r in admissions(df, policy, cooldown, "setup").collect()}
+    taken, want = {}, {}
+    for s, c, e, b, _, x, d, u, i in sorted(rows, key=lambda r: (r[2], r[3], r[8])):
+        own = taken.setdefault((s, c, *({"direction": d, "setup": u}[k] for k in keys)), [])
+        blockers = sorted((-xx, ii) for ii, xx in own if e <= xx + cooldown)
+        if not blockers:
+            own.append((i, x))
+            want[i] = (True, None, None, None)
+        else:
+            reason = "cooldown_active" if e > -blockers[0][0] else {"single_position": "overlapping_position", "single_direction": "overlapping_direction", "single_setup": "overlapping_setup"}[policy]
+            want[i] = (False, reason, blockers[0][1], -blockers[0][0])
+    assert got == want and sum(not v[0] for v in want.values()) > 20
+    assert admissions(df, "allow_all").where("admitted").count() == 400
+    assert admissions(df.limit(0), policy, 0, "setup").count() == 0
+    with pytest.raises(ValueError):
+        admissions(df, "single_setup")
+
+
+@pytest.mark.parametrize("span,anchored,mode", [((40, 20, 15), False, "all"), ((25, 10, 10), False, "any"), ((30, 20, 20), True, "all")])
+def test_fold_verdicts_by_parts_alone(spark, span, anchored, mode):
+    rng = random.Random(5)
+    bars, signals = [], []
+    for s in ("a", "b"):
+        price = 100.0
+        for i in range(130 if s == "a" else 71):
+            price += rng.choice([-1, 0, 1, 2])
+            bars.append((s, i, dt.datetime(2026, 1, 5) + dt.timedelta(minutes=30 * i), dt.date(2026, 1, 5) + dt.timedelta(days=i // 21), price + rng.randrange(3), price - rng.randrange(3)))
+            if rng.random() < 0.6:
+                signals.append((s, len(signals), i, rng.choice(["long", "short"])))
+    b = spark.createDataFrame(bars, "symbol string, bar_index int, ts timestamp_ntz, session_date date, high double, low double")
+    g = spark.createDataFrame(signals, "symbol string, signal_id int, bar_index int, direction string")
+
+    def states(own, secs):
+        out, last, runs = [], None, [0, 0, 0]
+        cells = {}
+        for r in own:
+            at = r[2] - dt.timedelta(seconds=(r[2] - dt.datetime(2026, 1, 1)).total_seconds() % secs)
+            cells.setdefault((r[3], at), []).append(r)
+        for (day, at), rs in sorted(cells.items()):
+            if len(rs) * 1800 != secs:
+                continue
+            high, low = max(r[4] for r in rs), min(r[5] for r in rs)
+            if last is None or last[0] != day:
+                runs = [0, 0, 1]
+            else:
+                runs = [runs[0] + 1 if low > last[2] else 0, runs[1] + 1 if high < last[1] else 0, runs[2] + 1]
+            last = (day, high, low)
+            up, down = runs[0] >= 1, runs[1] >= 1
+            out.append((at + dt.timedelta(seconds=secs), "unknown" if runs[2] == 1 else "up" if up and not down else "down" if down and not up else "neutral"))
+        return out
+
+    train, test, step = span
+    for policy in ("fold_local", "causal_prefix"):
+        got = {(r.signal_id, r.part, r.start): r.accepted for r in R.fold_verdicts(g, b, span, 1800, [3600, 7200], 1, mode, policy, anchored).collect()}
+        want = {}
+        for s, i, at, d in signals:
+            own = [r for r in bars if r[0] == s]
+            for k in range(20):
+                for part, lo, hi in (("train", 0 if anchored else k * step, k * step + train), ("test", k * step + train, k * step + train + test)):
+                    if lo <= at < hi or (anchored and part == "train"):
+                        seen = [r for r in own if (r[1] >= lo or policy == "causal_prefix") and r[1] <= at]
+                        known = [[x for t, x in states(seen, secs) if t <= own[at][2]] for secs in (3600, 7200)]
+                        fits = [bool(x) and x[-1] == {"long": "up", "short": "down"}[d] for x in known]
+                        want[i, part, lo] = (all if mode == "all" else any)(fits)
+        assert got == want and len(set(want.values())) == 2
+    with pytest.raises(ValueError):
+        R.fold_verdicts(g, b, span, 1800, [3600], policy="other")
