@@ -1,8 +1,8 @@
 """Trade simulation as one relational plan.
 
-Signals become candidates with fill, stop, target and last bar; candidates meet the
-bars they may live through by an equi-join on (symbol, bar_index); the first bar
-that hits decides. Every parameter cell is a row of the candidates, so a grid is
+Signals become candidates with fill, stop, target and last bar; the first bar that
+hits decides. Fixed brackets look it up in an index of blocks of bars; the others meet
+the bars they may live through by an equi-join on (symbol, bar_index). Every parameter cell is a row of the candidates, so a grid is
 the same plan with more rows.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tapewright.config import DEFAULT, INTRABAR_MODELS, choose, seconds
 from tapewright.operators.admission import admit
 from tapewright.operators.bars import floored, segment
+from tapewright.operators.firsthit import first_hits
 from tapewright.session import stored
 
 #: Bars of a walk's first step.
@@ -155,6 +156,37 @@ def _walked(cand: DataFrame, spine: DataFrame, kind: Column, tick: float, moving
     return out.withColumns({"x": F.coalesce("hit", "end"), "ended": F.col("hit").isNotNull() | (F.col("end.bar_index") >= F.col("s.cap"))})
 
 
+def _fixed(cand: DataFrame, spine: DataFrame, last_bar: int, path: bool, given: bool) -> DataFrame:
+    """Where candidates with fixed brackets leave (x), by the index of blocks of bars.
+
+    Only what the walk needs travels; the rest of a candidate comes back by its key. The
+    bar of a retrace entry has rules of its own and is looked at first.
+    """
+    keys = ["symbol", "signal_id", "cell_id"]
+    none = F.lit(None).cast("double")
+    walk = cand.select(*keys, "sign", "direction", F.col("stop0").alias("stop"), "target", "cap", F.col("first_bar").alias("pos"), "entry_bar_index", "entry_price", "retrace", F.lit(False).alias("settled"), none.alias("lo"), none.alias("hi"))
+    own_bar = F.lit(None).cast("struct<kind:string,u:int,low:double,high:double,open:double,close:double,ts:timestamp_ntz>")
+    if given:
+        first = spine.select("symbol", F.col("bar_index").alias("pos"), "ts", "open", "high", "low", "close")
+        walk = walk.join(first, ["symbol", "pos"])
+        own = F.col("retrace") & (F.col("pos") == F.col("entry_bar_index"))
+        kind = F.when(own, _retrace_hit(path))
+        walk = walk.withColumn("kind", kind).withColumns({"settled": own & (F.col("kind").isNotNull() | (F.col("pos") >= F.col("cap")))})
+        walk = walk.withColumns({"own": F.when(F.col("settled"), F.struct("kind", F.col("pos").alias("u"), "low", "high", "open", "close", "ts")), "lo": F.when(own, F.col("low")), "hi": F.when(own, F.col("high")), "pos": F.col("pos") + own.cast("int")})
+        walk = walk.drop("ts", "open", "high", "low", "close", "kind")
+    else:
+        walk = walk.withColumn("own", own_bar)
+    found = first_hits(walk, spine, last_bar)
+    at = lambda c: F.coalesce(F.col(f"own.{c}"), F.col(f"bar.{c}"))
+    found = found.withColumns({c: at(c) for c in ("open", "high", "low", "close", "ts")}).withColumn("bar_index", at("u"))
+    found = found.withColumn("kind", F.when(F.col("settled"), F.col("own.kind")).otherwise(_hit(path)))
+    away = lambda up: F.when(up, F.col("hi") - F.col("fill")).otherwise(F.col("fill") - F.col("lo"))
+    out = cand.join(found.select(*keys, "bar_index", "ts", "kind", "stop", "close", "lo", "hi"), keys)
+    price = F.when(F.col("kind") == "TP", F.col("target")).when(F.col("kind") == "SL", F.col("stop")).otherwise(F.col("close"))
+    x = F.struct("bar_index", "ts", price.alias("price"), F.coalesce("kind", "cap_reason").alias("reason"), away(F.col("sign") < 0).alias("mae"), away(F.col("sign") > 0).alias("mfe"), "stop", "close")
+    return out.select(*cand.columns, x.alias("x"))
+
+
 def simulate(bars: DataFrame, signals: DataFrame, cells: list[dict] | None = None, *, stop_ticks: float = 8, target_ticks: float = 16, tick: float = DEFAULT.tick_size, point_value: float = DEFAULT.point_value,
              max_bars: int | None = None, same_bar_exit: bool = True, commission: float = 0.0, slippage_ticks: float = 0.0, session_close: str | None = None, no_new_after: str | None = None,
              model: str = "sl_first", breakeven_r: float | None = None, trail_r: float | None = None, trail_ticks: float | None = None, sub: DataFrame | None = None, parent_s: int | None = None, sub_s: int | None = None) -> DataFrame:
@@ -162,10 +194,12 @@ def simulate(bars: DataFrame, signals: DataFrame, cells: list[dict] | None = Non
 
     bars: with bar_index (and, for session caps, local_ts, sod and session_date).
     cells: parameter cells (stop_ticks, target_ticks, breakeven_r, trail_r,
-    trail_ticks); each signal is simulated in each. max_bars bounds the walk; beyond
-    STEP bars, or without a bound, the walk goes in steps, each four times as long as
-    the one before, and only trades still open go on, so a trade meets no more than
-    about four times the bars that it lives.
+    trail_ticks); each signal is simulated in each. max_bars bounds the walk. Fixed
+    brackets find their bar by an index of blocks (``firsthit``), in one plan without a
+    job of its own but for the number of bars. Moved stops and sub-bars walk bar by bar;
+    beyond STEP bars, or without a bound, the walk goes in steps, each four times as
+    long as the one before, and only trades still open go on, so a trade meets no more
+    than about four times the bars that it lives.
 
     Order at a bar: stop before target (model sl_first), by the nearer extreme first
     (path_open_proximity), or by its sub-bars (``sub`` of sub_s seconds in bars of
@@ -194,7 +228,8 @@ def simulate(bars: DataFrame, signals: DataFrame, cells: list[dict] | None = Non
     cand = cand.withColumn("sign", sign).withColumn("fill", F.col("entry_price") + F.col("sign") * slippage_ticks * tick)
     cand = cand.withColumns({"risk": F.col("stop_ticks") * tick, "stop0": F.col("fill") - F.col("sign") * F.col("stop_ticks") * tick, "target": F.col("fill") + F.col("sign") * F.col("target_ticks") * tick})
     last = bars.groupBy("symbol").agg(F.max("bar_index").alias("last_bar"))
-    cand = cand.join(F.broadcast(last) if last.count() <= 100_000 else last, "symbol")
+    n_symbols, last_bar = last.agg(F.count(F.lit(1)), F.coalesce(F.max("last_bar"), F.lit(0))).first()
+    cand = cand.join(F.broadcast(last) if n_symbols <= 100_000 else last, "symbol")
     time_cap = F.col("entry_bar_index") + max_bars - 1 if max_bars else F.lit(None).cast("int")
     if session_close:
         at = seconds(session_close)
@@ -221,7 +256,10 @@ def simulate(bars: DataFrame, signals: DataFrame, cells: list[dict] | None = Non
     keep = [c for c in cand.columns if c not in ("bar_index", "ts", "last_bar", "first_bar", "close_bar", "entry_sod", "session_date", "cap", "cap_reason", "__at")]
     # what a trade carries from step to step: the next bar, the best gain and the excursions so far
     still = cand.drop("bar_index", "ts").where("first_bar <= cap").withColumns({"from_bar": F.col("first_bar"), "best0": F.lit(0.0), "mae0": F.lit(None).cast("double"), "mfe0": F.lit(None).cast("double")})
-    if max_bars and max_bars <= STEP:
+    if not moving and not by_sub:
+        given = "entry_bar_index" in signals.columns and "entry_price" in signals.columns
+        out = _fixed(still.drop("from_bar", "best0", "mae0", "mfe0"), spine, last_bar, path, given)
+    elif max_bars and max_bars <= STEP:
         out = _walked(still, spine, kind, tick, moving).select("s.*", "x")
     else:
         ended, width = [], STEP

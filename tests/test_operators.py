@@ -12,6 +12,7 @@ from tapewright.operators import levels as L
 from tapewright.operators import simulate as S
 from tapewright.operators import zones as Z
 from tapewright.operators.admission import admissions
+from tapewright.operators.firsthit import first_hits, levels_for
 from tapewright.operators.joins import asof_backward, range_join
 from tapewright.plans import metrics as M
 from tapewright.plans import research as R
@@ -428,3 +429,30 @@ def test_fold_verdicts_by_parts_alone(spark, span, anchored, mode):
         assert got == want and len(set(want.values())) == 2
     with pytest.raises(ValueError):
         R.fold_verdicts(g, b, span, 1800, [3600], policy="other")
+
+
+def test_first_hits_against_a_walk(spark):
+    rng = random.Random(3)
+    bars, cand, want = [], [], {}
+    for s, n in (("a", 700), ("b", 37), ("c", 1), ("d", 16)):
+        p, own = 1000.0, []
+        for i in range(n):
+            p += rng.choice([-1.0, 0.0, 1.0])
+            own.append((s, i, p - rng.randrange(3), p + rng.randrange(3), p, p, T0))
+        bars += own
+        for k in range(60):
+            pos = rng.randrange(n)
+            cap, width, sign = rng.choice([n - 1, rng.randrange(pos, n)]), rng.choice([3, 12, 60]), rng.choice([1.0, -1.0])
+            stop, target = own[pos][4] - sign * width, own[pos][4] + sign * width * 2
+            key = (s, k)
+            cand.append((*key, sign, stop, target, cap, pos, False, None, None))
+            lo, hi = float("inf"), float("-inf")
+            for b in own[pos : cap + 1]:
+                lo, hi = min(lo, b[2]), max(hi, b[3])
+                if (b[2] <= stop or b[3] >= target) if sign > 0 else (b[3] >= stop or b[2] <= target):
+                    break
+            want[key] = (b[1], lo, hi)
+    b = spark.createDataFrame(bars, "symbol string, bar_index int, low double, high double, open double, close double, ts timestamp_ntz")
+    c = spark.createDataFrame(cand, "symbol string, k int, sign double, stop double, target double, cap int, pos int, settled boolean, lo double, hi double")
+    got = {(r.symbol, r.k): (r.bar.u, r.lo, r.hi) for r in first_hits(c, b, 699).collect()}
+    assert got == want and levels_for(0) == levels_for(15) == 1 and levels_for(16) == 2 and levels_for(4096) == 4
