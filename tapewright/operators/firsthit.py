@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FAN_BITS = 4
+FAN_BITS = 6
 FAN = 1 << FAN_BITS
 
 

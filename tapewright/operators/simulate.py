@@ -194,10 +194,10 @@ def simulate(bars: DataFrame, signals: DataFrame, cells: list[dict] | None = Non
 
     bars: with bar_index (and, for session caps, local_ts, sod and session_date).
     cells: parameter cells (stop_ticks, target_ticks, breakeven_r, trail_r,
-    trail_ticks); each signal is simulated in each. max_bars bounds the walk. Fixed
-    brackets find their bar by an index of blocks (``firsthit``), in one plan without a
-    job of its own but for the number of bars. Moved stops and sub-bars walk bar by bar;
-    beyond STEP bars, or without a bound, the walk goes in steps, each four times as
+    trail_ticks); each signal is simulated in each. max_bars bounds the walk. Beyond
+    STEP bars, or without a bound, fixed brackets find their bar by an index of blocks
+    (``firsthit``), in one plan without a job of its own but for the number of bars.
+    Otherwise, and with moved stops or sub-bars, they walk bar by bar, beyond STEP in steps, each four times as
     long as the one before, and only trades still open go on, so a trade meets no more
     than about four times the bars that it lives.
 
@@ -256,10 +256,11 @@ def simulate(bars: DataFrame, signals: DataFrame, cells: list[dict] | None = Non
     keep = [c for c in cand.columns if c not in ("bar_index", "ts", "last_bar", "first_bar", "close_bar", "entry_sod", "session_date", "cap", "cap_reason", "__at")]
     # what a trade carries from step to step: the next bar, the best gain and the excursions so far
     still = cand.drop("bar_index", "ts").where("first_bar <= cap").withColumns({"from_bar": F.col("first_bar"), "best0": F.lit(0.0), "mae0": F.lit(None).cast("double"), "mfe0": F.lit(None).cast("double")})
-    if not moving and not by_sub:
+    short = bool(max_bars) and max_bars <= STEP  # a row for each of a few bars costs less than the joins of the index
+    if not moving and not by_sub and not short:
         given = "entry_bar_index" in signals.columns and "entry_price" in signals.columns
         out = _fixed(still.drop("from_bar", "best0", "mae0", "mfe0"), spine, last_bar, path, given)
-    elif max_bars and max_bars <= STEP:
+    elif short:
         out = _walked(still, spine, kind, tick, moving).select("s.*", "x")
     else:
         ended, width = [], STEP

@@ -455,4 +455,4 @@ def test_first_hits_against_a_walk(spark):
     b = spark.createDataFrame(bars, "symbol string, bar_index int, low double, high double, open double, close double, ts timestamp_ntz")
     c = spark.createDataFrame(cand, "symbol string, k int, sign double, stop double, target double, cap int, pos int, settled boolean, lo double, hi double")
     got = {(r.symbol, r.k): (r.bar.u, r.lo, r.hi) for r in first_hits(c, b, 699).collect()}
-    assert got == want and levels_for(0) == levels_for(15) == 1 and levels_for(16) == 2 and levels_for(4096) == 4
+    assert got == want and levels_for(0) == levels_for(63) == 1 and levels_for(64) == 2 and levels_for(4096) == 3
