@@ -201,6 +201,11 @@ def ema(spark, sf):
     return only(L.ema(bars(spark, sf).select("symbol", "ts", "close"), 20), "symbol", "ts", "EMA_20", digits=7)
 
 
+@query
+def htf_ema_asof(spark, sf):
+    return only(L.higher_ema(bars(spark, sf).select("symbol", "ts", *B.OHLCV), 5, "1h"), "symbol", "ts", "EMA_5_1h", digits=7)
+
+
 @query
 def htf_sma_asof(spark, sf):
     return only(L.higher_sma(bars(spark, sf).select("symbol", "ts", *B.OHLCV), 5, "1h"), "symbol", "ts", "SMA_5_1h", digits=7)
@@ -738,6 +743,26 @@ def mc_summary(spark, sf):
     return only(s, *s.columns, digits=7)
 
 
+@query
+def mc_fan(spark, sf):
+    """The equity fan of each symbol and day over 20 simulations."""
+    t = event_trades(spark, sf).withColumn("day", F.to_date("exit_ts"))
+    f = R.monte_carlo_fan(t, ["symbol", "day"], "reshuffle", 20)
+    return only(f, *f.columns, digits=7)
+
+
+@query
+def mc_loss_streaks(spark, sf):
+    t = event_trades(spark, sf).withColumn("day", F.to_date("exit_ts"))
+    return R.monte_carlo_streaks(t, ["symbol", "day"], "reshuffle", 20)
+
+
+@query
+def equity_curve_whole(spark, sf):
+    """The equity of all symbols' trades together."""
+    return only(M.equity_curve(event_trades(spark, sf)), "trade_id", "cum_r", "drawdown_r", digits=7)
+
+
 @query
 def noise_bars(spark, sf):
     return only(R.perturb(bars(spark, sf), 0.1, 3), "symbol", "bar_index", "replica_id", "open", "high", "low", "close", digits=7)

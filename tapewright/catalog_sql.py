@@ -411,3 +411,17 @@ ORACLES |= {
       ok AS (SELECT x.symbol, x.signal_id FROM sg x ASOF LEFT JOIN os ON x.symbol = os.symbol AND x.ts >= os.known WHERE state = CASE direction WHEN 'long' THEN 'up' ELSE 'down' END)
       SELECT cell_id, stop_ticks, target_ticks, count(*) AS trade_count, round(avg((r_multiple > 0)::INT::DOUBLE) + 3.7e-10, 7) AS win_rate, round(avg(r_multiple) + 3.7e-10, 7) AS expectancy_r, round(sum(r_multiple) + 3.7e-10, 7) AS total_r FROM trades JOIN ok USING (symbol, signal_id) GROUP BY ALL"""),
 }
+
+PATHS = f", p AS (SELECT symbol, day, sim, pos, {DRAW('sim', 'pos', 3)} AS o, r_multiple AS r FROM num, range(20) s(sim))"
+FAN = ", ".join(f"round(quantile_cont(cum, {p / 100}) + 3.7e-10, 7) AS p{p}" for p in (5, 25, 50, 75, 95))
+ORACLES |= {
+    "mc_fan": w(NUM, PATHS + f""", c AS (SELECT symbol, day, sum(r) OVER x AS cum, row_number() OVER x AS trade_index FROM p WINDOW x AS (PARTITION BY symbol, day, sim ORDER BY o, pos ROWS UNBOUNDED PRECEDING)),
+      f AS (SELECT symbol, day, trade_index, {FAN} FROM c GROUP BY ALL), s AS (SELECT symbol, day, pos + 1 AS trade_index, sum(r_multiple) OVER (PARTITION BY symbol, day ORDER BY pos ROWS UNBOUNDED PRECEDING) AS v FROM num)
+      SELECT f.* REPLACE (f.trade_index::INT AS trade_index), round(v + 3.7e-10, 7) AS observed_cum_r FROM f JOIN s USING (symbol, day, trade_index)"""),
+    "mc_loss_streaks": w(NUM, PATHS + ", q AS (SELECT symbol, day, sim, r, sum((r >= 0)::INT) OVER (PARTITION BY symbol, day, sim ORDER BY o, pos ROWS UNBOUNDED PRECEDING) AS g FROM p), n AS (SELECT symbol, day, sim, g, count(*) FILTER (r < 0) AS n FROM q GROUP BY ALL) SELECT symbol, day, sim::INT AS sim, max(n) AS max_loss_streak FROM n GROUP BY ALL"),
+    "equity_curve_whole": w(ET, ", c AS (SELECT trade_id, exit_ts, sum(r_multiple) OVER (ORDER BY exit_ts, trade_id ROWS UNBOUNDED PRECEDING) AS cum FROM trades) SELECT trade_id, round(cum + 3.7e-10, 7) AS cum_r, round(greatest(max(cum) OVER (ORDER BY exit_ts, trade_id ROWS UNBOUNDED PRECEDING), 0) - cum + 3.7e-10, 7) AS drawdown_r FROM c"),
+    "htf_ema_asof": w(BARS.replace("ticks AS", "RECURSIVE ticks AS", 1), """, cb AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, b.ts) AS ts, arg_max(close, b.ts) AS close FROM bars b GROUP BY symbol, time_bucket(INTERVAL 1 HOUR, b.ts)),
+      cn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM cb), r AS (SELECT symbol, i, ts, close AS e FROM cn WHERE i = 0 UNION ALL SELECT c.symbol, c.i, c.ts, r.e * (1 - 2.0::DOUBLE / 6) + c.close * (2.0::DOUBLE / 6) FROM r JOIN cn c ON c.symbol = r.symbol AND c.i = r.i + 1),
+      k AS (SELECT symbol, ts + INTERVAL 1 HOUR AS known, e FROM r WHERE i >= 4)
+      SELECT b.symbol, b.ts, round(e + 3.7e-10, 7) AS EMA_5_1h FROM bars b ASOF LEFT JOIN k ON b.symbol = k.symbol AND b.ts >= k.known"""),
+}

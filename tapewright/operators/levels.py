@@ -3,6 +3,8 @@ the previous ones that have bars. Frames come from ``sessionised``."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,29 +141,51 @@ def sma(bars: DataFrame, n: int) -> DataFrame:
 def ema(bars: DataFrame, n: int) -> DataFrame:
     """Exponential mean with factor 2/(n+1) from the first close on, null for the first n-1 bars.
 
-    One ordered pass a symbol with carried state, in Arrow batches.
+    A symbol's bars are dealt out in blocks of max(n, 64). Within a block, the mean of its
+    own closes is a running sum of closes weighted by growing powers of the decay, which
+    stay small; a block hands on decay^length times what it got plus its own last mean, and
+    what a block gets is folded over as many blocks before as still reach a double's last
+    digit, about 46 / factor bars. Closes are not null.
     """
     alpha = 2.0 / (n + 1)
+    if n == 1:
+        return bars.withColumn("EMA_1", F.col("close"))
+    size = max(n, 64)
+    decay = 1 - alpha
+    reach = max(1, math.ceil(math.log(1e-20) / (size * math.log(decay))))
+    # numbers within a symbol by blocks of time, so that no task orders more than a day
+    day = Window.partitionBy("symbol", "__day").orderBy("ts")
+    rows = bars.withColumn("__day", F.to_date("ts")).withColumn("__k", F.row_number().over(day))
+    before = rows.groupBy("symbol", "__day").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("symbol").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    rows = rows.join(before, ["symbol", "__day"]).withColumn("__i", F.col("__before") + F.col("__k") - 1).drop("__day", "__k", "__before")
+    rows = rows.withColumns({"__b": F.floor(F.col("__i") / size), "__at": (F.col("__i") % size).cast("int")})
+    weight = F.when(F.col("__i") == 0, 1.0).otherwise(alpha)
+    run = Window.partitionBy("symbol", "__b").orderBy("__at").rowsBetween(*RUN)
+    rows = rows.withColumn("__own", F.sum(F.col("close") * weight * F.pow(F.lit(decay), -F.col("__at"))).over(run) * F.pow(F.lit(decay), F.col("__at")))
+    last = rows.groupBy("symbol", "__b").agg(F.max_by("__own", "__at").alias("own"))
+    held = F.collect_list("own").over(Window.partitionBy("symbol").orderBy("__b").rowsBetween(-reach, -1))
+    got = last.select("symbol", "__b", F.aggregate(held, F.lit(0.0), lambda s, x: s * decay**size + x).alias("__got"))
+    out = rows.join(got, ["symbol", "__b"])
+    value = F.col("__own") + F.pow(F.lit(decay), F.col("__at") + 1) * F.col("__got")
+    return out.withColumn(f"EMA_{n}", F.when(F.col("__i") >= n - 1, value)).drop("__i", "__b", "__at", "__own", "__got")
+
 
-    def go(pdf):
-        pdf = pdf.sort_values("ts")
-        pdf[f"EMA_{n}"] = pdf["close"].ewm(span=n, adjust=False, min_periods=n).mean()
-        return pdf
+def higher_sma(bars: DataFrame, n: int, timeframe: str, inst: Instrument = DEFAULT) -> DataFrame:
+    """SMA of coarser candles, known from each candle's close on."""
+    return _higher(bars, sma, f"SMA_{n}", n, timeframe, inst)
 
-    assert 0 < alpha <= 1
-    from pyspark.sql import types as T
 
-    schema = T.StructType([*bars.schema.fields, T.StructField(f"EMA_{n}", T.DoubleType())])
-    return bars.groupBy("symbol").applyInPandas(go, schema)
+def higher_ema(bars: DataFrame, n: int, timeframe: str, inst: Instrument = DEFAULT) -> DataFrame:
+    """EMA of coarser candles, known from each candle's close on."""
+    return _higher(bars, ema, f"EMA_{n}", n, timeframe, inst)
 
 
-def higher_sma(bars: DataFrame, n: int, timeframe: str, inst: Instrument = DEFAULT) -> DataFrame:
-    """SMA of coarser candles, known from each candle's close on."""
+def _higher(bars: DataFrame, mean, made: str, n: int, timeframe: str, inst: Instrument) -> DataFrame:
     from tapewright.config import TIMEFRAMES
 
-    name = f"SMA_{n}_{timeframe}"
-    coarse = sma(resample(bars.select("symbol", "ts", "open", "high", "low", "close", "volume"), timeframe, inst), n)
-    known = coarse.select("symbol", (F.col("ts") + F.make_dt_interval(secs=F.lit(TIMEFRAMES[timeframe]))).alias("known_at"), F.col(f"SMA_{n}").alias(name)).where(f"`{name}` is not null")
+    name = f"{made}_{timeframe}"
+    coarse = mean(resample(bars.select("symbol", "ts", "open", "high", "low", "close", "volume"), timeframe, inst), n)
+    known = coarse.select("symbol", (F.col("ts") + F.make_dt_interval(secs=F.lit(TIMEFRAMES[timeframe]))).alias("known_at"), F.col(made).alias(name)).where(f"`{name}` is not null")
     return asof_backward(bars, known, ["symbol"], "ts", "known_at", [name])
 
 

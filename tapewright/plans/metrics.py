@@ -17,11 +17,32 @@ def _by(keys: list[str], *order: str):
     return w.orderBy(*order) if order else w
 
 
-def equity_curve(trades: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """cum_r and the drawdown from the highest equity so far, at least 0."""
-    run = _by(list(keys), *ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    out = trades.where("r_multiple is not null").withColumn("cum_r", F.sum("r_multiple").over(run))
-    return out.withColumn("drawdown_r", F.greatest(F.max("cum_r").over(run), F.lit(0.0)) - F.col("cum_r"))
+def equity_curve(trades: DataFrame, keys: list[str] = (), block: str | None = None) -> DataFrame:
+    """cum_r and the drawdown from the highest equity so far, at least 0.
+
+    block: a unit of exit time, such as ``day``. Sums and highs then run within the
+    blocks of a key, and what lies before a block comes from a table of blocks, so that
+    one key takes many tasks. Without keys, blocks are days.
+    """
+    keys = list(keys)
+    rows = trades.where("r_multiple is not null")
+    if not keys and block is None:
+        block = "day"
+    if block is None:
+        run = _by(keys, *ORDER).rowsBetween(Window.unboundedPreceding, 0)
+        out = rows.withColumn("cum_r", F.sum("r_multiple").over(run))
+        return out.withColumn("drawdown_r", F.greatest(F.max("cum_r").over(run), F.lit(0.0)) - F.col("cum_r"))
+    rows = rows.withColumn("__block", F.date_trunc(block, "exit_ts"))
+    run = _by([*keys, "__block"], *ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__sum", F.sum("r_multiple").over(run)).withColumn("__high", F.max("__sum").over(run))
+    before = _by(keys, "__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*keys, "__block").agg(F.sum("r_multiple").alias("s"), F.max("__sum").alias("h"))
+    blocks = blocks.withColumn("__before", F.coalesce(F.sum("s").over(before), F.lit(0.0))).withColumn("__peak", F.greatest(F.max(F.col("__before") + F.col("h")).over(before), F.lit(0.0)))
+    held = blocks.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__block"])], "__before", "__peak")
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, "__block"])]
+    out = rows.join(held, same)
+    out = out.withColumn("cum_r", F.col("__before") + F.col("__sum")).withColumn("drawdown_r", F.greatest("__peak", F.col("__before") + F.col("__high")) - F.col("cum_r"))
+    return out.select(*trades.columns, "cum_r", "drawdown_r")
 
 
 def streaks(trades: DataFrame, keys: list[str] = ()) -> DataFrame:

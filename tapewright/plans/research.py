@@ -234,6 +234,13 @@ def permutation_test(trades: DataFrame, keys: list[str], n_sims: int = 1000, see
 def monte_carlo(trades: DataFrame, keys: list[str], method: str = "reshuffle", n_sims: int = 200, seed: int = 3, skip: float = 0.1, block: int | None = None) -> DataFrame:
     """Paths of reordered (reshuffle), thinned (skip) or block-resampled trades:
     final R and largest drawdown of each simulation."""
+    path, run = _paths(trades, keys, method, n_sims, seed, skip, block)
+    path = path.withColumn("cum", F.sum("r").over(run)).withColumn("dd", F.greatest(F.max("cum").over(run), F.lit(0.0)) - F.col("cum"))
+    return path.groupBy(*keys, "sim").agg(F.sum("r").alias("final_r"), F.max("dd").alias("max_drawdown_r"))
+
+
+def _paths(trades: DataFrame, keys: list[str], method: str, n_sims: int, seed: int, skip: float, block: int | None) -> tuple[DataFrame, Window]:
+    """(keys, sim, o, pos, r) of each simulated trade, and its path up to it."""
     rows = _numbered(trades, keys)
     base = rows.select(*keys, "pos", "n", "r_multiple", _sims(n_sims))
     key = draw(F.col("sim"), F.col("pos"), seed)
@@ -248,9 +255,36 @@ def monte_carlo(trades: DataFrame, keys: list[str], method: str = "reshuffle", n
         path = want.join(rows.select(*keys, "pos", F.col("r_multiple").alias("r")), [*keys, "pos"])
     else:
         raise ValueError(f"no such method: {method}")
-    run = Window.partitionBy(*keys, "sim").orderBy("o", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    path = path.withColumn("cum", F.sum("r").over(run)).withColumn("dd", F.greatest(F.max("cum").over(run), F.lit(0.0)) - F.col("cum"))
-    return path.groupBy(*keys, "sim").agg(F.sum("r").alias("final_r"), F.max("dd").alias("max_drawdown_r"))
+    return path, Window.partitionBy(*keys, "sim").orderBy("o", "pos").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def monte_carlo_fan(trades: DataFrame, keys: list[str], method: str = "reshuffle", n_sims: int = 200, seed: int = 3, skip: float = 0.1, block: int | None = None, percentiles: tuple[int, ...] = (5, 25, 50, 75, 95)) -> DataFrame:
+    """Percentiles of the equity over all simulations by key and trade_index (from 1), and
+    the observed equity. The simulations of a position are sorted by their equity, and the
+    two that a percentile lies between are picked by their place."""
+    path, run = _paths(trades, keys, method, n_sims, seed, skip, block)
+    cum = path.withColumns({"cum": F.sum("r").over(run), "trade_index": F.row_number().over(Window.partitionBy(*keys, "sim").orderBy("o", "pos"))})
+    at = Window.partitionBy(*keys, "trade_index")
+    ranked = cum.withColumns({"k": F.row_number().over(at.orderBy("cum")) - 1, "of": F.count(F.lit(1)).over(at)})
+    made = []
+    for p in percentiles:
+        place = (F.col("of") - 1) * (p / 100)
+        pick = lambda i: F.max(F.when(F.col("k") == i, F.col("cum")))
+        low, high = pick(F.floor(place)), pick(F.ceil(place))
+        part = F.max(place - F.floor(place))
+        made.append((low + (high - low) * part).alias(f"p{p}"))
+    fan = ranked.groupBy(*keys, "trade_index").agg(*made)
+    whole = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    seen = _numbered(trades, keys).select(*keys, (F.col("pos") + 1).alias("trade_index"), F.sum("r_multiple").over(whole).alias("observed_cum_r"))
+    return fan.join(seen, [*keys, "trade_index"])
+
+
+def monte_carlo_streaks(trades: DataFrame, keys: list[str], method: str = "reshuffle", n_sims: int = 200, seed: int = 3, skip: float = 0.1, block: int | None = None) -> DataFrame:
+    """The longest run of losses of each simulation: losses since the same number of other trades are a run."""
+    path, run = _paths(trades, keys, method, n_sims, seed, skip, block)
+    rows = path.withColumn("others", F.sum((F.col("r") >= 0).cast("int")).over(run))
+    runs = rows.groupBy(*keys, "sim", "others").agg(F.count(F.when(F.col("r") < 0, 1)).alias("n"))
+    return runs.groupBy(*keys, "sim").agg(F.max("n").alias("max_loss_streak"))
 
 
 def monte_carlo_summary(paths: DataFrame, keys: list[str], thresholds: tuple[float, ...] = (3, 5, 10)) -> DataFrame:

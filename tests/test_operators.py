@@ -456,3 +456,32 @@ def test_first_hits_against_a_walk(spark):
     c = spark.createDataFrame(cand, "symbol string, k int, sign double, stop double, target double, cap int, pos int, settled boolean, lo double, hi double")
     got = {(r.symbol, r.k): (r.bar.u, r.lo, r.hi) for r in first_hits(c, b, 699).collect()}
     assert got == want and levels_for(0) == levels_for(63) == 1 and levels_for(64) == 2 and levels_for(4096) == 3
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 150])
+def test_ema_by_blocks_is_the_recursion(spark, n):
+    rng = random.Random(n)
+    rows, want = [], {}
+    for s, m in (("a", 1500), ("b", 70), ("c", 1)):
+        p, e = 5000.0, None
+        for i in range(m):
+            p += rng.uniform(-9, 9)
+            ts = T0 + dt.timedelta(minutes=5 * i + (900 if i > 200 else 0))
+            rows.append((s, ts, p))
+            e = p if e is None else e + 2 / (n + 1) * (p - e)
+            want[s, ts] = e if i >= n - 1 else None
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double")
+    out = L.ema(df, n)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.symbol, r.ts): r[f"EMA_{n}"] for r in out.collect()}
+    assert got.keys() == want.keys() and all((g is None) == (want[k] is None) and (g is None or abs(g - want[k]) < 1e-8) for k, g in got.items())
+
+
+def test_equity_by_blocks_is_the_whole_window(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice("xy"), None if i % 97 == 0 else T0 + dt.timedelta(hours=rng.randrange(200)), None if i % 31 == 0 else rng.uniform(-2, 2)) for i in range(500)]
+    t = spark.createDataFrame(rows, "trade_id int, k string, exit_ts timestamp_ntz, r_multiple double")
+    for keys in ([], ["k"]):
+        one = {r.trade_id: (r.cum_r, r.drawdown_r) for r in M.equity_curve(t.withColumn("one", F.lit(1)), keys or ["one"]).collect()}
+        many = {r.trade_id: (r.cum_r, r.drawdown_r) for r in M.equity_curve(t, keys, "hour").collect()}
+        assert one.keys() == many.keys() and all(abs(a - b) < 1e-9 for k in one for a, b in zip(one[k], many[k], strict=True))
