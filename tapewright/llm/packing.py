@@ -109,10 +109,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS
     rows: list[tuple[int, int, int, int, int]] = []
     n_sequences = 0
 
+    # patterns on the grid; a length stands for the next grid length above it, and
+    # where the grid doesn't reach the capacity, lengths beyond it are left to best-fit
+    unit = -(-capacity // steps)
+    steps = capacity // unit
+    cell = -(-np.arange(capacity + 1) // unit)
+    counts = np.bincount(cell, weights=left, minlength=steps + 1)
+
     def take(length: int, n: int, sequence: int, offset: int) -> None:
         rows.append((length, int(used[length]), n, sequence, offset))
         used[length] += n
         left[length] -= n
+        counts[cell[length]] -= n
 
     if left[capacity]:
         n = int(left[capacity])
@@ -124,20 +132,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS
         if n and fill < capacity:
             open_.setdefault(capacity - fill, []).append([first, n])
 
-    # patterns on the grid; a length stands for the next grid length above it, and
-    # where the grid doesn't reach the capacity, lengths beyond it are left to best-fit
-    unit = -(-capacity // steps)
-    steps = capacity // unit
-    cell = -(-np.arange(capacity + 1) // unit)
-    counts = np.bincount(cell, weights=left, minlength=steps + 1)[: steps + 1]
     shapes = patterns(steps)
+    # pieces shorter than a sixteenth of a sequence are kept for what the patterns leave
+    shapes = shapes[((shapes == 0) | (shapes >= steps // 16)).all(1)]
     shapes = shapes[((counts[shapes] > 0) | (shapes == 0)).all(1)]
     if len(shapes):
         matrix = np.zeros((steps + 1, len(shapes)))
         for k in range(3):
             np.add.at(matrix, (shapes[:, k], np.arange(len(shapes))), 1.0)
         matrix[0] = 0
-        present = np.flatnonzero(counts > 0)
+        present = np.flatnonzero(counts[: steps + 1] > 0)
         fitted = np.floor(nnls(matrix[present], counts[present]) + 1e-6).astype(np.int64)
         for p in np.argsort(-fitted, kind="stable"):
             shape = [int(s) for s in shapes[p][::-1] if s]
@@ -146,8 +150,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS
                 continue
             ranges = [(n_sequences, n, 0)]
             n_sequences += n
-            for s in shape:
-                counts[s] -= n
+            for s in shape[:-2]:
                 after = []
                 lengths = list(range(min(s * unit, capacity), (s - 1) * unit, -1))
                 for first, m, fill in ranges:
@@ -159,8 +162,23 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS
                         after.append((first, t, fill + lengths[0]))
                         first, m = first + t, m - t
                 ranges = after
+            # the last two pieces fill what the others' exact lengths leave: one of the
+            # cell's lengths with what is then missing; sequences for which no such two
+            # are left stay open for the residual, or aren't begun
+            s = shape[-2]
             for first, m, fill in ranges:
-                leave(first, m, fill)
+                gap = capacity - fill
+                for one in range(min(s * unit, gap - 1), (s - 1) * unit, -1):
+                    two = gap - one
+                    t = int(min(m, left[one], left[two]) if one != two else min(m, left[one] // 2))
+                    if t:
+                        take(one, t, first, fill)
+                        take(two, t, first, fill + one)
+                        first, m = first + t, m - t
+                if fill:
+                    leave(first, m, fill)
+                else:
+                    n_sequences -= m
     # residual pieces, longest first, to the smallest gap that holds them
     gaps = sorted(open_)
     for length in range(capacity, 0, -1):

@@ -305,3 +305,39 @@ def test_ledger_is_idempotent(spark, tmp_path):
     assert book.commit("broken", rollups.inserts(counts, "v1"))
     tokens = rollups.count_tokens(spark.createDataFrame([(1, None, None, None), (2, "hello world", "s", "en")], "doc_id long, text string, source string, lang string")).collect()
     assert [(r.n_words, r.n_tokens) for r in sorted(tokens, key=lambda r: r.doc_id)] == [(0, 0), (2, 2)]
+
+
+def test_plans_are_whole_and_no_worse_than_best_fit():
+    import numpy as np
+
+    from tapewright.llm import packing
+
+    rng = np.random.default_rng(4)
+    long_tail = np.minimum(1 + rng.gamma(0.9, 500, 6000).astype(int), 2048)
+    for lengths in (long_tail, rng.integers(300, 1100, 3000), np.array([2048, 1, 1]), np.array([700, 700, 648] * 5), np.array([5])):
+        histogram = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
+        rows, n = packing.plan(histogram)
+        held = {}
+        taken = dict.fromkeys(histogram, 0)
+        for length, first_rank, count, sequence, offset in rows[np.lexsort((rows[:, 1], rows[:, 0]))].tolist():
+            assert first_rank == taken[length]
+            taken[length] += count
+            for k in range(count):
+                held.setdefault(sequence + k, []).append((offset, length))
+        assert taken == histogram and set(held) == set(range(n))
+        for own in held.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        gaps, fitted = [], 0  # best fit alone, longest first
+        for length in sorted(lengths.tolist(), reverse=True):
+            fit = min((g for g in gaps if g >= length), default=None)
+            if fit is None:
+                fitted += 1
+                gaps.append(2048 - length)
+            else:
+                gaps.remove(fit)
+                gaps.append(fit - length)
+        assert n <= fitted
