@@ -256,47 +256,78 @@ def squeeze(batches):
         yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(z, pa.binary())], [*names, "z"])
 
 
-def main_lines(own: list[tuple[str, bool, bool]], before: list[list[str]], after: list[list[str]]) -> str:
-    """A page's main text, given the lines of the pages before and after it, nearest first.
+Lines = list[tuple[str, bool, bool]]
+
+
+def template_ends(own: list[str], others: list[list[str]]) -> tuple[int, int]:
+    """How many lines at the start and at the end of an article are a template: each
+    stands at the same place from that end in three different articles or more, and in most."""
+    counts, others = [], [list(x) for x in dict.fromkeys(map(tuple, others))]
+    for way in (1, -1):
+        n = 0
+        while n < len(own):
+            same = sum(len(x) > n and x[::way][n] == own[::way][n] for x in others)
+            if same < 3 or 2 * same <= len(others):
+                break
+            n += 1
+        counts.append(n)
+    return counts[0], counts[1] if sum(counts) <= len(own) else len(own) - counts[0]
 
-    On each side the nearest page that isn't a copy decides: lines it shares go,
-    those of the article too. A copy shares more than half of the article's lines
-    or, where none is marked, of all lines outside skipped elements. If all pages
-    near look like copies, the lines go that every one of them shares, if there
-    are three or more that don't hold the whole page: a template longer than the text.
 
-    Lines outside a marked article also go if a copy of it shares them. Where
-    nothing was near, only the article stays, if it holds most of the text.
+def main_lines(own: Lines, before: list[Lines], after: list[Lines]) -> str:
+    """A page's main text, given the lines of the pages before and after it, nearest first.
+
+    Skipped elements take no part, the page's or its neighbours'. On each side the nearest
+    page that isn't a copy decides which lines outside a marked article go: those that it
+    shares. A copy shares more than half of the article's lines or, where none is marked,
+    of all lines. If all pages near look like copies, the lines go that every one of them
+    shares, if there are three or more that don't hold the whole page: a template longer
+    than the text.
+
+    Within a marked article, pages share sentences too, so that a shared line alone is no
+    template: of the lines that the deciding pages share, those go that begin or end the
+    article of most pages near that aren't copies. Lines outside a marked article also go
+    if a copy of it shares them. Where nothing was near, only the article stays, if it
+    holds most of the text.
     """
+    own, before, after = [x for x in own if not x[2]], *[[[x for x in page if not x[2]] for page in side] for side in (before, after)]
     texts = [t for t, _, _ in own]
-    within = [inside and not skip for _, inside, skip in own]
+    within = [inside for _, inside, _ in own]
     marked = any(within)
-    body = within if marked else [not skip for _, _, skip in own]
-    gone, copies = [False] * len(own), {}
+    body = within if marked else [True] * len(own)
+    gone, copies, differing = [False] * len(own), {}, []
     compared = different = False
     for side in (before, after):
-        for other in side:
-            if not other:
+        decided = False
+        for page in side:
+            if not page:
                 continue
             compared = True
+            other = [t for t, _, _ in page]
             shared = shared_lines(texts, other)
             if 2 * sum(s and x for s, x in zip(shared, body, strict=True)) <= sum(body):
-                gone = [g or s for g, s in zip(gone, shared, strict=True)]
-                different = True
-                break
-            copies[tuple(other)] = shared
+                differing.append([t for t, inside, _ in page if inside])
+                if not decided:
+                    gone = [g or s for g, s in zip(gone, shared, strict=True)]
+                    decided = different = True
+            elif not decided:
+                copies[tuple(other)] = shared
     if marked:
+        head, tail = template_ends([t for t, x in zip(texts, within, strict=True) if x], differing)
+        at = np.cumsum(within)  # from 1, for the article's lines
+        ends = [bool(x) and (k <= head or k > sum(within) - tail) for k, x in zip(at.tolist(), within, strict=True)]
+        gone = [g and (not x or e) for g, x, e in zip(gone, within, ends, strict=True)]
         for shared in copies.values():
             gone = [g or (s and not x) for g, s, x in zip(gone, shared, within, strict=True)]
-    if not different:
-        partial = [shared for shared in copies.values() if not all(s for s, x in zip(shared, body, strict=True) if x)]
+    if not different and not marked:
+        partial = [shared for shared in copies.values() if not all(shared)]
         if len(partial) > 2:
             gone = [g or all(s) for g, s in zip(gone, zip(*partial, strict=True), strict=True)]
     if marked and not compared:
-        size = sum(len(t) for t, _, skip in own if not skip)
+        size = sum(map(len, texts))
         if 2 * sum(len(t) for t, x in zip(texts, within, strict=True) if x) > size:
             gone = [not x for x in within]
-    return "\n".join(t for (t, _, skip), g in zip(own, gone, strict=True) if not skip and not g)
+    return "\n".join(t for t, g in zip(texts, gone, strict=True) if not g)
 
 
 #: Pages on each side among which one that isn't a copy is looked for.
@@ -338,7 +369,7 @@ def stream_rows(edges: bool):
             flags = b.column("own").to_pylist() if edges else [True] * b.num_rows
             for i in range(b.num_rows):
                 lines = lines_of(cols[1][i].as_py())
-                yield b.column("row").slice(i, 1), cols[0][i].as_py(), lines, [t for t, _, _ in lines], flags[i]
+                yield b.column("row").slice(i, 1), cols[0][i].as_py(), lines, flags[i]
 
     def go(batches):
         held, texts = [], []
@@ -349,10 +380,10 @@ def stream_rows(edges: bool):
             return out
 
         for i, n_after, before, now, after in _around(pages(batches), NEAR):
-            row, host, lines, _, mine = now
+            row, host, lines, mine = now
             if mine if edges else i >= NEAR and n_after >= NEAR:
                 held.append(row)
-                texts.append(main_lines(lines, *[[x[3] for x in side if x[1] == host and host] for side in (before, after)]))
+                texts.append(main_lines(lines, *[[x[2] for x in side if x[1] == host and host] for side in (before, after)]))
             if len(held) >= 256:
                 yield flush()
         if held:

@@ -109,3 +109,37 @@ def test_neighbours_recall_and_cases(spark, monkeypatch):
     assert nndescent.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = nndescent.nearest(spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
     assert sorted(t.vec_id for t in few) == [1, 2]
+
+
+def test_sentences_that_articles_share_stay(spark, monkeypatch):
+    """Pages of one host whose articles repeat sentences, in the middle and at an end, under a template."""
+    import random
+
+    monkeypatch.setattr(htmltext, "SLICE", 7)
+    rng = random.Random(8)
+    said = [f"a sentence of many pages {k}" for k in range(6)]
+    rows, want = [], {}
+    for i in range(40):
+        own = [f"own line {i} {k}" for k in range(rng.randrange(4, 9))]
+        for x in rng.sample(said, 3):
+            own.insert(rng.randrange(len(own) + 1), x)
+        want[i] = "\n".join(own)
+        rows.append((i, f"http://h.example/{i:03d}", f"<nav>{rng.choice(said)}</nav><div>Top</div><article>{''.join(f'<p>{x}</p>' for x in own)}<p>Share this</p></article><div>Bottom</div>"))
+    got = {r.page_id: r.main_text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_template_ends_against_counting():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        own, *others = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(2, 7))]
+        head, tail = htmltext.template_ends(list(own), [list(x) for x in others])
+        common = lambda n, way: sum(x[::way][: n + 1][n:] == own[::way][n] for x in others)
+        others = sorted(set(others))
+        most = lambda n, way: common(n, way) >= 3 and 2 * common(n, way) > len(others)
+        first = next((n for n in range(len(own)) if not most(n, 1)), len(own))
+        assert head == first and 0 <= tail <= len(own) - head
+        last = next((n for n in range(len(own)) if not most(n, -1)), len(own))
+        assert tail == min(last, len(own) - head)
