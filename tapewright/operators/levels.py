@@ -312,28 +312,35 @@ def prior_single_prints(bars: DataFrame, tick: float = DEFAULT.tick_size, inst:
     rth = _regular(bars, inst)
     lone = _bracket_ticks(rth, tick).groupBy("symbol", "session_date", "k").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
     dates = rth.select("symbol", "session_date").distinct().withColumn("next_date", F.lead("session_date").over(Window.partitionBy("symbol").orderBy("session_date")))
-    prints = lone.join(dates, ["symbol", "session_date"]).where("next_date is not null").select("symbol", F.col("next_date").alias("session_date"), F.lit(None).cast(rth.schema["ts"].dataType).alias("ts"), (F.col("k") * tick).alias("price"))
-    both = prints.unionByName(rth.select("symbol", "session_date", "ts", F.col("close").alias("price")))
-    # at equal prices closes come first, so that only lower (or higher) prices precede them
-    ways = {"pSinglePrint_30m_NearestAbove": F.desc("price"), "pSinglePrint_30m_NearestBelow": F.asc("price")}
-    last = lambda way: F.last(F.when(F.col("ts").isNull(), F.col("price")), ignorenulls=True).over(Window.partitionBy("symbol", "session_date").orderBy(way, F.col("ts").isNull()).rowsBetween(*RUN))
-    near = both.withColumns({c: last(way) for c, way in ways.items()}).where("ts is not null").select("symbol", "ts", *ways)
+    prints = lone.join(dates, ["symbol", "session_date"]).where("next_date is not null").select("symbol", F.col("next_date").alias("session_date"), (F.col("k") * tick).alias("price"))
+    near = _nearest(prints, rth, ["session_date"], "pSinglePrint_30m")
     return bars.join(near, ["symbol", "ts"], "left")
 
 
+def _nearest(prints: DataFrame, asked: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """By (symbol, ts) of ``asked``: the nearest price of ``prints`` above and below the
+    close, within the keys. Prices and closes are sorted together, once upwards and once
+    downwards; at equal prices closes come first, so that only lower (or higher) prices
+    precede them."""
+    both = prints.withColumn("ts", F.lit(None).cast(asked.schema["ts"].dataType)).select("symbol", *keys, "ts", "price").unionByName(asked.select("symbol", *keys, "ts", F.col("close").alias("price")))
+    ways = {f"{name}_NearestAbove": F.desc("price"), f"{name}_NearestBelow": F.asc("price")}
+    last = lambda way: F.last(F.when(F.col("ts").isNull(), F.col("price")), ignorenulls=True).over(Window.partitionBy("symbol", *keys).orderBy(way, F.col("ts").isNull()).rowsBetween(*RUN))
+    return both.withColumns({c: last(way) for c, way in ways.items()}).where("ts is not null").select("symbol", "ts", *ways)
+
+
 def single_prints(bars: DataFrame, tick: float = DEFAULT.tick_size, inst: Instrument = DEFAULT) -> DataFrame:
     """Nearest price above and below the close that exactly one completed 30-minute
-    regular bracket of the session has traded. Bracket coverages are exploded to
-    ticks once; a tick stays single from its first bracket's end to its second's."""
+    regular bracket of the session has traded. A tick stays single from its first
+    bracket's end to its second's; it stands once in each bracket of that time, a dozen
+    at most, where it is sorted with the closes."""
     rth = _regular(bars, inst)
     ticks = _bracket_ticks(rth, tick)
     first = Window.partitionBy("symbol", "session_date", "k").orderBy("br")
-    life = ticks.withColumns({"n": F.row_number().over(first), "until": F.lead("br").over(first)}).where("n = 1").select("symbol", "session_date", "k", F.col("br").alias("since"), "until")
-    asked = rth.select("symbol", "session_date", "ts", "br", "close")
-    met = asked.join(life, ["symbol", "session_date"]).where("since < br and (until is null or until >= br)")
-    price = F.col("k") * tick
-    near = met.groupBy("symbol", "ts").agg(F.min(F.when(price > F.col("close"), price)).alias("dSinglePrint_30m_NearestAbove"), F.max(F.when(price < F.col("close"), price)).alias("dSinglePrint_30m_NearestBelow"))
-    return bars.join(near, ["symbol", "ts"], "left")
+    life = ticks.withColumns({"n": F.row_number().over(first), "until": F.lead("br").over(first)}).where("n = 1")
+    last = F.lit((seconds(inst.rth_end) - seconds(inst.rth_start) - 1) // 1800)
+    life = life.withColumn("until", F.least(F.coalesce("until", last), last)).where("br < until")
+    prints = life.select("symbol", "session_date", F.explode(F.sequence(F.col("br") + 1, F.col("until"))).alias("br"), (F.col("k") * tick).alias("price"))
+    return bars.join(_nearest(prints, rth, ["session_date", "br"], "dSinglePrint_30m"), ["symbol", "ts"], "left")
 
 
 def apoc(bars: DataFrame, tick: float = DEFAULT.tick_size, inst: Instrument = DEFAULT) -> DataFrame:
