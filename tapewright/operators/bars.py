@@ -120,6 +120,41 @@ def validate(bars: DataFrame, interval_s: float) -> DataFrame:
     )
 
 
+def assert_valid_ohlc(bars: DataFrame) -> None:
+    """Raises ValueError if prices are absent, null or not finite, or if a bar's high and low don't hold its prices."""
+    absent = [c for c in OHLCV[:4] if c not in bars.columns]
+    if absent:
+        raise ValueError(f"bars lack the columns {absent}")
+    wild = F.lit(False)
+    for c in OHLCV[:4]:
+        v = F.col(c).cast("double")
+        wild = wild | v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    outside = (F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high"))
+    n = bars.agg(F.count_if(wild).alias("wild"), F.count_if(outside).alias("outside")).first()
+    if n["wild"]:
+        raise ValueError(f"{n['wild']} bars without four finite prices")
+    if n["outside"]:
+        raise ValueError(f"{n['outside']} bars whose high and low don't hold their prices")
+
+
+# Names of contract columns, the first found counts.
+CONTRACT_COLUMNS = ("contract", "symbol", "ticker", "instrument", "expiry", "expiration")
+
+
+def contract_column(bars: DataFrame) -> str | None:
+    """The column that likely names the contract, by its name without case, or None."""
+    by_name = {c.lower(): c for c in bars.columns}
+    return next((by_name[c] for c in CONTRACT_COLUMNS if c in by_name), None)
+
+
+def display_times(rows: DataFrame, zone: str, columns: list[str] | None = None) -> DataFrame:
+    """Rows whose UTC timestamps (all columns of that type, or those named) are local times of a zone."""
+    kinds = dict(rows.dtypes)
+    names = [c for c in (columns or rows.columns) if kinds[c] in ("timestamp_ntz", "timestamp")]
+    local = lambda c: F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(f"`{c}`") if kinds[c] == "timestamp_ntz" else F.to_utc_timestamp(F.col(f"`{c}`"), F.current_timezone()).cast("timestamp_ntz"))
+    return rows.withColumns({c: local(c) for c in names})
+
+
 def duplicate_report(bars: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Rows that share their timestamp: group size, position, and what the group agrees on."""
     by = Window.partitionBy("symbol", "ts")

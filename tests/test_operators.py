@@ -485,3 +485,20 @@ def test_equity_by_blocks_is_the_whole_window(spark):
         one = {r.trade_id: (r.cum_r, r.drawdown_r) for r in M.equity_curve(t.withColumn("one", F.lit(1)), keys or ["one"]).collect()}
         many = {r.trade_id: (r.cum_r, r.drawdown_r) for r in M.equity_curve(t, keys, "hour").collect()}
         assert one.keys() == many.keys() and all(abs(a - b) < 1e-9 for k in one for a, b in zip(one[k], many[k], strict=True))
+
+
+def test_valid_prices_contract_column_and_display_zone(spark):
+    good = frame(spark, [(1, 3, 0.5, 2, 1), (2, 2, 2, 2, 1)])
+    B.assert_valid_ohlc(good)
+    for bad, why in (((1, 3, 2, 2, 1), "hold"), ((1, 1.5, 0.5, 2, 1), "hold"), ((float("nan"), 3, 0, 2, 1), "finite"), ((1, float("inf"), 0, 2, 1), "finite")):
+        with pytest.raises(ValueError, match=why):
+            B.assert_valid_ohlc(frame(spark, [bad]))
+    with pytest.raises(ValueError, match="finite"):
+        B.assert_valid_ohlc(good.withColumn("low", F.lit(None).cast("double")))
+    with pytest.raises(ValueError, match="lack"):
+        B.assert_valid_ohlc(good.drop("open"))
+    assert B.contract_column(good) == "symbol" and B.contract_column(good.withColumnRenamed("symbol", "Expiry").withColumn("Ticker", F.lit(1))) == "Ticker"
+    assert B.contract_column(good.drop("symbol")) is None
+    local = B.display_times(good.withColumn("at", F.col("ts").cast("timestamp")), "America/New_York").orderBy("bar_index").first()
+    assert local.ts == local["at"] == T0 - dt.timedelta(hours=5)
+    assert B.display_times(good, "Asia/Tokyo", ["ts"]).orderBy("bar_index").first().ts == T0 + dt.timedelta(hours=9)
