@@ -691,6 +691,14 @@ def walk_forward_sessions(spark, sf):
     return only(w, "fold_id", "cell_id", "train_trades", "train_metric", "test_trades", "test_metric", digits=7)
 
 
+@query
+def wfa_matrix_sessions(spark, sf):
+    """Walk-forward by session over several training and test lengths."""
+    w = R.walk_forward_sessions(_cell_trades(spark, sf), bars(spark, sf), [(6, 3, 3), (10, 5, 5), (10, 2, 4)])
+    s = w.groupBy(F.col("label").alias("matrix_id")).agg(F.count(F.lit(1)).alias("folds"), F.avg("test_metric").alias("mean_test"), F.sum("test_total_r").alias("oos_total_r"))
+    return only(s, *s.columns, digits=7)
+
+
 @query
 def walk_forward_stitched(spark, sf):
     """Equity of the out-of-sample trades, of overlapping test bars those of the first fold."""

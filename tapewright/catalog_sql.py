@@ -425,3 +425,14 @@ ORACLES |= {
       k AS (SELECT symbol, ts + INTERVAL 1 HOUR AS known, e FROM r WHERE i >= 4)
       SELECT b.symbol, b.ts, round(e + 3.7e-10, 7) AS EMA_5_1h FROM bars b ASOF LEFT JOIN k ON b.symbol = k.symbol AND b.ts >= k.known"""),
 }
+
+
+def session_matrix(spans: list[tuple[int, int, int]]) -> str:
+    """The walk-forward matrix with folds counted in sessions."""
+    ses = ORACLES["walk_forward_sessions"].split(", ses AS ", 1)[1].split(", folds AS ", 1)[0]
+    every = " UNION ALL ".join(f"SELECT {i} AS matrix_id, k AS fold_id, {st} * k AS a, {st} * k + {tr} AS b, {st} * k + {tr + te} AS d FROM (SELECT unnest(generate_series(0, (SELECT CASE WHEN max(bar_index) + 1 < {tr + te} THEN -1 ELSE (max(bar_index) + 1 - {tr + te}) // {st} END FROM ses))) AS k) t" for i, (tr, te, st) in enumerate(spans))
+    tail = ORACLES["wfa_matrix_all"].split("tr AS (SELECT matrix_id", 1)[1].replace("FROM trades, folds", "FROM tn, folds")
+    return w(simulated(CELLS), f", ses AS {ses}, folds AS ({every}), tr AS (SELECT matrix_id{tail}")
+
+
+ORACLES["wfa_matrix_sessions"] = session_matrix([(6, 3, 3), (10, 5, 5), (10, 2, 4)])
