@@ -356,8 +356,8 @@ ORACLES |= {
 
 def exposed(source: str, keys: str, cooldown: int, overlap: str) -> str:
     """Verdicts (ad): the chain of admitted trades of each group, one after the other."""
-    return f""", o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY entry_bar_index, signal_id) AS pos FROM {source}),
-      nx AS (SELECT {keys}, o.pos, (SELECT min(b.pos) FROM o b WHERE {" AND ".join(f"b.{k} = o.{k}" for k in keys.split(", "))} AND b.entry_bar_index > o.exit_bar_index + {cooldown}) AS nxt FROM o),
+    return f""", o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY entry_bar_index, signal_id) AS pos FROM {source}),
+      nx AS MATERIALIZED (SELECT {keys}, o.pos, (SELECT min(b.pos) FROM o b WHERE {" AND ".join(f"b.{k} = o.{k}" for k in keys.split(", "))} AND b.entry_bar_index > o.exit_bar_index + {cooldown}) AS nxt FROM o),
       ch AS (SELECT {keys}, pos FROM o WHERE pos = 1 UNION ALL SELECT {keys}, nxt AS pos FROM ch JOIN nx USING ({keys}, pos) WHERE nxt IS NOT NULL),
       am AS (SELECT o.*, ch.pos IS NOT NULL AS admitted FROM o LEFT JOIN ch USING ({keys}, pos)),
       bl AS (SELECT *, last_value(CASE WHEN admitted THEN signal_id END IGNORE NULLS) OVER x AS bid, last_value(CASE WHEN admitted THEN exit_bar_index END IGNORE NULLS) OVER x AS bx FROM am WINDOW x AS (PARTITION BY {keys} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
