@@ -256,14 +256,42 @@ def prior_profiles(bars: DataFrame, period: str, tick: float = DEFAULT.tick_size
 
 
 def rolling_poc(bars: DataFrame, secs: int, name: str, tick: float = DEFAULT.tick_size) -> DataFrame:
-    """POC over (t - window, t] for each bar: bars meet the bars of their own and the
-    previous bucket of one window's length, so the join has an equality."""
-    t = micros(F.col("ts"))
+    """POC over (t - window, t] for each bar: of the bins of most volume, the lowest.
+
+    A bar puts its volume into its bin and takes it out one window later. Buckets of one
+    window's length start with what the one before holds, so each is summed on its own.
+    A bin's running sum holds from one change to the next; this span is cut into aligned
+    blocks of 1, 2, 4, ... bars, two of a size at most, which keep the largest sum. A bar
+    looks up the one block of each size that it lies in. Rows grow with the bars times
+    the logarithm of a bucket's bars, and travel once. Volumes are summed as decimals of
+    ten places, so that what goes in comes out exactly; those that are null, not finite
+    or not above zero don't count.
+    """
     size = secs * 1_000_000
-    left = bars.select("symbol", "ts", t.alias("t")).withColumn("cell", F.explode(F.array(F.floor(F.col("t") / size), F.floor(F.col("t") / size) - 1)))
-    right = bars.where("volume > 0").select("symbol", t.alias("t2"), F.floor(t / size).alias("cell"), binned(typical(), tick).alias("bin"), "volume")
-    met = left.join(right, ["symbol", "cell"]).where((F.col("t2") <= F.col("t")) & (F.col("t2") > F.col("t") - size))
-    poc = met.groupBy("symbol", "ts", "bin").agg(F.sum("volume").alias("v")).groupBy("symbol", "ts").agg((F.max_by("bin", F.struct("v", -F.col("bin"))) * tick).alias(name))
+    t = micros(F.col("ts"))
+    start = t - F.pmod(t, F.lit(size))
+    rows = bars.select("symbol", "ts", t.alias("t"), start.alias("start"), binned(typical(), tick).alias("bin"), F.col("volume").try_cast("decimal(28,10)").alias("v"))
+    event = lambda bucket, at, b, v, ts: F.struct(bucket.alias("bucket"), at.alias("at"), b.cast("long").alias("bin"), v.cast("decimal(28,10)").alias("v"), ts.cast("timestamp_ntz").alias("ts"))
+    none, own, later = F.lit(None), F.col("start"), F.col("start") + size
+    seen = event(own, F.col("t"), none, F.lit(0), F.col("ts"))
+    changes = [event(own, F.col("t"), F.col("bin"), F.col("v"), none), event(later, later, F.col("bin"), F.col("v"), none), event(later, F.col("t") + size, F.col("bin"), -F.col("v"), none)]
+    counts = (F.col("v") > 0) & F.col("bin").isNotNull()
+    rows = rows.select("symbol", F.explode(F.when(counts, F.array(seen, *changes)).otherwise(F.array(seen))).alias("e")).select("symbol", "e.*")
+    # all that follows stays where this shuffle puts it
+    rows = rows.repartition("symbol", "bucket")
+    one = Window.partitionBy("symbol", "bucket")
+    bar = F.count(F.when(F.col("bin").isNull(), 1))
+    rows = rows.withColumns({"ord": bar.over(one.orderBy("at").rangeBetween(Window.unboundedPreceding, -1)), "n": bar.over(one)}).where("n > 0")
+    net = rows.groupBy("symbol", "bucket", "bin", "ord").agg(F.sum("v").alias("v"), F.first("n").alias("n"), F.first("ts").alias("ts"))
+    by = Window.partitionBy("symbol", "bucket", "bin").orderBy("ord")
+    spans = net.withColumns({"held": F.sum("v").over(by.rowsBetween(*RUN)), "to": F.coalesce(F.lead("ord").over(by), "n")}).where("bin is null or (held > 0 and to > ord)")
+    around = F.expr("transform(sequence(0, length(bin(n)) - 1), k -> named_struct('k', k, 'node', shiftright(ord, k)))")
+    sizes = "transform(sequence(0, length(bin(to - ord)) - 1), k -> named_struct('k', k, 'a', shiftright(ord + shiftleft(1L, k) - 1, k), 'b', shiftright(to, k)))"
+    within = F.expr(f"flatten(transform(filter({sizes}, s -> s.a < s.b), s -> filter(array(IF(s.a % 2 = 1, named_struct('k', s.k, 'node', s.a), NULL), IF(s.b % 2 = 1, named_struct('k', s.k, 'node', s.b - 1), NULL)), x -> x IS NOT NULL)))")
+    asks = F.col("bin").isNull()
+    blocks = spans.select("symbol", "bucket", F.explode(F.when(asks, around).otherwise(within)).alias("x"), F.when(asks, F.col("ord")).alias("ord"), "ts", F.when(~asks, F.struct("held", (-F.col("bin")).alias("low"))).alias("top")).select("*", "x.*")
+    most = blocks.withColumn("top", F.max("top").over(Window.partitionBy("symbol", "bucket", "k", "node"))).where("ord is not null")
+    poc = most.groupBy("symbol", "bucket", "ord").agg(F.first("ts").alias("ts"), (-F.max("top")["low"] * tick).alias(name)).drop("bucket", "ord")
     return bars.join(poc, ["symbol", "ts"], "left")
 
 

@@ -502,3 +502,25 @@ def test_valid_prices_contract_column_and_display_zone(spark):
     local = B.display_times(good.withColumn("at", F.col("ts").cast("timestamp")), "America/New_York").orderBy("bar_index").first()
     assert local.ts == local["at"] == T0 - dt.timedelta(hours=5)
     assert B.display_times(good, "Asia/Tokyo", ["ts"]).orderBy("bar_index").first().ts == T0 + dt.timedelta(hours=9)
+
+
+def test_rolling_poc_equals_a_plain_count(spark):
+    """Ties, repeated times, gaps longer than the window, tenths of lots, and volumes that don't count."""
+    rng = random.Random(5)
+    start, rows = dt.datetime(2026, 1, 5), []
+    for s in ("a", "b"):
+        at = 0
+        for i in range(300):
+            at += rng.choices([0, 60, 45, 7200], [5, 80, 13, 2])[0]
+            price = float(rng.randrange(90, 96))
+            rows.append((s, start + dt.timedelta(seconds=at), price, price, price, None if i % 41 == 0 else rng.randrange(4) / 10))
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, high double, low double, close double, volume double").repartition(5)
+    got = {(r.symbol, r.ts): r.p for r in L.rolling_poc(bars, 1800, "p", 1.0).collect()}
+    for s, ts, *_ in rows:
+        by: dict = {}
+        for s2, t2, price, _, _, v in rows:
+            if s2 == s and v and dt.timedelta() <= ts - t2 < dt.timedelta(seconds=1800):
+                by[price] = by.get(price, 0) + round(v * 10)
+        assert got[s, ts] == (min(by, key=lambda p: (-by[p], p)) if by else None)
+    assert L.rolling_poc(bars, 1800, "p", 1.0).count() == len(rows)
+    assert L.rolling_poc(bars.limit(0), 1800, "p", 1.0).count() == 0
