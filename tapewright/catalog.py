@@ -935,6 +935,20 @@ def random_entries(spark, sf):
     return only(D.random_entries(b, s, 5), "symbol", "replica_id", "bar_index", "direction")
 
 
+@query
+def random_benchmark(spark, sf):
+    b = bars(spark, sf)
+    rule = {"max_bars": 50, "stop_ticks": 400, "target_ticks": 600}
+    s = D.random_benchmark(b, _simulated(spark, sf, **rule), 20, **rule)
+    return only(s, *s.columns, digits=7)
+
+
+@query
+def deflated_sharpe(spark, sf):
+    s = D.deflated_sharpe(_cell_trades(spark, sf), ["cell_id"])
+    return only(s, *s.columns, digits=7)
+
+
 @query
 def otf_validation_matrix(spark, sf):
     """Trades of each fixed setting; a time frame's states come from its own bars."""

@@ -436,3 +436,43 @@ def session_matrix(spans: list[tuple[int, int, int]]) -> str:
 
 
 ORACLES["wfa_matrix_sessions"] = session_matrix([(6, 3, 3), (10, 5, 5), (10, 2, 4)])
+
+
+def against_random(replicas: int) -> str:
+    """The simulator's text twice: on the breaks, and on entries drawn for each replica."""
+    plain = simulated()
+    signals = plain[plain.index("sig AS (SELECT *, row_number()") :].split("\n")[0]
+    drawn = f"""obs AS (WITH {plain.strip().lstrip(',')} SELECT symbol, direction, r_multiple FROM trades),
+need AS (SELECT symbol, count(*) AS need, avg((direction = 'long')::INT::DOUBLE) AS share FROM obs GROUP BY symbol),
+sig AS (SELECT symbol, bar_index, CASE WHEN u < share THEN 'long' ELSE 'short' END AS direction, rep * 10000000 + bar_index AS signal_id FROM (
+  SELECT b.symbol, rep, bar_index, {DRAW('rep', 'bar_index', 9)} AS d, ({DRAW('rep', 'bar_index', 10)}) / 2147483647.0::DOUBLE AS u, need, share FROM bars b JOIN need n ON b.symbol = n.symbol, range({replicas}) s(rep))
+  QUALIFY row_number() OVER (PARTITION BY symbol, rep ORDER BY d, bar_index) <= need)"""
+    assert signals.endswith("),") and plain.count(signals) == 1
+    ctes = plain.replace(signals, drawn + ",") + f""", means AS (SELECT rep, coalesce(m, 0) AS m FROM range({replicas}) s(rep) LEFT JOIN (SELECT signal_id // 10000000 AS r, avg(r_multiple) AS m FROM trades GROUP BY ALL) t ON r = rep),
+      o AS (SELECT avg(r_multiple) AS observed FROM obs)"""
+    return w(ctes, "SELECT round(any_value(observed) + 3.7e-10, 7) AS observed_expectancy_r, count(*) AS n_replicas, round(avg(m) + 3.7e-10, 7) AS null_expectancy_mean, round(stddev_samp(m) + 3.7e-10, 7) AS null_expectancy_std, round(100 * avg((m < observed)::INT::DOUBLE) + 3.7e-10, 7) AS percentile, round((1 + count(*) FILTER (m >= observed)) / (count(*) + 1)::DOUBLE + 3.7e-10, 7) AS p_value FROM means, o")
+
+
+def normal(z: str) -> str:
+    """The normal distribution function by Simpson's rule from 0."""
+    h = f"(({z}) / 2000)"
+    return f"(0.5 + {h} / 3 * list_sum(list_transform(range(2001), lambda j: (CASE WHEN j IN (0, 2000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * exp(-(j * {h}) * (j * {h}) / 2))) / sqrt(2 * pi()))"
+
+
+def newton(x: str, p: str) -> str:
+    """A quantile x of p, made exact by one step."""
+    return f"{x} - ({normal(x)} - {p}) * sqrt(2 * pi()) * exp({x} * {x} / 2)"
+
+
+ORACLES["random_benchmark"] = against_random(20)
+# the quantiles come from a table of the distribution function
+ORACLES["deflated_sharpe"] = w(simulated(CELLS) + f""", m AS (SELECT cell_id, count(*) AS n, avg(r_multiple) AS mu, stddev_samp(r_multiple) AS sd FROM trades GROUP BY ALL HAVING count(*) > 2 AND stddev_samp(r_multiple) > 0),
+  g AS (SELECT cell_id, any_value(n) AS n, any_value(mu / sd) AS sr, avg(pow((r_multiple - mu) / sd, 3)) AS g1, avg(pow((r_multiple - mu) / sd, 4)) AS g2 FROM trades JOIN m USING (cell_id) GROUP BY cell_id),
+  k AS (SELECT count(*) AS tried, stddev_samp(sr) AS sigma FROM g),
+  grid AS (SELECT i / 4000.0::DOUBLE AS x, {normal('i / 4000.0::DOUBLE')} AS p FROM range(-8000, 16001, 16) t(i)),
+  q AS (SELECT p AS p0, lead(p) OVER (ORDER BY x) AS p1, x AS x0, lead(x) OVER (ORDER BY x) AS x1 FROM grid),
+  asked AS (SELECT 1 - 1 / tried::DOUBLE AS a, 1 - 1 / (tried * exp(1)) AS b, tried, sigma FROM k),
+  x AS (SELECT tried, sigma, a, b, q1.x0 + (a - q1.p0) / (q1.p1 - q1.p0) * (q1.x1 - q1.x0) AS xa, q2.x0 + (b - q2.p0) / (q2.p1 - q2.p0) * (q2.x1 - q2.x0) AS xb
+    FROM asked JOIN q q1 ON a >= q1.p0 AND a < q1.p1 JOIN q q2 ON b >= q2.p0 AND b < q2.p1),
+  l AS (SELECT tried, sigma * ((1 - 0.5772156649015329::DOUBLE) * ({newton('xa', 'a')}) + 0.5772156649015329::DOUBLE * ({newton('xb', 'b')})) AS most FROM x),
+  z AS (SELECT cell_id, n, sr, tried, most, sqrt(n - 1) / sqrt(1 - g1 * sr + (g2 - 1) / 4 * sr * sr) AS f FROM g, l)""", f"SELECT cell_id, n, round(sr + 3.7e-10, 7) AS sharpe, tried AS tested_trials, tried AS effective_trials, round(most + 3.7e-10, 7) AS expected_max_sharpe, round({normal('sr * f')} + 3.7e-10, 7) AS psr, round({normal('(sr - most) * f')} + 3.7e-10, 7) AS dsr FROM z")

@@ -6,13 +6,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.operators.bars import micros
+from tapewright.operators.simulate import simulate
 from tapewright.operators.zones import otf_filter
 from tapewright.plans.attribution import tokens
-from tapewright.plans.research import draw
+from tapewright.plans.research import draw, sharpe_moments
 
 # Cell counts from which a grid's best is suspect.
 FEW, SOME, MANY = 10, 25, 100
@@ -62,30 +63,60 @@ def random_entries(bars: DataFrame, reference: DataFrame, replicas: int, seed: i
     return rows.select("symbol", "replica_id", "bar_index", F.when(F.col("w") < F.col("long_share"), "long").otherwise("short").alias("direction"), F.xxhash64("replica_id", "place").alias("signal_id"))
 
 
-def against_random(reference_mean: float, replicas: DataFrame) -> DataFrame:
-    """Where the reference stands among the replicas' mean_r; p = (1 + those at least as good) / (n + 1)."""
-    at_least = F.count_if(F.col("mean_r") >= reference_mean)
-    return replicas.agg(F.count(F.lit(1)).alias("n_replicas"), F.avg((F.col("mean_r") < reference_mean).cast("double")).alias("percentile"), ((1 + at_least) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+def random_benchmark(bars: DataFrame, reference: DataFrame, replicas: int = 500, seed: int = 9, **settings) -> DataFrame:
+    """Where the mean R of the reference's trades stands among that of random entries.
 
-
-def normal_quantile(p: float) -> float:
-    """By bisection of the normal distribution; for single numbers."""
-    if not 0 < p < 1:
-        raise ValueError("a probability between 0 and 1 is needed")
-    lo, hi = -40.0, 40.0
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if 0.5 * math.erfc(-mid / math.sqrt(2)) < p else (lo, mid)
-    return (lo + hi) / 2
-
-
-def deflated_benchmark(trial_sharpes: DataFrame, trials: int | None = None) -> float:
-    """The Sharpe ratio that the best of so many trials reaches by chance."""
-    r = trial_sharpes.agg(F.count("sharpe").alias("n"), F.stddev_samp("sharpe").alias("sd")).first()
-    n = trials or r["n"]
-    if n < 2 or not r["sd"]:
-        return 0.0
-    return r["sd"] * ((1 - EULER_GAMMA) * normal_quantile(1 - 1 / n) + EULER_GAMMA * normal_quantile(1 - 1 / (n * math.e)))
+    Each replica has as many entries by symbol as the reference has trades; all of them are
+    simulated in one plan with ``settings``, as the replica is a key of its signals.
+    One row: a replica without a trade counts as 0, and a reference without one gives none.
+    """
+    drawn = random_entries(bars, reference, replicas, seed)
+    means = simulate(bars, drawn, **settings).where("r_multiple is not null").groupBy("replica_id").agg(F.avg("r_multiple").alias("m"))
+    every = bars.sparkSession.range(replicas).select(F.col("id").cast("int").alias("replica_id")).join(means, "replica_id", "left").select(F.coalesce("m", F.lit(0.0)).alias("m"))
+    seen = reference.agg(F.avg("r_multiple").alias("observed")).where("observed is not null")
+    met = every.crossJoin(F.broadcast(seen))  # one row
+    at_least = F.count_if(F.col("m") >= F.col("observed"))
+    n = F.count(F.lit(1))
+    return met.groupBy(F.col("observed").alias("observed_expectancy_r")).agg(n.alias("n_replicas"), F.avg("m").alias("null_expectancy_mean"), F.coalesce(F.stddev_samp("m"), F.lit(0.0)).alias("null_expectancy_std"), (F.avg((F.col("m") < F.col("observed")).cast("double")) * 100).alias("percentile"), ((1 + at_least) / (n + 1)).alias("p_value"))
+
+
+def normal_probability(z: Column) -> Column:
+    """The normal distribution function by its power series, to about 1e-15."""
+    x = F.when(z.isNotNull(), F.greatest(F.least(z.cast("double"), F.lit(8.0)), F.lit(-8.0)))  # without the test, a null is 8
+    grow = lambda s, k: F.struct((s["term"] * x * x / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * x * x / (2 * k + 1)).alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(150)), F.struct(x.alias("term"), x.alias("sum")), grow)
+    return 0.5 + series["sum"] * F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+
+
+def normal_quantile(p: Column) -> Column:
+    """Its inverse by bisection between -8 and 8."""
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        below = normal_probability(mid) < p
+        return F.struct(F.when(below, mid).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi"))
+
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(F.lit(-8.0).alias("lo"), F.lit(8.0).alias("hi")), halve)
+    return (at["lo"] + at["hi"]) / 2
+
+
+def deflated_sharpe(trades: DataFrame, keys: list[str], trials: int | None = None) -> DataFrame:
+    """By cell (``keys``): its probabilistic Sharpe ratio, and that against the best that
+    so many trials reach by chance, given the spread of the cells' own ratios.
+
+    trials: how many cells count as independent; all with a ratio unless given. Cells
+    of under four trades or without spread have no psr, and with under two trials no
+    cell has a dsr. The cells' moments are one grouping; the trials are one row of it.
+    """
+    m = sharpe_moments(trades, keys)
+    tried = m.agg(F.count(F.lit(1)).alias("tested_trials"), F.stddev_samp("sharpe").alias("sigma"))
+    n = F.lit(float(trials)) if trials else F.col("tested_trials").cast("double")
+    can = (n >= 2) & (F.col("tested_trials") >= 2) & (F.col("sigma") > 0)
+    most = F.col("sigma") * ((1 - EULER_GAMMA) * normal_quantile(1 - 1 / n) + EULER_GAMMA * normal_quantile(1 - 1 / (n * math.e)))
+    tried = tried.select("tested_trials", n.cast("long").alias("effective_trials"), F.when(can, most).alias("expected_max_sharpe"))
+    spread = 1 - F.col("g1") * F.col("sharpe") + (F.col("g2") - 1) / 4 * F.col("sharpe") * F.col("sharpe")
+    z = lambda over: F.when((F.col("n") >= 4) & (spread > 0), (F.col("sharpe") - over) * F.sqrt(F.col("n") - 1) / F.sqrt(spread))
+    out = m.crossJoin(F.broadcast(tried))  # one row
+    return out.select(*keys, "n", "sharpe", "tested_trials", "effective_trials", "expected_max_sharpe", normal_probability(z(F.lit(0.0))).alias("psr"), normal_probability(z(F.col("expected_max_sharpe"))).alias("dsr"))
 
 
 def otf_settings(trades: DataFrame, signals: DataFrame, states: dict[int, DataFrame], configs: dict[str, tuple[int, ...]] = OTF_CONFIGS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators against hand-made cases and sequential versions."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -14,6 +15,7 @@ from tapewright.operators import zones as Z
 from tapewright.operators.admission import admissions
 from tapewright.operators.firsthit import first_hits, levels_for
 from tapewright.operators.joins import asof_backward, range_join
+from tapewright.plans import diagnostics as D
 from tapewright.plans import metrics as M
 from tapewright.plans import research as R
 from tapewright.plans import study as ST
@@ -524,3 +526,40 @@ def test_rolling_poc_equals_a_plain_count(spark):
         assert got[s, ts] == (min(by, key=lambda p: (-by[p], p)) if by else None)
     assert L.rolling_poc(bars, 1800, "p", 1.0).count() == len(rows)
     assert L.rolling_poc(bars.limit(0), 1800, "p", 1.0).count() == 0
+
+
+def test_normal_distribution_and_deflation(spark):
+    from statistics import NormalDist, mean, stdev
+
+    n = NormalDist()
+    ps = [0.001, 0.2, 0.5, 0.9, 0.9999]
+    got = spark.range(1).select(*[D.normal_quantile(F.lit(p)) for p in ps], *[D.normal_probability(F.lit(n.inv_cdf(p))) for p in ps]).first()
+    assert list(got) == pytest.approx([n.inv_cdf(p) for p in ps] + ps, abs=1e-9)
+    rng = random.Random(3)
+    cells = {c: [rng.gauss(0.1 * c, 1) for _ in range(size)] for c, size in enumerate((30, 40, 3, 25, 1))} | {9: [1.0] * 5}
+    rows = spark.createDataFrame([(c, x) for c, xs in cells.items() for x in xs], "cell_id int, r_multiple double")
+    out = {r.cell_id: r for r in D.deflated_sharpe(rows, ["cell_id"], 8).collect()}
+    ratios = [mean(cells[c]) / stdev(cells[c]) for c in out]
+    most = stdev(ratios) * ((1 - 0.5772156649015329) * n.inv_cdf(1 - 1 / 8) + 0.5772156649015329 * n.inv_cdf(1 - 1 / (8 * math.e)))
+    assert set(out) == {0, 1, 2, 3} and out[2].psr is None and out[2].dsr is None
+    for c in (0, 1, 3):
+        m, s, k = mean(cells[c]), stdev(cells[c]), len(cells[c])
+        g1, g2 = (mean([((x - m) / s) ** e for x in cells[c]]) for e in (3, 4))
+        sr = m / s
+        f = math.sqrt(k - 1) / math.sqrt(1 - g1 * sr + (g2 - 1) / 4 * sr * sr)
+        assert [out[c].expected_max_sharpe, out[c].psr, out[c].dsr] == pytest.approx([most, n.cdf(sr * f), n.cdf((sr - most) * f)], abs=1e-9)
+    alone = D.deflated_sharpe(rows.where("cell_id = 0"), ["cell_id"]).first()
+    assert alone.psr is not None and alone.dsr is None and D.deflated_sharpe(rows.limit(0), ["cell_id"]).count() == 0
+
+
+def test_random_benchmark_counts_replicas(spark):
+    bars = frame(spark, walk(200, 4))
+    signals = spark.createDataFrame([("NQ", i, k, "long" if k % 3 else "short") for k, i in enumerate(range(3, 180, 11))], "symbol string, bar_index int, signal_id long, direction string")
+    rule = {"stop_ticks": 6, "target_ticks": 9, "max_bars": 20}
+    trades = S.simulate(bars, signals, **rule)
+    r = D.random_benchmark(bars, trades, 12, **rule).first()
+    drawn = S.simulate(bars, D.random_entries(bars, trades, 12), **rule).groupBy("replica_id").agg(F.avg("r_multiple").alias("m")).collect()
+    means, seen = [x.m for x in drawn], trades.agg(F.avg("r_multiple")).first()[0]
+    assert (r.n_replicas, r.observed_expectancy_r, r.p_value) == (12, seen, pytest.approx((1 + sum(m >= seen for m in means)) / 13))
+    assert r.null_expectancy_mean == pytest.approx(sum(means) / 12) and r.percentile == pytest.approx(100 * sum(m < seen for m in means) / 12)
+    assert D.random_benchmark(bars, trades.limit(0), 3, **rule).count() == 0
