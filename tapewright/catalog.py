@@ -148,6 +148,21 @@ def roll_gaps(spark, sf):
     return only(B.roll_gaps(_contracts(spark, sf)), "symbol", "ts", "from_contract", "to_contract", "gap_points", "gap_ticks", digits=7)
 
 
+@query
+def roll_assumptions(spark, sf):
+    """The weekly contracts of each symbol as segments; their codes as one text."""
+    a = B.roll_assumptions(_contracts(spark, sf), "segmented_contracts")
+    return a.withColumn("issues", F.array_join("issues", ","))
+
+
+@query
+def clock_issues(spark, sf):
+    """Events by minute in the order of their ids reversed, against New York's clock."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    rows = e.select(F.col("event_type").alias("symbol"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"), (-F.col("event_id")).alias("row_id"))
+    return B.clock_issues(rows.groupBy("symbol", "ts").agg(F.min("row_id").alias("row_id")), 600, "America/New_York", "row_id")
+
+
 @query
 def derive_parents(spark, sf):
     return B.derive_parents(bars(spark, sf).select("symbol", "ts", *B.OHLCV), 1800, 7200)

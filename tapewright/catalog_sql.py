@@ -476,3 +476,10 @@ ORACLES["deflated_sharpe"] = w(simulated(CELLS) + f""", m AS (SELECT cell_id, co
     FROM asked JOIN q q1 ON a >= q1.p0 AND a < q1.p1 JOIN q q2 ON b >= q2.p0 AND b < q2.p1),
   l AS (SELECT tried, sigma * ((1 - 0.5772156649015329::DOUBLE) * ({newton('xa', 'a')}) + 0.5772156649015329::DOUBLE * ({newton('xb', 'b')})) AS most FROM x),
   z AS (SELECT cell_id, n, sr, tried, most, sqrt(n - 1) / sqrt(1 - g1 * sr + (g2 - 1) / 4 * sr * sr) AS f FROM g, l)""", f"SELECT cell_id, n, round(sr + 3.7e-10, 7) AS sharpe, tried AS tested_trials, tried AS effective_trials, round(most + 3.7e-10, 7) AS expected_max_sharpe, round({normal('sr * f')} + 3.7e-10, 7) AS psr, round({normal('(sr - most) * f')} + 3.7e-10, 7) AS dsr FROM z")
+ORACLES["roll_assumptions"] = w(BARS + ", c AS (SELECT *, 'C' || strftime(week_key, '%m%d') AS contract FROM bars), d AS (SELECT symbol, contract, contract <> lag(contract) OVER w AND open - lag(close) OVER w IS NOT NULL AS roll FROM c WINDOW w AS (PARTITION BY symbol ORDER BY ts))", "SELECT symbol, count(DISTINCT contract) AS contract_count, count(*) FILTER (roll) AS roll_gap_count, count(DISTINCT contract) >= 2 AS valid, CASE WHEN count(DISTINCT contract) < 2 THEN 'too_few_contracts,' ELSE '' END || 'unadjusted_gaps' AS issues FROM d GROUP BY symbol")
+# New York's summer time: from the second Sunday of March, 7:00 UTC, to the first Sunday of November, 6:00 UTC
+ORACLES["clock_issues"] = w("""e AS (SELECT event_type AS symbol, date_trunc('minute', ts) AS ts, -max(event_id) AS row_id FROM events GROUP BY ALL),
+  y AS (SELECT *, make_date(year(ts), 3, 8) AS m, make_date(year(ts), 11, 1) AS n FROM e),
+  z AS (SELECT symbol, ts, row_id, (ts >= m + ((7 - isodow(m)) % 7)::INT + INTERVAL 7 HOUR AND ts < n + ((7 - isodow(n)) % 7)::INT + INTERVAL 6 HOUR) AS summer FROM y),
+  g AS (SELECT symbol, epoch(ts - lag(ts) OVER w) > 1800 AND row_number() OVER w > 2 AS big, coalesce(summer <> lag(summer) OVER w, false)::INT AS changed, ts, ts < lag(ts) OVER (PARTITION BY symbol ORDER BY row_id) AS back FROM z WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+  h AS (SELECT *, CASE WHEN big THEN sum(changed) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) ELSE 0 END AS near FROM g)""", "SELECT symbol, count(*) FILTER (back) AS non_monotonic_before_sort, sum(near)::BIGINT AS dst_transition_gaps FROM h GROUP BY symbol")

@@ -199,6 +199,61 @@ def roll_gaps(bars: DataFrame, contract: str = "contract", tick: float = DEFAULT
     return out.where("gap_points is not null").select("symbol", "ts", "from_contract", F.col(contract).alias("to_contract"), "gap_points", (F.col("gap_points") / tick).alias("gap_ticks"))
 
 
+# How contracts were rolled and prices adjusted.
+ROLL_METHODS = ("single_contract", "external_continuous", "segmented_contracts")
+ADJUSTMENTS = ("unknown", "back_adjusted", "ratio_adjusted", "panama", "none")
+
+
+def roll_assumptions(bars: DataFrame, method: str, contract: str = "contract", adjustment: str | None = None, rule: str | None = None) -> DataFrame:
+    """By symbol: contracts, rolls with a gap, whether the bars bear the declared method
+    out (``valid``), and what speaks against or should be known (``issues``, codes).
+
+    Not valid are several bars' contracts as one, and segments without a contract column
+    or with fewer than two contracts. The bars are read twice, for the contracts and the gaps.
+    """
+    if method not in ROLL_METHODS:
+        raise ValueError(f"unknown roll method {method!r}; known are {', '.join(ROLL_METHODS)}")
+    adjustment, rule = ((x if x is not None else "unknown").strip() for x in (adjustment, rule))
+    known = contract in bars.columns
+    several = F.col("contract_count") > 1
+    faults: list[tuple[str, Column | bool, bool]] = []  # code, when, whether it makes the bars invalid
+    if method == "single_contract":
+        faults = [("no_contract_column", not known, False), ("several_contracts", several, True)]
+    elif method == "external_continuous":
+        faults = [("unknown_adjustment", adjustment == "unknown", False), ("unknown_rule", rule == "unknown", False), ("unrecognised_adjustment", adjustment not in ADJUSTMENTS, False), ("empty_rule", rule == "", False), ("several_contracts", several, False)]
+    else:
+        faults = [("no_contract_column", not known, True), ("too_few_contracts", F.col("contract_count") < 2, True), ("unadjusted_gaps", True, False), ("gaps_not_computed", known and not {"ts", "open", "close"} <= set(bars.columns), False)]
+    counted = bars.groupBy("symbol").agg((F.count_distinct(contract) if known else F.lit(None).cast("long")).alias("contract_count"))
+    if method == "segmented_contracts" and known and {"ts", "open", "close"} <= set(bars.columns):
+        gaps = roll_gaps(bars, contract).groupBy("symbol").agg(F.count(F.lit(1)).alias("gaps"))
+        counted = counted.join(gaps, "symbol", "left")
+    else:
+        counted = counted.withColumn("gaps", F.lit(None).cast("long"))
+    holds = lambda when: F.coalesce(when, F.lit(False)) if isinstance(when, Column) else F.lit(when)
+    codes = F.filter(F.array(*[F.when(holds(when), code) for code, when, _ in faults]), lambda x: x.isNotNull())
+    broken = F.array(*[holds(when) for _, when, fatal in faults if fatal] or [F.lit(False)])
+    return counted.select("symbol", "contract_count", F.coalesce("gaps", F.lit(0)).alias("roll_gap_count"), (~F.array_contains(broken, True)).alias("valid"), codes.alias("issues"))
+
+
+def clock_issues(bars: DataFrame, interval_s: float, zone: str, row_id: str | None = None) -> DataFrame:
+    """By symbol: bars that stand before an earlier one in the order of ``row_id`` (null
+    without it), and large gaps near changes of the zone's offset from UTC.
+
+    A change is near a gap that lies from two bars before it to three after; a gap near two
+    changes counts twice, and the gap at the second bar isn't counted.
+    """
+    w = Window.partitionBy("symbol").orderBy("ts")
+    offset = micros(F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("ts"))) - micros(F.col("ts"))
+    rows = bars.select("symbol", "ts", *([row_id] if row_id else [])).withColumns({"offset": offset, "gap": (micros(F.col("ts")) - micros(F.lag("ts").over(w))) / 1e6, "place": F.row_number().over(w)})
+    rows = rows.withColumn("changed", F.coalesce((F.col("offset") != F.lag("offset").over(w)).cast("int"), F.lit(0)))
+    rows = rows.withColumn("near", F.when((F.col("gap") > GAP_FACTOR * interval_s) & (F.col("place") > 2), F.sum("changed").over(w.rowsBetween(-3, 2))).otherwise(0))
+    back = F.lit(None).cast("long")
+    if row_id:
+        rows = rows.withColumn("back", F.col("ts") < F.lag("ts").over(Window.partitionBy("symbol").orderBy(row_id)))
+        back = F.count_if("back")
+    return rows.groupBy("symbol").agg(back.alias("non_monotonic_before_sort"), F.sum("near").alias("dst_transition_gaps"))
+
+
 def parent_volume_match(primary: DataFrame, lower: DataFrame, parent_s: int) -> DataFrame:
     """Bars against the summed volume of their lower bars, met by an equi-join on the parent's start."""
     sums = lower.groupBy("symbol", floored(F.col("ts"), parent_s).alias("ts")).agg(F.sum("volume").alias("lower_volume"), F.count(F.lit(1)).alias("n_lower"))

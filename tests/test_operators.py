@@ -563,3 +563,39 @@ def test_random_benchmark_counts_replicas(spark):
     assert (r.n_replicas, r.observed_expectancy_r, r.p_value) == (12, seen, pytest.approx((1 + sum(m >= seen for m in means)) / 13))
     assert r.null_expectancy_mean == pytest.approx(sum(means) / 12) and r.percentile == pytest.approx(100 * sum(m < seen for m in means) / 12)
     assert D.random_benchmark(bars, trades.limit(0), 3, **rule).count() == 0
+
+
+def test_clock_issues_equal_a_walk(spark):
+    """Bars by the half hour around New York's change of clock in spring, with holes, out of order."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for s in ("a", "b", "c"):
+        times = [dt.datetime(2026, 3, 8, 2) + dt.timedelta(minutes=30 * i) for i in range(24) if rng.random() < 0.5]
+        order = times[:]
+        rng.shuffle(order)
+        rows += [(s, t, i) for i, t in enumerate(order)]
+        change = [i for i in range(1, len(times)) if times[i - 1] < dt.datetime(2026, 3, 8, 7) <= times[i]]
+        gaps = 0
+        for at in change:
+            near = times[max(1, at - 3) : at + 4]
+            gaps += sum(b - a > dt.timedelta(minutes=30) for a, b in zip(near, near[1:]))
+        want[s] = (sum(b < a for a, b in zip(order, order[1:])), gaps)
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, row_id long").repartition(3)
+    got = {r.symbol: (r.non_monotonic_before_sort, r.dst_transition_gaps) for r in B.clock_issues(bars, 600, "America/New_York", "row_id").collect()}
+    assert got == want and any(g for _, g in want.values())
+    assert B.clock_issues(bars, 600, "UTC").agg(F.sum("dst_transition_gaps"), F.count("non_monotonic_before_sort")).first() == (0, 0)
+
+
+def test_roll_assumptions(spark):
+    rows = [("a", i, "H" if i < 3 else "M") for i in range(6)] + [("b", i, "H") for i in range(3)] + [("c", 0, None)]
+    bars = spark.createDataFrame([(s, T0 + dt.timedelta(days=i), c, 1.0, 2.0) for s, i, c in rows], "symbol string, ts timestamp_ntz, contract string, open double, close double")
+    got = lambda b, *a, **k: {r.symbol: (r.contract_count, r.roll_gap_count, r.valid, r.issues) for r in B.roll_assumptions(b, *a, **k).collect()}
+    assert got(bars, "segmented_contracts") == {"a": (2, 1, True, ["unadjusted_gaps"]), "b": (1, 0, False, ["too_few_contracts", "unadjusted_gaps"]), "c": (0, 0, False, ["too_few_contracts", "unadjusted_gaps"])}
+    assert got(bars, "single_contract") == {"a": (2, 0, False, ["several_contracts"]), "b": (1, 0, True, []), "c": (0, 0, True, [])}
+    assert got(bars, "external_continuous", adjustment="panama ", rule="")["a"] == (2, 0, True, ["empty_rule", "several_contracts"])
+    assert got(bars, "external_continuous", adjustment="x")["b"] == (1, 0, True, ["unknown_rule", "unrecognised_adjustment"])
+    bare = bars.drop("contract")
+    assert got(bare, "segmented_contracts")["a"] == (None, 0, False, ["no_contract_column", "unadjusted_gaps"])
+    assert got(bare, "single_contract")["a"] == (None, 0, True, ["no_contract_column"])
+    with pytest.raises(ValueError):
+        B.roll_assumptions(bars, "other")
