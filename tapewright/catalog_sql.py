@@ -483,3 +483,13 @@ ORACLES["clock_issues"] = w("""e AS (SELECT event_type AS symbol, date_trunc('mi
   z AS (SELECT symbol, ts, row_id, (ts >= m + ((7 - isodow(m)) % 7)::INT + INTERVAL 7 HOUR AND ts < n + ((7 - isodow(n)) % 7)::INT + INTERVAL 6 HOUR) AS summer FROM y),
   g AS (SELECT symbol, epoch(ts - lag(ts) OVER w) > 1800 AND row_number() OVER w > 2 AS big, coalesce(summer <> lag(summer) OVER w, false)::INT AS changed, ts, ts < lag(ts) OVER (PARTITION BY symbol ORDER BY row_id) AS back FROM z WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
   h AS (SELECT *, CASE WHEN big THEN sum(changed) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) ELSE 0 END AS near FROM g)""", "SELECT symbol, count(*) FILTER (back) AS non_monotonic_before_sort, sum(near)::BIGINT AS dst_transition_gaps FROM h GROUP BY symbol")
+# bars of five minutes against the newest VWAP of the half hours before
+ORACLES["prev30m_hits"] = w(BARS.replace("INTERVAL 30 MINUTE", "INTERVAL 5 MINUTE") + f""", r AS (SELECT symbol, ts, low, high, sod, session_date, floor(epoch(local_ts - (session_date::TIMESTAMP - INTERVAL 6 HOUR)) / 1800)::INT AS br, {TYP} AS tp, volume FROM bars),
+  z AS (SELECT symbol, session_date, br AS formed, sum(tp * volume) / sum(volume) AS v FROM r GROUP BY ALL), s AS (SELECT symbol, session_date, lead(session_date) OVER (PARTITION BY symbol ORDER BY session_date) AS nd FROM (SELECT DISTINCT symbol, session_date FROM r)),
+  q AS (SELECT z.*, max(formed) OVER (PARTITION BY symbol, session_date) AS lastf FROM z), seeds AS (SELECT q.symbol, nd AS session_date, -row_number() OVER (PARTITION BY q.symbol, q.session_date ORDER BY formed DESC) AS formed, v FROM q JOIN s USING (symbol, session_date) WHERE lastf + 1 <= formed + 4 AND nd IS NOT NULL),
+  pool AS (SELECT symbol, session_date, formed, v FROM z UNION ALL SELECT * FROM seeds),
+  h AS (SELECT r.symbol, r.session_date, r.br, arg_max(v, formed) AS v FROM r JOIN pool p ON r.symbol = p.symbol AND r.session_date = p.session_date AND p.formed < r.br AND r.br <= p.formed + 4 GROUP BY ALL)""", 'SELECT r.symbol, r.ts, CASE WHEN v IS NOT NULL THEN max((low <= v AND v <= high AND sod % 1800 < 300)::INT) OVER (PARTITION BY r.symbol, session_date, br)::DOUBLE END AS "prev30mVWAP_hit_m5" FROM r LEFT JOIN h USING (symbol, session_date, br)')
+ORACLES["marginal_contribution"] = w(ET + """, x AS (SELECT without, trade_id, exit_ts, r_multiple FROM trades, (VALUES ('(none)'), ('click'), ('error'), ('purchase'), ('signup'), ('view')) s(without) WHERE without <> symbol AND r_multiple IS NOT NULL),
+  c AS (SELECT *, sum(r_multiple) OVER w AS cum FROM x WINDOW w AS (PARTITION BY without ORDER BY exit_ts, trade_id ROWS UNBOUNDED PRECEDING)),
+  d AS (SELECT *, greatest(max(cum) OVER w, 0) - cum AS dd FROM c WINDOW w AS (PARTITION BY without ORDER BY exit_ts, trade_id ROWS UNBOUNDED PRECEDING)),
+  s AS (SELECT without, sum(r_multiple) AS r, max(dd) AS dd FROM d GROUP BY without)""", "SELECT s.without AS setup_id, round(b.r - s.r + 3.7e-10, 7) AS marginal_total_r, round(b.dd - s.dd + 3.7e-10, 7) AS marginal_max_drawdown_r FROM s, s b WHERE b.without = '(none)' AND s.without <> '(none)'")
