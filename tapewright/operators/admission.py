@@ -3,38 +3,38 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tapewright.config import EXPOSURE_POLICIES, choose, seconds
 
 #: The reasons of skipped signals.
 WINDOW, CUTOFF, COOLDOWN = "outside_entry_window", "after_entry_cutoff", "cooldown_active"
 OVERLAP = {"single_position": "overlapping_position", "single_direction": "overlapping_direction", "single_setup": "overlapping_setup"}
+BAR = ("__group", "__bar", "__signal", "__exit")
 MADE = "admitted boolean, skip_reason string, blocking_signal_id long, blocking_exit_bar_index long"
 
 
-def _fold(cooldown: int, overlap: str):
-    """Batches in order of group, entry bar, signal bar and signal -> the same rows with
-    their verdicts. The last admitted trade of a group has the latest exit of all
-    admitted ones, so it and its exit are all that is carried from row to row."""
+def _fold(cooldown: int):
+    """Batches of bars in order of group and bar, each with the first trade that would block
+    (or none) -> group, bar, whether the bar is open, and the trade that blocks from then on.
+    The last admitted trade of a group has the latest exit of all admitted ones, so it and
+    its exit are all that is carried from bar to bar."""
 
     def go(batches):
         group = blocker = until = None
         for batch in batches:
             out = []
-            for g, entry, leave, signal in zip(*[batch.column(c).to_pylist() for c in ("exposure_group_key", "entry_bar_index", "exit_bar_index", "signal_id")], strict=True):
+            for g, bar, signal, leave in zip(*[batch.column(c).to_pylist() for c in BAR], strict=True):
                 if g != group:
                     group, blocker, until = g, None, None
-                if until is None or entry > until + cooldown:
+                free = until is None or bar > until + cooldown
+                if free:
                     blocker, until = signal, leave
-                    out.append((True, None, None, None))
-                else:
-                    out.append((False, COOLDOWN if entry > until else overlap, blocker, until))
-            kinds = {"admitted": pa.bool_(), "skip_reason": pa.string(), "blocking_signal_id": pa.int64(), "blocking_exit_bar_index": pa.int64()}
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)]], [*batch.schema.names, *kinds])
+                out.append((free, blocker, until))
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            made = [pa.array(c, k) for c, k in zip(columns, (pa.bool_(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["__group", "__bar", "__open", "__blocker", "__until"])
 
     return go
 
@@ -46,8 +46,10 @@ def admissions(trades: DataFrame, policy: str = "single_position", cooldown: int
     Trades are taken by entry bar, signal bar (where there is a column ``bar_index``)
     and signal; a trade is blocked while an admitted one of its group lasts, plus the
     cooldown. Groups are those of ``by`` and, by the policy, the direction or ``group``.
-    Each group is read once, in order, by one task that holds one trade of it; outcomes
-    don't depend on admission, so trades are simulated before.
+    At one bar, only the first trade that lasts to its own bar can block. So one narrow row
+    for each entry bar of a group is read in order by one task, which holds one trade; the
+    trades themselves are dealt out by bar, and get their verdict by a join with these rows.
+    Outcomes don't depend on admission, so trades are simulated before.
     """
     choose(policy, EXPOSURE_POLICIES, "exposure policy")
     if policy == "single_setup" and not group:
@@ -58,12 +60,18 @@ def admissions(trades: DataFrame, policy: str = "single_position", cooldown: int
         return trades.withColumns({n: F.lit(True if n == "admitted" else None).cast(k) for n, k in kinds}).withColumn("exposure_group_key", F.lit("all"))
     keys = [*by, *(["direction"] if policy == "single_direction" else [group] if policy == "single_setup" else [])]
     rows = trades.withColumn("exposure_group_key", F.to_json(F.struct(*keys))) if keys else trades.withColumn("exposure_group_key", F.lit("all"))
-    order = ["exposure_group_key", "entry_bar_index", *(["bar_index"] if "bar_index" in trades.columns else []), "signal_id"]
-    rows = rows.repartition("exposure_group_key").sortWithinPartitions(*order)
-    schema = StructType([*rows.schema.fields])
-    for c in MADE.split(", "):
-        schema = schema.add(*c.split())
-    return rows.mapInArrow(_fold(cooldown, OVERLAP[policy]), schema)
+    at, order = ["exposure_group_key", "entry_bar_index"], [*(["bar_index"] if "bar_index" in trades.columns else []), "signal_id", "exit_bar_index"]
+    blocks = F.coalesce(F.col("exit_bar_index") + cooldown >= F.col("entry_bar_index"), F.lit(False))
+    bars = rows.where("entry_bar_index is not null").groupBy(*at).agg(F.min(F.when(blocks, F.struct(*order))).alias("head"))
+    bars = bars.select(F.col(at[0]).alias("__group"), F.col(at[1]).cast("long").alias("__bar"), F.col("head.signal_id").cast("long").alias("__signal"), F.col("head.exit_bar_index").cast("long").alias("__exit"))
+    verdicts = bars.repartition("__group").sortWithinPartitions("__group", "__bar").mapInArrow(_fold(cooldown), "__group string, __bar long, __open boolean, __blocker long, __until long")
+    before = Window.partitionBy("exposure_group_key", "__bar").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__bar", F.col("entry_bar_index").cast("long")).withColumn("__behind", F.coalesce(F.max(blocks).over(before), F.lit(False)))
+    rows = rows.join(verdicts.withColumnRenamed("__group", "exposure_group_key"), ["exposure_group_key", "__bar"], "left")
+    admitted = F.coalesce(F.col("__open") & ~F.col("__behind"), F.lit(False))
+    reason = F.when(F.col("__bar") > F.col("__until"), COOLDOWN).when(F.col("__until").isNotNull(), OVERLAP[policy])
+    made = {"admitted": admitted, "skip_reason": F.when(~admitted, reason), "blocking_signal_id": F.when(~admitted, F.col("__blocker")), "blocking_exit_bar_index": F.when(~admitted, F.col("__until"))}
+    return rows.select(*trades.columns, "exposure_group_key", *[c.alias(n) for n, c in made.items()])
 
 
 def admit(trades: DataFrame, policy: str = "single_position", cooldown: int = 0, group: str | None = None, by: list[str] = ("symbol", "cell_id")) -> DataFrame:

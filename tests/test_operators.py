@@ -599,3 +599,42 @@ def test_roll_assumptions(spark):
     assert got(bare, "single_contract")["a"] == (None, 0, True, ["no_contract_column"])
     with pytest.raises(ValueError):
         B.roll_assumptions(bars, "other")
+
+
+@pytest.mark.parametrize("cooldown", [0, 2])
+def test_admission_sends_bars_not_trades_through_one_task(spark, cooldown):
+    rng = random.Random(3)
+    rows = [(i % 40, i, i % 40 + rng.randrange(-1 - cooldown, 6) if i % 50 else None, rng.randrange(9)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "entry_bar_index int, signal_id long, exit_bar_index int, bar_index int").repartition(6)
+    out = admissions(df, "single_position", cooldown, by=[])
+    got = {r.signal_id: (r.admitted, r.skip_reason, r.blocking_signal_id, r.blocking_exit_bar_index) for r in out.collect()}
+    want, blocker, until = {}, None, None  # trades that leave before their own bar block none
+    for e, s, x, b in sorted(rows, key=lambda r: (r[0], r[3], r[1])):
+        if until is None or e > until + cooldown:
+            blocker, until, want[s] = s, x, (True, None, None, None)
+        else:
+            want[s] = (False, "cooldown_active" if e > until else "overlapping_position", blocker, until)
+    assert got == want and sum(v[0] for v in want.values()) > 5
+    # the task that reads a group in order has a row for each bar, and no exchange is by the group alone but that of bars
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and [x for x in plan.splitlines() if "MapInArrow" in x and "__bar" in x and "bar_index" not in x.replace("entry_bar_index", "").replace("exit_bar_index", "")]
+
+
+def test_event_trades_across_hours_and_without_times(spark, tmp_path):
+    from tapewright import catalog
+
+    rng = random.Random(4)
+    rows = [(i, None if i in (3, 7) else T0 + dt.timedelta(minutes=rng.choice([1, 60, 200]) * rng.randrange(40)), 1, rng.choice(["a", "b", None]), float(i % 17), '{"k": 6}') for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    t = catalog.event_trades(spark, str(tmp_path))
+    got = {r.trade_id: (r.symbol, r.entry_ts, r.exit_ts, round(r.r_multiple, 9), r.entry_bar_index, r.exit_bar_index) for r in t.collect()}
+    want = {}
+    for kind in ("a", "b", None):
+        own = sorted((r for r in rows if r[3] == kind), key=lambda r: (r[1] is not None, r[1] or T0, r[0]))
+        for n, (x, y) in enumerate(zip(own, own[1:]), 1):
+            if y[1] is not None:
+                want[x[0]] = (kind, x[1], y[1], round((y[4] - x[4]) / 50 * (1 if x[0] % 2 == 0 else -1), 9), n, n + x[0] % 23)
+    assert got == want
+    # no exchange of whole events is by the type alone
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(event_type" in x]
