@@ -638,3 +638,50 @@ def test_event_trades_across_hours_and_without_times(spark, tmp_path):
     # no exchange of whole events is by the type alone
     plan = t._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(event_type" in x]
+
+
+def simulated_paths(rows, method, n_sims, block=None):
+    """{key: (R multiples in order of exit, a path for each simulation)}, trade by trade."""
+    one = lambda sim, pos: ((sim * R.A + pos * R.C + 3 * R.B) % R.M * 48271 + R.B) % R.M
+    groups = {}
+    for i, k, ts, r in sorted((x for x in rows if x[3] is not None), key=lambda x: (x[2] is not None, x[2] or T0, x[0])):
+        groups.setdefault(k, []).append(r)
+    out = {}
+    for k, rs in groups.items():
+        n, size = len(rs), block or max(2, round(math.sqrt(len(rs))))
+        if method == "reshuffle":
+            paths = [[rs[p] for p in sorted(range(n), key=lambda p: (one(s, p), p))] for s in range(n_sims)]
+        elif method == "skip":
+            paths = [[rs[p] if one(s, p) >= int(0.1 * R.M) else 0.0 for p in range(n)] for s in range(n_sims)]
+        else:
+            paths = [[rs[(one(s, p // size) % n + p % size) % n] for p in range(n)] for s in range(n_sims)]
+        out[k] = rs, paths
+    return out
+
+
+def resampling_trades(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["x", "y", None]), None if i % 53 == 0 else T0 + dt.timedelta(minutes=rng.randrange(60)), None if i % 31 == 0 else rng.randrange(-9, 10) / 8) for i in range(400)]
+    return rows, spark.createDataFrame(rows, "trade_id int, k string, exit_ts timestamp_ntz, r_multiple double").repartition(5)
+
+
+def makes_no_row_of_a_simulated_trade(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Generate" not in plan and "Window" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("method", ["reshuffle", "skip", "block"])
+def test_fan_of_groups_without_rows_of_simulated_trades(spark, method):
+    rows, t = resampling_trades(spark)
+    for keys in (["k"], []):
+        fan = R.monte_carlo_fan(t, keys, method, 7)
+        want = {}
+        for k, (rs, paths) in simulated_paths(rows if keys else [(i, None, ts, r) for i, _, ts, r in rows], method, 7).items():
+            for i in range(len(rs)):
+                cums = sorted(sum(p[: i + 1]) for p in paths)  # eighths: exact sums
+                want[k, i + 1] = (sum(rs[: i + 1]), cums[3], cums[1] + (cums[2] - cums[1]) * 0.5)
+        got = {(r["k"] if keys else None, r.trade_index): (r.observed_cum_r, r.p50, r.p25) for r in fan.collect()}
+        assert got == want and makes_no_row_of_a_simulated_trade(fan)
+    assert R.monte_carlo_fan(t.limit(0), ["k"], method, 7).count() == 0
+    with pytest.raises(ValueError):
+        R.monte_carlo_fan(t, ["k"], "x", 7)
