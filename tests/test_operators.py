@@ -685,3 +685,14 @@ def test_fan_of_groups_without_rows_of_simulated_trades(spark, method):
     assert R.monte_carlo_fan(t.limit(0), ["k"], method, 7).count() == 0
     with pytest.raises(ValueError):
         R.monte_carlo_fan(t, ["k"], "x", 7)
+
+
+@pytest.mark.parametrize("method", ["reshuffle", "skip", "block"])
+def test_loss_streaks_without_rows_of_simulated_trades(spark, method):
+    rows, t = resampling_trades(spark)
+    rows += [(1000, "none", T0, 1.0), (1001, "all", T0, -1.0), (1002, "all", T0, -2.0)]
+    t = t.union(spark.createDataFrame(rows[-3:], t.schema))
+    got = R.monte_carlo_streaks(t, ["k"], method, 6)
+    longest = lambda p: max(len(x) for x in "".join("L" if r < 0 else " " for r in p).split(" "))
+    want = {(k, s): longest(p) for k, (_, paths) in simulated_paths(rows, method, 6).items() for s, p in enumerate(paths)}
+    assert {(r.k, r.sim): r.max_loss_streak for r in got.collect()} == want and makes_no_row_of_a_simulated_trade(got)
