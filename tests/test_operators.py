@@ -696,3 +696,18 @@ def test_loss_streaks_without_rows_of_simulated_trades(spark, method):
     longest = lambda p: max(len(x) for x in "".join("L" if r < 0 else " " for r in p).split(" "))
     want = {(k, s): longest(p) for k, (_, paths) in simulated_paths(rows, method, 6).items() for s, p in enumerate(paths)}
     assert {(r.k, r.sim): r.max_loss_streak for r in got.collect()} == want and makes_no_row_of_a_simulated_trade(got)
+
+
+@pytest.mark.parametrize("method,block", [("block", None), ("block", 4), ("reshuffle", None), ("skip", None)])
+def test_ends_of_paths_without_rows_of_simulated_trades(spark, method, block):
+    rows, t = resampling_trades(spark)
+    got, want = R.monte_carlo(t, ["k"], method, 6, block=block), {}
+    for k, (_, paths) in simulated_paths(rows, method, 6, block).items():
+        for s, p in enumerate(paths):
+            cum = high = worst = 0.0
+            for r in p:
+                cum += r
+                high = max(high, cum)
+                worst = max(worst, high - cum)
+            want[k, s] = (cum, worst)
+    assert {(r.k, r.sim): (r.final_r, r.max_drawdown_r) for r in got.collect()} == want and makes_no_row_of_a_simulated_trade(got)
