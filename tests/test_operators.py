@@ -711,3 +711,15 @@ def test_ends_of_paths_without_rows_of_simulated_trades(spark, method, block):
                 worst = max(worst, high - cum)
             want[k, s] = (cum, worst)
     assert {(r.k, r.sim): (r.final_r, r.max_drawdown_r) for r in got.collect()} == want and makes_no_row_of_a_simulated_trade(got)
+
+
+def test_bootstrap_draws_within_its_group(spark):
+    rows, t = resampling_trades(spark)
+    got, want = R.bootstrap_ci(t, ["k"], 11), {}
+    for k, (rs, _) in simulated_paths(rows, "skip", 1).items():
+        n = len(rs)
+        means = sorted(sum(rs[(((s * R.A + p * R.C + R.B) % R.M * 48271 + R.B) % R.M) % n] for p in range(n)) / n for s in range(11))
+        at = lambda q: means[math.floor(q * 10)] + (means[math.ceil(q * 10)] - means[math.floor(q * 10)]) * (q * 10 - math.floor(q * 10))
+        want[k] = (at(0.025), at(0.975), sum(means) / 11, sum(m > 0 for m in means) / 11)
+    assert {r.k: tuple(round(x, 9) for x in r[1:]) for r in got.collect()} == {k: tuple(round(x, 9) for x in v) for k, v in want.items()}
+    assert makes_no_row_of_a_simulated_trade(got)
