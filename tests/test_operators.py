@@ -723,3 +723,28 @@ def test_bootstrap_draws_within_its_group(spark):
         want[k] = (at(0.025), at(0.975), sum(means) / 11, sum(m > 0 for m in means) / 11)
     assert {r.k: tuple(round(x, 9) for x in r[1:]) for r in got.collect()} == {k: tuple(round(x, 9) for x in v) for k, v in want.items()}
     assert makes_no_row_of_a_simulated_trade(got)
+
+
+def test_marginal_contributions_by_blocks(spark):
+    from tapewright.plans import portfolio as P
+
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["a", "b", "c", None]), None if i % 61 == 0 else T0 + dt.timedelta(minutes=rng.randrange(900)), None if i % 37 == 0 else rng.randrange(-9, 9) / 8) for i in range(500)]
+    df = spark.createDataFrame(rows, "trade_id int, setup_id string, exit_ts timestamp_ntz, r_multiple double").repartition(5)
+
+    def ends(left_out, rows=rows):
+        cum = high = worst = 0.0
+        for _, s, _, r in sorted((x for x in rows if x[3] is not None), key=lambda x: (x[2] is not None, x[2] or T0, x[0])):
+            if s is not None and s != left_out:
+                cum += r
+                high = max(high, cum)
+                worst = max(worst, high - cum)
+        return cum, worst
+
+    got = P.marginal_contributions(df, ["a", "b", "d"])
+    base = ends("(none)")
+    assert {r.setup_id: (r.marginal_total_r, r.marginal_max_drawdown_r) for r in got.collect()} == {s: tuple(x - y for x, y in zip(base, ends(s), strict=True)) for s in ("a", "b", "d")}
+    plan = got._jdf.queryExecution().executedPlan().toString()  # no sort of all trades for a setup
+    assert not [x for x in plan.splitlines() if "Sort [without" in x and "trade_id" in x]
+    alone = P.marginal_contributions(df.where("setup_id = 'a'"), ["a", "b"]).collect()
+    assert [r.setup_id for r in alone] == ["b"] and alone[0].marginal_total_r == 0  # without a there is no trade
