@@ -18,6 +18,8 @@ from tapewright.llm.common import cut, partitions
 
 #: Units of text that one vectorised step holds.
 CHUNK = 1 << 19
+#: Units of short texts that are looked at together, so that what one step makes stays in the cache for the next.
+STEP = 1 << 16
 PLACE_BITS = np.uint64(22)
 PLACE = np.uint64((1 << 22) - 1)
 #: Occurrences of a minimiser from which its bucket is split by a second one.
@@ -42,11 +44,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit integers."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
+    shifted = x >> np.uint64(30)
+    x = x ^ shifted
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= np.right_shift(x, np.uint64(27), out=shifted)
     x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    x ^= np.right_shift(x, np.uint64(31), out=shifted)
     return x
 
 
@@ -59,8 +62,15 @@ def span_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 def gram_hashes(units: np.ndarray, k: int) -> np.ndarray:
-    starts = np.arange(max(0, len(units) - k + 1))
-    return span_hashes(units, starts, starts + k)
+    """span_hashes of all grams of k units."""
+    n = max(0, len(units) - k + 1)
+    up, down = _powers(len(units) + 1)
+    sums = np.zeros(len(units) + 1, np.uint64)
+    np.multiply(units, up[: len(units)], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
+    found = sums[len(sums) - n :] - sums[:n]
+    found *= down[:n]
+    return mixed(found)
 
 
 def byte_units(text: bytes | np.ndarray, table: int = 0) -> np.ndarray:
@@ -98,11 +108,13 @@ def units_of(text: bytes, kind: str, table: int = 0) -> np.ndarray:
 
 
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
-    size = 1
-    while 2 * size <= width:
-        keys = np.minimum(keys[:-size], keys[size:])
-        size *= 2
-    return np.minimum(keys[: len(keys) - (width - size)], keys[width - size :]) if size < width else keys
+    size, other = 1, np.empty_like(keys)
+    while size < width:
+        step = min(size, width - size)
+        n = len(keys) - step
+        keys, other = np.minimum(keys[:n], keys[step:], out=other[:n]), keys
+        size += step
+    return keys
 
 
 def runs_of(units: np.ndarray, lengths: np.ndarray, window: int, gram: int, without: int | None = None):
@@ -115,24 +127,25 @@ def runs_of(units: np.ndarray, lengths: np.ndarray, window: int, gram: int, with
     if len(units) < window:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     hashes = gram_hashes(units, gram)
-    keys = (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
+    keys = hashes & ~PLACE
+    keys |= np.arange(len(hashes), dtype=np.uint64)
     if without is not None:
         keys[hashes == np.uint64(without)] |= ~PLACE
-    places = (sliding_min(keys, window - gram + 1) & PLACE).astype(np.int64)
+    least = sliding_min(keys, window - gram + 1)  # keys of two places differ
     ends = np.cumsum(lengths)
-    text = np.repeat(np.arange(len(lengths)), lengths)[: len(places)]
-    valid = np.flatnonzero(np.arange(len(places)) + window <= ends[text])
-    if not len(valid):
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
-    p, t = places[valid], text[valid]
-    first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (t[1:] != t[:-1])])
-    count = np.diff(np.r_[first, len(valid)])
-    return t[first], valid[first], count, p[first], hashes[p[first]]
+    edges = np.r_[ends - lengths, np.maximum(ends - lengths, ends - window + 1)]  # of each text's windows
+    first = np.unique(np.r_[np.flatnonzero(least[1:] != least[:-1]) + 1, edges[edges < len(least)]])
+    count = np.diff(np.r_[first, len(least)])
+    t = np.searchsorted(ends, first, "right")
+    valid = first + window <= ends[t]
+    t, first, count = t[valid], first[valid], count[valid]
+    place = (least[first] & PLACE).astype(np.int64)
+    return t, first, count, place, hashes[place]
 
 
 def pieces(texts, kind: str, window: int):
-    """Batches of (row, first unit, units): at most about CHUNK units each, long
-    texts in pieces that overlap by window - 1 units."""
+    """Batches of (row, first unit, units): about STEP units each, long texts in
+    pieces of at most about CHUNK that overlap by window - 1 units."""
     held, size = [], 0
     for row, text in enumerate(texts):
         if not text:
@@ -145,7 +158,7 @@ def pieces(texts, kind: str, window: int):
                 continue
             held.append((row, at, part))
             size += len(part)
-            if size >= CHUNK:
+            if size >= STEP:
                 yield held
                 held, size = [], 0
     if held:
@@ -365,15 +378,22 @@ def lost_spans(placed: DataFrame, runs: DataFrame, window: int, wanted=None) ->
         met = met.withColumn("runs", F.filter("runs", wanted)).where(F.size("runs") > 0)
     span = lambda s: F.transform("runs", lambda r: F.struct((s + r["at"]).alias("lo"), (s + r["at"] + r["n"] + window - 1).alias("hi")))
     spans = met.select("id", "mark", F.flatten(F.transform("starts", span)).alias("spans"))
-    return spans.groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # a span may come several times; array_distinct would compare each two of a text's
+    return spans.groupBy("id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def spans_of(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """By row, the starts and ends of its spans; None if it has none."""
+    spans = batch.column("spans")
+    edges, flat = spans.offsets.to_numpy(), spans.values
+    lo, hi = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("lo", "hi"))
+    held = spans.is_valid().to_numpy(zero_copy_only=False) & (edges[1:] > edges[:-1])
+    return [(lo[a:b], hi[a:b]) if x else None for a, b, x in zip(edges[:-1], edges[1:], held, strict=True)]
 
 
-def covered(n: int, intervals: list[tuple[int, int]]) -> np.ndarray:
+def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Which of n units lie in any of the intervals [lo, hi)."""
-    edge = np.zeros(n + 1, np.int32)
-    for lo, hi in intervals:
-        edge[lo] += 1
-        edge[hi] -= 1
+    edge = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
     return np.cumsum(edge[:-1]) > 0
 
 

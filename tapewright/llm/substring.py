@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewright.llm.anchors import candidate_runs, covered, grouped_by, lost_spans, placed_strings, sent_strings, span_hashes, squeezed, texts_of, word_units
+from tapewright.llm.anchors import candidate_runs, covered, grouped_by, lost_spans, placed_strings, sent_strings, span_hashes, spans_of, squeezed, texts_of, word_units
 from tapewright.llm.common import partitions
 
 WINDOW = 50
@@ -69,13 +69,13 @@ def remove_words(batches):
         return pa.RecordBatch.from_arrays([rows, *[pa.array(x, t) for x, t in ((texts, pa.binary()), (n_words, pa.int64()), (n_removed, pa.int64()), (kept, pa.binary()))]], names)
 
     for b in batches:
-        spans, first, size = b.column("spans").to_pylist(), 0, 0
+        spans, first, size = spans_of(b), 0, 0
         held: tuple[list, ...] = ([], [], [], [])
         for i, text in enumerate(texts_of(b)):
             words = (text or b"").split()
             left = words
-            if spans[i]:
-                left = list(compress(words, ~covered(len(words), [(s["lo"], s["hi"]) for s in spans[i]])))
+            if spans[i] is not None:
+                left = list(compress(words, ~covered(len(words), *spans[i])))
             for column, x in zip(held, (text, len(words), len(words) - len(left), b" ".join(left)), strict=True):
                 column.append(x)
             size += len(text or b"")

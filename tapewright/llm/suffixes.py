@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewright.llm.anchors import candidate_runs, covered, grouped_by, lost_spans, placed_strings, sent_strings, squeezed, texts_of
+from tapewright.llm.anchors import candidate_runs, covered, grouped_by, lost_spans, placed_strings, sent_strings, spans_of, squeezed, texts_of
 from tapewright.llm.common import partitions
 
 WINDOW = 200
@@ -27,27 +27,42 @@ REPEAT_SCHEMA = "h long, px long, runs array<struct<at:int,n:int>>"
 MADE = ("n_bytes", "n_removed", "n_spans", "kept_bytes")
 
 
+def parted(order: np.ndarray, groups: np.ndarray):
+    """Suffixes that stand by groups -> those of groups of three or more, their
+    groups, and the two suffixes of each group of two."""
+    first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]][: len(groups)])
+    size = np.diff(np.r_[first, len(groups)])
+    two, more = first[size == 2], np.repeat(size > 2, size)
+    return order[more], groups[more], (order[two], order[two + 1])
+
+
 def shallow_sort(text: np.ndarray, starts: np.ndarray, groups: np.ndarray, depth: int = SHALLOW):
-    """Multikey quicksort of suffixes within groups: in each step, all groups are
-    split by their next eight bytes. text ends with eight zero bytes.
+    """Multikey quicksort of suffixes within groups: in each step, all groups that
+    don't agree in their next eight bytes are split by them. text ends with eight
+    zero bytes; depth is a multiple of eight.
 
-    Returns the order of the suffixes that still share a group, and their groups.
+    Returns the order of the suffixes that share a group with two others or more,
+    their groups, and the pairs that were left in a group of two.
     """
-    order = np.arange(len(starts))
+    eight = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))  # the eight bytes from each byte on
+    order = np.argsort(groups, kind="stable")
+    order, groups, two = parted(order, groups[order])
+    pairs = [two]
     for d in range(0, depth, 8):
-        at = starts[order] + d
-        key = np.zeros(len(order), np.uint64)
-        for k in range(8):
-            key = (key << np.uint64(8)) | text[at + k]
-        by = np.lexsort((key, groups))
-        order, groups, key = order[by], groups[by], key[by]
-        new = np.r_[True, (groups[1:] != groups[:-1]) | (key[1:] != key[:-1])]
-        groups = np.cumsum(new)
-        alone = new & np.r_[new[1:], True]
-        order, groups = order[~alone], groups[~alone]
         if not len(order):
             break
-    return order, groups
+        key = eight[starts[order] + d]
+        first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+        size = np.diff(np.r_[first, len(groups)])
+        apart = np.logical_or.reduceat(key != np.repeat(key[first], size), first)
+        if not apart.any():
+            continue
+        at = np.flatnonzero(np.repeat(apart, size))
+        by = at[np.lexsort((key[at].byteswap(), groups[at]))]
+        order[at], key[at] = order[by], key[by]
+        order, groups, two = parted(order, np.cumsum(np.r_[True, (groups[1:] != groups[:-1]) | (key[1:] != key[:-1])]))
+        pairs.append(two)
+    return order, groups, tuple(np.concatenate(x) for x in zip(*pairs, strict=True))
 
 
 class BlindTrie:
@@ -58,21 +73,17 @@ class BlindTrie:
     def __init__(self, first: bytes, item: int):
         self.root: list = [None, first, [item]]  # [depth, branches] or [None, string, items]
 
-    def add(self, string: bytes, item: int) -> None:
+    def add(self, string: bytes, item: int) -> list[int]:
+        """Returns the items with this string, the new one last."""
         node = self.root
         while node[0] is not None:
             node = node[1].get(string[node[0]]) or next(iter(node[1].values()))
         other = node[1]
         if other == string:
             node[2].append(item)
-            return
-        lo, hi = 0, len(string)  # longest common prefix by bisection
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            if other[:mid] == string[:mid]:
-                lo = mid
-            else:
-                hi = mid - 1
+            return node[2]
+        # longest common prefix: the strings as numbers differ from there on
+        lo = len(string) - ((int.from_bytes(other) ^ int.from_bytes(string)).bit_length() + 7) // 8
         node = self.root
         while node[0] is not None and node[0] < lo:
             node = node[1][string[node[0]]]
@@ -81,6 +92,7 @@ class BlindTrie:
             node[1][string[lo]] = leaf
         else:
             node[:] = [lo, {other[lo]: list(node), string[lo]: leaf}]
+        return leaf[2]
 
     def leaves(self):
         """Strings in order, with their items."""
@@ -96,28 +108,26 @@ class BlindTrie:
 def repeats_in(text: np.ndarray, starts: np.ndarray, groups: np.ndarray, window: int) -> np.ndarray:
     """Which suffixes share their first ``window`` bytes with another of their group."""
     found = np.zeros(len(starts), bool)
-    order, groups = shallow_sort(text, starts, groups, min(SHALLOW, window))
+    # eight bytes more than the window could part windows that are equal
+    order, groups, (left, right) = shallow_sort(text, starts, groups, min(SHALLOW, window // 8 * 8))
+    # a trie of two strings is one comparison: all groups of two at once
+    whole = np.lib.stride_tricks.sliding_window_view(text, window)
+    for k in range(0, len(left), 4_000):
+        a, b = left[k : k + 4_000], right[k : k + 4_000]
+        same = (whole[starts[a]] == whole[starts[b]]).all(1)
+        found[a[same]] = found[b[same]] = True
     if not len(order):
         return found
     first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
-    size = np.diff(np.r_[first, len(groups)])
-    # a trie of two strings is one comparison: all groups of two at once
-    two = first[size == 2]
-    for k in range(0, len(two), 20_000):
-        a, b = order[two[k : k + 20_000]], order[two[k : k + 20_000] + 1]
-        span = np.arange(window)
-        same = (text[starts[a][:, None] + span] == text[starts[b][:, None] + span]).all(1)
-        found[a[same]] = found[b[same]] = True
-    body = text.tobytes()
-    for f, n in zip(first[size > 2], size[size > 2], strict=True):
-        items = order[f : f + n]
-        at = starts[items]
-        trie = BlindTrie(body[at[0] : at[0] + window], 0)
-        for i in range(1, n):
-            trie.add(body[at[i] : at[i] + window], i)
-        for _, same in trie.leaves():
+    ends = np.r_[first[1:], len(groups)]
+    body, at, again = text.tobytes(), starts[order].tolist(), []
+    for f, end in zip(first.tolist(), ends.tolist(), strict=True):
+        trie = BlindTrie(body[at[f] : at[f] + window], f)
+        for i in range(f + 1, end):
+            same = trie.add(body[at[i] : at[i] + window], i)
             if len(same) > 1:
-                found[items[same]] = True
+                again += (same[0], i)
+    found[order[again]] = True
     return found
 
 
@@ -170,16 +180,15 @@ def remove_spans(batches):
     """Rows with spans of bytes to remove -> counts and the bytes that stay."""
     for b in batches:
         n_bytes, n_removed, n_spans, kept = [], [], [], []
-        spans = b.column("spans").to_pylist()
-        for text, cuts in zip(texts_of(b), spans, strict=True):
+        for text, cuts in zip(texts_of(b), spans_of(b), strict=True):
             text = text or b""
             n_bytes.append(len(text))
-            if not cuts:
+            if cuts is None:
                 n_removed.append(0), n_spans.append(0), kept.append(text)
                 continue
-            gone = covered(len(text), [(s["lo"], s["hi"]) for s in cuts])
-            n_removed.append(int(gone.sum()))
-            n_spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
+            gone = covered(len(text), *cuts)
+            n_removed.append(int(np.count_nonzero(gone)))
+            n_spans.append(int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])))
             kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
         made = [pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)]
         yield pa.RecordBatch.from_arrays([b.column("row"), *made, pa.array(kept, pa.binary())], ["row", *MADE])

@@ -128,6 +128,67 @@ def test_deep_shallow_sorting_orders_and_finds_repeats():
     assert order == sorted(set(held[:500]))
 
 
+def test_repeats_in_windows_that_end_within_eight_bytes():
+    r = random.Random(5)
+    for window in (5, 20, 27, 33, 200):
+        body = bytes(r.choice(b"ab") for _ in range(window)) * 4 + bytes(r.choice(b"abc") for _ in range(4 * window)) + bytes(window)
+        starts = np.array([*range(len(body) - window + 1)])
+        groups = starts % 2
+        found = suffixes.repeats_in(np.frombuffer(body + bytes(8), np.uint8), starts, groups, window)
+        held = [(body[s : s + window], g) for s, g in zip(starts, groups, strict=True)]
+        assert found.tolist() == [held.count(h) > 1 for h in held], window
+
+
+def test_runs_match_their_definition():
+    from tapewright.llm import anchors
+
+    r = random.Random(6)
+    texts = [bytes(r.choice(b"ab") for _ in range(n)) for n in (40, 9, 10, 0, 11, 300, 3, 10)]
+    units, lengths = anchors.byte_units(b"".join(texts)), np.array([len(t) for t in texts])
+    hashes, want, base = anchors.gram_hashes(units, 4), [], 0
+    assert hashes.tolist() == anchors.span_hashes(units, np.arange(len(units) - 3), np.arange(4, len(units) + 1)).tolist()
+    for number, text in enumerate(texts):
+        for at in range(base, base + len(text) - 9):
+            place = min(range(at, at + 7), key=lambda p: (int(hashes[p] >> anchors.PLACE_BITS), p))
+            if want and want[-1][0] == number and want[-1][3] == place:
+                want[-1][2] += 1
+            else:
+                want.append([number, at, 1, place, int(hashes[place])])
+        base += len(text)
+    assert [list(map(int, x)) for x in zip(*anchors.runs_of(units, lengths, 10, 4), strict=True)] == want
+    assert not len(anchors.runs_of(units[:9], np.array([9]), 10, 4)[0])
+
+
+def test_spans_of_a_text_cost_no_more_than_their_number(spark):
+    """60,000 spans of one text; comparing each two of them took 61 s."""
+    import time
+
+    from tapewright.llm import anchors
+
+    n = 60_000
+    placed = spark.range(1).select(F.col("id"), F.lit(7).cast("long").alias("mark"), F.lit(1).cast("long").alias("h"), F.lit(2).cast("long").alias("px"), F.lit(3).alias("n"), F.expr(f"transform(sequence(0, {n - 1}), x -> x * 3)").alias("starts"))
+    runs = spark.createDataFrame([(1, 2, [(0, 1)])], "h long, px long, runs array<struct<at:int,n:int>>")
+    began = time.monotonic()
+    (got,) = anchors.lost_spans(placed, runs, 2).collect()
+    assert time.monotonic() - began < 15
+    assert sorted((s.lo, s.hi) for s in got.spans) == [(3 * k, 3 * k + 2) for k in range(n)]
+    lo, hi = (np.array([s[k] for s in got.spans]) for k in (0, 1))
+    assert anchors.covered(3 * n, lo, hi).tolist() == [k % 3 < 2 for k in range(3 * n)]
+
+
+def test_spans_of_batches_with_nulls_and_slices():
+    import pyarrow as pa
+
+    from tapewright.llm import anchors
+
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+    rows = [[{"lo": 1, "hi": 3}], None, [], [{"lo": 2, "hi": 5}, {"lo": 2, "hi": 5}], [{"lo": 0, "hi": 1}]]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, kind)], ["spans"])
+    for b, want in ((batch, rows), (batch.slice(1), rows[1:]), (batch.slice(3, 1), rows[3:4]), (batch.slice(1, 2), rows[1:3])):
+        got = [None if x is None else list(zip(*(e.tolist() for e in x), strict=True)) for x in anchors.spans_of(b)]
+        assert got == [[(s["lo"], s["hi"]) for s in w] if w else None for w in want]
+
+
 def brute_classes(rows):
     sets = {}
     for i, t in rows:
