@@ -117,12 +117,12 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return keys
 
 
-def runs_of(units: np.ndarray, lengths: np.ndarray, window: int, gram: int, without: int | None = None):
+def runs_of(units: np.ndarray, lengths: np.ndarray, window: int, gram: int, without: np.ndarray | None = None):
     """Runs of windows with one minimiser in texts that stand one after the other.
 
     Returns arrays: the text's number, the run's first unit, its number of
-    windows, the minimiser's place and its hash. without: a gram hash that can't
-    be a minimiser unless a window holds no other.
+    windows, the minimiser's place and its hash. without: by text, a gram hash that
+    can't be a minimiser unless a window holds no other.
     """
     if len(units) < window:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
@@ -130,7 +130,7 @@ def runs_of(units: np.ndarray, lengths: np.ndarray, window: int, gram: int, with
     keys = hashes & ~PLACE
     keys |= np.arange(len(hashes), dtype=np.uint64)
     if without is not None:
-        keys[hashes == np.uint64(without)] |= ~PLACE
+        keys[hashes == np.repeat(without, lengths)[: len(hashes)]] |= ~PLACE
     least = sliding_min(keys, window - gram + 1)  # keys of two places differ
     ends = np.cumsum(lengths)
     edges = np.r_[ends - lengths, np.maximum(ends - lengths, ends - window + 1)]  # of each text's windows
@@ -200,32 +200,61 @@ SENT_SCHEMA = "id long, h long, px long, place int, packed binary"
 PLACED_SCHEMA = "id long, mark long, h long, px long, n int, starts array<int>"
 
 
+def split_runs(late: list[tuple], kind: str, window: int, gram: int) -> None:
+    """Runs of hot buckets, (their text's list, start, number of windows, place, h,
+    string) -> rows of that list: the runs by a second minimiser within them."""
+    words = kind == "words"
+    body = (b" " if words else b"").join(x[-1] for x in late)
+    lengths, keys = np.array([x[2] for x in late]) + window - 1, np.array([x[4] for x in late], np.int64).view(np.uint64)
+    t, first, n, _, h = runs_of(units_of(body, kind), lengths, window, gram, without=keys)
+    last = first + n + window - 2
+    if words:
+        starts, ends = word_spans(np.frombuffer(body, np.uint8))
+        lo, hi = starts[first], ends[last]
+    else:
+        lo, hi = first, last + 1
+    at = first - (np.cumsum(lengths) - lengths)[t]
+    for k, x, m, key, a, b in zip(*(c.tolist() for c in (t, at, n, signed(mixed(h + keys[t])), lo, hi)), strict=True):
+        found, start, _, place, _, _ = late[k]
+        found.append((start + x, m, place - x, key, body[a:b]))
+
+
 def run_strings(kind: str, window: int, gram: int):
     """Batches of rows with candidate runs -> by row, (start, n, place, h, string) of
-    each run; runs of hot buckets are split by a second minimiser."""
+    each run; runs of hot buckets are split by a second minimiser, many at a time."""
 
     def go(b):
         texts, runs = texts_of(b), b.column("runs")
-        offsets = runs.offsets.to_numpy()
+        offsets = runs.offsets.to_numpy().tolist()
         flat = runs.values
-        start, n, place, h, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n", "place", "h", "hot"))
+        start, n, place, h, hot = (flat.field(k).to_numpy(zero_copy_only=False).tolist() for k in ("start", "n", "place", "h", "hot"))
+        held, late, units, size = [], [], 0, 0  # rows that wait for the runs in late
         for row, text in enumerate(texts):
-            found = []
+            found: list[tuple] = []
+            held.append((row, found))
             if kind == "words":
                 s, e = word_spans(np.frombuffer(text, np.uint8))
             for j in range(offsets[row], offsets[row + 1]):
-                a, m, key = int(start[j]), int(n[j]), int(h[j])
+                a, m = start[j], n[j]
                 lo, hi = (int(s[a]), int(e[a + m + window - 2])) if kind == "words" else (a, a + m + window - 1)
-                body = text[lo:hi]
+                size += hi - lo
                 if not hot[j]:
-                    found.append((a, m, int(place[j]), key, body))
+                    found.append((a, m, place[j], h[j], text[lo:hi]))
                     continue
-                u = units_of(body, kind)
-                _, f, c, _, h2 = runs_of(u, np.array([len(u)]), window, gram, without=key & (2**64 - 1))
-                bs, be = word_spans(np.frombuffer(body, np.uint8)) if kind == "words" else (None, None)
-                for x, y, z in zip(f, c, signed(mixed(h2 + np.uint64(key & (2**64 - 1)))), strict=True):
-                    found.append((a + int(x), int(y), int(place[j]) - int(x), int(z), body[int(bs[x]) : int(be[x + y + window - 2])] if kind == "words" else body[x : x + y + window - 1]))
-            yield row, found
+                late.append((found, a, m, place[j], h[j], text[lo:hi]))
+                units += m + window - 1
+                if units >= STEP:
+                    split_runs(late, kind, window, gram)
+                    late, units = [], 0
+            if late and size > 8_000_000:
+                split_runs(late, kind, window, gram)
+                late, units = [], 0
+            if not late:
+                yield from held
+                held, size = [], 0
+        if late:
+            split_runs(late, kind, window, gram)
+        yield from held
 
     return go
 

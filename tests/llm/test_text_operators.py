@@ -189,6 +189,41 @@ def test_spans_of_batches_with_nulls_and_slices():
         assert got == [[(s["lo"], s["hi"]) for s in w] if w else None for w in want]
 
 
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_runs_of_hot_buckets_are_split_many_at_a_time(monkeypatch, kind):
+    import pyarrow as pa
+
+    from tapewright.llm import anchors
+
+    window, gram, split, calls = 20, 4, anchors.runs_of, []
+    r = random.Random(8)
+    texts = [(b" \t " if kind == "words" else b"").join(bytes([r.choice(b"abc")]) for _ in range(r.choice((25, 60, 3000)))) for _ in range(120)]
+    runs, want = [], []
+    for text in texts:
+        units = anchors.units_of(text, kind)
+        _, first, n, place, h = split(units, np.array([len(units)]), window, gram)
+        rows = [(int(a), int(m), int(p - a), int(k), int(a) % 3 > 0) for a, m, p, k in zip(first, n, place, anchors.signed(h), strict=True)]
+        runs.append([dict(zip(("start", "n", "place", "h", "hot"), x, strict=True)) for x in rows])
+        found, pieces = [], text.split() if kind == "words" else None
+        string = lambda a, m: b" ".join(pieces[a : a + m + window - 1]) if pieces else text[a : a + m + window - 1]  # noqa: B023, E731
+        for a, m, p, k, hot in rows:
+            if not hot:
+                found.append((a, m, p, k, string(a, m)))
+                continue
+            own = np.array([k]).view(np.uint64)
+            _, first2, n2, _, h2 = split(units[a : a + m + window - 1], np.array([m + window - 1]), window, gram, without=own)
+            found += [(a + int(x), int(y), p - int(x), int(z), string(a + int(x), int(y))) for x, y, z in zip(first2, n2, anchors.signed(anchors.mixed(h2 + own)), strict=True)]
+        want.append(sorted(found))
+    monkeypatch.setattr(anchors, "runs_of", lambda *x, **y: calls.append(1) or split(*x, **y))
+    kinds = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("place", pa.int32()), ("h", pa.int64()), ("hot", pa.bool_())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(runs, kinds)], ["text", "runs"])
+    for b, expected in ((batch, want), (batch.slice(5, 40), want[5:45])):
+        got = list(anchors.run_strings(kind, window, gram)(b))
+        assert [row for row, _ in got] == list(range(len(expected)))
+        assert [sorted((*x[:4], b" ".join(x[4].split()) if kind == "words" else x[4]) for x in found) for _, found in got] == expected
+    assert sum(map(len, runs)) > 5_000 and len(calls) < 40
+
+
 def brute_classes(rows):
     sets = {}
     for i, t in rows:
